@@ -1,17 +1,20 @@
 """Homomorphic multiset hash of a text's paragraphs.
 
-A text is the multiset of its pieces: lines, cut again after sentence ends. A
-piece's 128-bit hash names one of GROUPS lanes and the number that is added there
-modulo 2**64. The sum of lanes does not depend on the order of pieces, pieces can be
-added or taken out one by one, and the share of equal lanes tells how much two texts
-have in common.
+A text is the multiset of its pieces: paragraphs (lines), long ones cut again after
+sentence ends. A piece's 128-bit hash is added to a wide vector: its halves to two
+totals modulo 2**64, one to a count, and 16 bits of it to one of LANES lanes modulo
+2**16. The sum does not depend on the order of pieces, and pieces can be added or
+taken out one by one. Totals and count decide equality; the share of equal lanes tells
+how many pieces two texts have in common.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import math
 from collections.abc import Iterable, Iterator
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -21,44 +24,50 @@ from pyspark.sql import functions as F
 
 from perdura.llm.common import record_batch, to_arrow
 
-GROUPS = 64
-MASK = (1 << 64) - 1
+LANES = 256
+MASK, LANE_MASK = (1 << 64) - 1, (1 << 16) - 1
 
 
 def pieces(text: str) -> list[bytes]:
-    """The paragraphs, long ones cut after '. '; empty ones carry nothing."""
+    """The paragraphs, cut after '. '; empty ones carry nothing."""
     return [p for line in text.encode("utf-8", "surrogatepass").split(b"\n") for p in line.split(b". ") if p]
 
 
-def add(lanes: list[int], parts: Iterable[bytes], sign: int = 1) -> list[int]:
-    """Adds pieces to lanes, in place; sign -1 takes them out."""
+def add(vector: list[int], parts: Iterable[bytes], sign: int = 1) -> list[int]:
+    """Adds pieces to a vector (two totals, the count, the lanes), in place; sign -1 takes them out."""
     for p in parts:
         h = xxhash.xxh3_128_intdigest(p)
-        g = h & (GROUPS - 1)
-        lanes[g] = (lanes[g] + sign * (h >> 64 | 1)) & MASK
-    return lanes
+        vector[0] = (vector[0] + sign * (h & MASK)) & MASK
+        vector[1] = (vector[1] + sign * (h >> 64)) & MASK
+        vector[2] += sign
+        g = 3 + (h >> 16 & (LANES - 1))
+        vector[g] = (vector[g] + sign * (h & LANE_MASK | 1)) & LANE_MASK
+    return vector
 
 
-def lanes_of(text: str) -> list[int]:
-    return add([0] * GROUPS, pieces(text))
+def vector_of(text: str) -> list[int]:
+    return add([0] * (3 + LANES), pieces(text))
 
 
-def digest(lanes: list[int]) -> str:
-    return base64.b64encode(np.array(lanes, dtype="<u8").tobytes()).decode()
+def digest(vector: list[int]) -> str:
+    return base64.b64encode(np.array(vector[:3], dtype="<u8").tobytes() + np.array(vector[3:], dtype="<u2").tobytes()).decode()
 
 
 def undigest(fingerprint: str) -> list[int]:
-    return np.frombuffer(base64.b64decode(fingerprint), dtype="<u8").tolist()
+    data = base64.b64decode(fingerprint)
+    return np.frombuffer(data[:24], dtype="<u8").tolist() + np.frombuffer(data[24:], dtype="<u2").tolist()
 
 
 def likeness(a: list[int], b: list[int]) -> float:
-    """Equal lanes among those that either text uses; 1 for two empty texts."""
-    used = equal = 0
-    for x, y in zip(a, b, strict=True):
-        if x or y:
-            used += 1
-            equal += x == y
-    return equal / used if used else 1.0
+    """The estimated share of pieces that two texts have in common: 1 if equal, also for two empty texts.
+
+    With d pieces in one text only, a lane stays equal with probability exp(-d / LANES).
+    """
+    if a[:3] == b[:3]:
+        return 1.0
+    equal = sum(map(eq, a[3:], b[3:]))
+    differ = -LANES * math.log(max(equal, 0.5) / LANES)
+    return min(1.0, max(0.0, 1.0 - differ / (a[2] + b[2])))
 
 
 def edited(text: str, following: str) -> str:
@@ -76,7 +85,7 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            prints = [digest(lanes_of(t or "")) for t in b.column(text).to_pylist()]
+            prints = [digest(vector_of(t or "")) for t in b.column(text).to_pylist()]
             yield record_batch({**{n: b.column(n) for n in names}, "fingerprint": prints}, target)
 
     return out.mapInArrow(run, schema)
@@ -135,11 +144,11 @@ def edit_fingerprints(docs: DataFrame, n_parts: int | None = None) -> DataFrame:
                 t = t or ""
                 if last is None and halo:
                     continue  # a second copy of rows with one id
-                lanes = lanes_of(t)
+                lanes = vector_of(t)
                 if last is not None:
                     _, own, text, mine = last
                     new = edited(text, t)
-                    other = lanes_of(new)
+                    other = vector_of(new)
                     yield own, len(text), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), digest(mine), digest(other), likeness(mine, other), likeness(mine, lanes)
                 last = None if halo else (part, i, t, lanes)
 

@@ -5,9 +5,10 @@ into pieces of whole sequences, the first piece taking what is over. Pieces are
 one by one: into the open bin, or a new one, for which the sum over residual gaps of
 the squared count of open bins with that gap becomes smallest.
 
-Only (doc_id, piece, start, length) rows move. Every task packs its own rows; pieces
-of bins that stay open are packed again by ever fewer tasks, so that in the end one
-task holds at most LAST_ROWS pieces of the whole table.
+Only (doc_id, piece, start, length) rows move. Every task packs its own rows, longest
+first; pieces of bins that stay open are packed again by ever fewer tasks, so that in
+the end one task holds about LAST_ROWS pieces of the whole table. As none come after
+those, what that task's sum of squares leaves open is placed by best fit.
 """
 
 from __future__ import annotations
@@ -160,8 +161,42 @@ def pack_rows(lengths: np.ndarray, size: int) -> np.ndarray:
     return np.array([packer.add(n) for n in lengths.tolist()], dtype=np.int64)
 
 
-def pack_round(pieces: DataFrame, number: int, size: int, close_gap: int) -> DataFrame:
-    """PACKED rows; sequence_id is null in bins whose gap stays above close_gap."""
+def best_fit(lengths: np.ndarray, size: int) -> np.ndarray:
+    """Bin of each length, each into the open bin that it fills most."""
+    bins_at: list[list[int]] = [[] for _ in range(size + 1)]
+    count = np.zeros(size + 1, dtype=np.int64)
+    out = np.empty(len(lengths), dtype=np.int64)
+    bins = 0
+    for i, n in enumerate(lengths.tolist()):
+        k = int((count[n:] > 0).argmax()) + n
+        if count[k]:
+            b = bins_at[k].pop()
+            count[k] -= 1
+        else:
+            b, k = bins, size
+            bins += 1
+        bins_at[k - n].append(b)
+        count[k - n] += 1
+        out[i] = b
+    return out
+
+
+def pack_all(lengths: np.ndarray, size: int, close_gap: int, last: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Bin of each length (in descending order) and whether the bin is done.
+
+    Sum of squares keeps bins of many gaps open for pieces still to come. When none
+    will come, the pieces of its open bins are placed once more, by best fit.
+    """
+    bins = pack_rows(lengths, size)
+    done = (size - np.bincount(bins, weights=lengths).astype(np.int64) <= close_gap)[bins] if len(bins) else np.zeros(0, dtype=bool)
+    if last and not done.all():
+        bins[~done] = bins.max() + 1 + best_fit(lengths[~done], size)
+        done[:] = True
+    return bins, done
+
+
+def pack_round(pieces: DataFrame, number: int, size: int, last: bool) -> DataFrame:
+    """PACKED rows; but for the last round, sequence_id is null in bins whose gap stays above CLOSE_GAP."""
     target = to_arrow(pieces.sparkSession, PACKED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,18 +204,15 @@ def pack_round(pieces: DataFrame, number: int, size: int, close_gap: int) -> Dat
         if rows is None or not rows.num_rows:
             return
         length = rows.column("length").to_numpy()
-        # Long pieces come first, which keeps few bins open at the end of the task.
-        order = np.lexsort((zlib_order(rows), -(length == size).astype(np.int64)))
-        bins = np.empty(len(length), dtype=np.int64)
-        bins[order] = pack_rows(length[order], size)
+        order = np.argsort(-length, kind="stable")
+        bins, done = np.empty(len(length), dtype=np.int64), np.empty(len(length), dtype=bool)
+        bins[order], done[order] = pack_all(length[order], size, CLOSE_GAP, last)
         by_bin = np.lexsort((np.arange(len(length)), bins))
-        fill = np.bincount(bins, weights=length).astype(np.int64)
         ends = np.cumsum(length[by_bin])
         first = np.searchsorted(bins[by_bin], bins[by_bin])
         starts = ends - length[by_bin]
         offset = np.empty(len(length), dtype=np.int64)
         offset[by_bin] = starts - starts[first]
-        done = size - fill[bins] <= close_gap
         base = (number << 58) + (TaskContext.get().partitionId() << 34)
         seq = pa.array(base + bins, mask=~done)
         rows = rows.select(target.names[:5]).append_column("sequence_id", seq).append_column("offset", pa.array(offset))
@@ -190,11 +222,6 @@ def pack_round(pieces: DataFrame, number: int, size: int, close_gap: int) -> Dat
     return pieces.mapInArrow(run, PACKED)
 
 
-def zlib_order(rows: pa.Table) -> np.ndarray:
-    """A fixed shuffled order of a task's rows, by their content."""
-    return rows.column("ids_crc32").to_numpy()
-
-
 def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
     """PIECES with sequence_id and offset, gapless in each sequence.
 
@@ -209,7 +236,7 @@ def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
         last = n <= LAST_ROWS or number == 15
         part = rest.repartition(1) if last else rest.repartition(tasks, "doc_id", "piece")
         part = part.sortWithinPartitions("doc_id", "piece", "ids_crc32")
-        packed = checkpointed(pack_round(part, number, size, size if last else CLOSE_GAP))
+        packed = checkpointed(pack_round(part, number, size, last))
         if last:
             done.append(packed)
             break
