@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perdura.llm import fingerprint, mixing, packing, urls
-from perdura.llm.common import checkpointed, table
+from perdura.llm import fingerprint, langid, mixing, packing, quality, urls
+from perdura.llm.common import checkpointed, crc_mod, table
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -17,6 +17,12 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score_quality(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = checkpointed(mixing.compact(table(spark, sf_dir, "documents")))
     return mixing.mix_sources(rows, size="size").select("doc_id", "size", "source_size", "target", "taken")
@@ -27,6 +33,12 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(pages, urls.fixed_rules(spark)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = langid.identify_language(docs.select("doc_id", "text"), langid.train(docs, tokenizer_path("piece_bpe_32k.model")))
+    return found.select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edit_fingerprints(table(spark, sf_dir, "documents"))
 
