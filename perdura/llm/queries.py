@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perdura.llm import fingerprint, langid, mixing, packing, quality, urls
+from perdura.llm import fingerprint, langid, mixing, packing, pii, quality, rules, urls
 from perdura.llm.common import checkpointed, crc_mod, table
 
 
@@ -28,6 +28,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(rows, size="size").select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urls.filter_urls(pages, urls.fixed_rules(spark)).select("page_id", "host", "path", "rule", "verdict")
@@ -48,6 +52,12 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, tokenizer_path())
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null text counts as empty; repeated rows each get their row."""
+    found = checkpointed(pii.candidates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+    return pii.digest(pii.decided(found, pii.train(found)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
