@@ -1,4 +1,8 @@
-"""Connected components, and a filter for rows whose id may be in a set."""
+"""Connected components, and bit filters for rows whose id or hash may be in a set.
+
+A filter has a fixed size whatever the number of ids; it lets some rows through that
+are not in the set, never fewer than are, and an exact join follows.
+"""
 
 from __future__ import annotations
 
@@ -11,10 +15,6 @@ from pyspark.sql import functions as F
 
 from perdura.llm.common import checkpointed, record_batch, to_arrow
 
-#: Bits of an id filter (1 MB, whatever the number of ids); it lets through a few rows too many, never one too few.
-FILTER_BITS = 1 << 23
-
-
 def components(edges: DataFrame) -> DataFrame:
     """node and component (the smallest node reachable) for edges a, b; rounds of large and small stars.
 
@@ -38,22 +38,28 @@ def components(edges: DataFrame) -> DataFrame:
     return now.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
 
 
-def id_bits(ids: DataFrame, column: str) -> np.ndarray:
-    """Words of a bit array with the ids' hashes set."""
-    at = F.shiftrightunsigned(F.xxhash64(column), 64 - 23)
-    words = ids.select(F.shiftright(at, 6).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int")).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+def hash_bits(hashes: DataFrame, column: str, log2: int = 23) -> np.ndarray:
+    """Words of an array of 2**log2 bits, with the bits of a column of 64-bit hashes set."""
+    at = F.shiftrightunsigned(column, 64 - log2)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
+    words = hashes.select(F.shiftright(at, 6).cast("int").alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros((1 << log2) // 64, dtype=np.int64)
     out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
     return out
 
 
+def id_bits(ids: DataFrame, column: str) -> np.ndarray:
+    return hash_bits(ids.select(F.xxhash64(column).alias("h")), "h")
+
+
 def may_hold(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = hashes.view(np.uint64) >> np.uint64(64 - 23)
+    """Whether each 64-bit hash may be among those whose bits are set."""
+    at = hashes.view(np.uint64) >> np.uint64(64 - (len(bits) * 64).bit_length() + 1)
     return (bits[(at >> np.uint64(6)).astype(np.int64)].view(np.uint64) >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
 def chosen_rows(docs: DataFrame, bits: np.ndarray, schema: str, batch: Callable[[list, list[str]], dict]) -> DataFrame:
-    """mapInArrow over doc_id and text of the rows that pass the filter; batch gets ids and texts."""
+    """mapInArrow over doc_id and text of the rows whose id passes the filter; batch gets ids and texts."""
     target = to_arrow(docs.sparkSession, schema)
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perdura.llm import fingerprint, langid, mixing, neardup, packing, pii, quality, rules, urls
+from perdura.llm import fingerprint, langid, mixing, neardup, packing, passages, pii, quality, rules, urls
 from perdura.llm.common import checkpointed, crc_mod, table
 
 
@@ -43,6 +43,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.removal_digests(table(spark, sf_dir, "documents"))
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), neardup.Near(words=3, percent=85))
 
