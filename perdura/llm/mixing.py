@@ -144,23 +144,25 @@ def plan_rows(rows: list[tuple], mix: Mix) -> list[tuple]:
     return out
 
 
-def mix_sources(docs: DataFrame, mix: Mix = Mix(), size: str | None = None) -> DataFrame:
+def mix_sources(docs: DataFrame, mix: Mix = Mix(), size: str | None = None, plan_from: DataFrame | None = None) -> DataFrame:
     """docs with size, source_size, target, copies (array of pass and shard) and taken.
 
     docs needs doc_id, text and source, or is compact(docs) with size="size"; other columns stay, but those named size,
     source_size, target, copies or taken are replaced. A null text has size 0, a
     null source is a source of its own, sorted last. Rows of size 0 are taken as
     often as their block is. Repeated rows share one place and are drawn together,
-    but for a cut between them. size names a column that already has the word count.
+    but for a cut between them. plan_from may give compact(docs), stored, so that
+    planning need not read the texts. size names a column that has the word count.
     An empty table gives no rows. Reruns agree: places are hashes of the rows.
     """
     sized = docs.withColumn("size", F.col(size) if size else word_count(F.col("text"))).drop("source_size", "target", "copies", "taken")
-    n_sources = sized.select("source").distinct().count()
+    summed = docs if size else sized if plan_from is None else plan_from
+    n_sources = summed.select("source").distinct().count()
     if n_sources > MAX_BLOCK_ROWS:
         raise ValueError(f"more than {MAX_BLOCK_ROWS} sources")
     blocks = max(1, min(BLOCKS_PER_SOURCE, MAX_BLOCK_ROWS // max(1, n_sources)))
     placed = place(sized, blocks, mix.seed)
-    rows = placed.groupBy("source", "_block").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows")).collect()
+    rows = place(summed, blocks, mix.seed).groupBy("source", "_block").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows")).collect()
     planned = plan_rows([tuple(r) for r in rows], mix)
     plan = plan_table(docs, planned)
     if len(planned) <= BROADCAST_ROWS:
