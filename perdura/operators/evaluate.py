@@ -36,13 +36,25 @@ def facts(records: DataFrame, estimates: DataFrame, specs: DataFrame) -> DataFra
     return fact.withColumn("ok", F.coalesce(usable, F.lit(False))).withColumn("compatible", F.col("truth_estimand").isNull() | (F.col("truth_estimand") == F.col("estimand")))
 
 
-def rows_of(df: DataFrame, name: str, value: Column, nominal: Column | None = None, missing: Column | None = None, note: Column | None = None) -> DataFrame:
-    return df.select(
-        "record_id", "estimator_name", F.lit(name).alias("metric_name"),
-        (F.lit(None).cast("double") if nominal is None else nominal).alias("nominal"), value.cast("double").alias("value"),
-        (F.lit(False) if missing is None else missing).alias("missing_ci"), "stratum",
-        (F.lit(None).cast("string") if note is None else note).alias("note"),
-    )
+CELL = "struct<estimator_name:string,metric_name:string,nominal:double,value:double,missing_ci:boolean,note:string>"
+
+
+def cell(name: str, value: Column, nominal: float | None = None, missing: Column | None = None, note: Column | None = None, estimator: Column | None = None) -> Column:
+    """One metric value as a struct."""
+    return F.struct(
+        (F.col("estimator_name") if estimator is None else estimator).alias("estimator_name"), F.lit(name).alias("metric_name"), F.lit(nominal).cast("double").alias("nominal"),
+        value.cast("double").alias("value"), (F.lit(False) if missing is None else missing).alias("missing_ci"), (F.lit(None).cast("string") if note is None else note).alias("note"),
+    ).cast(CELL)
+
+
+def spread_out(df: DataFrame, cells: list[Column]) -> DataFrame:
+    """ROW rows from columns that are cells (null for none) or arrays of cells: one pass over df for all metrics."""
+    every = F.filter(F.flatten(F.array(*cells)), lambda c: c.isNotNull())
+    return df.select("record_id", "stratum", F.explode(every).alias("c")).select("record_id", "c.estimator_name", "c.metric_name", "c.nominal", "c.value", "c.missing_ci", "stratum", "c.note")
+
+
+def single(condition: Column, c: Column) -> Column:
+    return F.array(F.when(condition, c))
 
 
 def interval(level: float, prefix: str = "") -> Column:
@@ -63,102 +75,111 @@ def false_positive(m: MetricSpec) -> tuple[Column, Column]:
 
 def per_series(fact: DataFrame, metrics: list[MetricSpec], mode: str) -> DataFrame:
     """Long metric rows for every record and estimator, and for pairs, families and variants of estimators."""
-    y, p = F.col("truth_value"), F.col("point")
+    names = {m.name: m for m in metrics}
     out: list[DataFrame] = []
+    if cells := own_cells(metrics):
+        out.append(spread_out(fact, cells))
+    if mode == "stress_test" and names.keys() & set(STRESS):
+        out.append(stress_rows(fact, names))
+    if names.keys() & {*DISAGREEMENT, *SENSITIVITY}:
+        out.append(group_rows(fact, names))
+    return reduce(DataFrame.unionByName, out) if out else spread_out(fact, [single(F.lit(False), cell("", F.lit(0.0)))])
+
+
+def own_cells(metrics: list[MetricSpec]) -> list[Column]:
+    """Metrics of a record and estimator by themselves."""
+    y, p, ok = F.col("truth_value"), F.col("point"), F.col("ok")
+    true = ok & F.col("compatible") & y.isNotNull()
+    out = []
     for m in metrics:
         if m.name in ("bias", "mae", "rmse"):
-            rows = fact.filter(F.col("ok") & F.col("compatible") & y.isNotNull())
-            out.append(rows_of(rows, m.name, {"bias": p - y, "mae": F.abs(p - y), "rmse": (p - y) * (p - y)}[m.name]))
+            out.append(single(true, cell(m.name, {"bias": p - y, "mae": F.abs(p - y), "rmse": (p - y) * (p - y)}[m.name])))
         elif m.name in ("coverage", "ci_width"):
-            rows = fact.filter(F.col("ok") & (y.isNotNull() & F.col("compatible") if m.name == "coverage" else F.lit(True)))
             for level in m.nominal_levels:
                 ci = interval(level)
                 value = F.when((ci["low"] <= y) & (y <= ci["high"]), 1.0).otherwise(0.0) if m.name == "coverage" else ci["high"] - ci["low"]
-                out.append(rows_of(rows, m.name, F.when(ci.isNotNull(), value), F.lit(level), ci.isNull()))
+                out.append(single(true if m.name == "coverage" else ok, cell(m.name, F.when(ci.isNotNull(), value), level, ci.isNull())))
         elif m.name == "validity_rate":
-            out.append(rows_of(fact, m.name, F.col("valid").cast("double")))
+            out.append(single(F.lit(True), cell(m.name, F.col("valid"))))
         elif m.name == "runtime":
-            out.append(rows_of(fact, m.name, F.coalesce("runtime_seconds", F.lit(0.0))))
+            out.append(single(F.lit(True), cell(m.name, F.coalesce("runtime_seconds", F.lit(0.0)))))
         elif m.name == "instability":
-            out.append(rows_of(fact.filter("bootstrap_std is not null"), m.name, F.col("bootstrap_std")))
+            out.append(single(F.col("bootstrap_std").isNotNull(), cell(m.name, F.col("bootstrap_std"))))
         elif m.name == "preprocessing_sensitivity":
             eps = max(float(m.parameters.get("eps", 1e-4)), 1e-12)
-            out.append(rows_of(fact.filter("ok"), m.name, F.abs(F.col("point_alt") - p) / eps, note=F.when(F.col("point_alt").isNull(), "missing_alt")))
+            out.append(single(ok, cell(m.name, F.abs(F.col("point_alt") - p) / eps, note=F.when(F.col("point_alt").isNull(), "missing_alt"))))
         elif m.name == "false_positive_lrd_rate":
             threshold, null_max = false_positive(m)
-            rows = fact.filter(F.col("ok") & F.col("compatible") & (y <= null_max))
-            out.append(rows_of(rows, m.name, F.when(p >= threshold, 1.0).otherwise(0.0)))
-    names = {m.name: m for m in metrics}
-    if mode == "stress_test" and names.keys() & set(STRESS):
-        out += stress_rows(fact, names)
-    if names.keys() & set(DISAGREEMENT):
-        out += disagreement_rows(fact, names)
-    if names.keys() & set(SENSITIVITY):
-        out += sensitivity_rows(fact, names)
-    if not out:
-        return fact.select("record_id", "estimator_name", F.lit("").alias("metric_name"), F.lit(0.0).alias("nominal"), F.lit(0.0).alias("value"), F.lit(False).alias("missing_ci"), "stratum", F.lit("").alias("note")).limit(0)
-    return reduce(DataFrame.unionByName, out)
+            out.append(single(true & (y <= null_max), cell(m.name, F.when(p >= threshold, 1.0).otherwise(0.0))))
+    return out
 
 
-def stress_rows(fact: DataFrame, names: dict[str, MetricSpec]) -> list[DataFrame]:
+def stress_rows(fact: DataFrame, names: dict[str, MetricSpec]) -> DataFrame:
     """Contaminated estimates against those of their clean records."""
     clean = fact.filter("stress_role = 'clean'").select(F.col("record_id").alias("clean_record_id"), "estimator_name", *[F.col(c).alias(f"clean_{c}") for c in ("ok", "valid", "point", "ci_low", "ci_high", "bootstrap_cis")])
     both = fact.filter("stress_role = 'contaminated'").join(clean, ["clean_record_id", "estimator_name"])
     y, p, q = F.col("truth_value"), F.col("point"), F.col("clean_point")
-    valid = both.filter("ok and clean_ok")
-    out = []
+    valid, cells = F.col("ok") & F.col("clean_ok"), []
     if "estimate_drift" in names:
-        out.append(rows_of(valid, "estimate_drift", F.abs(p - q)))
+        cells.append(single(valid, cell("estimate_drift", F.abs(p - q))))
     if "relative_degradation_ratio" in names:
-        out.append(rows_of(valid.filter(F.abs(q - y) >= 1e-12), "relative_degradation_ratio", F.abs(p - y) / F.nullif(F.abs(q - y), F.lit(0.0))))
+        cells.append(single(valid & (F.abs(q - y) >= 1e-12), cell("relative_degradation_ratio", F.try_divide(F.abs(p - y), F.abs(q - y)))))
     if "validity_collapse" in names:
-        out.append(rows_of(both, "validity_collapse", (F.col("clean_valid") & ~F.col("valid")).cast("double")))
+        cells.append(single(F.lit(True), cell("validity_collapse", F.col("clean_valid") & ~F.col("valid"))))
     if "coverage_collapse" in names:
-        rows = both.filter(y.isNotNull())
+        hit = lambda ci: F.when((ci["low"] <= y) & (y <= ci["high"]), 1.0).otherwise(0.0)
         for level in names["coverage_collapse"].nominal_levels:
             a, b = interval(level, "clean_"), interval(level)
-            hit = lambda ci: F.when((ci["low"] <= y) & (y <= ci["high"]), 1.0).otherwise(0.0)
             known = a.isNotNull() & b.isNotNull()
-            out.append(rows_of(rows, "coverage_collapse", F.when(known, F.greatest(F.lit(0.0), hit(a) - hit(b))), F.lit(level), ~known))
-    return out
+            cells.append(single(y.isNotNull(), cell("coverage_collapse", F.when(known, F.greatest(F.lit(0.0), hit(a) - hit(b))), level, ~known)))
+    return spread_out(both, cells)
 
 
 def least(names: dict[str, MetricSpec], group: tuple[str, ...], key: str) -> int:
-    return min(int(names[n].parameters.get(key, 2)) for n in group if n in names)
+    return min((int(names[n].parameters.get(key, 2)) for n in group if n in names), default=2)
+
+
+def mean(values: Column) -> Column:
+    return F.try_divide(F.aggregate(values, F.lit(0.0), lambda a, v: a + v), F.size(values))
 
 
-def pairs_in(fact: DataFrame) -> DataFrame:
-    """Pairs of valid estimates of a record, in order of enrolment. A record has as many as enrolled estimators allow, whatever the number of records."""
-    side = lambda s: fact.filter("ok").select("record_id", "stratum", *[F.col(c).alias(f"{c}_{s}") for c in ("estimator_name", "ord", "family", "point")])
-    return side("a").join(side("b").drop("stratum"), "record_id").filter("ord_a < ord_b").withColumn("gap", F.abs(F.col("point_a") - F.col("point_b")))
+def deviation(values: Column) -> Column:
+    """Population standard deviation of an array."""
+    m = mean(values)
+    return F.sqrt(mean(F.transform(values, lambda v: (v - m) * (v - m))))
 
 
-def disagreement_rows(fact: DataFrame, names: dict[str, MetricSpec]) -> list[DataFrame]:
+def group_rows(fact: DataFrame, names: dict[str, MetricSpec]) -> DataFrame:
+    """Metrics over the valid estimates of a record, gathered in order of enrolment.
+
+    A record has as many as there are enrolled estimators, whatever the number of records,
+    so one grouping by record serves dispersion, pairs, families and variants.
+    """
+    rows = fact.filter("ok").groupBy("record_id", "stratum").agg(F.sort_array(F.collect_list(F.struct("ord", "estimator_name", "family", "base", "point"))).alias("g"))
+    points = F.transform("g", lambda e: e["point"])
+    gaps = F.flatten(F.transform("g", lambda a: F.transform(F.filter("g", lambda b: b["ord"] > a["ord"]), lambda b: F.struct(a["estimator_name"].alias("a"), b["estimator_name"].alias("b"), F.least(a["family"], b["family"]).alias("fa"), F.greatest(a["family"], b["family"]).alias("fb"), F.abs(a["point"] - b["point"]).alias("gap")))))
+    rows = rows.withColumn("pairs", gaps)
     need = least(names, DISAGREEMENT, "min_estimators")
-    enough = fact.filter("ok").withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("record_id"))).filter(F.col("k") >= need)
-    out = []
+    enough, cells = F.size("g") >= need, []
     if "cross_estimator_dispersion" in names:
-        g = enough.groupBy("record_id", "stratum").agg(F.stddev_pop("point").alias("v")).withColumn("estimator_name", F.lit(ALL))
-        out.append(rows_of(g, "cross_estimator_dispersion", F.col("v")))
-    pairs = pairs_in(enough)
+        cells.append(single(enough, cell("cross_estimator_dispersion", deviation(points), estimator=F.lit(ALL))))
     if "pairwise_estimator_disagreement" in names:
-        named = pairs.withColumn("estimator_name", F.concat_ws("__vs__", "estimator_name_a", "estimator_name_b"))
-        out.append(rows_of(named, "pairwise_estimator_disagreement", F.col("gap")))
+        cells.append(F.when(enough, F.transform("pairs", lambda x: cell("pairwise_estimator_disagreement", x["gap"], estimator=F.concat_ws("__vs__", x["a"], x["b"])))).otherwise(F.array().cast(f"array<{CELL}>")))
     if "family_level_disagreement" in names:
-        size = max(2, need)
-        low, high = F.least("family_a", "family_b"), F.greatest("family_a", "family_b")
-        own = enough.groupBy("record_id", "family").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= size).select("record_id", F.concat(F.lit("family:"), "family").alias("estimator_name"))
-        within = pairs.filter("family_a = family_b").groupBy("record_id", "stratum", F.concat(F.lit("family:"), "family_a").alias("estimator_name")).agg(F.avg("gap").alias("v")).join(own, ["record_id", "estimator_name"], "left_semi")
-        between = pairs.filter("family_a != family_b").groupBy("record_id", "stratum", F.concat(F.lit("family:"), low, F.lit("__vs__"), high).alias("estimator_name")).agg(F.avg("gap").alias("v"))
-        out += [rows_of(within, "family_level_disagreement", F.col("v")), rows_of(between, "family_level_disagreement", F.col("v"))]
-    return out
-
-
-def sensitivity_rows(fact: DataFrame, names: dict[str, MetricSpec]) -> list[DataFrame]:
-    need = least(names, SENSITIVITY, "min_variants")
-    g = fact.filter("ok").groupBy("record_id", "stratum", F.col("base").alias("estimator_name")).agg(F.count(F.lit(1)).alias("k"), F.stddev_pop("point").alias("sd"), (F.max("point") - F.min("point")).alias("drift")).filter(F.col("k") >= need)
-    values = {"parameter_variant_sensitivity": "sd", "max_variant_drift": "drift"}
-    return [rows_of(g, n, F.col(values[n])) for n in SENSITIVITY if n in names]
+        kinds = F.array_distinct(F.transform("pairs", lambda x: F.struct(x["fa"].alias("fa"), x["fb"].alias("fb"))))
+        large = F.filter(kinds, lambda k: (k["fa"] != k["fb"]) | (F.size(F.filter("g", lambda e: e["family"] == k["fa"])) >= max(2, need)))
+        gap = lambda k: mean(F.transform(F.filter("pairs", lambda x: (x["fa"] == k["fa"]) & (x["fb"] == k["fb"])), lambda x: x["gap"]))
+        name = lambda k: F.concat(F.lit("family:"), k["fa"], F.when(k["fa"] != k["fb"], F.concat(F.lit("__vs__"), k["fb"])).otherwise(""))
+        cells.append(F.when(enough, F.transform(large, lambda k: cell("family_level_disagreement", gap(k), estimator=name(k)))).otherwise(F.array().cast(f"array<{CELL}>")))
+    variants = least(names, SENSITIVITY, "min_variants")
+    bases = F.array_distinct(F.transform("g", lambda e: e["base"]))
+    of = lambda base: F.transform(F.filter("g", lambda e: e["base"] == base), lambda e: e["point"])
+    several = F.filter(bases, lambda b: F.size(of(b)) >= variants)
+    if "parameter_variant_sensitivity" in names:
+        cells.append(F.transform(several, lambda b: cell("parameter_variant_sensitivity", deviation(of(b)), estimator=b)))
+    if "max_variant_drift" in names:
+        cells.append(F.transform(several, lambda b: cell("max_variant_drift", F.array_max(of(b)) - F.array_min(of(b)), estimator=b)))
+    return spread_out(rows, cells)
 
 
 def aggregate(series: DataFrame, metrics: list[MetricSpec]) -> DataFrame:

@@ -147,7 +147,7 @@ for _name, _sql in ROWS_SQL.items():
 METRICS = [metric({"name": n, **BOTH} if n in ("coverage", "ci_width", "coverage_error") else n) for n in ("bias", "mae", "rmse", "coverage", "coverage_error", "ci_width", "validity_rate", "false_positive_lrd_rate", "cross_estimator_dispersion", "pairwise_estimator_disagreement", "family_level_disagreement", "parameter_variant_sensitivity", "max_variant_drift")]
 ALL_ROWS = " UNION ALL ".join(ROWS_SQL[m.name] for m in METRICS if m.name in ROWS_SQL)
 STEP = f"""WITH f AS ({CLEAN_SQL}), rows AS ({ALL_ROWS}),
-b0 AS (SELECT estimator_name, metric_name, stratum, nominal, CASE WHEN metric_name = 'rmse' THEN sqrt(avg(value)) ELSE avg(value) END AS value FROM rows WHERE value IS NOT NULL GROUP BY ALL),
+b0 AS (SELECT estimator_name, metric_name, stratum, nominal, CASE WHEN metric_name = 'rmse' THEN sqrt(avg(value)) ELSE avg(value) END AS value FROM rows WHERE value IS NOT NULL GROUP BY estimator_name, metric_name, stratum, nominal),
 b AS (SELECT * FROM b0 UNION ALL SELECT estimator_name, 'coverage_error', stratum, nominal, abs(value - nominal) FROM b0 WHERE metric_name = 'coverage'),
 agg AS (SELECT estimator_name, metric_name, nominal, value, stratum, NULL::BIGINT AS n_strata FROM b
   UNION ALL SELECT estimator_name, metric_name, nominal, avg(value), '{evaluate.GLOBAL}', count(*) FROM b GROUP BY estimator_name, metric_name, nominal)

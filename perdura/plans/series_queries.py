@@ -215,7 +215,7 @@ r AS (SELECT ns.series_id, ns.n, CASE WHEN ns.n >= {least} THEN point END AS poi
 
 
 WHITTLE = """SELECT series_id, d, avg(ln(s2 / (2 * pi()) * h) + i / (s2 / (2 * pi()) * h)) AS o FROM (SELECT *, avg(i / h) OVER (PARTITION BY series_id, d) AS s2 FROM (SELECT i.series_id, i.i, q.d, greatest(pow(abs(2 * sin(lam / 2)), -2 * d), 1e-12) AS h FROM i, q)) GROUP BY ALL"""
-LOCAL = "SELECT i.series_id, q.d, ln(avg(pow(lam, 2 * d) * i)) - 2 * d * avg(ln(lam)) AS o FROM i, q GROUP BY ALL"
+LOCAL = "SELECT i.series_id, q.d, ln(avg(pow(lam, 2 * q.d) * i.i)) - 2 * q.d * avg(ln(lam)) AS o FROM i, q GROUP BY i.series_id, q.d"
 add("whittle_grid", kernel_query("E5", "WhittleGrid", plugins=GRID_KERNELS), grid_sql("least(64, n // 2 - 1)", 128, WHITTLE, "whittle", "WhittleGrid"))
 add("local_whittle_grid", kernel_query("E5", "LocalWhittleGrid", plugins=GRID_KERNELS), grid_sql("least(greatest(8, floor(pow(n, 0.55))), n // 3)", 256, LOCAL, "mlw", "LocalWhittleGrid"))
 add("whittle_mle", kernel_query("E5", "WhittleMLE"))
