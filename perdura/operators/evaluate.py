@@ -31,6 +31,7 @@ def spec_table(spark: SparkSession, specs: list[EstimatorSpec]) -> DataFrame:
 
 def facts(records: DataFrame, estimates: DataFrame, specs: DataFrame) -> DataFrame:
     """One row for each record and estimator. specs has a row per enrolled estimator: a few, so it is broadcast."""
+    records = records.select("record_id", "stratum", "truth_estimand", "truth_value", "stress_role", "clean_record_id")
     usable = F.col("valid") & F.col("point").isNotNull() & ~F.isnan("point")
     fact = records.join(estimates, "record_id").join(F.broadcast(specs), "estimator_name")
     return fact.withColumn("ok", F.coalesce(usable, F.lit(False))).withColumn("compatible", F.col("truth_estimand").isNull() | (F.col("truth_estimand") == F.col("estimand")))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from perdura.plans import metric_queries, series_queries
+from perdura.plans import metric_queries, series_queries, source_queries
+from perdura.streaming import rolling
 
 
 def queries() -> dict[str, series_queries.Query]:
-    return series_queries.QUERIES | metric_queries.QUERIES
+    return series_queries.QUERIES | metric_queries.QUERIES | source_queries.QUERIES | rolling.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return series_queries.SQL | metric_queries.SQL
+    return series_queries.SQL | metric_queries.SQL | source_queries.SQL | rolling.SQL

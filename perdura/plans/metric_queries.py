@@ -166,8 +166,8 @@ def with_value(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.withColumn("value", rounded("value", digits))
 
 
-QUERIES["aggregate_strata_and_global"] = lambda spark, sf: with_value(aggregates(spark, sf))
-SQL["aggregate_strata_and_global"] = STEP + "SELECT estimator_name, metric_name, nominal, round(value, 6) + 0.0 AS value, stratum, n_strata FROM agg"
+QUERIES["aggregate_strata_and_global"] = lambda spark, sf: with_value(aggregates(spark, sf)).withColumn("n_strata", F.coalesce("n_strata", F.lit(1)).cast("long"))
+SQL["aggregate_strata_and_global"] = STEP + "SELECT estimator_name, metric_name, nominal, round(value, 6) + 0.0 AS value, stratum, coalesce(n_strata, 1) AS n_strata FROM agg"
 
 CALIBRATION = ["coverage", "ci_width", "coverage_error"]
 QUERIES["uncertainty_calibration"] = lambda spark, sf: with_value(aggregates(spark, sf).filter(F.col("metric_name").isin(CALIBRATION))).drop("n_strata")
