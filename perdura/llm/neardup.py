@@ -8,13 +8,14 @@ distance with a probability of at most MISS. Every link is confirmed on full set
 
 Documents with equal sets are one class from the start. A bucket first gives one pair
 per member, with its smallest member, and their links give components. What remains
-are pairs between different components; only buckets that hold several give those, and
-large ones are split by the keys of a second chunk, which loses none.
+are pairs between different components, in buckets that hold several. Small buckets give
+them all. Members of larger ones are joined on their rarest shingles instead: of two
+sets with the wanted similarity, each has one of the other's among its first n -
+ceil(t n) + 1 in order of frequency, and enough of them in common; that loses no link.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
 from math import comb
@@ -24,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from perdura.llm.common import checkpointed, map_rows, record_batch, to_arrow
+from perdura.llm.common import checkpointed, map_rows
 from perdura.llm.graphs import chosen_rows, components, id_bits
 from perdura.llm.words import mixed, run_hashes, word_hashes
 
 SYMBOLS, BITS, MISS = 60, 16, 1e-4
-#: Buckets of more members are split by a second chunk.
+#: Members of larger buckets are joined on their rarest shingles.
 LARGE = 24
 
 
@@ -116,23 +117,29 @@ def keyed(reps: DataFrame, near: Near) -> DataFrame:
     return map_rows(reps.select("rep", "sig"), "key long, rep long", batch)
 
 
-def split_large(members: DataFrame, near: Near) -> DataFrame:
-    """Members of large buckets (key, rep, n, comp, sig) under the keys of each second chunk."""
-    schema = "key long, rep long, n long, comp long"
-    target = to_arrow(members.sparkSession, schema)
+def rare_pairs(hot: DataFrame, docs: DataFrame, near: Near) -> DataFrame:
+    """Pairs a, b of different components among hot (rep, n, comp), found by their rarest shingles.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for a in range(0, whole.num_rows, 2000):
-                b = whole.slice(a, 2000)
-                keys = chunk_keys(signatures(b), near.chunk)
-                first = b.column("key").to_numpy().view(np.uint64)
-                own = (keys == first[:, None, None]).any(axis=2)  # the chunk that the bucket is of
-                second = mixed(keys + first[:, None, None], 11)
-                row, c, k = np.nonzero(np.broadcast_to(~own[:, :, None], second.shape))
-                yield record_batch({"key": second[row, c, k].view(np.int64), **{x: b.column(x).to_numpy()[row] for x in ("rep", "n", "comp")}}, target)
-
-    return members.mapInArrow(run, schema)
+    Shingles that only one member has come first in its order and meet nobody. A pair is
+    given once, at its first common shingle, and only if what they have in common up to
+    there and could have after it is enough.
+    """
+    k, t = near.words, near.percent
+    sets = chosen_rows(docs, id_bits(hot, "rep"), "doc_id long, s array<long>", lambda i, x: {"doc_id": i, "s": [shingles(v, k).view(np.int64) for v in x]})
+    sets = sets.dropDuplicates(["doc_id"]).join(hot, F.col("doc_id") == F.col("rep"))
+    tokens = checkpointed(sets.select("rep", "n", "comp", F.explode("s").alias("token")))
+    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    shared = tokens.join(counts, "token").groupBy("rep", "n", "comp").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("x"))
+    p = F.col("n") - F.floor((t * F.col("n") + 99) / 100) + 1
+    own = F.col("n") - F.size("x")
+    first = F.slice(F.transform("x", lambda r: r["token"]), F.lit(1), F.greatest(p - own, F.lit(0)).cast("int"))
+    each = shared.select("rep", "n", "comp", (F.col("n") - p).alias("rest"), first.alias("first")).filter(F.size("first") > 0)
+    left = checkpointed(several(each.withColumn("key", F.explode("first"))))
+    right = left.select(*[F.col(c).alias(f"{c}2") for c in ("key", "rep", "n", "comp", "rest", "first")])
+    common = F.array_intersect("first", "first2")
+    enough = F.size(common) + F.greatest("rest", "rest2") >= F.floor((t * (F.col("n") + F.col("n2")) + 99 + t) / (100 + t))
+    same = (F.col("key") == F.col("key2")) & (F.col("comp") < F.col("comp2")) & fits("n", "n2", near)
+    return left.join(right, same & (F.get(common, F.lit(0)) == F.col("key")) & enough).select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
 
 
 def close(pairs: DataFrame, reps: DataFrame, near: Near) -> DataFrame:
@@ -196,11 +203,11 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
     placed = members.select("key", "rep").join(sized, "rep")
     mixed_keys = placed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key", "size")
     open_ = checkpointed(placed.join(mixed_keys, "key"))
-    narrow = open_.filter(F.col("size") <= LARGE).select("key", "rep", "n", "comp")
-    wide = split_large(open_.filter(F.col("size") > LARGE).join(reps.select("rep", "sig"), "rep").select("key", "rep", "n", "comp", "sig"), near)
-    left = several(narrow.unionByName(several(wide)))
-    right = left.select("key", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
-    across = left.join(right, (left["key"] == right["key"]) & (F.col("comp") < F.col("comp2")) & fits("n", "n2", near)).select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct()
+    left = open_.filter(F.col("size") <= LARGE).select("key", "rep", "n", "comp")
+    right = left.select(*[F.col(c).alias(f"{c}2") for c in ("key", "rep", "n", "comp")])
+    across = left.join(right, (F.col("key") == F.col("key2")) & (F.col("comp") < F.col("comp2")) & fits("n", "n2", near)).select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
+    hot = checkpointed(open_.filter(F.col("size") > LARGE).select("rep", "n", "comp").distinct())
+    across = across.unionByName(rare_pairs(hot, docs, near)).distinct()
     more = confirmed(close(across, reps, near), docs, near)
 
     final = components(links.unionByName(more)).withColumnRenamed("node", "rep")
