@@ -171,6 +171,8 @@ def word_scores(model: Model, words: list[bytes]) -> np.ndarray:
 
 
 def identify(model: Model, values: list[str | None]) -> tuple[list[str], list[float]]:
+    if not model.languages:
+        return ["und"] * len(values), [0.0] * len(values)
     key = hash((model.path, tuple(model.languages), model.p[:: max(1, len(model.p) // 997)].tobytes()))
     if key not in SCORES:
         SCORES.clear()
@@ -192,7 +194,7 @@ def identify(model: Model, values: list[str | None]) -> tuple[list[str], list[fl
             at.update(zip(new, range(len(at), len(at) + len(new)), strict=True))
         where, table = over or (at, scores)
         for t, d in zip(values[a : a + step], docs, strict=True):
-            if not t or not model.languages or not has_letter(t):
+            if not t or not has_letter(t):
                 labels.append("und")
                 best.append(0.0)
                 continue
