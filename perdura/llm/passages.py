@@ -32,6 +32,8 @@ SIZE, K = 50, 10
 SHARD_WORDS, SHARD_DOCS = 400_000, 1_000
 #: Bits (as a power of two) of the filters of anchors and of spans: 8 MB each.
 ANCHOR_BITS = 26
+#: A key is hot from so many rows, and from such a part of all rows.
+HOT_ROWS, HOT_SHARE = 5_000, 256
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
@@ -138,9 +140,17 @@ def windows(docs: DataFrame, ids: np.ndarray, bits: np.ndarray) -> DataFrame:
 
 
 def first_of(rows: DataFrame, *keys: str) -> DataFrame:
-    """rows of a key whose document is not the key's first, with that one's id and place."""
-    first = rows.groupBy(*keys).agg(F.min(F.struct("doc_id", "start")).alias("x")).select(*keys, F.col("x.doc_id").alias("owner"), F.col("x.start").alias("owner_start"))
-    return rows.join(first, list(keys)).filter("owner < doc_id")
+    """rows (stored) of a key whose document is not the key's first, with that one's id and place.
+
+    Keys with more than a HOT_SHARE-th of all rows are at most HOT_SHARE; they are joined by
+    broadcast where the rows are, so that no task gets a hot key's rows.
+    """
+    limit = max(HOT_ROWS, rows.count() // HOT_SHARE)
+    sums = rows.groupBy(*keys).agg(F.min(F.struct("doc_id", "start")).alias("x"), F.count(F.lit(1)).alias("k"))
+    first = checkpointed(sums.select(*keys, F.col("x.doc_id").alias("owner"), F.col("x.start").alias("owner_start"), "k"))
+    hot = F.broadcast(first.filter(F.col("k") > limit))
+    others = rows.join(hot, list(keys), "left_anti").join(first, list(keys))
+    return rows.join(hot, list(keys)).unionByName(others).filter("owner < doc_id").drop("k")
 
 
 def repeats(docs: DataFrame) -> DataFrame:

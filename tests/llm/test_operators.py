@@ -190,7 +190,10 @@ def test_forward_sums_all_segmentations():
     assert got[0] == pytest.approx(total(text))
 
 
-def test_passages(spark, docs, rows, empty):
+@pytest.mark.parametrize("hot", [5000, 0])
+def test_passages(spark, docs, rows, empty, monkeypatch, hot):
+    monkeypatch.setattr(passages, "HOT_ROWS", hot)
+    monkeypatch.setattr(passages, "HOT_SHARE", 256 if hot else 1 << 40)
     got = {r.doc_id: r for r in passages.remove_repeats(docs).collect()}
     first, texts = {}, texts_of(rows)
     for i in sorted(texts):
