@@ -190,13 +190,14 @@ def aggregate(series: DataFrame, metrics: list[MetricSpec]) -> DataFrame:
     """
     named = series.filter("value is not null").groupBy("estimator_name", "metric_name", "stratum", "nominal").agg(F.avg("value").alias("value"))
     by = named.withColumn("value", F.when(F.col("metric_name") == "rmse", F.sqrt("value")).otherwise(F.col("value")))
-    if any(m.name == "coverage_error" for m in metrics):
-        wanted = next(m for m in metrics if m.name == "coverage_error").nominal_levels
-        error = by.filter(F.col("metric_name") == "coverage").filter(F.col("nominal").isin([float(a) for a in wanted]) if wanted != (0.95,) else F.lit(True))
-        by = by.unionByName(error.withColumn("metric_name", F.lit("coverage_error")).withColumn("value", F.abs(F.col("value") - F.col("nominal"))))
-    over = by.groupBy("estimator_name", "metric_name", "nominal").agg(F.avg("value").alias("value"), F.count(F.lit(1)).alias("n_strata")).withColumn("stratum", F.lit(GLOBAL))
-    columns = ["estimator_name", "metric_name", "nominal", "value", "stratum", "n_strata"]
-    return by.withColumn("n_strata", F.lit(None).cast("long")).select(columns).unionByName(over.select(columns))
+    own = F.struct("metric_name", "value")
+    error = F.struct(F.lit("coverage_error").alias("metric_name"), F.abs(F.col("value") - F.col("nominal")).alias("value"))
+    wanted = any(m.name == "coverage_error" for m in metrics)
+    each = F.when((F.col("metric_name") == "coverage") & F.lit(wanted), F.array(own, error)).otherwise(F.array(own))
+    # Every row counts for its stratum, where it is alone, and for the mean over strata: one more grouping gives both.
+    both = by.select("estimator_name", "nominal", "stratum", F.explode(each).alias("m")).select("estimator_name", "nominal", "m.*", F.explode(F.array("stratum", F.lit(GLOBAL))).alias("stratum"))
+    out = both.groupBy("estimator_name", "metric_name", "nominal", "stratum").agg(F.avg("value").alias("value"), F.count(F.lit(1)).alias("k"))
+    return out.select("estimator_name", "metric_name", "nominal", "value", "stratum", F.when(F.col("stratum") == GLOBAL, F.col("k")).alias("n_strata"))
 
 
 def leaderboard(aggregates: DataFrame, names: list[str], weights: dict[str, float]) -> DataFrame:

@@ -36,11 +36,11 @@ CI = "array<struct<nominal:double,ci_low:double,ci_high:double>>"
 
 def estimates_of(long: DataFrame) -> DataFrame:
     """Estimates of the enrolled estimators; the long variant has no intervals."""
-    rs, vr = native.rescaled_range(long), native.variance_ratio(long, 32)
-    named = lambda df, n: df.withColumn("estimator_name", F.lit(n))
-    strict = named(vr, "VarianceRatio::long").withColumn("point", F.when(F.col("n") >= 60, F.col("point"))).withColumn("valid", F.col("point").isNotNull())
-    none = named(rs, "GHE").withColumn("point", F.lit(None).cast("double")).withColumn("valid", F.lit(False))
-    every = named(rs, "RS").unionByName(named(vr, "VarianceRatio::short")).unionByName(strict).unionByName(none)
+    rs = native.rescaled_range(long).select("series_id", "n", F.col("point").alias("rs"))
+    vr = native.variance_ratio(long, 32).select("series_id", F.col("point").alias("vr"))
+    points = {"RS": F.col("rs"), "VarianceRatio::short": F.col("vr"), "VarianceRatio::long": F.when(F.col("n") >= 60, F.col("vr")), "GHE": F.lit(None).cast("double")}
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("estimator_name"), v.alias("point")) for k, v in points.items()])).alias("e")
+    every = rs.join(vr, "series_id").select("series_id", each).select("series_id", "e.*").withColumn("valid", F.col("point").isNotNull())
     p = F.col("point")
     cis = F.array(*[F.struct(F.lit(a).alias("nominal"), (p - lo).alias("ci_low"), (p + hi).alias("ci_high")) for a, lo, hi in ((0.8, 0.04, 0.06), (0.95, 0.08, 0.09))])
     has = F.col("valid") & (F.col("estimator_name") != "VarianceRatio::long")
