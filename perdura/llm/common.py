@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space; bytes.split() cuts UTF-8 in the same way.
 WORD = r"[^\x20\x09-\x0D]+"
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,9 +43,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of whole texts hold at most BATCH_ROWS rows, which bounds a Python worker's memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def map_rows(df: DataFrame, schema: str, batch: Callable[[pa.RecordBatch], dict]) -> DataFrame:
     """mapInArrow for a function that turns one batch into a dict of columns (lists or arrays)."""
     target = to_arrow(df.sparkSession, schema)
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from perdura.llm.common import checkpointed, record_batch, to_arrow
+from perdura.llm.common import checkpointed, record_batch, small_batches, to_arrow
 
 def components(edges: DataFrame) -> DataFrame:
     """node and component (the smallest node reachable) for edges a, b; rounds of large and small stars.
@@ -61,6 +61,7 @@ def may_hold(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 def chosen_rows(docs: DataFrame, bits: np.ndarray, schema: str, batch: Callable[[list, list[str]], dict]) -> DataFrame:
     """mapInArrow over doc_id and text of the rows whose id passes the filter; batch gets ids and texts."""
     target = to_arrow(docs.sparkSession, schema)
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

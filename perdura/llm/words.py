@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Words whose hashes a Python worker keeps.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 
 class Hashes(dict):
