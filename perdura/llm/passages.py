@@ -77,8 +77,9 @@ def read_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
-def span_key(ids: np.ndarray, start: np.ndarray) -> np.ndarray:
-    return mixed(mixed(ids.astype(np.int64).view(np.uint64)) + start.astype(np.uint64), 3)
+def span_key(ids: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """One key for all places of a span (by its hash) in a document."""
+    return mixed(mixed(ids.astype(np.int64).view(np.uint64)) + s.view(np.uint64), 3)
 
 
 def anchors(docs: DataFrame) -> DataFrame:
@@ -128,8 +129,8 @@ def windows(docs: DataFrame, ids: np.ndarray, bits: np.ndarray) -> DataFrame:
             words = read_words(t)
             if len(words) >= SIZE:
                 runs = Runs(words)
-                h, _, first, n = spans(runs, len(words))
-                keep = may_hold(shared.value, span_key(np.full(len(h), i), first))
+                h, s, first, n = spans(runs, len(words))
+                keep = may_hold(shared.value, span_key(np.full(len(h), i), s))
                 h, first, n = h[keep], first[keep], n[keep]
                 start = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 for x, y in zip(out, (np.repeat(h, n).view(np.int64), runs.of(start, SIZE).view(np.int64), np.full(len(start), i), start), strict=True):
@@ -161,8 +162,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     whole = first_of(found, "h", "s").select("doc_id", "start", (F.col("n") + SIZE - 1).alias("length"), "owner", "owner_start")
     distinct = found.groupBy("h", "s").agg(F.min(F.struct("doc_id", "start")).alias("x"))
     unlike = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("x.doc_id").alias("a"), F.max("x.doc_id").alias("b")).filter("k > 1 and a < b").select("h")
-    chosen = checkpointed(distinct.join(unlike, "h", "left_semi").select(F.col("x.doc_id").alias("doc_id"), F.col("x.start").alias("start")))
-    span_hashes = map_rows(chosen, "h long", lambda b: {"h": span_key(b.column("doc_id").to_numpy(), b.column("start").to_numpy()).view(np.int64)})
+    # By document and span, not by place: a document's further places of its own span have no row in whole.
+    chosen = checkpointed(distinct.join(unlike, "h", "left_semi").select(F.col("x.doc_id").alias("doc_id"), "s"))
+    span_hashes = map_rows(chosen, "h long", lambda b: {"h": span_key(b.column("doc_id").to_numpy(), b.column("s").to_numpy()).view(np.int64)})
     each = checkpointed(windows(docs, id_bits(chosen, "doc_id"), hash_bits(span_hashes, "h", ANCHOR_BITS)))
     single = first_of(each, "h", "w").select("doc_id", "start", F.lit(SIZE).cast("long").alias("length"), "owner", "owner_start")
 

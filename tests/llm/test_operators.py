@@ -210,6 +210,18 @@ def test_passages(spark, docs, rows, empty, monkeypatch, hot):
     assert passages.remove_repeats(empty).count() == 0
 
 
+def test_passages_repeated_in_part_by_one_document(spark):
+    rows = []
+    for k in range(8):
+        rng = np.random.default_rng(k)
+        new = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 40, n)]  # noqa: B023, E731
+        shared, lead = new(100), new(37)
+        rows.append((2 * k, " ".join(new(60) + shared + new(60))))
+        rows.append((2 * k + 1, " ".join(new(60) + lead + shared + new(60) + lead + shared[:70] + new(60))))
+    got = passages.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_removed for r in got} == {i: 170 * (i % 2) for i, _ in rows}
+
+
 def plain_components(rows, k, percent):
     sets = {}
     for i, t, *_ in rows:
