@@ -26,7 +26,9 @@ MIN_WORDS, MOST_REPEATED = 50, 50
 UNIT = 1024
 NAMES = ["v_length", "v_symbols", "v_lines", "v_repeats", "v_capitals"]
 #: Standard deviations that are added to every scatter: differences below these mean nothing.
-RESOLUTION = [0.08, 0.04, 0.20, 0.15, 0.05]
+RESOLUTION = [0.08, 0.04, 0.10, 0.09, 0.05]
+#: Lines and words without a repeat that are added to every text's, so that one repeat in a short text means little.
+MORE_LINES, MORE_WORDS = 4, 50
 H, STEPS = 0.75, 3
 #: Quantiles of the chi-squared law with 5 degrees of freedom: for the reweighting (0.975) and for the verdict.
 INNER, CUTOFF = 12.833, 40.0
@@ -88,9 +90,9 @@ def statistics(docs: DataFrame) -> DataFrame:
 
 def vector() -> list[Column]:
     """The transformed statistics, in whole units; length on a log scale, shares by their square root."""
-    share = lambda part, whole: F.sqrt(F.col(part) / F.greatest(F.col(whole), F.lit(1)))
+    share = lambda part, whole, more=0: F.sqrt(F.col(part) / (F.greatest(F.col(whole), F.lit(1)) + more))
     length = F.log(F.greatest(F.col("word_chars"), F.lit(1)) / F.greatest(F.col("n_words"), F.lit(1)))
-    entries = [length, share("n_symbols", "word_chars"), share("n_dup_lines", "n_lines"), share("n_repeat_words", "n_words"), share("n_capitals", "word_chars")]
+    entries = [length, share("n_symbols", "word_chars"), share("n_dup_lines", "n_lines", MORE_LINES), share("n_repeat_words", "n_words", MORE_WORDS), share("n_capitals", "word_chars")]
     return [F.round(x * UNIT).cast("long").alias(n) for x, n in zip(entries, NAMES, strict=True)]
 
 

@@ -138,6 +138,20 @@ def test_outliers_are_rejected_and_clean_texts_kept(spark):
     assert rules.consistency(0.999999, 5) == pytest.approx(1, abs=1e-3)
 
 
+def varied(seed, n):
+    """Prose with hardly a repeated word."""
+    return " ".join(f"{w}{x}" for w, x in zip(prose(seed, n).split(), np.random.default_rng(seed).integers(10, 1000, n), strict=True))
+
+
+def test_duplicate_lines_or_repeated_words_alone_are_rejected(spark):
+    lines = "\n".join(f"{varied(1000 + k, 2)}\n{('reply12', 'share12')[k * k % 7 % 2]}" for k in range(70))
+    twice = varied(3, 100)
+    rows = [(i, varied(2000 + i, 120), "en", "a") for i in range(150)] + [(1000, lines, "en", "a"), (1001, f"{varied(4, 230)} {twice} {twice}", "en", "a"), (1002, f"{varied(5, 60)}\nread12 on34 here567\nread12 on34 here567", "en", "a")]
+    got = {r.doc_id: r for r in rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert {i for i, r in got.items() if not r.kept} == {1000, 1001}
+
+
 def test_urls(spark):
     rows = [(1, "http://A.Example.com/en/70?x=1"), (2, "https://b.example.com/en/6#t"), (3, "x://example.com/en/"), (4, "https://badexample.net/de/8"), (5, "https://a.example.net/de/81"), (6, None), (7, "no url"), (8, "http://org/es/1"), (8, "http://org/es/1"), (9, "http://x.y.net"), (10, "http://" + "a." * 3000 + "org/es/")]
     pages = spark.createDataFrame([(*r, "h", "v") for r in rows], "page_id long, url string, host string, verdict string")
