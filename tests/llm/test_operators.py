@@ -406,6 +406,12 @@ def test_personal_data(spark, docs, rows, empty):
     assert masked[0] == rows[0][1] and pii.redact(empty.drop("spans")).count() == 0
 
 
+def test_long_secrets_are_proposed_whole(spark):
+    token = "eyJ0" + "aB3xK9_q-Z" * 49 + "Qw7890"
+    found = pii.candidates(spark.createDataFrame([(1, f'token = "{token}" end')], "doc_id long, text string")).first()
+    assert [(x.kind, x.s, x.e, x.f_right, x.v_edges) for x in found["_spans"]] == [("secret", 9, 509, 0, 0)]
+
+
 def test_votes_tell_reliable_labelers():
     patterns = [("email", (1, 1, 1, 0, 0), 200.0), ("email", (1, 0, 0, 0, 0), 50.0), ("email", (0, 0, 0, -1, -1), 300.0), ("email", (0, 1, 0, -1, -1), 20.0)]
     votes, post = pii.expectation_maximisation(patterns)
