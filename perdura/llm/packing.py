@@ -40,22 +40,25 @@ class Encoder:
 
     Pre-tokens never span a space or a line break between two other characters, so a
     text whose white space is single spaces and line breaks is encoded word by word and
-    the words' ids are kept; any other text is encoded as a whole by the tokenizer.
+    the words' ids are kept; any other text is encoded as a whole. A text with the
+    literal of an added token goes to the tokenizer, which gives that token's id.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.fast = fast_encoder(path)
         self.words: dict[str, bytes] = {}
 
-    def whole(self, text: str) -> bytes:
-        ids = self.fast(text) if self.fast else self.tokenizer.encode(text, add_special_tokens=False).ids
+    def whole(self, text: str, fast: bool = True) -> bytes:
+        ids = self.fast(text) if fast and self.fast else self.tokenizer.encode(text, add_special_tokens=False).ids
         return np.array(ids, dtype="<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
+        if any(t in text for t in self.added):
+            return self.whole(text, fast=False)
         parts = text.replace("\n", " \n").split(" ")
         if "\n" in parts or "" in parts or len(parts) != len(text.split()):
             return self.whole(text)

@@ -354,6 +354,15 @@ def test_encoder_is_exact():
         assert np.frombuffer(enc.encode(t), "<u4").tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_added_tokens_have_their_own_id():
+    from tokenizers import Tokenizer
+
+    enc, plain = packing.Encoder(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
+    for t in ["a <|endoftext|> b", "a<|endoftext|>", "x  y\n<|endoftext|><|endoftext|>"]:
+        got = np.frombuffer(enc.encode(t), "<u4").tolist()
+        assert got == plain.encode(t, add_special_tokens=False).ids and plain.token_to_id("<|endoftext|>") in got
+
+
 def test_sum_of_squares_takes_the_smallest_sum():
     rng = np.random.default_rng(1)
     p = packing.SumOfSquares(20)
