@@ -5,14 +5,18 @@ into pieces of whole sequences, the first piece taking what is over. Pieces are
 one by one: into the open bin, or a new one, for which the sum over residual gaps of
 the squared count of open bins with that gap becomes smallest.
 
-Only (doc_id, piece, start, length) rows move. Every task packs its own rows, longest
-first; pieces of bins that stay open are packed again by ever fewer tasks, so that in
-the end one task holds about LAST_ROWS pieces of the whole table. As none come after
-those, what that task's sum of squares leaves open is placed by best fit.
+Only (doc_id, piece, start, length) rows move, dealt evenly to tasks of about TASK_ROWS
+rows. A task places its pieces in about descending order; then it closes the bins whose
+gap is within a tolerance, and places the pieces of all others anew, with twice the
+tolerance, until none is left. So every placement is by the sum of squares, and a task
+ends with hardly a bin that is not full, if its pieces have complements at all. As a
+task has many thousands of bins, tasks need not hand pieces to each other.
 """
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,67 +31,54 @@ from perdura.llm.common import checkpointed, record_batch, to_arrow
 SIZE, END_ID = 1024, 2
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
-#: Rows that one task packs in a round, and that the last task may hold.
-ROUND_ROWS, LAST_ROWS = 250_000, 120_000
-#: A bin whose gap is at most this is done, in rounds before the last.
-CLOSE_GAP = 1
-#: Words whose ids a Python worker keeps; the table is emptied when full.
-CACHE_WORDS = 400_000
+#: Rows that one task packs, whatever the table's size.
+TASK_ROWS = 200_000
+#: Standard deviation, in tokens, of what is added to lengths before they are put in descending order.
+STIR = 20
+#: Chunks whose ids a Python worker keeps (the table is emptied when full), and their greatest length.
+CACHE_CHUNKS, CACHED_LENGTH = 400_000, 40
+#: A run of plain white space with the run of other characters after it. Pre-tokens hold no white space
+#: after another character, so none spans two chunks, and a chunk has the same ids by itself.
+CHUNK = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
+#: White space (or near it) of any other kind: in such texts chunks might cut a run of white space.
+OTHER_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 
 
 class Encoder:
-    """Ids of the byte-level vocabulary as little-endian uint32 bytes.
+    """Ids of the byte-level vocabulary, by its tokenizer with its own settings, as little-endian uint32 bytes.
 
-    Pre-tokens never span a space or a line break between two other characters, so a
-    text whose white space is single spaces and line breaks is encoded word by word and
-    the words' ids are kept; any other text is encoded as a whole. A text with the
-    literal of an added token goes to the tokenizer, which gives that token's id.
+    Texts are encoded chunk by chunk and the chunks' ids are kept. Texts with an added
+    token's literal or other white space than the plain are encoded as they are.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the threads
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.fast = fast_encoder(path)
-        self.words: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
 
-    def whole(self, text: str, fast: bool = True) -> bytes:
-        ids = self.fast(text) if fast and self.fast else self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(ids, dtype="<u4").tobytes()
+    def whole(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
 
     def encode(self, text: str) -> bytes:
-        if any(t in text for t in self.added):
-            return self.whole(text, fast=False)
-        parts = text.replace("\n", " \n").split(" ")
-        if "\n" in parts or "" in parts or len(parts) != len(text.split()):
-            return self.whole(text)
-        words = self.words
-        if len(words) > CACHE_WORDS:
-            words.clear()
-        out = [self.whole(parts[0])]
-        for w in parts[1:]:
-            ids = words.get(w)
-            if ids is None:
-                ids = words[w] = self.whole(w if w[0] == "\n" else " " + w)
-            out.append(ids)
-        return b"".join(out)
-
-
-def fast_encoder(path: str):
-    """tiktoken's encoder for the same vocabulary where its rank file lies beside, else None."""
-    import base64
-    import os
-
-    ranks_path = path.removesuffix(".json") + ".tiktoken"
-    if not os.path.exists(ranks_path):
-        return None
-    import public_tokenizers
-    import tiktoken
-
-    with open(ranks_path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        known = self.chunks
+        if len(known) > CACHE_CHUNKS:
+            known.clear()
+        cut = [None if any(a in t for a in self.added) or OTHER_SPACE.search(t) else CHUNK.findall(t) for t in texts]
+        new = list({c for parts in cut if parts for c in parts if c not in known})
+        over = {}
+        for a in range(0, len(new), 10_000):
+            some = new[a : a + 10_000]
+            for c, ids in zip(some, self.whole(some), strict=True):
+                (known if len(c) <= CACHED_LENGTH else over)[c] = ids
+        get = known.__getitem__ if not over else lambda c: known[c] if c in known else over[c]
+        return [self.whole([t])[0] if parts is None else b"".join(map(get, parts)) for t, parts in zip(texts, cut, strict=True)]
 
 
 ENCODERS: dict[str, Encoder] = {}
@@ -115,11 +106,13 @@ def tokenize_pieces(docs: DataFrame, path: str, size: int = SIZE, end_id: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for b in batches:
-            out = []
-            for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                ids = (enc.encode(t) if t else b"") + end
-                out += [(i, k, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)])) for k, (s, n) in enumerate(cut(len(ids) // 4, size))]
-            if out:
+            for a in range(0, b.num_rows, 200):
+                part = b.slice(a, 200)
+                ids_of = enc.encode_all([t or "" for t in part.column("text").to_pylist()])
+                out = []
+                for i, ids in zip(part.column("doc_id").to_pylist(), ids_of, strict=True):
+                    ids += end
+                    out += [(i, k, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)])) for k, (s, n) in enumerate(cut(len(ids) // 4, size))]
                 yield record_batch(dict(zip(target.names, zip(*out, strict=True), strict=True)), target)
 
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
@@ -164,101 +157,61 @@ def pack_rows(lengths: np.ndarray, size: int) -> np.ndarray:
     return np.array([packer.add(n) for n in lengths.tolist()], dtype=np.int64)
 
 
-def best_fit(lengths: np.ndarray, size: int) -> np.ndarray:
-    """Bin of each length, each into the open bin that it fills most."""
-    bins_at: list[list[int]] = [[] for _ in range(size + 1)]
-    count = np.zeros(size + 1, dtype=np.int64)
+def pack_all(lengths: np.ndarray, size: int = SIZE) -> np.ndarray:
+    """Bin of each length: rounds of sum-of-squares placements, keeping the bins within a tolerance that doubles."""
     out = np.empty(len(lengths), dtype=np.int64)
-    bins = 0
-    for i, n in enumerate(lengths.tolist()):
-        k = int((count[n:] > 0).argmax()) + n
-        if count[k]:
-            b = bins_at[k].pop()
-            count[k] -= 1
-        else:
-            b, k = bins, size
-            bins += 1
-        bins_at[k - n].append(b)
-        count[k - n] += 1
-        out[i] = b
+    left, bins, tolerance = np.arange(len(lengths)), 0, 1
+    rng = np.random.default_rng(len(lengths))
+    while len(left):
+        order = np.argsort(rng.normal(0, STIR, len(left)) - lengths[left], kind="stable")
+        left = left[order]
+        found = pack_rows(lengths[left], size)
+        gaps = size - np.bincount(found, weights=lengths[left]).astype(np.int64)
+        tolerance = max(tolerance, int(gaps.min()))
+        done = gaps <= tolerance
+        numbers = np.cumsum(done) - 1 + bins
+        own = done[found]
+        out[left[own]] = numbers[found[own]]
+        bins += int(done.sum())
+        left = left[~own]
+        tolerance *= 2
     return out
 
 
-def pack_all(lengths: np.ndarray, size: int, close_gap: int, last: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Bin of each length (in descending order) and whether the bin is done.
+def pack(pieces: DataFrame, size: int = SIZE, task_rows: int = TASK_ROWS) -> DataFrame:
+    """pieces (stored; PIECES) with sequence_id and offset, gapless in each sequence.
 
-    Sum of squares keeps bins of many gaps open for pieces still to come. When none
-    will come, the pieces of its open bins are placed once more, by best fit.
+    Rows are dealt round robin, so repeated rows are packed each for itself and no key
+    gathers rows in a task. Pieces of a whole sequence are not dealt at all.
     """
-    bins = pack_rows(lengths, size)
-    done = (size - np.bincount(bins, weights=lengths).astype(np.int64) <= close_gap)[bins] if len(bins) else np.zeros(0, dtype=bool)
-    if last and not done.all():
-        bins[~done] = bins.max() + 1 + best_fit(lengths[~done], size)
-        done[:] = True
-    return bins, done
-
-
-def pack_round(pieces: DataFrame, number: int, size: int, last: bool) -> DataFrame:
-    """PACKED rows; but for the last round, sequence_id is null in bins whose gap stays above CLOSE_GAP."""
     target = to_arrow(pieces.sparkSession, PACKED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
+        rows = pa.Table.from_batches(batches) if (batches := list(batches)) else None
         if rows is None or not rows.num_rows:
             return
         length = rows.column("length").to_numpy()
-        order = np.argsort(-length, kind="stable")
-        bins, done = np.empty(len(length), dtype=np.int64), np.empty(len(length), dtype=bool)
-        bins[order], done[order] = pack_all(length[order], size, CLOSE_GAP, last)
-        by_bin = np.lexsort((np.arange(len(length)), bins))
-        ends = np.cumsum(length[by_bin])
-        first = np.searchsorted(bins[by_bin], bins[by_bin])
-        starts = ends - length[by_bin]
+        bins = pack_all(length, size)
+        by_bin = np.argsort(bins, kind="stable")
+        starts = np.cumsum(length[by_bin]) - length[by_bin]
         offset = np.empty(len(length), dtype=np.int64)
-        offset[by_bin] = starts - starts[first]
-        base = (number << 58) + (TaskContext.get().partitionId() << 34)
-        seq = pa.array(base + bins, mask=~done)
-        rows = rows.select(target.names[:5]).append_column("sequence_id", seq).append_column("offset", pa.array(offset))
+        offset[by_bin] = starts - starts[np.searchsorted(bins[by_bin], bins[by_bin])]
+        number = (1 << 62) + (TaskContext.get().partitionId() << 32) + bins
+        rows = rows.select(target.names[:5]).append_column("sequence_id", pa.array(number)).append_column("offset", pa.array(offset))
         for b in rows.to_batches(20_000):
             yield record_batch({n: b.column(n) for n in target.names}, target)
 
-    return pieces.mapInArrow(run, PACKED)
-
-
-def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
-    """PIECES with sequence_id and offset, gapless in each sequence.
-
-    Rows with one doc_id and piece are packed each for itself. Each round packs hash
-    parts of about ROUND_ROWS rows and writes its result; what is left open goes on.
-    """
-    done: list[DataFrame] = []
-    rest, number = pieces, 0
-    n = rest.count()
-    while True:
-        tasks = max(1, -(-n // ROUND_ROWS))
-        last = n <= LAST_ROWS or number == 15
-        part = rest.repartition(1) if last else rest.repartition(tasks, "doc_id", "piece")
-        part = part.sortWithinPartitions("doc_id", "piece", "ids_crc32")
-        packed = checkpointed(pack_round(part, number, size, last))
-        if last:
-            done.append(packed)
-            break
-        done.append(packed.filter("sequence_id is not null"))
-        rest = packed.filter("sequence_id is null").drop("sequence_id", "offset")
-        left = rest.count()
-        if left > 0.9 * n and tasks == 1:
-            number = 14
-        n, number = left, number + 1
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+    whole = pieces.filter(F.col("length") == size).withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    short = pieces.filter(F.col("length") < size)
+    tasks = max(1, -(-short.count() // task_rows))
+    return whole.unionByName(short.repartition(tasks).mapInArrow(run, PACKED))
 
 
 def pack_documents(docs: DataFrame, path: str, size: int = SIZE) -> DataFrame:
-    """Sequences for all docs (doc_id, text); other columns are ignored.
+    """Sequences for all docs (doc_id, text); other columns, whatever their names, are ignored.
 
-    A null or empty text is a piece of the end id alone. Repeated rows are packed each
-    for itself. An empty table gives no rows.
+    A null or empty text is a piece of the end id alone. Repeated rows, rows of one
+    doc_id and rows without one are packed each for itself. Pieces of equal length are
+    alike. An empty table gives no rows. A text of any length is encoded whole.
     """
     return pack(checkpointed(tokenize_pieces(docs, path, size)), size)
