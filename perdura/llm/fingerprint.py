@@ -1,73 +1,95 @@
 """Homomorphic multiset hash of a text's paragraphs.
 
-A text is the multiset of its pieces: paragraphs (lines), long ones cut again after
-sentence ends. A piece's 128-bit hash is added to a wide vector: its halves to two
-totals modulo 2**64, one to a count, and 16 bits of it to one of LANES lanes modulo
-2**16. The sum does not depend on the order of pieces, and pieces can be added or
-taken out one by one. Totals and count decide equality; the share of equal lanes tells
-how many pieces two texts have in common.
+A text is the multiset of its paragraphs (lines that are not empty). A paragraph is
+hashed to a wide vector: 128 bits for the whole of it, which are added to two totals
+modulo 2**64, and for each of its sentences a 1 or -1 in every one of LANES lanes, added
+modulo 2**32. The sum does not depend on the order of paragraphs, and paragraphs can be
+added or taken out one by one. Totals and count decide equality.
+
+Lanes tell how alike two texts are, at any length: for lanes A and B, A.B estimates the
+scalar product of the texts' vectors of sentence counts, and likeness is their Dice
+coefficient 2 A.B / (A.A + B.B). Without repeated sentences that is twice the number of
+common sentences over the number of all; a repeated one weighs by the squares of its
+counts. It is exact for equal texts; the standard error is at most 1 / sqrt(LANES),
+about 0.03, whatever the texts' lengths.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import math
 from collections.abc import Iterable, Iterator
-from operator import eq
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from perdura.llm.common import record_batch, to_arrow
 
-LANES = 256
-MASK, LANE_MASK = (1 << 64) - 1, (1 << 16) - 1
-
-
-def pieces(text: str) -> list[bytes]:
-    """The paragraphs, cut after '. '; empty ones carry nothing."""
-    return [p for line in text.encode("utf-8", "surrogatepass").split(b"\n") for p in line.split(b". ") if p]
-
-
-def add(vector: list[int], parts: Iterable[bytes], sign: int = 1) -> list[int]:
-    """Adds pieces to a vector (two totals, the count, the lanes), in place; sign -1 takes them out."""
-    for p in parts:
-        h = xxhash.xxh3_128_intdigest(p)
-        vector[0] = (vector[0] + sign * (h & MASK)) & MASK
-        vector[1] = (vector[1] + sign * (h >> 64)) & MASK
-        vector[2] += sign
-        g = 3 + (h >> 16 & (LANES - 1))
-        vector[g] = (vector[g] + sign * (h & LANE_MASK | 1)) & LANE_MASK
-    return vector
-
-
-def vector_of(text: str) -> list[int]:
-    return add([0] * (3 + LANES), pieces(text))
-
-
-def digest(vector: list[int]) -> str:
-    return base64.b64encode(np.array(vector[:3], dtype="<u8").tobytes() + np.array(vector[3:], dtype="<u2").tobytes()).decode()
-
-
-def undigest(fingerprint: str) -> list[int]:
-    data = base64.b64decode(fingerprint)
-    return np.frombuffer(data[:24], dtype="<u8").tolist() + np.frombuffer(data[24:], dtype="<u2").tolist()
-
-
-def likeness(a: list[int], b: list[int]) -> float:
-    """The estimated share of pieces that two texts have in common: 1 if equal, also for two empty texts.
-
-    With d pieces in one text only, a lane stays equal with probability exp(-d / LANES).
-    """
-    if a[:3] == b[:3]:
-        return 1.0
-    equal = sum(map(eq, a[3:], b[3:]))
-    differ = -LANES * math.log(max(equal, 0.5) / LANES)
-    return min(1.0, max(0.0, 1.0 - differ / (a[2] + b[2])))
+LANES = 1024
+MASK = (1 << 64) - 1
+
+
+def paragraphs(text: str) -> list[bytes]:
+    """The lines; empty ones carry nothing."""
+    return [p for p in text.encode("utf-8", "surrogatepass").split(b"\n") if p]
+
+
+def lanes_of(parts: list[bytes]) -> np.ndarray:
+    """The sum of the sentences' lanes."""
+    total = np.zeros(LANES, dtype=np.int64)
+    for a in range(0, len(parts), 255):
+        some = parts[a : a + 255]
+        bits = np.frombuffer(b"".join([hashlib.shake_128(s).digest(LANES // 8) for s in some]), dtype=np.uint8)
+        total += np.unpackbits(bits.reshape(len(some), -1), axis=1).sum(axis=0, dtype=np.uint8)
+    return 2 * total - len(parts)
+
+
+class Multiset:
+    """The vector: two totals, the counts of paragraphs and of sentences, and the lanes."""
+
+    def __init__(self, text: str = ""):
+        self.totals, self.count, self.sentences = [0, 0], 0, 0
+        self.lanes = np.zeros(LANES, dtype=np.int32)
+        if text:
+            self.add(paragraphs(text))
+
+    def add(self, some: Iterable[bytes], sign: int = 1) -> Multiset:
+        """Adds paragraphs, in place; sign -1 takes them out."""
+        parts: list[bytes] = []
+        for p in some:
+            h = int.from_bytes(hashlib.blake2b(p, digest_size=16).digest(), "little")
+            self.totals = [(self.totals[0] + sign * (h & MASK)) & MASK, (self.totals[1] + sign * (h >> 64)) & MASK]
+            self.count += sign
+            parts += [s for s in p.split(b". ") if s]
+        self.sentences += sign * len(parts)
+        self.lanes += (sign * lanes_of(parts)).astype(np.int32)
+        return self
+
+    def equals(self, other: Multiset) -> bool:
+        return self.count == other.count and self.totals == other.totals
+
+    def likeness(self, other: Multiset) -> float:
+        """From 0 to 1; 1 if equal, also for two empty texts."""
+        if self.equals(other):
+            return 1.0
+        a, b = self.lanes.astype(np.float64), other.lanes.astype(np.float64)
+        return float(min(1.0, max(0.0, 2 * (a @ b) / max(1.0, a @ a + b @ b))))
+
+    def digest(self) -> str:
+        """Lanes are no greater than the number of sentences, which tells how many bytes each needs."""
+        width = "<i1" if self.sentences < 1 << 7 else "<i2" if self.sentences < 1 << 15 else "<i4"
+        head = np.array([*self.totals, self.count, self.sentences], dtype="<u8").tobytes()
+        return base64.b64encode(head + self.lanes.astype(width).tobytes()).decode()
+
+    @classmethod
+    def parse(cls, fingerprint: str) -> Multiset:
+        data = base64.b64decode(fingerprint)
+        out = cls()
+        *out.totals, out.count, out.sentences = np.frombuffer(data[:32], dtype="<u8").tolist()
+        out.lanes = np.frombuffer(data[32:], dtype=f"<i{(len(data) - 32) // LANES}").astype(np.int32)
+        return out
 
 
 def edited(text: str, following: str) -> str:
@@ -85,7 +107,7 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            prints = [digest(vector_of(t or "")) for t in b.column(text).to_pylist()]
+            prints = [Multiset(t or "").digest() for t in b.column(text).to_pylist()]
             yield record_batch({**{n: b.column(n) for n in names}, "fingerprint": prints}, target)
 
     return out.mapInArrow(run, schema)
@@ -138,19 +160,19 @@ def edit_fingerprints(docs: DataFrame, n_parts: int | None = None) -> DataFrame:
     target = to_arrow(spark, PAIR)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        last = None  # (part, id, text, lanes) that waits for its next row
+        last = None  # (part, id, text, multiset) that waits for its next row
         for b in batches:
             for i, t, part, halo in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("_part").to_pylist(), b.column("_halo").to_pylist(), strict=True):
                 t = t or ""
                 if last is None and halo:
                     continue  # a second copy of rows with one id
-                lanes = vector_of(t)
+                now = Multiset(t)
                 if last is not None:
                     _, own, text, mine = last
                     new = edited(text, t)
-                    other = vector_of(new)
-                    yield own, len(text), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), digest(mine), digest(other), likeness(mine, other), likeness(mine, lanes)
-                last = None if halo else (part, i, t, lanes)
+                    other = Multiset(new)
+                    yield own, len(text), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), mine.digest(), other.digest(), mine.likeness(other), mine.likeness(now)
+                last = None if halo else (part, i, t, now)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []

@@ -304,7 +304,7 @@ def test_fingerprints(spark, docs, rows, empty):
         n = len(t) // 2
         new = t[: len(t) - n] + after[:n]
         assert (got[i].n_chars, got[i].edited_sha256) == (len(t), hashlib.sha256(new.encode()).hexdigest())
-        assert got[i].fingerprint == fingerprint.digest(fingerprint.vector_of(t)) and 0 <= got[i].near_edited <= 1
+        assert got[i].fingerprint == fingerprint.Multiset(t).digest() and 0 <= got[i].near_edited <= 1
     assert got[3].fingerprint == got[100].fingerprint and got[3].near_edited > got[3].near_next
     one = spark.createDataFrame([(5, "abcd")], "doc_id long, text string")
     assert fingerprint.edit_fingerprints(one).first().edited_sha256 == hashlib.sha256(b"abab").hexdigest()
@@ -313,12 +313,28 @@ def test_fingerprints(spark, docs, rows, empty):
 
 
 def test_multiset_hash_is_homomorphic():
-    v = fingerprint.vector_of("a\nb\nc")
-    assert v == fingerprint.vector_of("c\na\nb") != fingerprint.vector_of("a\nb\nb")
-    fingerprint.add(v, [b"d"])
-    assert v == fingerprint.vector_of("a\nb\nc\nd")
-    fingerprint.add(v, [b"a", b"d"], sign=-1)
-    assert v == fingerprint.vector_of("b\nc") == fingerprint.undigest(fingerprint.digest(v))
+    v = fingerprint.Multiset("a\nb. x\nc")
+    same = lambda a, b: a.digest() == b.digest()
+    assert same(v, fingerprint.Multiset("c\na\n\nb. x")) and not same(v, fingerprint.Multiset("a\nb. x\nb. x"))
+    assert not v.equals(fingerprint.Multiset("a\nb\nx\nc"))
+    v.add([b"d"])
+    assert same(v, fingerprint.Multiset("a\nb. x\nc\nd"))
+    v.add([b"a", b"d"], sign=-1)
+    assert same(v, fingerprint.Multiset("b. x\nc")) and same(v, fingerprint.Multiset.parse(v.digest()))
+
+
+@pytest.mark.parametrize("n", [1, 10, 100, 1000, 20_000])
+def test_likeness_is_near_the_exact_overlap_at_any_length(n):
+    worst = 0.0
+    for share in (0, 0.1, 0.5, 0.9, 1):
+        common = round(share * n)
+        a = "\n".join(f"s{i}" for i in range(n))
+        b = "\n".join([f"s{i}" for i in range(common)] + [f"t{n}.{i}" for i in range(n - common)])
+        got = fingerprint.Multiset(a).likeness(fingerprint.Multiset(b))
+        worst = max(worst, abs(got - common / n))
+        assert got < 0.1 if common == 0 else True
+        assert got == 1 if common == n else got < 1
+    assert worst <= 3.5 / fingerprint.LANES**0.5
 
 
 def sequences_of(got, size=1024):
