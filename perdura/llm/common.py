@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 #: A word is a run of anything but ASCII white space; bytes.split() cuts UTF-8 in the same way.
 WORD = r"[^\x20\x09-\x0D]+"
 BATCH_ROWS = 1000
+#: A key of a join is hot from so many rows, and from such a part of all rows.
+HOT_ROWS, HOT_SHARE = 500, 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +46,28 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df, computed once and written as Parquet to the shared checkpoint folder."""
+    path = f"{checkpoint_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def join_by_key(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """rows joined with table, both stored; table has k, the number of rows of its key.
+
+    Keys with more than a HOT_SHARE-th of all rows, at most HOT_SHARE of them, are joined by
+    broadcast where the rows are, so that no task gets a hot key's rows.
+    """
+    limit = max(HOT_ROWS, (table.agg(F.sum("k")).first()[0] or 0) // HOT_SHARE)
+    hot = table.filter(F.col("k") > limit)
+    if hot.isEmpty():
+        return rows.join(table, keys)
+    named = F.broadcast(hot.select(*keys).distinct())
+    others = rows.join(named, keys, "left_anti").join(table.filter(F.col("k") <= limit), keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(others)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of whole texts hold at most BATCH_ROWS rows, which bounds a Python worker's memory."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

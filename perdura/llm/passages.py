@@ -2,15 +2,20 @@
 
 Every window of SIZE words has an anchor: the K-word run of the smallest hash in it.
 Neighbouring windows share anchors, so a text has few anchor spans, and texts with a
-common window have its anchor in common. Anchors found in two documents lead to spans;
-equal spans, and for anchors with unlike spans their equal windows, give each window
-the first document that holds it. Neighbours with one source are joined into passages.
-
-A passage's phrase is read from the document that it came first in. Phrases are dealt
-to the tasks whose documents may hold them; each task compiles its documents' phrases
-into automata over words, of at most SHARD_WORDS words or SHARD_DOCS documents each,
-and streams those documents through. Only what an automaton finds is removed. Documents
-that share no window with another have no phrase, and pass as they are.
+common window have its anchor in common. From anchors found in two documents follow
+the spans, and for anchors with unlike spans the windows, that recur, each with the first
+document that holds it. That confirms phrases: stretches of a document, its owner,
+whose windows all start in later documents too. Their words are read from the owner.
+
+Phrases are dealt to shards by owner, of about SHARD_WORDS words each. A shard's
+automaton holds its phrases' blocks of BLOCK words, one at each BLOCK-th word, with the
+words around them; every window in a phrase has a block in it. All documents with a
+span that recurs are streamed through the automata of the shards that hold such spans
+(all others hold no window of any phrase). Where a block is found, its surroundings
+tell which windows match. These hits, and nothing else, say what is removed.
+
+A shard that many documents go to is copied to several tasks, each with some of the
+documents; keys of joins with very many rows are joined by broadcast.
 """
 
 from __future__ import annotations
@@ -21,19 +26,18 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from perdura.llm.common import checkpointed, map_rows, record_batch, to_arrow
+from perdura.llm.common import join_by_key, map_rows, record_batch, stored, to_arrow
 from perdura.llm.graphs import chosen_rows, hash_bits, id_bits, may_hold
 from perdura.llm.words import mixed, word_hashes
 
-SIZE, K = 50, 10
-SHARD_WORDS, SHARD_DOCS = 400_000, 1_000
+SIZE, K, BLOCK = 50, 10, 25
+#: Words of a shard's phrases, and documents that one task streams through a shard.
+SHARD_WORDS, SHARD_DOCS = 400_000, 2_000
 #: Bits (as a power of two) of the filters of anchors and of spans: 8 MB each.
 ANCHOR_BITS = 26
-#: A key is hot from so many rows, and from such a part of all rows.
-HOT_ROWS, HOT_SHARE = 5_000, 256
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
@@ -52,13 +56,11 @@ class Runs:
 
     def __init__(self, words: list[bytes]):
         n = len(words)
-        global UP, DOWN
-        if n >= len(UP):
-            UP, DOWN = powers(BASE, 2 * n), powers(INVERSE, 2 * n)
-        self.sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.add.accumulate(word_hashes(words) * UP[:n], dtype=np.uint64)])
+        up, self.down = (UP, DOWN) if n < len(UP) else (powers(BASE, n + 1), powers(INVERSE, n + 1))
+        self.sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.add.accumulate(word_hashes(words) * up[:n], dtype=np.uint64)])
 
     def of(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
-        return mixed((self.sums[start + length] - self.sums[start]) * DOWN[start] + np.asarray(length, dtype=np.uint64))
+        return mixed((self.sums[start + length] - self.sums[start]) * self.down[start] + np.asarray(length, dtype=np.uint64))
 
 
 def spans(runs: Runs, n: int, size: int = SIZE, k: int = K) -> tuple[np.ndarray, ...]:
@@ -82,28 +84,11 @@ def span_key(ids: np.ndarray, s: np.ndarray) -> np.ndarray:
     return mixed(mixed(ids.astype(np.int64).view(np.uint64)) + s.view(np.uint64), 3)
 
 
-def anchors(docs: DataFrame) -> DataFrame:
-    """h and doc_id of every anchor span."""
-
-    def batch(b: pa.RecordBatch) -> dict:
-        h, ids = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-        for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-            words = read_words(t)
-            if len(words) >= SIZE:
-                got = np.unique(spans(Runs(words), len(words))[0])
-                h.append(got)
-                ids.append(np.full(len(got), i))
-        return {"h": np.concatenate(h).view(np.int64), "doc_id": np.concatenate(ids)}
-
-    return map_rows(docs, "h long, doc_id long", batch)
-
-
 SPANS = "h long, s long, doc_id long, start long, n long"
 
 
-def shared_spans(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """The spans whose anchor passes the filter."""
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+def all_spans(docs: DataFrame) -> DataFrame:
+    """The anchor spans of every document."""
 
     def batch(b: pa.RecordBatch) -> dict:
         out: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(5)]
@@ -111,123 +96,159 @@ def shared_spans(docs: DataFrame, bits: np.ndarray) -> DataFrame:
             words = read_words(t)
             if len(words) >= SIZE:
                 h, s, first, n = spans(Runs(words), len(words))
-                keep = may_hold(shared.value, h)
                 for x, y in zip(out, (h.view(np.int64), s.view(np.int64), np.full(len(h), i), first, n), strict=True):
-                    x.append(y[keep])
+                    x.append(y)
         return dict(zip(("h", "s", "doc_id", "start", "n"), map(np.concatenate, out), strict=True))
 
     return map_rows(docs, SPANS, batch)
 
 
+def shared_spans(found: DataFrame, bits: np.ndarray) -> DataFrame:
+    """The spans whose anchor passes the filter."""
+    shared = found.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(may_hold(shared.value, b.column("h").to_numpy())))
+
+    return found.mapInArrow(run, SPANS)
+
+
 def windows(docs: DataFrame, ids: np.ndarray, bits: np.ndarray) -> DataFrame:
-    """h, w (hash), doc_id and start of every window of the spans that pass the filter."""
+    """h, s, w (hash), doc_id and start of every window of the spans that pass the filter."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def batch(doc_ids: list, values: list[str]) -> dict:
-        out: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(4)]
+        out: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(5)]
         for i, t in zip(doc_ids, values, strict=True):
             words = read_words(t)
             if len(words) >= SIZE:
                 runs = Runs(words)
                 h, s, first, n = spans(runs, len(words))
                 keep = may_hold(shared.value, span_key(np.full(len(h), i), s))
-                h, first, n = h[keep], first[keep], n[keep]
+                h, s, first, n = h[keep], s[keep], first[keep], n[keep]
                 start = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                for x, y in zip(out, (np.repeat(h, n).view(np.int64), runs.of(start, SIZE).view(np.int64), np.full(len(start), i), start), strict=True):
+                for x, y in zip(out, (np.repeat(h, n).view(np.int64), np.repeat(s, n).view(np.int64), runs.of(start, SIZE).view(np.int64), np.full(len(start), i), start), strict=True):
                     x.append(y)
-        return dict(zip(("h", "w", "doc_id", "start"), map(np.concatenate, out), strict=True))
+        return dict(zip(("h", "s", "w", "doc_id", "start"), map(np.concatenate, out), strict=True))
 
-    return chosen_rows(docs, ids, "h long, w long, doc_id long, start long", batch)
+    return chosen_rows(docs, ids, "h long, s long, w long, doc_id long, start long", batch)
 
 
-def first_of(rows: DataFrame, *keys: str) -> DataFrame:
-    """rows (stored) of a key whose document is not the key's first, with that one's id and place.
+def firsts(rows: DataFrame, *keys: str) -> DataFrame:
+    """For every key, owner and owner_start (its first document and place there), last (its last document) and k (its rows)."""
+    got = rows.groupBy(*keys).agg(F.min(F.struct("doc_id", "start")).alias("x"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("k"))
+    return got.select(*keys, F.col("x.doc_id").alias("owner"), F.col("x.start").alias("owner_start"), "last", "k")
 
-    Keys with more than a HOT_SHARE-th of all rows are at most HOT_SHARE; they are joined by
-    broadcast where the rows are, so that no task gets a hot key's rows.
+
+def confirmed(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The spans that may recur; the stretches (owner, start, end) whose windows recur; the owners (h, s, owner) for each span.
+
+    Spans with one anchor but unlike are compared window by window, each in its first
+    document only: a window that recurs in a later document of an equal span is found
+    with that span.
     """
-    limit = max(HOT_ROWS, rows.count() // HOT_SHARE)
-    sums = rows.groupBy(*keys).agg(F.min(F.struct("doc_id", "start")).alias("x"), F.count(F.lit(1)).alias("k"))
-    first = checkpointed(sums.select(*keys, F.col("x.doc_id").alias("owner"), F.col("x.start").alias("owner_start"), "k"))
-    hot = F.broadcast(first.filter(F.col("k") > limit))
-    others = rows.join(hot, list(keys), "left_anti").join(first, list(keys))
-    return rows.join(hot, list(keys)).unionByName(others).filter("owner < doc_id").drop("k")
-
-
-def repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, start, length, owner, owner_start: passages of a document that are also, and first, in another."""
-    seen = anchors(docs).groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b")
-    found = checkpointed(shared_spans(docs, hash_bits(seen, "h", ANCHOR_BITS)))
-
-    whole = first_of(found, "h", "s").select("doc_id", "start", (F.col("n") + SIZE - 1).alias("length"), "owner", "owner_start")
-    distinct = found.groupBy("h", "s").agg(F.min(F.struct("doc_id", "start")).alias("x"))
-    unlike = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("x.doc_id").alias("a"), F.max("x.doc_id").alias("b")).filter("k > 1 and a < b").select("h")
-    # By document and span, not by place: a document's further places of its own span have no row in whole.
-    chosen = checkpointed(distinct.join(unlike, "h", "left_semi").select(F.col("x.doc_id").alias("doc_id"), "s"))
+    found = stored(all_spans(docs))
+    seen = found.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b")
+    found = stored(shared_spans(found, hash_bits(seen, "h", ANCHOR_BITS)))
+
+    by_span = stored(found.groupBy("h", "s").agg(F.min(F.struct("doc_id", "start")).alias("x"), F.max("doc_id").alias("last"), F.min("n").alias("n")).select("h", "s", F.col("x.doc_id").alias("owner"), F.col("x.start").alias("start"), "last", "n"))
+    whole = by_span.filter("owner < last")
+    anchors = by_span.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("owner").alias("a"), F.max("owner").alias("b"))
+    unlike = stored(anchors.filter("k > 1 and a < b").select("h", "k"))
+    chosen = stored(join_by_key(by_span.select("h", "s", F.col("owner").alias("doc_id")), unlike, ["h"]).select("doc_id", "s"))
     span_hashes = map_rows(chosen, "h long", lambda b: {"h": span_key(b.column("doc_id").to_numpy(), b.column("s").to_numpy()).view(np.int64)})
-    each = checkpointed(windows(docs, id_bits(chosen, "doc_id"), hash_bits(span_hashes, "h", ANCHOR_BITS)))
-    single = first_of(each, "h", "w").select("doc_id", "start", F.lit(SIZE).cast("long").alias("length"), "owner", "owner_start")
+    each = stored(windows(docs, id_bits(chosen, "doc_id"), hash_bits(span_hashes, "h", ANCHOR_BITS)))
+    by_window = stored(firsts(each, "h", "w").filter("owner < last"))
+    single = join_by_key(each.select("h", "w", "s", "doc_id"), by_window.select("h", "w", "owner", "k"), ["h", "w"]).filter("owner < doc_id").select("h", "s", "owner")
 
-    # Neighbours with one source and one shift become one passage.
-    both = whole.unionByName(single).withColumn("shift", F.col("start") - F.col("owner_start"))
-    order = Window.partitionBy("doc_id", "owner", "shift").orderBy("start")
-    end = F.max(F.col("start") + F.col("length")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    islands = both.withColumn("new", F.when(F.col("start") <= end, 0).otherwise(1)).withColumn("island", F.sum("new").over(order))
-    joined = islands.groupBy("doc_id", "owner", "shift", "island").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("length")).alias("end"))
-    return joined.select("doc_id", "start", (F.col("end") - F.col("start")).alias("length"), "owner", (F.col("start") - F.col("shift")).alias("owner_start"))
+    stretches = whole.select("owner", "start", (F.col("start") + F.col("n") + SIZE - 1).alias("end"))
+    stretches = stretches.unionByName(by_window.select("owner", F.col("owner_start").alias("start"), (F.col("owner_start") + SIZE).alias("end")))
+    return found, stretches, stored(whole.select("h", "s", "owner").unionByName(single).distinct())
 
 
-def phrases(passages: DataFrame, docs: DataFrame) -> DataFrame:
-    """owner, owner_start, length and phrase, the words read from the owner's text."""
-    wanted = passages.select("owner", "owner_start", "length").distinct()
-    texts = chosen_rows(docs, id_bits(wanted, "owner"), "owner long, text string", lambda i, t: {"owner": i, "text": t})
-    both = wanted.join(texts, "owner")
+def phrases(stretches: DataFrame, docs: DataFrame) -> DataFrame:
+    """owner, phrase (its words) and n (their number) for the stretches of each owner that overlap or meet as one."""
+    parts = stored(stretches.groupBy("owner").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("parts")))
+    texts = chosen_rows(docs, id_bits(parts, "owner"), "owner long, text string", lambda i, t: {"owner": i, "text": t})
+    both = parts.join(texts.dropDuplicates(["owner"]), "owner")
 
     def batch(b: pa.RecordBatch) -> dict:
-        out, last = [], (None, [])
-        for i, s, n, t in zip(b.column("owner").to_pylist(), b.column("owner_start").to_pylist(), b.column("length").to_pylist(), b.column("text").to_pylist(), strict=True):
-            if last[0] != i:
-                last = (i, read_words(t))
-            out.append(b" ".join(last[1][s : s + n]))
-        return {"owner": b.column("owner"), "owner_start": b.column("owner_start"), "length": b.column("length"), "phrase": out}
+        out: dict[str, list] = {"owner": [], "phrase": [], "n": []}
+        for i, some, t in zip(b.column("owner").to_pylist(), b.column("parts").to_pylist(), b.column("text").to_pylist(), strict=True):
+            words, joined = read_words(t), []
+            for x in some:
+                # Windows at neighbouring places join; stretches that only overlap otherwise have a window between that does not recur.
+                if joined and x["start"] <= joined[-1][1] - SIZE + 1:
+                    joined[-1][1] = max(joined[-1][1], x["end"])
+                else:
+                    joined.append([x["start"], x["end"]])
+            for s, e in joined:
+                out["owner"].append(i)
+                out["phrase"].append(b" ".join(words[s:e]))
+                out["n"].append(e - s)
+        return out
 
-    found = map_rows(both.select("owner", "owner_start", "length", "text"), "owner long, owner_start long, length long, phrase binary", batch)
-    return found.dropDuplicates(["owner", "owner_start", "length"])
+    return map_rows(both.select("owner", "parts", "text"), "owner long, phrase binary, n long", batch)
 
 
 class Shard:
-    """Documents and the automaton of their phrases; words are numbered exactly, not hashed."""
+    """The automaton of the phrases' blocks; words are numbered exactly, not hashed."""
 
     def __init__(self) -> None:
         self.numbers: dict[bytes, int] = {}
-        self.owners: dict[tuple[int, ...], int] = {}
-        self.docs: list[tuple[int, str]] = []
-        self.words = 0
-
-    def add_phrase(self, phrase: bytes, owner: int) -> None:
-        numbers = self.numbers
-        key = tuple(numbers.setdefault(w, len(numbers) + 1) for w in phrase.split())
-        if key not in self.owners:
-            self.words += len(key)
-        self.owners[key] = min(owner, self.owners.get(key, owner))
-
-    def results(self) -> Iterator[tuple[int, int, list[tuple[int, int]], str]]:
-        """(doc_id, number of words, covered stretches, text) of the documents."""
+        #: By block: the words before and after it (up to SIZE - BLOCK each) at its places, and the first owner.
+        self.places: dict[tuple[int, ...], dict[tuple, int]] = {}
+        self.automaton = None
+
+    def add_phrase(self, owner: int, phrase: bytes) -> None:
+        numbers, room = self.numbers, SIZE - BLOCK
+        line = tuple([numbers.setdefault(w, len(numbers) + 1) for w in phrase.split(b" ")])
+        for x in range(0, len(line) - BLOCK + 1, BLOCK):
+            around = line[max(0, x - room) : x], line[x + BLOCK : x + SIZE]
+            known = self.places.setdefault(line[x : x + BLOCK], {})
+            known[around] = min(owner, known.get(around, owner))
+
+    def compile(self) -> None:
         import ahocorasick
 
-        automaton = None
-        if self.owners:
-            automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-            for key, owner in self.owners.items():
-                automaton.add_word(key, (len(key), owner))
-            automaton.make_automaton()
-        for doc_id, text in self.docs:
-            words = read_words(text)
-            found = []
-            if automaton is not None and words:
-                line = tuple(map(self.numbers.get, words, repeat(0)))
-                found = sorted((end + 1 - n, end + 1) for end, (n, owner) in automaton.iter(line) if owner < doc_id)
-            yield doc_id, len(words), found, text
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for block, known in self.places.items():
+            self.automaton.add_word(block, [(before, after, owner) for (before, after), owner in known.items()])
+        self.places = {}
+        self.automaton.make_automaton()
+
+    def find(self, doc_id: int, words: list[bytes]) -> list[int]:
+        """Starts and ends, in turn and in order, of the stretches of matching windows whose owner is before doc_id."""
+        line = tuple(map(self.numbers.get, words, repeat(0)))
+        room, out = SIZE - BLOCK, []
+        for end, known in self.automaton.iter(line) if len(line) >= SIZE else ():
+            x = end + 1 - BLOCK
+            left, right = line[max(0, x - room) : x], line[x + BLOCK : x + SIZE]
+            for before, after, owner in known:
+                if owner >= doc_id:
+                    continue
+                if out and out[-2] <= x - len(left) and x + BLOCK + len(right) <= out[-1]:
+                    break  # all that this block could add is there
+                m = BLOCK + common(left[::-1], before[::-1]) + (r := common(right, after))
+                if m >= SIZE:
+                    e = x + BLOCK + r
+                    s = e - m
+                    while out and out[-2] >= s and out[-1] <= e:
+                        del out[-2:]
+                    if out and s <= out[-1]:
+                        out[-2], out[-1] = min(s, out[-2]), max(e, out[-1])
+                    else:
+                        out += [s, e]
+        return out
+
+
+def common(a: tuple, b: tuple) -> int:
+    """How many elements two tuples have in common from their start."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    return next(i for i in range(n) if a[i] != b[i])
 
 
 def kept_words(words: list[bytes], found: list[tuple[int, int]]) -> list[bytes]:
@@ -240,45 +261,67 @@ def kept_words(words: list[bytes], found: list[tuple[int, int]]) -> list[bytes]:
     return out + words[at:]
 
 
-def located(passages: DataFrame, docs: DataFrame, schema: str, row) -> DataFrame:
-    """row(doc_id, words, kept words) for every document that passes the filter of those with a passage, and for all others."""
-    bits = id_bits(passages, "doc_id")
-    target = to_arrow(docs.sparkSession, schema)
-    needed = passages.join(phrases(passages, docs), ["owner", "owner_start", "length"]).select("doc_id", F.lit(0).alias("kind"), "owner", "phrase").distinct()
-    texts = chosen_rows(docs, bits, "doc_id long, phrase binary", lambda i, t: {"doc_id": i, "phrase": [x.encode("utf-8", "surrogatepass") for x in t]})
-    lines = needed.unionByName(texts.select("doc_id", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("owner"), "phrase"))
-    dealt = lines.repartition("doc_id").sortWithinPartitions("doc_id", "kind")
-
-    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        shard, pending = Shard(), False
+def hits(docs: DataFrame, found: DataFrame, stretches: DataFrame, owners: DataFrame) -> DataFrame:
+    """doc_id, t (hash of the text) and at (starts and ends) for each shard in which a document has matching windows."""
+    spark = docs.sparkSession
+    compiled = stored(phrases(stretches, docs))
+    total = compiled.agg(F.sum("n")).first()[0] or 0
+    shard_of = F.pmod(F.xxhash64("owner"), F.lit(max(1, -(-total // SHARD_WORDS)))).cast("int")
+    ways = owners.groupBy("h", "s", shard_of.alias("shard")).agg(F.min("owner").alias("low"))
+    counts = found.groupBy("h", "s").agg(F.count(F.lit(1)).alias("k"))
+    routes = join_by_key(found.select("h", "s", "doc_id"), stored(ways.join(counts, ["h", "s"])), ["h", "s"]).filter("low < doc_id")
+    routes = stored(routes.select("doc_id", "shard").distinct())
+    shards = stored(routes.groupBy("shard").agg(F.count(F.lit(1)).alias("k")))
+    part = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("k") / SHARD_DOCS)).cast("int")
+    placed = join_by_key(routes, shards, ["shard"]).select("doc_id", "shard", part.alias("part"))
+
+    texts = chosen_rows(docs, id_bits(routes, "doc_id"), "doc_id long, body binary", lambda i, x: {"doc_id": i, "body": [v.encode("utf-8", "surrogatepass") for v in x]})
+    lines = texts.join(placed, "doc_id").select("shard", "part", F.lit(1).alias("kind"), "doc_id", "body")
+    copies = compiled.withColumn("shard", shard_of).join(shards, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.ceil(F.col("k") / SHARD_DOCS).cast("int") - 1)))
+    lines = lines.unionByName(copies.select("shard", "part", F.lit(0).alias("kind"), F.col("owner").alias("doc_id"), F.col("phrase").alias("body")))
+    dealt = lines.repartition("shard", "part").sortWithinPartitions("shard", "part", "kind")
+    schema = "doc_id long, body binary, at array<long>"
+    target = to_arrow(spark, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, now = None, None
         for b in batches:
-            for i, kind, owner, phrase in zip(*(b.column(c).to_pylist() for c in ("doc_id", "kind", "owner", "phrase")), strict=True):
+            out: list[tuple] = []
+            for k, p, kind, i, body in zip(*(b.column(c).to_pylist() for c in ("shard", "part", "kind", "doc_id", "body")), strict=True):
+                if (k, p) != now:
+                    shard, now = Shard(), (k, p)
                 if kind == 0:
-                    if shard.docs and (shard.words > SHARD_WORDS or len(shard.docs) >= SHARD_DOCS) and shard.docs[-1][0] != i and not pending:
-                        yield from shard.results()
-                        shard = Shard()
-                    pending = True
-                    shard.add_phrase(phrase, owner)
-                else:
-                    pending = False
-                    shard.docs.append((i, phrase.decode("utf-8", "surrogatepass")))
-                    if len(shard.docs) >= 4 * SHARD_DOCS:
-                        yield from shard.results()
-                        shard.docs = []
-        yield from shard.results()
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        for i, _, found, text in stream(batches):
-            words = read_words(text)
-            held.append(row(i, words, kept_words(words, found) if found else words))
-            if len(held) == 1000:
-                yield record_batch(dict(zip(target.names, zip(*held, strict=True), strict=True)), target)
-                held = []
-        if held:
-            yield record_batch(dict(zip(target.names, zip(*held, strict=True), strict=True)), target)
+                    shard.add_phrase(i, body)
+                    continue
+                if shard.automaton is None:
+                    shard.compile()
+                if at := shard.find(i, body.split()):
+                    out.append((i, hashlib.blake2b(body, digest_size=16).digest(), at))
+            if out:
+                yield record_batch(dict(zip(target.names, zip(*out, strict=True), strict=True)), target)
 
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    return dealt.mapInArrow(run, schema)
+
+
+def applied(docs: DataFrame, schema: str, row) -> DataFrame:
+    """row(doc_id, words, kept words) for every document."""
+    spark = docs.sparkSession
+    docs = docs.select("doc_id", "text")
+    named = docs.filter("doc_id is not null")
+    found = stored(hits(named, *confirmed(named)).groupBy("doc_id", "body").agg(F.flatten(F.collect_list("at")).alias("at")))
+    bits = id_bits(found, "doc_id")
+    target = to_arrow(spark, schema)
+    texts = chosen_rows(docs, bits, "doc_id long, text string, body binary", lambda i, t: {"doc_id": i, "text": t, "body": [hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=16).digest() for x in t]})
+
+    def batch(b: pa.RecordBatch) -> dict:
+        out = []
+        for i, t, at in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "at")), strict=True):
+            words = read_words(t)
+            out.append(row(i, words, kept_words(words, sorted(zip(at[::2], at[1::2], strict=True))) if at else words))
+        return dict(zip(target.names, zip(*out, strict=True), strict=True))
+
+    changed = map_rows(texts.join(found, ["doc_id", "body"], "left").select("doc_id", "text", "at"), schema, batch)
+    shared = spark.sparkContext.broadcast(bits)
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -289,7 +332,7 @@ def located(passages: DataFrame, docs: DataFrame, schema: str, row) -> DataFrame
                 yield record_batch(dict(zip(target.names, zip(*got, strict=True), strict=True)), target)
 
     others = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("_hash")).mapInArrow(rest, schema)
-    return dealt.mapInArrow(find, schema).unionByName(others)
+    return changed.unionByName(others)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -299,7 +342,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     with a smaller doc_id are removed; windows are judged on the input. Null and empty
     texts have no words. Rows with a null doc_id are kept whole. Repeated rows with one
     doc_id do not count as each other's source; rows with one doc_id should have one
-    text. Extra columns are ignored.
+    text. Extra columns, whatever their names, are ignored. An empty table gives no rows.
     """
     row = lambda i, words, kept: (i, len(words), len(words) - len(kept), b" ".join(kept).decode("utf-8", "surrogatepass"))
     return applied(docs, "doc_id long, n_words long, n_removed long, text string", row)
@@ -309,9 +352,3 @@ def removal_digests(docs: DataFrame) -> DataFrame:
     """As remove_repeats, with the SHA-256 of the kept text in its place."""
     row = lambda i, words, kept: (i, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest())
     return applied(docs, "doc_id long, n_words long, n_removed long, kept_sha256 string", row)
-
-
-def applied(docs: DataFrame, schema: str, row) -> DataFrame:
-    docs = docs.select("doc_id", "text")
-    passages = checkpointed(repeats(docs.filter("doc_id is not null")))
-    return located(passages, docs, schema, row)

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from perdura.llm import fingerprint, graphs, langid, mixing, neardup, packing, passages, pii, quality, rules, urls
+from perdura.llm import common, fingerprint, graphs, langid, mixing, neardup, packing, passages, pii, quality, rules, urls
 from perdura.llm.queries import tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, spans string"
@@ -207,10 +207,13 @@ def test_forward_sums_all_segmentations():
     assert got[0] == pytest.approx(total(text))
 
 
-@pytest.mark.parametrize("hot", [5000, 0])
-def test_passages(spark, docs, rows, empty, monkeypatch, hot):
-    monkeypatch.setattr(passages, "HOT_ROWS", hot)
-    monkeypatch.setattr(passages, "HOT_SHARE", 256 if hot else 1 << 40)
+@pytest.mark.parametrize("split", [False, True])
+def test_passages(spark, docs, rows, empty, monkeypatch, split):
+    if split:  # every key is joined by broadcast, shards are small and go to several tasks
+        monkeypatch.setattr(common, "HOT_ROWS", 0)
+        monkeypatch.setattr(common, "HOT_SHARE", 1 << 40)
+        monkeypatch.setattr(passages, "SHARD_WORDS", 40)
+        monkeypatch.setattr(passages, "SHARD_DOCS", 1)
     got = {r.doc_id: r for r in passages.remove_repeats(docs).collect()}
     first, texts = {}, texts_of(rows)
     for i in sorted(texts):
@@ -239,6 +242,27 @@ def test_passages_repeated_in_part_by_one_document(spark):
     assert {r.doc_id: r.n_removed for r in got} == {i: 170 * (i % 2) for i, _ in rows}
 
 
+def plain_removal(rows):
+    first, out = {}, {}
+    for i, t in sorted(rows):
+        w, gone = words(t), set()
+        for j in range(len(w) - 49):
+            if first.setdefault(tuple(w[j : j + 50]), i) < i:
+                gone |= set(range(j, j + 50))
+        out[i] = len(gone)
+    return out
+
+
+def test_passages_of_few_different_words(spark):
+    """Blocks that recur at many places, in one document and in others."""
+    rng = np.random.default_rng(5)
+    line = " ".join(prose(1, 26).split())
+    rows = [(i, " ".join(rng.choice(["a", "b"], 400, p=[0.9, 0.1]))) for i in range(8)] + [(10, "x " * 3000), (11, "y " + "x " * 700 + "z"), (12, "x " * 49)]
+    rows += [(20 + i, " ".join(f"{line} k{rng.integers(0, 4)} " + "q " * int(rng.integers(0, 30)) for _ in range(40))) for i in range(6)]
+    got = {r.doc_id: r.n_removed for r in passages.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain_removal(rows) and got[11] == 700
+
+
 def plain_components(rows, k, percent):
     sets = {}
     for i, t, *_ in rows:
