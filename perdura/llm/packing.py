@@ -18,6 +18,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +36,10 @@ PACKED = PIECES + ", sequence_id long, offset long"
 TASK_ROWS = 200_000
 #: Standard deviation, in tokens, of what is added to lengths before they are put in descending order.
 STIR = 20
-#: Chunks whose ids a Python worker keeps (the table is emptied when full), and their greatest length.
-CACHE_CHUNKS, CACHED_LENGTH = 400_000, 40
+#: Chunks whose ids a Python worker keeps, in a table and an older one that it replaces when full; their greatest length.
+CACHE_CHUNKS, CACHED_LENGTH = 500_000, 40
+#: Chunks that are encoded as the lines of one text.
+GROUP = 200
 #: A run of plain white space with the run of other characters after it. Pre-tokens hold no white space
 #: after another character, so none spans two chunks, and a chunk has the same ids by itself.
 CHUNK = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
@@ -57,26 +60,43 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.line_break = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.chunks: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def each(self, chunks: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Chunks and their ids. Those without other white space than one space before them are encoded as lines of
+        one text, as a line break between others is a pre-token of its own; all others one by one."""
+        lines = [c for c in chunks if c[0] > " " or c[0] == " " < c[1:2]] if len(self.line_break) == 1 else []
+        single = list(set(chunks).difference(lines))
+        yield from zip(single, self.whole(single), strict=True)
+        groups = [lines[i : i + GROUP] for i in range(0, len(lines), GROUP)]
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast(["\n".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids, at = array("I", found.ids), -1
+            for c in group[:-1]:
+                start = at + 1
+                at = ids.index(self.line_break[0], start)
+                yield c, ids[start:at].tobytes()
+            yield group[-1], ids[at + 1 :].tobytes()
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        known = self.chunks
-        if len(known) > CACHE_CHUNKS:
-            known.clear()
+        if len(self.chunks) > CACHE_CHUNKS:
+            self.chunks, self.older = {}, self.chunks
+        known, older = self.chunks, self.older
         cut = [None if any(a in t for a in self.added) or OTHER_SPACE.search(t) else CHUNK.findall(t) for t in texts]
-        new = list({c for parts in cut if parts for c in parts if c not in known})
+        new = {c for parts in cut if parts for c in parts if c not in known}
+        for c in [c for c in new if c in older]:
+            known[c] = older[c]
+            new.remove(c)
         over = {}
-        for a in range(0, len(new), 10_000):
-            some = new[a : a + 10_000]
-            for c, ids in zip(some, self.whole(some), strict=True):
-                (known if len(c) <= CACHED_LENGTH else over)[c] = ids
+        for c, ids in self.each(list(new)):
+            (known if len(c) <= CACHED_LENGTH else over)[c] = ids
         get = known.__getitem__ if not over else lambda c: known[c] if c in known else over[c]
         return [self.whole([t])[0] if parts is None else b"".join(map(get, parts)) for t, parts in zip(texts, cut, strict=True)]
 
