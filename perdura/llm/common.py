@@ -53,19 +53,24 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+SALT = ["_salt", "_parts"]
+
+
 def join_by_key(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
     """rows joined with table, both stored; table has k, the number of rows of its key.
 
-    Keys with more than a HOT_SHARE-th of all rows, at most HOT_SHARE of them, are joined by
-    broadcast where the rows are, so that no task gets a hot key's rows.
+    A hot key, with more than limit rows, is dealt to several tasks: its rows by hash, its
+    rows of the table copied to each. Limit is at least a HOT_SHARE-th of all rows, so only
+    about HOT_SHARE keys, without any payload, are broadcast.
     """
     limit = max(HOT_ROWS, (table.agg(F.sum("k")).first()[0] or 0) // HOT_SHARE)
-    hot = table.filter(F.col("k") > limit)
+    parts = F.ceil(F.col("k") / limit).cast("int")
+    hot = table.filter(F.col("k") > limit).select(*keys, parts.alias("_parts")).distinct()
     if hot.isEmpty():
         return rows.join(table, keys)
-    named = F.broadcast(hot.select(*keys).distinct())
-    others = rows.join(named, keys, "left_anti").join(table.filter(F.col("k") <= limit), keys)
-    return rows.join(F.broadcast(hot), keys).unionByName(others)
+    salted = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.coalesce("_parts", F.lit(1))).cast("int"))
+    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1)))
+    return salted.join(copies, [*keys, "_salt"]).drop(*SALT)
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -13,16 +13,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from perdura.llm.common import checkpointed, record_batch, small_batches, to_arrow
+from perdura.llm.common import join_by_key, record_batch, small_batches, stored, to_arrow
+
 
 def components(edges: DataFrame) -> DataFrame:
     """node and component (the smallest node reachable) for edges a, b; rounds of large and small stars.
 
-    A round only looks at minima of neighbourhoods, so a node of any degree is summed up
-    before it is shuffled. Loops and repeated edges do no harm; nodes without an edge
-    to another node have no row.
+    Minima of neighbourhoods are summed up before they are shuffled, and a node with very
+    many edges is joined in several tasks. Loops and repeated edges do no harm; nodes
+    without an edge to another node have no row.
     """
-    now = checkpointed(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    least_of = lambda e: stored(e.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("k")))
+    now = stored(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     while True:
         state = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
@@ -30,11 +32,12 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = state
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(down.select("a", F.col("m").alias("b")))
-        now = checkpointed(small.filter("a != b").distinct())
+        least = least_of(both)
+        large = join_by_key(both.filter("b > a"), least.select("a", F.least("m", "a").alias("m"), "k"), ["a"])
+        large = stored(large.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct())
+        down = least_of(large)
+        small = join_by_key(large, down, ["a"]).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(down.select("a", F.col("m").alias("b")))
+        now = stored(small.filter("a != b").distinct())
     return now.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
 
 

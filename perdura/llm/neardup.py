@@ -4,18 +4,21 @@ Signatures are SYMBOLS minima of BITS bits. Split into m chunks, two signatures
 differ in at most 2m - 3 symbols have at least two chunks with at most one error; so
 keys of all chunks, each leaving out one symbol in turn, meet for every such pair.
 The chunk length is the longest for which a pair at the wanted similarity exceeds that
-distance with a probability of at most MISS. Every link is confirmed on full sets.
-
-Documents with equal sets are one class from the start. A bucket first gives one pair
-per member, with its smallest member, and their links give components. What remains
-are pairs between different components, in buckets that hold several. Small buckets give
-them all. Members of larger ones are joined on their rarest shingles instead: of two
-sets with the wanted similarity, each has one of the other's among its first n -
-ceil(t n) + 1 in order of frequency, and enough of them in common; that loses no link.
+distance with a probability of at most MISS.
+
+Documents with equal sets are one class from the start, with one representative. The
+members of a bucket (a key) are compared by signature inside a task, each pair in the
+first bucket that it shares; the sets of those members that have a partner within the
+distance are then compared in full inside a task, which gives links enough to connect
+what is similar, never all pairs. Buckets of more than BLOCK members are cut into
+blocks, and every two blocks meet in a task of their own, so no task holds more than
+2 * BLOCK members whatever the bucket's size. The work on a bucket grows with the
+square of its number of different sets; the rows made do not.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
 from math import comb
@@ -25,13 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from perdura.llm.common import checkpointed, map_rows
-from perdura.llm.graphs import chosen_rows, components, id_bits
+from perdura.llm.common import join_by_key, map_rows, record_batch, stored, to_arrow
+from perdura.llm.graphs import chosen_rows, components, hash_bits, id_bits, may_hold
 from perdura.llm.words import mixed, run_hashes, word_hashes
 
 SYMBOLS, BITS, MISS = 60, 16, 1e-4
-#: Members of larger buckets are joined on their rarest shingles.
-LARGE = 24
+#: Members of a bucket in one block.
+BLOCK = 500
+#: Bits (as a power of two) of the filter of keys: 8 MB.
+KEY_BITS = 26
 
 
 @dataclass(frozen=True)
@@ -47,7 +52,10 @@ class Near:
         def missed(r: int) -> float:
             return sum(comb(SYMBOLS, k) * p**k * (1 - p) ** (SYMBOLS - k) for k in range(r + 1, SYMBOLS + 1))
 
-        return next((n for n in (6, 5, 4, 3) if missed(2 * (SYMBOLS // n) - 3) <= MISS), 3)
+        for n in (6, 5, 4, 3, 2):
+            if missed(2 * (SYMBOLS // n) - 3) <= MISS:
+                return n
+        raise ValueError(f"{SYMBOLS} symbols are too few for a similarity of {self.percent} percent")
 
     @property
     def distance(self) -> int:
@@ -56,10 +64,9 @@ class Near:
 
 def shingles(text: str, k: int) -> np.ndarray:
     """The sorted set of a text's shingle hashes; of a text with fewer words, one for all its words."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, dtype=np.uint64)
-    h = word_hashes(words)
+    h = word_hashes(text.encode("utf-8", "surrogatepass"), lower=True)
+    if not len(h):
+        return h
     return np.unique(run_hashes(h, min(k, len(h)), salt=min(k, len(h))))
 
 
@@ -76,6 +83,10 @@ def signature(s: np.ndarray) -> np.ndarray:
     return (mixed(least) >> np.uint64(64 - BITS)).astype(np.uint16)
 
 
+def first_total(s: np.ndarray) -> int | None:
+    return int(mixed(s, 1).sum(dtype=np.uint64).view(np.int64)) if len(s) else None
+
+
 SETS = "doc_id long, n_shingles long, set1 long, set2 long, sig binary"
 
 
@@ -85,7 +96,7 @@ def read_sets(docs: DataFrame, k: int) -> DataFrame:
         for t in b.column("text").to_pylist():
             s = shingles(t or "", k)
             out["n_shingles"].append(len(s))
-            out["set1"].append(int(mixed(s, 1).sum(dtype=np.uint64).view(np.int64)) if len(s) else None)
+            out["set1"].append(first_total(s))
             out["set2"].append(int(mixed(s, 2).sum(dtype=np.uint64).view(np.int64)) if len(s) else None)
             out["sig"].append(signature(s).tobytes() if len(s) else None)
         return out | {"doc_id": b.column("doc_id")}
@@ -107,117 +118,193 @@ def signatures(b: pa.RecordBatch, name: str = "sig") -> np.ndarray:
     return np.frombuffer(b"".join(b.column(name).to_pylist()), dtype=np.uint16).reshape(b.num_rows, SYMBOLS)
 
 
-def keyed(reps: DataFrame, near: Near) -> DataFrame:
-    """key and rep for every chunk and left-out symbol."""
+def keyed(reps: DataFrame, near: Near, bits: np.ndarray | None = None) -> DataFrame:
+    """key and rep for every chunk and left-out symbol; with bits, only keys that pass the filter."""
+    shared = None if bits is None else reps.sparkSession.sparkContext.broadcast(bits)
 
     def batch(b: pa.RecordBatch) -> dict:
         keys = chunk_keys(signatures(b), near.chunk).reshape(b.num_rows, -1)
-        return {"key": keys.view(np.int64).ravel(), "rep": np.repeat(b.column("rep").to_numpy(), keys.shape[1])}
+        rep = np.repeat(b.column("rep").to_numpy(), keys.shape[1])
+        keys = keys.view(np.int64).ravel()
+        if shared is not None:
+            keep = may_hold(shared.value, keys)
+            keys, rep = keys[keep], rep[keep]
+        return {"key": keys, "rep": rep}
 
     return map_rows(reps.select("rep", "sig"), "key long, rep long", batch)
 
 
-def rare_pairs(hot: DataFrame, docs: DataFrame, near: Near) -> DataFrame:
-    """Pairs a, b of different components among hot (rep, n, comp), found by their rarest shingles.
-
-    Shingles that only one member has come first in its order and meet nobody. A pair is
-    given once, at its first common shingle, and only if what they have in common up to
-    there and could have after it is enough.
+GROUP = ["key", "lo", "hi"]
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups from batches in order of GROUP, with the groups' bounds."""
+    held: list[pa.RecordBatch] = []
+
+    def cut(t: pa.Table) -> tuple[pa.Table, np.ndarray]:
+        new = np.zeros(t.num_rows, dtype=bool)
+        new[:1] = True
+        for c in GROUP:
+            v = t.column(c).to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        return t, np.append(np.flatnonzero(new), t.num_rows)
+
+    for b in batches:
+        held.append(b)
+        t, at = cut(pa.Table.from_batches(held))
+        if len(at) > 2:
+            last = int(at[-2])
+            yield t.slice(0, last).combine_chunks(), at[:-1]
+            held = t.slice(last).combine_chunks().to_batches()
+    if held:
+        yield cut(pa.Table.from_batches(held).combine_chunks())
+
+
+def pairs_within(at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of all pairs inside the groups with these bounds, some at a time."""
+    size = np.diff(at)
+    for m in np.unique(size[size > 1]).tolist():
+        start = at[:-1][size == m]
+        if m <= 32:
+            i, j = np.triu_indices(m, 1)
+            step = max(1, 200_000 // len(i))
+            for a in range(0, len(start), step):
+                base = start[a : a + step, None]
+                yield (base + i).ravel(), (base + j).ravel()
+        else:
+            for s in start.tolist():
+                for i in range(s, s + m - 1):
+                    yield np.full(s + m - 1 - i, i), np.arange(i + 1, s + m)
+
+
+def with_partner(rows: DataFrame, near: Near) -> DataFrame:
+    """The rows (GROUP, rep, set1, n, sig) that have a partner in their group within the signature distance.
+
+    A pair counts in the first key only that its signatures share.
     """
-    k, t = near.words, near.percent
-    sets = chosen_rows(docs, id_bits(hot, "rep"), "doc_id long, s array<long>", lambda i, x: {"doc_id": i, "s": [shingles(v, k).view(np.int64) for v in x]})
-    sets = sets.dropDuplicates(["doc_id"]).join(hot, F.col("doc_id") == F.col("rep"))
-    tokens = checkpointed(sets.select("rep", "n", "comp", F.explode("s").alias("token")))
-    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    shared = tokens.join(counts, "token").groupBy("rep", "n", "comp").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("x"))
-    p = F.col("n") - F.floor((t * F.col("n") + 99) / 100) + 1
-    own = F.col("n") - F.size("x")
-    first = F.slice(F.transform("x", lambda r: r["token"]), F.lit(1), F.greatest(p - own, F.lit(0)).cast("int"))
-    each = shared.select("rep", "n", "comp", (F.col("n") - p).alias("rest"), first.alias("first")).filter(F.size("first") > 0)
-    left = checkpointed(several(each.withColumn("key", F.explode("first"))))
-    right = left.select(*[F.col(c).alias(f"{c}2") for c in ("key", "rep", "n", "comp", "rest", "first")])
-    common = F.array_intersect("first", "first2")
-    enough = F.size(common) + F.greatest("rest", "rest2") >= F.floor((t * (F.col("n") + F.col("n2")) + 99 + t) / (100 + t))
-    same = (F.col("key") == F.col("key2")) & (F.col("comp") < F.col("comp2")) & fits("n", "n2", near)
-    return left.join(right, same & (F.get(common, F.lit(0)) == F.col("key")) & enough).select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
-
-
-def close(pairs: DataFrame, reps: DataFrame, near: Near) -> DataFrame:
-    """The pairs a, b whose sizes allow the similarity and whose signatures are near."""
-    one = reps.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a"))
-    two = reps.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
-    both = pairs.join(one, "a").join(two, "b").filter(fits("n_a", "n_b", near))
-
-    def batch(x: pa.RecordBatch) -> dict:
-        keep = (signatures(x, "sig_a") != signatures(x, "sig_b")).sum(axis=1) <= near.distance
-        return {c: x.column(c).filter(pa.array(keep)) for c in ("a", "b")}
-
-    return map_rows(both.select("a", "b", "sig_a", "sig_b"), "a long, b long", batch)
-
-
-def fits(a: str, b: str, near: Near):
-    return 100 * F.least(a, b) >= near.percent * F.greatest(a, b)
-
-
-def confirmed(pairs: DataFrame, docs: DataFrame, near: Near) -> DataFrame:
-    """The pairs a, b whose full sets are similar enough."""
-    pairs = checkpointed(pairs)
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    k, percent = near.words, near.percent
-    sets = chosen_rows(docs, id_bits(ids, "id"), "doc_id long, s binary", lambda i, t: {"doc_id": i, "s": [shingles(x, k).tobytes() for x in t]})
-    sets = sets.join(ids, sets.doc_id == ids.id, "left_semi").dropDuplicates(["doc_id"])
-    sets = checkpointed(sets)
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("s_a")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("s_b")), "b")
-
-    def batch(b: pa.RecordBatch) -> dict:
-        keep = []
-        for x, y in zip(b.column("s_a"), b.column("s_b"), strict=True):
-            x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-            common = np.isin(x, y, assume_unique=True, kind="sort").sum() if len(x) and len(y) else 0
-            keep.append(100 * common >= percent * (len(x) + len(y) - common))
-        return {c: b.column(c).filter(pa.array(keep, type=pa.bool_())) for c in ("a", "b")}
-
-    return checkpointed(map_rows(both, "a long, b long", batch))
+    schema = "key long, lo int, hi int, rep long, set1 long"
+    target = to_arrow(rows.sparkSession, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, at in whole_groups(batches):
+            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), dtype=np.uint16).reshape(t.num_rows, SYMBOLS)
+            keys = chunk_keys(sig, near.chunk).reshape(t.num_rows, -1).view(np.int64)
+            n, own = t.column("n").to_numpy(), t.column("key").to_numpy()
+            found = np.zeros(t.num_rows, dtype=bool)
+            for i, j in pairs_within(at):
+                ok = 100 * np.minimum(n[i], n[j]) >= near.percent * np.maximum(n[i], n[j])
+                i, j = i[ok], j[ok]
+                ok = (sig[i] != sig[j]).sum(axis=1) <= near.distance
+                i, j = i[ok], j[ok]
+                same = keys[i] == keys[j]
+                ok = keys[i, same.argmax(axis=1)] == own[i]
+                found[i[ok]] = found[j[ok]] = True
+            if found.any():
+                kept = t.filter(pa.array(found))
+                for b in kept.select(target.names).combine_chunks().to_batches():
+                    yield record_batch({c: b.column(c) for c in target.names}, target)
+
+    return rows.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(run, schema)
+
+
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets, by products of slices of the membership matrix."""
+    token, at = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    often = np.bincount(at, minlength=len(token)) > 1  # others are in no intersection
+    number = np.cumsum(often) - 1
+    keep = often[at]
+    at, owner = number[at[keep]], owner[keep]
+    order = np.argsort(at, kind="stable")
+    at, owner = at[order], owner[order]
+    out = np.zeros((len(sets), len(sets)))
+    for a in range(0, int(often.sum()), 4096):
+        lo, hi = np.searchsorted(at, [a, a + 4096])
+        x = np.zeros((len(sets), 4096), dtype=np.float32)
+        x[owner[lo:hi], at[lo:hi] - a] = 1
+        out += x @ x.T
+    np.fill_diagonal(out, [len(s) for s in sets])
+    return out
+
+
+def spanning_links(similar: np.ndarray) -> list[tuple[int, int]]:
+    """Links that connect what a matrix of similar pairs connects."""
+    out, left = [], np.ones(len(similar), dtype=bool)
+    for s in range(len(similar)):
+        if left[s]:
+            left[s] = False
+            todo = [s]
+            while todo:
+                i = todo.pop()
+                new = np.flatnonzero(similar[i] & left)
+                left[new] = False
+                out += [(i, int(j)) for j in new]
+                todo += new.tolist()
+    return out
+
+
+def links_of(rows: DataFrame, near: Near) -> DataFrame:
+    """Links a, b from the full sets of each group (GROUP, rep, s)."""
+    schema = "a long, b long"
+    target = to_arrow(rows.sparkSession, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, at in whole_groups(batches):
+            rep, s = t.column("rep").to_numpy(), [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in t.column("s")]
+            a: list[int] = []
+            b: list[int] = []
+            for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                if hi - lo == 2:
+                    x, y = s[lo], s[lo + 1]
+                    both = int(np.isin(x, y, assume_unique=True, kind="sort").sum())
+                    if 100 * both >= near.percent * (len(x) + len(y) - both):
+                        a.append(rep[lo])
+                        b.append(rep[lo + 1])
+                elif hi - lo > 2:
+                    both = common_counts(s[lo:hi])
+                    n = np.array([len(x) for x in s[lo:hi]])
+                    for i, j in spanning_links(100 * both >= near.percent * (n[:, None] + n - both)):
+                        a.append(rep[lo + i])
+                        b.append(rep[lo + j])
+            if a:
+                yield record_batch({"a": np.array(a), "b": np.array(b)}, target)
+
+    return rows.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(run, schema)
 
 
 def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable over links) and kept.
 
     Texts without a word and rows with a null doc_id are linked with nothing and kept;
-    their component is their own id. Rows with one doc_id should have one text; if not,
-    each text is placed by its own set. Extra columns are ignored.
+    their component is their own id. Repeated rows each get their row. Rows with one
+    doc_id should have one text; if not, each text is placed by its own set. Extra
+    columns, whatever their names, are ignored. An empty table gives no rows.
     """
-    read = checkpointed(read_sets(docs, near.words))
+    read = stored(read_sets(docs, near.words))
     usable = read.filter("n_shingles > 0 and doc_id is not null")
-    reps = usable.groupBy("set1", "set2").agg(F.min(F.struct("doc_id", "n_shingles", "sig")).alias("x"))
-    reps = checkpointed(reps.select("set1", "set2", F.col("x.doc_id").alias("rep"), F.col("x.n_shingles").alias("n"), F.col("x.sig").alias("sig")))
-
-    keys = keyed(reps, near)
-    buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("pivot")).filter("size > 1")
-    members = checkpointed(keys.join(buckets, "key"))
-    stars = members.filter("rep != pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
-    links = confirmed(close(stars, reps, near), docs, near)
-
-    comps = checkpointed(components(links))
-    sized = reps.select("rep", "n").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "n", F.coalesce("component", "rep").alias("comp"))
-    placed = members.select("key", "rep").join(sized, "rep")
-    mixed_keys = placed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key", "size")
-    open_ = checkpointed(placed.join(mixed_keys, "key"))
-    left = open_.filter(F.col("size") <= LARGE).select("key", "rep", "n", "comp")
-    right = left.select(*[F.col(c).alias(f"{c}2") for c in ("key", "rep", "n", "comp")])
-    across = left.join(right, (F.col("key") == F.col("key2")) & (F.col("comp") < F.col("comp2")) & fits("n", "n2", near)).select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
-    hot = checkpointed(open_.filter(F.col("size") > LARGE).select("rep", "n", "comp").distinct())
-    across = across.unionByName(rare_pairs(hot, docs, near)).distinct()
-    more = confirmed(close(across, reps, near), docs, near)
-
-    final = components(links.unionByName(more)).withColumnRenamed("node", "rep")
-    classes = reps.join(final, "rep", "left").select("set1", "set2", F.coalesce("component", "rep").alias("_component"))
-    out = read.join(classes, ["set1", "set2"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
-
-
-def several(members: DataFrame) -> DataFrame:
-    """Members of keys that hold more than one component."""
-    keys = members.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key")
-    return members.join(keys, "key", "left_semi")
+    reps = usable.groupBy("set1", "set2").agg(F.min(F.struct("doc_id", "n_shingles", "sig")).alias("x"), F.count(F.lit(1)).alias("k"))
+    reps = stored(reps.select("set1", "set2", F.col("x.doc_id").alias("rep"), F.col("x.n_shingles").alias("n"), F.col("x.sig").alias("sig"), "k"))
+
+    buckets = stored(keyed(reps, near).groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"))
+    members = stored(keyed(reps, near, hash_bits(buckets, "key", KEY_BITS)))
+    blocks = F.ceil(F.col("k") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
+    meets = F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(own, o).alias("lo"), F.greatest(own, o).alias("hi"))))
+    placed = join_by_key(members, buckets, ["key"]).select("key", "rep", meets.alias("x")).select("key", "x.lo", "x.hi", "rep")
+    near_rows = stored(with_partner(placed.join(reps.select("rep", "set1", "n", "sig"), "rep"), near))
+
+    k = near.words
+
+    def sets(ids: list, texts: list[str]) -> dict:
+        found = [shingles(t, k) for t in texts]
+        return {"rep": ids, "set1": [first_total(s) for s in found], "s": [s.tobytes() for s in found]}
+
+    full = stored(chosen_rows(docs, id_bits(near_rows, "rep"), "rep long, set1 long, s binary", sets).join(near_rows.select("rep", "set1").distinct(), ["rep", "set1"]).dropDuplicates(["rep", "set1"]))
+    links = stored(links_of(near_rows.join(full, ["rep", "set1"]).select(*GROUP, "rep", "s"), near))
+
+    final = components(links).withColumnRenamed("node", "rep")
+    classes = stored(reps.select("set1", "set2", "rep", "k").join(final, "rep", "left").select("set1", "set2", F.coalesce("component", "rep").alias("_component"), "k"))
+    columns = ["doc_id", "n_shingles"]
+    placed = join_by_key(usable.select(*columns, "set1", "set2"), classes, ["set1", "set2"]).select(*columns, F.col("_component").alias("component_id"))
+    others = read.filter("not (n_shingles > 0 and doc_id is not null)").select(*columns, F.col("doc_id").alias("component_id"))
+    return placed.unionByName(others).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -1,27 +1,38 @@
-"""Hashes of words and of runs of words, by numpy."""
+"""Hashes of a text's words and of runs of words, by numpy over its bytes."""
 
 from __future__ import annotations
 
 import numpy as np
-import xxhash
 
-#: Words whose hashes a Python worker keeps.
-CACHE_WORDS = 200_000
+RNG = np.random.default_rng(64)
+ODD = RNG.integers(0, 1 << 63, 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: A number for every byte; A-Z as a-z in the second row.
+BYTES = np.tile(RNG.integers(0, 1 << 63, 256, dtype=np.uint64), (2, 1))
+BYTES[1, 65:91] = BYTES[0, 97:123]
+SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
-class Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+def powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd base modulo 2**64, and their inverses."""
+    out = []
+    for b in (base, np.uint64(pow(int(base), -1, 1 << 64))):
+        p = np.full(n, b, dtype=np.uint64)
+        p[:1] = 1
+        out.append(np.multiply.accumulate(p))
+    return out[0], out[1]
 
 
-HASHES = Hashes()
+KEPT = [powers(b, 1 << 16) for b in ODD]
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
+def sums(values: np.ndarray, which: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of values times powers, with a leading 0, and the powers' inverses: a hash of any run of values is
+    the difference of two sums times the inverse at its start."""
+    n = len(values)
+    up, down = KEPT[which] if n < 1 << 16 else powers(ODD[which], n + 1)
+    out = np.zeros(n + 1, dtype=np.uint64)
+    np.add.accumulate(values * up[:n], out=out[1:])
+    return out, down
 
 
 def mixed(h: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -32,6 +43,19 @@ def mixed(h: np.ndarray, salt: int = 0) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
+def word_hashes(raw: bytes, lower: bool = False) -> np.ndarray:
+    """A hash for each word of a text's bytes; with lower, A-Z count as a-z."""
+    a = np.frombuffer(raw, dtype=np.uint8)
+    if not len(a):
+        return np.empty(0, dtype=np.uint64)
+    word = np.zeros(len(a) + 2, dtype=np.int8)
+    word[1:-1] = ~SPACE[a]
+    edge = np.diff(word)
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    s, down = sums(BYTES[int(lower)][a], 0)
+    return mixed((s[end] - s[start]) * down[start] + (end - start).astype(np.uint64))
+
+
 def run_hashes(h: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
     """A hash for every run of k words."""
     n = len(h) - k + 1
@@ -41,3 +65,13 @@ def run_hashes(h: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
     for i in range(k):
         out = mixed(out + h[i : i + n], salt)
     return out
+
+
+class Runs:
+    """Hashes of runs of words, of any start and length, from the words' hashes."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.sums, self.down = sums(hashes, 1)
+
+    def of(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
+        return mixed((self.sums[start + length] - self.sums[start]) * self.down[start] + np.asarray(length, dtype=np.uint64))

@@ -210,7 +210,7 @@ def test_forward_sums_all_segmentations():
 @pytest.mark.parametrize("split", [False, True])
 def test_passages(spark, docs, rows, empty, monkeypatch, split):
     if split:  # every key is joined by broadcast, shards are small and go to several tasks
-        monkeypatch.setattr(common, "HOT_ROWS", 0)
+        monkeypatch.setattr(common, "HOT_ROWS", 1)
         monkeypatch.setattr(common, "HOT_SHARE", 1 << 40)
         monkeypatch.setattr(passages, "SHARD_WORDS", 40)
         monkeypatch.setattr(passages, "SHARD_DOCS", 1)
@@ -283,9 +283,12 @@ def plain_components(rows, k, percent):
     return {i: (len(sets[i]), root(i)) for i in sets}
 
 
-@pytest.mark.parametrize("large", [24, 1])
-def test_near_duplicates(spark, rows, empty, monkeypatch, large):
-    monkeypatch.setattr(neardup, "LARGE", large)
+@pytest.mark.parametrize("split", [False, True])
+def test_near_duplicates(spark, rows, empty, monkeypatch, split):
+    if split:  # blocks of few members, every key dealt to several tasks
+        monkeypatch.setattr(neardup, "BLOCK", 4)
+        monkeypatch.setattr(common, "HOT_ROWS", 2)
+        monkeypatch.setattr(common, "HOT_SHARE", 1 << 40)
     rng = np.random.default_rng(3)
     more = list(rows)
     base = prose(77, 160).split()
@@ -303,6 +306,22 @@ def test_near_duplicates(spark, rows, empty, monkeypatch, large):
     assert neardup.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_at_half(spark):
+    rng = np.random.default_rng(4)
+    base = prose(78, 120).split()
+    rows = [(i, " ".join(f"new{i}x{k}" if rng.random() < i / 90 else w for k, w in enumerate(base))) for i in range(60)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), neardup.Near(1, 50)).collect()}
+    assert got == plain_components(rows, 1, 50) and len({c for _, c in got.values()}) > 1
+    with pytest.raises(ValueError):
+        neardup.Near(3, 5).chunk  # noqa: B018
+
+
+def test_counts_of_common_elements():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 6000, int(n), dtype=np.uint64)) for n in rng.integers(1, 4000, 12)]
+    assert neardup.common_counts(sets).tolist() == [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+
+
 def test_signature_index_finds_all_within_its_distance():
     near = neardup.Near(3, 85)
     rng = np.random.default_rng(0)
