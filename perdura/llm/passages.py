@@ -31,36 +31,13 @@ from pyspark.sql import functions as F
 
 from perdura.llm.common import join_by_key, map_rows, record_batch, stored, to_arrow
 from perdura.llm.graphs import chosen_rows, hash_bits, id_bits, may_hold
-from perdura.llm.words import mixed, word_hashes
+from perdura.llm.words import Runs, mixed, word_hashes
 
 SIZE, K, BLOCK = 50, 10, 25
 #: Words of a shard's phrases, and documents that one task streams through a shard.
 SHARD_WORDS, SHARD_DOCS = 400_000, 2_000
 #: Bits (as a power of two) of the filters of anchors and of spans: 8 MB each.
 ANCHOR_BITS = 26
-BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
-
-
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
-
-
-UP, DOWN = powers(BASE, 1 << 15), powers(INVERSE, 1 << 15)
-
-
-class Runs:
-    """Hashes of runs of a text's words, from sums of powers."""
-
-    def __init__(self, words: list[bytes]):
-        n = len(words)
-        up, self.down = (UP, DOWN) if n < len(UP) else (powers(BASE, n + 1), powers(INVERSE, n + 1))
-        self.sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.add.accumulate(word_hashes(words) * up[:n], dtype=np.uint64)])
-
-    def of(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
-        return mixed((self.sums[start + length] - self.sums[start]) * self.down[start] + np.asarray(length, dtype=np.uint64))
 
 
 def spans(runs: Runs, n: int, size: int = SIZE, k: int = K) -> tuple[np.ndarray, ...]:
@@ -93,7 +70,7 @@ def all_spans(docs: DataFrame) -> DataFrame:
     def batch(b: pa.RecordBatch) -> dict:
         out: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(5)]
         for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-            words = read_words(t)
+            words = word_hashes((t or "").encode("utf-8", "surrogatepass"))
             if len(words) >= SIZE:
                 h, s, first, n = spans(Runs(words), len(words))
                 for x, y in zip(out, (h.view(np.int64), s.view(np.int64), np.full(len(h), i), first, n), strict=True):
@@ -121,7 +98,7 @@ def windows(docs: DataFrame, ids: np.ndarray, bits: np.ndarray) -> DataFrame:
     def batch(doc_ids: list, values: list[str]) -> dict:
         out: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(5)]
         for i, t in zip(doc_ids, values, strict=True):
-            words = read_words(t)
+            words = word_hashes(t.encode("utf-8", "surrogatepass"))
             if len(words) >= SIZE:
                 runs = Runs(words)
                 h, s, first, n = spans(runs, len(words))
@@ -193,26 +170,31 @@ def phrases(stretches: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 class Shard:
-    """The automaton of the phrases' blocks; words are numbered exactly, not hashed."""
+    """The automaton of the phrases' blocks. A text is a string in which every word has its own code of WIDE characters,
+    one of a different alphabet at each place, so that no node of the automaton has very many branches."""
 
     def __init__(self) -> None:
-        self.numbers: dict[bytes, int] = {}
+        self.codes: dict[bytes, str] = {}
         #: By block: the words before and after it (up to SIZE - BLOCK each) at its places, and the first owner.
-        self.places: dict[tuple[int, ...], dict[tuple, int]] = {}
+        self.places: dict[str, dict[tuple[str, str], int]] = {}
         self.automaton = None
 
     def add_phrase(self, owner: int, phrase: bytes) -> None:
-        numbers, room = self.numbers, SIZE - BLOCK
-        line = tuple([numbers.setdefault(w, len(numbers) + 1) for w in phrase.split(b" ")])
-        for x in range(0, len(line) - BLOCK + 1, BLOCK):
-            around = line[max(0, x - room) : x], line[x + BLOCK : x + SIZE]
-            known = self.places.setdefault(line[x : x + BLOCK], {})
+        codes, words = self.codes, phrase.split(b" ")
+        for w in words:
+            if w not in codes:
+                codes[w] = code(len(codes) + 1)
+        line = "".join(map(codes.__getitem__, words))
+        block, room = WIDE * BLOCK, WIDE * (SIZE - BLOCK)
+        for x in range(0, len(line) - block + 1, block):
+            around = line[max(0, x - room) : x], line[x + block : x + block + room]
+            known = self.places.setdefault(line[x : x + block], {})
             known[around] = min(owner, known.get(around, owner))
 
     def compile(self) -> None:
         import ahocorasick
 
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY)
         for block, known in self.places.items():
             self.automaton.add_word(block, [(before, after, owner) for (before, after), owner in known.items()])
         self.places = {}
@@ -220,19 +202,23 @@ class Shard:
 
     def find(self, doc_id: int, words: list[bytes]) -> list[int]:
         """Starts and ends, in turn and in order, of the stretches of matching windows whose owner is before doc_id."""
-        line = tuple(map(self.numbers.get, words, repeat(0)))
-        room, out = SIZE - BLOCK, []
-        for end, known in self.automaton.iter(line) if len(line) >= SIZE else ():
-            x = end + 1 - BLOCK
-            left, right = line[max(0, x - room) : x], line[x + BLOCK : x + SIZE]
+        out: list[int] = []
+        if len(words) < SIZE:
+            return out
+        line = "".join(map(self.codes.get, words, repeat(UNKNOWN)))
+        block, room = WIDE * BLOCK, WIDE * (SIZE - BLOCK)
+        for end, known in self.automaton.iter(line):
+            x = end + 1 - block
+            left, right = line[max(0, x - room) : x], line[x + block : x + block + room]
             for before, after, owner in known:
                 if owner >= doc_id:
                     continue
-                if out and out[-2] <= x - len(left) and x + BLOCK + len(right) <= out[-1]:
+                if out and out[-2] <= x - len(left) and x + block + len(right) <= out[-1]:
                     break  # all that this block could add is there
-                m = BLOCK + common(left[::-1], before[::-1]) + (r := common(right, after))
-                if m >= SIZE:
-                    e = x + BLOCK + r
+                r = common(right, after)
+                m = block + common(left[::-1], before[::-1]) + r
+                if m >= WIDE * SIZE:
+                    e = x + block + r
                     s = e - m
                     while out and out[-2] >= s and out[-1] <= e:
                         del out[-2:]
@@ -240,15 +226,26 @@ class Shard:
                         out[-2], out[-1] = min(s, out[-2]), max(e, out[-1])
                     else:
                         out += [s, e]
-        return out
+        return [x // WIDE for x in out]
+
+
+WIDE, ALPHABET = 3, 74
+
+
+def code(n: int) -> str:
+    """The characters of word number n; the first alphabet is open, the others have ALPHABET characters."""
+    return chr(0x1000 + n // ALPHABET**2) + chr(0x100 + n // ALPHABET % ALPHABET) + chr(0x200 + n % ALPHABET)
+
+
+UNKNOWN = code(0)
 
 
-def common(a: tuple, b: tuple) -> int:
-    """How many elements two tuples have in common from their start."""
+def common(a: str, b: str) -> int:
+    """How many characters two strings have in common from their start, in whole words."""
     n = min(len(a), len(b))
     if a[:n] == b[:n]:
         return n
-    return next(i for i in range(n) if a[i] != b[i])
+    return next(i for i in range(0, n, WIDE) if a[i : i + WIDE] != b[i : i + WIDE])
 
 
 def kept_words(words: list[bytes], found: list[tuple[int, int]]) -> list[bytes]:
