@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from perdura.llm import fingerprint, langid, mixing, neardup, packing, passages, pii, quality, rules, urls
-from perdura.llm.common import checkpointed, crc_mod, table
+from perdura.llm.common import checkpointed, crc_mod, stored, table
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -24,8 +24,8 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = checkpointed(mixing.compact(table(spark, sf_dir, "documents")))
-    return mixing.mix_sources(rows, size="size").select("doc_id", "size", "source_size", "target", "taken")
+    small = stored(mixing.compact(table(spark, sf_dir, "documents")))
+    return mixing.mix_compact(small).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return urls.filter_urls(pages, urls.fixed_rules(spark)).select("page_id", "host", "path", "rule", "verdict")
+    return urls.filter_urls(pages, urls.fixed_rules(spark), urls.fixed_list(spark)).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
 
-OP4_SQL = """
+OP4_SQL = r"""
 WITH parsed AS (
   SELECT page_id,
     coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
@@ -81,7 +81,11 @@ rules(h, p, v) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'al
 fits AS (
   SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS v
   FROM parsed, rules WHERE (host = h OR suffix(host, '.' || h)) AND prefix(path, p) GROUP BY page_id)
-SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM parsed LEFT JOIN fits USING (page_id)
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN EXISTS (
+    SELECT 1 FROM (VALUES ('cheap-pills.example.com'), ('spam-farm.example.org')) AS listed(site)
+    WHERE site = bare OR suffix(bare, '.' || site)) THEN 'block' ELSE 'allow' END) AS verdict
+FROM (SELECT *, regexp_replace(regexp_replace(host, '(?s)^.*@', ''), '\.*(:[0-9]*)?$', '') AS bare FROM parsed)
+LEFT JOIN fits USING (page_id)
 """
 
 
