@@ -3,12 +3,15 @@
 Each language has its own probabilities of the pieces of one fixed public vocabulary.
 A word's probability is the sum over all its segmentations into pieces, by the forward
 algorithm; the probabilities are learned by expectation-maximisation, with the forward
-and backward sums over the words of a bounded sample of documents per language.
+and backward sums over the words of a bounded sample of documents per language. Words
+of any length are summed whole; those whose probability could be too small for a
+number are summed by logarithms.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,12 +23,15 @@ from perdura.llm.common import crc_mod, map_rows
 
 #: Documents that a language is learned from: about so many, chosen by id hash.
 DOCS_PER_LANGUAGE = 400
+#: Languages that are learned: those with the most documents.
 MAX_LANGUAGES = 500
 EM_ROUNDS, PRIOR = 4, 0.05
-#: Longer words are scored in stretches of so many characters.
-STRETCH = 40
-#: Words whose scores a Python worker keeps; the table is emptied when full.
-CACHE_WORDS = 300_000
+#: Sums over longer words are by logarithms.
+SHORT = 40
+#: Sums that are held at once: words by positions by languages.
+CELLS = 4_000_000
+#: Words, and scores, that a Python worker keeps at most; the table is emptied when full.
+CACHE_WORDS, CACHE_SCORES = 300_000, 12_000_000
 #: Bytes that part words: ASCII but letters. What is not ASCII stays.
 TO_SPACE = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -79,62 +85,77 @@ class Vocabulary:
         return (*(np.array(x, dtype=np.int64) for x in (word, start, end, piece)), lengths)
 
 
-def forward(edges: tuple, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sums over segmentations: alpha[word, position, language], for p[piece, language]."""
+def sums(edges: tuple, p: np.ndarray, back: bool, logs: bool) -> np.ndarray:
+    """Sums over segmentations: alpha[word, position, language] of what is before a position (with back, beta of what
+    is after it), for p[piece, language]; with logs, p and the sums are logarithms."""
     word, start, end, piece, lengths = edges
     width = int(lengths.max(initial=0)) + 1
-    alpha = np.zeros((len(lengths), width, p.shape[1]))
-    alpha[:, 0] = 1
-    order = np.lexsort((word, end))
-    ends = np.searchsorted(end[order], np.arange(width + 1))
-    for e in range(1, width):
-        k = order[ends[e] : ends[e + 1]]
+    out = np.full((len(lengths), width, p.shape[1]), -np.inf if logs else 0.0)
+    out[np.arange(len(lengths)), lengths if back else 0] = 0 if logs else 1
+    from_, to = (end, start) if back else (start, end)
+    order = np.lexsort((word, to))
+    at = np.searchsorted(to[order], np.arange(width + 1))
+    for e in range(width - 2, -1, -1) if back else range(1, width):
+        k = order[at[e] : at[e + 1]]
         if len(k):
-            flow = alpha[word[k], start[k]] * p[piece[k]]
             first = np.flatnonzero(np.diff(word[k], prepend=-1))
-            alpha[word[k][first], e] = np.add.reduceat(flow, first, axis=0)
-    return alpha, alpha[np.arange(len(lengths)), lengths]
+            if logs:
+                out[word[k][first], e] = np.logaddexp.reduceat(out[word[k], from_[k]] + p[piece[k]], first, axis=0)
+            else:
+                out[word[k][first], e] = np.add.reduceat(out[word[k], from_[k]] * p[piece[k]], first, axis=0)
+    return out
+
 
+def log_totals(edges: tuple, p: np.ndarray, logs: bool) -> np.ndarray:
+    """Log probabilities, words by languages."""
+    lengths = edges[4]
+    total = sums(edges, p, False, logs)[np.arange(len(lengths)), lengths]
+    return total if logs else np.log(total)
 
-def backward(edges: tuple, p: np.ndarray) -> np.ndarray:
+
+def expected(edges: tuple, p: np.ndarray, logs: bool) -> np.ndarray:
+    """Each edge's share of its word's segmentations, for p[piece, 1]."""
     word, start, end, piece, lengths = edges
-    width = int(lengths.max(initial=0)) + 1
-    beta = np.zeros((len(lengths), width, p.shape[1]))
-    beta[np.arange(len(lengths)), lengths] = 1
-    order = np.lexsort((word, start))
-    starts = np.searchsorted(start[order], np.arange(width + 1))
-    for s in range(width - 2, -1, -1):
-        k = order[starts[s] : starts[s + 1]]
-        if len(k):
-            flow = beta[word[k], end[k]] * p[piece[k]]
-            first = np.flatnonzero(np.diff(word[k], prepend=-1))
-            beta[word[k][first], s] = np.add.reduceat(flow, first, axis=0)
-    return beta
+    alpha, beta = sums(edges, p, False, logs), sums(edges, p, True, logs)
+    total = alpha[np.arange(len(lengths)), lengths, 0][word]
+    if logs:
+        return np.exp(alpha[word, start, 0] + p[piece, 0] + beta[word, end, 0] - total)
+    return alpha[word, start, 0] * p[piece, 0] * beta[word, end, 0] / total
+
 
+def grouped(words: list[str], languages: int) -> Iterator[tuple[np.ndarray, bool]]:
+    """Numbers of words whose sums are held at once, and whether by logarithms; words of like lengths together."""
+    lengths = np.array([len(w) for w in words], dtype=np.int64)
+    order = np.argsort(lengths, kind="stable")
+    cut = int(np.searchsorted(lengths[order], SHORT, side="right"))
+    for part, logs in ((order[:cut], False), (order[cut:], True)):
+        a = 0
+        while a < len(part):
+            # As many as fit by the length of the last one.
+            n = (lengths[part[a:]] + 1) * languages * np.arange(1, len(part) - a + 1)
+            b = a + max(1, int(np.searchsorted(n, CELLS, side="right")))
+            yield part[a:b], logs
+            a = b
 
-def marked(word: bytes) -> list[str]:
-    """The word with its mark, in stretches."""
-    s = "▁" + word.decode("utf-8", "replace")
-    return [s[i : i + STRETCH] for i in range(0, len(s), STRETCH)]
+
+def marked(word: bytes) -> str:
+    return "▁" + word.decode("utf-8", "replace")
 
 
 def learn(counts: Counter, vocabulary: Vocabulary) -> np.ndarray:
     """Piece probabilities from a language's word counts, by expectation-maximisation."""
-    parts: Counter = Counter()
-    for w, n in sorted(counts.items()):
-        for s in marked(w):
-            parts[s] += n
-    names = list(parts)
-    n = np.array([parts[s] for s in names], dtype=float)
-    edges = vocabulary.lattice(names)
-    word, start, end, piece, _ = edges
-    found = np.bincount(piece, n[word] * (end - start) ** 2, vocabulary.size)  # longer pieces are likelier to begin with
+    pairs = sorted(counts.items())
+    names = [marked(w) for w, _ in pairs]
+    n = np.array([c for _, c in pairs], dtype=float)
+    parts = [(vocabulary.lattice([names[i] for i in some]), n[some], logs) for some, logs in grouped(names, 1)]
+    found = np.zeros(vocabulary.size)
+    for (word, start, end, piece, _), m, _ in parts:
+        found += np.bincount(piece, m[word] * (end - start) ** 2, vocabulary.size)  # longer pieces are likelier to begin with
     for _ in range(EM_ROUNDS):
-        p = (found + PRIOR) / (found.sum() + PRIOR * vocabulary.size)
-        alpha, total = forward(edges, p[:, None])
-        beta = backward(edges, p[:, None])
-        share = alpha[word, start, 0] * p[piece] * beta[word, end, 0] / np.maximum(total[word, 0], 1e-300)
-        found = np.bincount(piece, n[word] * share, vocabulary.size)
+        p = ((found + PRIOR) / (found.sum() + PRIOR * vocabulary.size))[:, None]
+        found = np.zeros(vocabulary.size)
+        for edges, m, logs in parts:
+            found += np.bincount(edges[3], m[edges[0]] * expected(edges, np.log(p) if logs else p, logs), vocabulary.size)
     return (found + PRIOR) / (found.sum() + PRIOR * vocabulary.size)
 
 
@@ -158,15 +179,10 @@ def vocabulary(path: str) -> Vocabulary:
 
 def word_scores(model: Model, words: list[bytes]) -> np.ndarray:
     """Log probabilities, words by languages."""
-    parts, owner = [], []
-    for i, w in enumerate(words):
-        for s in marked(w):
-            parts.append(s)
-            owner.append(i)
+    names = [marked(w) for w in words]
     out = np.zeros((len(words), len(model.languages)))
-    for a in range(0, len(parts), 20_000):
-        _, total = forward(vocabulary(model.path).lattice(parts[a : a + 20_000]), model.p)
-        np.add.at(out, owner[a : a + 20_000], np.log(np.maximum(total, 1e-300)))
+    for some, logs in grouped(names, len(model.languages)):
+        out[some] = log_totals(vocabulary(model.path).lattice([names[i] for i in some]), np.log(model.p) if logs else model.p, logs)
     return out
 
 
@@ -176,18 +192,19 @@ def identify(model: Model, values: list[str | None]) -> tuple[list[str], list[fl
     key = hash((model.path, tuple(model.languages), model.p[:: max(1, len(model.p) // 997)].tobytes()))
     if key not in SCORES:
         SCORES.clear()
-        SCORES[key] = ({}, np.empty((CACHE_WORDS + 1, len(model.languages))))
+        SCORES[key] = ({}, np.empty((min(CACHE_WORDS, CACHE_SCORES // len(model.languages)) + 1, len(model.languages))))
     at, scores = SCORES[key]
+    most = len(scores) - 1
     labels, best = [], []
     step = 500
     for a in range(0, len(values), step):
         docs = [words_of(t or "") for t in values[a : a + step]]
         new = list({w for d in docs for w in d if w not in at})
-        if len(at) + len(new) > CACHE_WORDS:
+        if len(at) + len(new) > most:
             at.clear()
             new = list({w for d in docs for w in d})
         over = None
-        if len(new) > CACHE_WORDS:  # very many different words at once: a table for these documents alone
+        if len(new) > most:  # very many different words at once: a table for these documents alone
             over = ({w: i for i, w in enumerate(new)}, word_scores(model, new))
         elif new:
             scores[len(at) : len(at) + len(new)] = word_scores(model, new)
@@ -208,13 +225,13 @@ def identify(model: Model, values: list[str | None]) -> tuple[list[str], list[fl
 def train(docs: DataFrame, path: str, folds: int = 3, held: int = 1, per_language: int = DOCS_PER_LANGUAGE) -> Model:
     """Learns from about per_language documents for each language outside the held-out fold.
 
-    Rows with a null text or lang are left out. Only word counts of those documents
-    reach the driver.
+    Rows with a null text or lang are left out. Of more than MAX_LANGUAGES values of lang,
+    those of the most documents are learned. Only word counts of the chosen documents reach
+    the driver. Repeated rows are chosen together.
     """
     usable = docs.select("doc_id", "text", "lang").filter("lang is not null and text is not null").filter(crc_mod(F.col("doc_id"), folds) != held)
-    sizes = {r[0]: r[1] for r in usable.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    most = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
+    sizes = {r[0]: r[1] for r in most.collect()}
     languages = sorted(sizes)
     if not languages:
         return Model(path, [], np.zeros((0, 0)))
@@ -239,13 +256,16 @@ def identify_language(docs: DataFrame, model: Model) -> DataFrame:
     """docs with lang_pred and score, the posterior share of that language. Narrow: no shuffle.
 
     A text that is null or has no letter is 'und' with score 0, as are all texts if no
-    language was learned. Columns named lang_pred or score are replaced.
+    language was learned. Of languages alike, the first by name is given. Columns named
+    lang_pred or score are replaced; other columns and repeated rows stay.
     """
     kept = docs.drop("lang_pred", "score")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", lang_pred string, score double"
 
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
     def batch(b: pa.RecordBatch) -> dict:
-        labels, best = identify(model, b.column("text").to_pylist())
+        labels, best = identify(shared.value, b.column("text").to_pylist())
         return {n: b.column(n) for n in b.schema.names} | {"lang_pred": labels, "score": best}
 
     return map_rows(kept, schema, batch)
