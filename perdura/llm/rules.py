@@ -2,9 +2,12 @@
 
 Each text becomes a vector of transformed statistics. For every language and source
 the minimum-covariance-determinant estimate of centre and scatter is found by
-concentration steps from a median start: each step takes the H share of rows with the
-smallest Mahalanobis distances and estimates anew. A last reweighted estimate then
-rejects vectors whose squared distance is beyond CUTOFF. All is DataFrame code.
+concentration steps from three starts about the medians (quartile ranges, spatial signs,
+bounded scores): each step takes the H share of rows with the smallest Mahalanobis
+distances and estimates anew, until nothing changes. Of a group's estimates that of the
+smallest determinant is taken. A last reweighted estimate then rejects vectors whose
+squared distance is beyond the TAIL quantile of the chi-squared law. All is DataFrame
+code.
 
 Vectors and distances are rounded to small integers, so that sums are exact whatever
 the order of rows, and the nearest share is found from counts by distance, of which
@@ -18,24 +21,28 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from perdura.llm.common import WORD, checkpointed
+from perdura.llm.common import WORD, join_by_key, stored
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MOST_REPEATED = 50, 50
 #: Units in 1 of a vector's entry.
 UNIT = 1024
 NAMES = ["v_length", "v_symbols", "v_lines", "v_repeats", "v_capitals"]
-#: Standard deviations that are added to every scatter: differences below these mean nothing.
+#: Standard deviations that are added to every scatter: differences below these mean nothing. For a share's root they are
+#: about 1 / (2 sqrt(n)), the noise of counting n units, in a text of 30 lines or words that could repeat or 100 to 150 characters.
 RESOLUTION = [0.08, 0.04, 0.10, 0.09, 0.05]
 #: Lines and words without a repeat that are added to every text's, so that one repeat in a short text means little.
 MORE_LINES, MORE_WORDS = 4, 50
-H, STEPS = 0.75, 3
-#: Quantiles of the chi-squared law with 5 degrees of freedom: for the reweighting (0.975) and for the verdict.
-INNER, CUTOFF = 12.833, 40.0
-#: Rows that a group needs for estimates of its own; smaller ones are pooled by language, then all together.
-MIN_GROUP = 60
+#: Share of rows that an estimate is taken from, and steps after which it is taken as it is.
+H, MOST_STEPS = 0.75, 30
+#: Chances of a normal vector to be left out of the last estimate, and to be rejected.
+INNER_TAIL, TAIL = 0.025, 1e-7
+#: Rows that a group needs for estimates of its own (smaller ones are pooled by language, then all together), and that a
+#: pool needs for a verdict.
+MIN_GROUP, LEAST_ROWS = 60, 10
 #: Group tables up to this many rows are broadcast (about 15 MB), larger ones joined by shuffle.
 BROADCAST_GROUPS = 50_000
+P = len(NAMES)
 
 
 def chi2_cdf(x: float, k: int) -> float:
@@ -50,13 +57,17 @@ def chi2_cdf(x: float, k: int) -> float:
     return total * math.exp(-z + a * math.log(z) - math.lgamma(a))
 
 
-def consistency(share: float, k: int) -> float:
-    """What the scatter of the nearest share of normal vectors must be multiplied by."""
+def chi2_quantile(share: float, k: int) -> float:
     low, high = 1e-6, 200.0
     for _ in range(80):
         mid = (low + high) / 2
         low, high = (mid, high) if chi2_cdf(mid, k) < share else (low, mid)
-    return share / chi2_cdf(low, k + 2)
+    return low
+
+
+def consistency(share: float, k: int) -> float:
+    """What the scatter of the nearest share of normal vectors must be multiplied by."""
+    return share / chi2_cdf(chi2_quantile(share, k), k + 2)
 
 
 def statistics(docs: DataFrame) -> DataFrame:
@@ -100,110 +111,139 @@ def key(*columns: Column) -> Column:
     return F.concat_ws("|", *[F.coalesce(F.concat(F.lit("="), c), F.lit("null")) for c in columns])
 
 
-def small(df: DataFrame, n: int) -> DataFrame:
-    return F.broadcast(df) if n <= BROADCAST_GROUPS else df
+def grouped(rows: DataFrame, min_group: int) -> DataFrame:
+    """Adds _group: language and source, or the language's pool, or the pool of all. rows are stored."""
+    own, pool = key(F.col("lang"), F.col("source")), key(F.col("lang"))
+    named = rows.withColumn("_own", own)
+    all_rows = named.groupBy("_own", pool.alias("_pool")).agg(F.count(F.lit(1)).alias("k"), F.count_if(~F.col("base_failed")).alias("n"))
+    sizes = stored(all_rows)
+    pools = sizes.filter(F.col("n") < min_group).groupBy("_pool").agg(F.sum("n").alias("pooled"))
+    group = F.when(F.col("n") >= min_group, F.concat(F.lit("own:"), "_own")).when(F.col("pooled") >= min_group, F.concat(F.lit("pool:"), "_pool")).otherwise("all")
+    chosen = stored(sizes.join(pools, "_pool", "left").select("_own", "k", group.alias("_group")))
+    return joined(named, chosen, "_own").drop("_own", "k")
+
 
+def joined(rows: DataFrame, groups: DataFrame, name: str) -> DataFrame:
+    """rows with what groups (stored, with k, a group's rows) has for each; a group with very many rows is joined in several tasks."""
+    return rows.join(F.broadcast(groups), name) if groups.count() <= BROADCAST_GROUPS else join_by_key(rows, groups, [name])
 
-def grouped(rows: DataFrame) -> tuple[DataFrame, int]:
-    """Adds _group: language and source, or the language's pool, or the pool of all; and their number."""
-    own, pool = key(F.col("lang"), F.col("source")), key(F.col("lang"))
-    sizes = checkpointed(rows.filter("not base_failed").groupBy(own.alias("_own"), pool.alias("_pool")).agg(F.count(F.lit(1)).alias("n")))
-    n = sizes.count()
-    pools = sizes.filter(F.col("n") < MIN_GROUP).groupBy("_pool").agg(F.sum("n").alias("pooled"))
-    chosen = sizes.join(small(pools, n), "_pool", "left").select("_own", F.when(F.col("n") >= MIN_GROUP, F.concat(F.lit("own:"), "_own")).when(F.col("pooled") >= MIN_GROUP, F.concat(F.lit("pool:"), "_pool")).otherwise("all").alias("_group"))
-    return rows.withColumn("_own", own).join(small(chosen, n), "_own", "left").drop("_own"), n
+
+PAIRS = [(i, j) for j in range(P) for i in range(j, P)]
 
 
 def with_factor(model: DataFrame, scale: Column) -> DataFrame:
-    """Adds the lower factor l_i_j of scale * scatter + resolution, from columns c_i_j, by Cholesky."""
-    p = len(NAMES)
-    for j in range(p):
-        for i in range(j, p):
+    """From scatters c_i_j, the lower factor l_i_j of scale * scatter + resolution, by Cholesky, and det, the log of its determinant."""
+    for j in range(P):
+        for i in range(j, P):
             x = F.col(f"c_{i}_{j}") * scale + (F.lit(RESOLUTION[i] ** 2) if i == j else F.lit(0.0))
             for k in range(j):
                 x = x - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
             x = F.sqrt(F.greatest(x, F.lit(1e-12))) if i == j else x / F.col(f"l_{j}_{j}")
             model = model.withColumn(f"l_{i}_{j}", x)
-    return model.drop(*[f"c_{i}_{j}" for j in range(p) for i in range(j, p)])
+    det = sum((F.log(f"l_{i}_{i}") for i in range(1, P)), F.log("l_0_0"))
+    return model.drop(*[f"c_{i}_{j}" for i, j in PAIRS]).withColumn("det", det)
 
 
-def distance(rows: DataFrame, model: DataFrame, n: int) -> DataFrame:
-    """Adds _d2, the squared Mahalanobis distance; null where the group has no model."""
-    p = len(NAMES)
-    out = rows.join(small(model, n), "_group", "left")
+def distance(rows: DataFrame, model: DataFrame) -> DataFrame:
+    """rows for each of their group's models, with _d2, the squared Mahalanobis distance."""
+    out = joined(rows, model, "_group")
     for i, name in enumerate(NAMES):
         x = F.col(name) / UNIT - F.col(f"m_{i}")
         for k in range(i):
             x = x - F.col(f"l_{i}_{k}") * F.col(f"_y{k}")
         out = out.withColumn(f"_y{i}", x / F.col(f"l_{i}_{i}"))
-    d2 = sum((F.col(f"_y{i}") * F.col(f"_y{i}") for i in range(1, p)), F.col("_y0") * F.col("_y0"))
-    own = [c for c in model.columns if c != "_group"]
-    return out.withColumn("_d2", d2).drop(*own, *[f"_y{i}" for i in range(p)])
-
-
-def start(rows: DataFrame) -> DataFrame:
-    """Medians and quartile ranges by group; entries are whole numbers of a bounded range, so the counts behind them are bounded."""
-    p = len(NAMES)
-    q = rows.groupBy("_group").agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q_{i}") for i, c in enumerate(NAMES)])
-    columns = [(F.get(f"q_{i}", F.lit(1)) / UNIT).alias(f"m_{i}") for i in range(p)]
-    spread = [F.pow((F.get(f"q_{i}", F.lit(2)) - F.get(f"q_{i}", F.lit(0))) / (1.349 * UNIT), F.lit(2.0)) for i in range(p)]
-    columns += [(spread[i] if i == j else F.lit(0.0)).alias(f"c_{i}_{j}") for j in range(p) for i in range(j, p)]
-    return with_factor(q.select("_group", *columns), F.lit(1.0))
+    d2 = sum((F.col(f"_y{i}") * F.col(f"_y{i}") for i in range(1, P)), F.col("_y0") * F.col("_y0"))
+    own = [c for c in model.columns if c not in ("_group", "_start")]
+    return out.withColumn("_d2", d2).drop(*own, *[f"_y{i}" for i in range(P)])
+
+
+def starts(rows: DataFrame) -> DataFrame:
+    """_group, _start, k and a centre and factor for each start. Entries are whole numbers of a bounded range, so the counts
+    behind the quartiles are bounded."""
+    q = rows.groupBy("_group").agg(F.count(F.lit(1)).alias("k"), *[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q_{i}") for i, c in enumerate(NAMES)])
+    middle = [(F.get(f"q_{i}", F.lit(1)) / UNIT).alias(f"m_{i}") for i in range(P)]
+    spread = [F.greatest((F.get(f"q_{i}", F.lit(2)) - F.get(f"q_{i}", F.lit(0))) / (1.349 * UNIT), F.lit(RESOLUTION[i])).alias(f"s_{i}") for i in range(P)]
+    q = stored(q.select("_group", "k", *middle, *spread))
+    z = joined(rows, q, "_group").select("_group", *[((F.col(n) / UNIT - F.col(f"m_{i}")) / F.col(f"s_{i}")).alias(f"z_{i}") for i, n in enumerate(NAMES)])
+    norm2 = F.greatest(sum((F.col(f"z_{i}") * F.col(f"z_{i}") for i in range(1, P)), F.col("z_0") * F.col("z_0")), F.lit(1e-9))
+    # Products are rounded to whole numbers, so that their sums do not depend on the order of rows.
+    whole = lambda x: F.round(x * (1 << 20)).cast("long")
+    signs = [F.sum(whole(F.col(f"z_{i}") * F.col(f"z_{j}") / norm2)).alias(f"a_{i}_{j}") for i, j in PAIRS]
+    scores = [F.sum(whole(F.tanh(f"z_{i}") * F.tanh(f"z_{j}"))).alias(f"b_{i}_{j}") for i, j in PAIRS]
+    t = joined(z.groupBy("_group").agg(*signs, *scores), q, "_group")
+    out = None
+    for number in range(3):
+        share = lambda i, j, t="ab"[number - 1]: F.col(f"{t}_{i}_{j}") / F.greatest(F.sqrt(F.col(f"{t}_{i}_{i}") * F.col(f"{t}_{j}_{j}")), F.lit(1.0))
+        c = [((F.lit(float(i == j)) if number == 0 else share(i, j)) * F.col(f"s_{i}") * F.col(f"s_{j}")).alias(f"c_{i}_{j}") for i, j in PAIRS]
+        one = t.select("_group", F.lit(number).alias("_start"), "k", *[f"m_{i}" for i in range(P)], *c)
+        out = one if out is None else out.unionByName(one)
+    return with_factor(out, F.lit(1.0))
+
+
+SUMS = [f"s_{i}" for i in range(P)] + [f"s_{i}_{j}" for i, j in PAIRS]
 
 
 def sums() -> list[Column]:
-    p = len(NAMES)
-    return [F.sum(NAMES[i]).alias(f"s_{i}") for i in range(p)] + [F.sum(F.col(NAMES[i]) * F.col(NAMES[j])).alias(f"s_{i}_{j}") for j in range(p) for i in range(j, p)]
+    return [F.sum(NAMES[i]).alias(f"s_{i}") for i in range(P)] + [F.sum(F.col(NAMES[i]) * F.col(NAMES[j])).alias(f"s_{i}_{j}") for i, j in PAIRS]
 
 
 def estimate(binned: DataFrame, scale: Column) -> DataFrame:
-    """Centre and factor from sums over chosen bins of rows."""
-    p = len(NAMES)
-    names = [f"s_{i}" for i in range(p)] + [f"s_{i}_{j}" for j in range(p) for i in range(j, p)]
-    t = binned.groupBy("_group").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in names])
+    """Centre and factor from sums over chosen bins of rows; k stays."""
+    t = binned.groupBy("_group", "_start").agg(F.max("k").alias("k"), F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in SUMS])
     mean = lambda i: F.col(f"s_{i}") / F.col("n") / UNIT
-    columns = [mean(i).alias(f"m_{i}") for i in range(p)]
-    columns += [(F.col(f"s_{i}_{j}") / F.col("n") / UNIT**2 - mean(i) * mean(j)).alias(f"c_{i}_{j}") for j in range(p) for i in range(j, p)]
-    return with_factor(t.select("_group", *columns), scale)
+    columns = [mean(i).alias(f"m_{i}") for i in range(P)]
+    columns += [(F.col(f"s_{i}_{j}") / F.col("n") / UNIT**2 - mean(i) * mean(j)).alias(f"c_{i}_{j}") for i, j in PAIRS]
+    return with_factor(t.select("_group", "_start", "k", *columns), scale)
 
 
-def concentrate(rows: DataFrame, model: DataFrame, n: int) -> DataFrame:
-    """One step: the estimate from the H share of each group's rows that are nearest."""
-    near = distance(rows, model, n).withColumn("_bin", F.least(F.floor(F.log2(1 + F.col("_d2")) * 64), F.lit(4000)))
-    bins = near.groupBy("_group", "_bin").agg(F.count(F.lit(1)).alias("n"), *sums())
-    order = Window.partitionBy("_group").orderBy("_bin")
+def concentrate(rows: DataFrame, model: DataFrame) -> DataFrame:
+    """One step: the estimates from the H share of each group's rows that are nearest."""
+    near = distance(rows, model).withColumn("_bin", F.least(F.floor(F.log2(1 + F.col("_d2")) * 64), F.lit(4000)))
+    bins = near.groupBy("_group", "_start", "_bin").agg(F.count(F.lit(1)).alias("n"), *sums())
+    order = Window.partitionBy("_group", "_start").orderBy("_bin")
     before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("n").over(Window.partitionBy("_group"))
-    chosen = bins.withColumn("_before", before).withColumn("_total", total).filter(F.col("_before") < H * F.col("_total"))
-    return estimate(chosen, F.lit(consistency(H, len(NAMES))))
+    total = F.sum("n").over(Window.partitionBy("_group", "_start"))
+    chosen = bins.withColumn("_before", before).withColumn("k", total).filter(F.col("_before") < H * F.col("k"))
+    return estimate(chosen, F.lit(consistency(H, P)))
+
+
+def reweight(rows: DataFrame, model: DataFrame) -> DataFrame:
+    near = distance(rows, model)
+    inner = near.groupBy("_group", "_start").agg(*[F.sum(F.when(F.col("_d2") <= chi2_quantile(1 - INNER_TAIL, P), x)).alias(c) for c, x in zip(["n", *SUMS], [F.lit(1), *[F.col(c) for c in NAMES], *[F.col(NAMES[i]) * F.col(NAMES[j]) for i, j in PAIRS]], strict=True)], F.count(F.lit(1)).alias("k"))
+    return estimate(inner.filter("n > 0"), F.lit(consistency(1 - INNER_TAIL, P)))
 
 
-def reweight(rows: DataFrame, model: DataFrame, n: int) -> DataFrame:
-    inner = distance(rows, model, n).filter(F.col("_d2") <= INNER)
-    return estimate(inner.groupBy("_group").agg(F.count(F.lit(1)).alias("n"), *sums()), F.lit(consistency(0.975, len(NAMES))))
+def robust(rows: DataFrame) -> DataFrame:
+    """_group and k with the reweighted minimum-covariance-determinant estimate, for rows (_group and NAMES, stored)."""
+    model, seen = stored(starts(rows)), set()
+    for _ in range(MOST_STEPS):
+        state = model.agg(F.bit_xor(F.xxhash64("_group", "_start", *[F.round(f"m_{i}", 9) for i in range(P)], F.round("det", 9)))).first()[0]
+        if state in seen:
+            break
+        seen.add(state)
+        model = stored(concentrate(rows, model))
+    best = F.row_number().over(Window.partitionBy("_group").orderBy(F.round("det", 9), "_start"))
+    model = stored(model.withColumn("_best", best).filter("_best = 1").drop("_best"))
+    return stored(reweight(rows, model).drop("_start", "det"))
 
 
-def quality_rules(docs: DataFrame) -> DataFrame:
+def quality_rules(docs: DataFrame, min_group: int = MIN_GROUP, least_rows: int = LEAST_ROWS, tail: float = TAIL) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance2 and kept.
 
     A null text has no words and fails the base rules; a null language or source is a
-    value of its own. Groups below MIN_GROUP rows are pooled. A text whose pool has
-    fewer than 10 rows is kept unless it fails the base rules. Extra columns are
-    ignored; repeated rows each get their row; an empty table gives none.
+    value of its own. Groups below min_group rows are pooled. A text whose pool has
+    fewer than least_rows rows is kept unless it fails the base rules. Equal vectors have
+    equal distances. Extra columns, whatever their names, are ignored; repeated rows each
+    get their row; an empty table gives none.
     """
     read = statistics(docs.select("doc_id", "text", "lang", "source"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    rows = read.drop("text").withColumn("base_failed", failed)
     stats = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    rows = checkpointed(rows.select("doc_id", "lang", "source", *stats, "base_failed", *vector()))
-    rows, n = grouped(rows)
-    fit = rows.filter("not base_failed").select("_group", *NAMES)
-    model = checkpointed(start(fit))
-    for _ in range(STEPS):
-        model = checkpointed(concentrate(fit, model, n))
-    model = checkpointed(reweight(fit, model, n))
-    enough = fit.groupBy("_group").agg(F.count(F.lit(1)).alias("n")).filter("n >= 10").select("_group")
-    model = model.join(small(enough, n), "_group", "left_semi")
-    out = distance(rows, model, n).withColumnRenamed("_d2", "distance2")
-    kept = ~F.col("base_failed") & (F.coalesce(F.col("distance2"), F.lit(0.0)) <= CUTOFF)
+    rows = stored(read.withColumn("base_failed", failed).select("doc_id", "lang", "source", *stats, "base_failed", *vector()))
+    rows = stored(grouped(rows, min_group))
+    model = robust(rows.filter("not base_failed").select("_group", *NAMES)).filter(F.col("k") >= least_rows)
+    counts = rows.groupBy("_group").agg(F.count(F.lit(1)).alias("k"))
+    model = stored(counts.join(model.drop("k"), "_group", "left"))
+    out = distance(rows, model).withColumnRenamed("_d2", "distance2")
+    kept = ~F.col("base_failed") & (F.coalesce(F.col("distance2"), F.lit(0.0)) <= chi2_quantile(1 - tail, P))
     return out.select("doc_id", *stats, "base_failed", "distance2", kept.alias("kept"))
