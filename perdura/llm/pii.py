@@ -18,6 +18,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from perdura.llm.common import stored
+
 #: Kinds in the order in which they are listed; the first four are the base kinds.
 KINDS = ["email", "ip", "card", "phone", "secret", "name", "id"]
 #: Base patterns. Possessive and guarded forms find the same matches as the plain ones, in linear time.
@@ -32,13 +34,14 @@ WIDE = [
     ("phone", r"(?<![0-9+.(-])(?<!\+[0-9] )(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9-])", None),
     ("secret", r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]{0,40}[0-9])(?=[0-9_+/-]{0,40}[A-Za-z])[A-Za-z0-9_+/-]{20,}+={0,2}", None),
     ("name", r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sra)\.? \p{Lu}\p{L}{1,20}(?: \p{Lu}\p{L}{1,20})?", None),
+    ("name", r"(?<=\b(?:[Nn]ame|[Nn]ombre|[Aa]uthor|[Cc]ontact|[Kk]ontakt|Dear|Sincerely|Regards)[:,]? )\p{Lu}\p{L}{1,20} \p{Lu}\p{L}{1,20}", None),
     ("id", r"(?<![0-9A-Za-z-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30})(?![0-9A-Za-z-])", None),
 ]
 #: Gazetteers and cues: fixed word lists.
-DOMAINS = r"(?i)\.(?:com|org|net|edu|gov|io|de|fr|es|it|uk|eu)$"
-FIRST_NAMES = r"(?i)\b(?:anna|carlos|david|elena|emma|hans|james|jean|john|jose|juan|julia|karl|laura|louis|lucas|maria|marie|martin|mary|michael|paul|peter|pierre|robert|sarah|sophie|thomas|william)\b"
+DOMAINS = r"(?i)\.(?:com|org|net|edu|gov|mil|int|info|biz|io|ai|app|dev|me|tv|co|de|at|ch|fr|be|lu|es|pt|it|nl|dk|se|no|fi|is|ie|uk|pl|cz|sk|hu|ro|bg|gr|tr|ru|ua|us|ca|mx|br|ar|cl|au|nz|jp|cn|kr|in|za|eu)$"
+FIRST_NAMES = r"(?i)\b(?:adam|ahmed|alan|albert|alex|alexander|alice|amy|ana|andrea|andreas|andrew|angela|anna|anne|anthony|antoine|antonio|barbara|beatriz|benjamin|bernard|brian|camille|carl|carla|carlos|carmen|caroline|catherine|charles|charlotte|chloe|christian|christina|christine|christopher|claire|claudia|cristina|daniel|david|deborah|denis|diego|dieter|dimitri|donald|dorothy|edward|elena|elizabeth|emily|emma|eric|erik|eva|fatima|felix|fernando|florian|francesca|francisco|francois|frank|gabriel|george|giovanni|grace|gregory|hannah|hans|heidi|heinrich|helen|helena|henry|ines|ingrid|isabel|isabelle|ivan|jack|jacques|james|jane|jason|javier|jean|jennifer|jens|jessica|joan|johanna|john|jonas|jorge|jose|joseph|juan|julia|julie|karen|karin|karl|katharina|kevin|klaus|laura|leo|leon|linda|lisa|louis|louise|lucas|lucia|luis|lukas|manuel|marc|marcel|margaret|maria|marie|mario|mark|markus|marta|martin|mary|matthew|max|mei|michael|michel|miguel|mohamed|monica|nancy|natalie|nicolas|nicole|oliver|olivia|pablo|patricia|paul|pedro|peter|petra|philip|pierre|rachel|rafael|ralf|raj|rebecca|richard|robert|roberto|rosa|ruth|sabine|samuel|sandra|sara|sarah|sebastian|silvia|simon|sofia|sophie|stefan|stephanie|steven|susan|sven|sylvie|teresa|thomas|tim|tom|ursula|victor|victoria|wei|william|wolfgang|yuki|yves)\b"
 SECRET_HEADS = r"^(?:sk-|pk_|gh[a-z]_|AKIA|xox|eyJ)|^[0-9a-f]{32,64}$"
-CUES = r"(?i)(?:e-?mail|phone|tel|call|fax|mobile|contact|ip|server|host|card|visa|account|token|secret|passw|api|key|name|ssn|iban)\W{0,8}\w*\W{0,3}$"
+CUES = r"(?i)(?:e-?mail|courriel|correo|phone|telefon|téléphone|teléfono|tel|handy|call|fax|mobile|contact|kontakt|contacto|ip|server|host|adresse?|card|karte|carte|tarjeta|visa|konto|compte|cuenta|account|token|secret|geheim|passw|pwd|kennwort|api|key|schlüssel|clave|bearer|credential|name|nombre|nom|author|signed|sincerely|ssn|iban|passport)\W{0,8}\w*\W{0,3}$"
 AGAINST = r"(?i)(?:version|section|article|page|isbn|doi|sha|commit|figure|chapter|https?:\S*|www\S*)\W{0,3}$"
 CONTEXT = 32
 SPAN = "array<struct<kind:string,s:int,e:int,m:string>>"
@@ -264,11 +267,14 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
-def redact(docs: DataFrame) -> DataFrame:
+def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with personal data in their text masked; a null text stays null.
 
-    Trains on all of docs. Columns named spans or beginning with an underscore are
-    used by the operator and must not be in docs. Other columns and repeated rows stay.
+    Trains on all of docs. Candidates are found once and stored with the documents. Other
+    columns, whatever their names, and repeated rows stay. An empty table gives no rows.
     """
-    model = train(candidates(docs.select("text")))
-    return masked(decided(candidates(docs), model))
+    others = [c for c in docs.columns if c != text]
+    row = F.struct(F.lit(0).alias("_none"), *[F.col(f"`{c}`") for c in others])
+    found = stored(candidates(docs.select(row.alias("row"), F.col(f"`{text}`").alias("text"))))
+    clean = masked(decided(found, train(found)))
+    return clean.select(*[F.col("text").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns])
