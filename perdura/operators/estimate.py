@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import math
 import time
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,11 +25,19 @@ from perdura.plans.registry import EstimatorSpec, kernel_of
 ESTIMATES = (
     "record_id string, estimator_name string, point double, ci_low double, ci_high double, stderr double, valid boolean, "
     "runtime_seconds double, failure_reason string, bootstrap_cis array<struct<nominal:double,ci_low:double,ci_high:double>>, "
-    "bootstrap_std double, bootstrap_used int, point_alt double"
+    "bootstrap_std double, bootstrap_used int, point_alt double, warnings array<string>"
 )
 
 
 def fit_one(kernel: Kernel, params: dict, x: np.ndarray, seed: int | None, eps: float | None) -> dict:
+    """One estimate, with the different warnings that its kernel gave."""
+    with warnings.catch_warnings(record=True) as given:
+        warnings.simplefilter("always")
+        out = fitted(kernel, params, x, seed, eps)
+    return out | {"warnings": list(dict.fromkeys(str(w.message) for w in given))}
+
+
+def fitted(kernel: Kernel, params: dict, x: np.ndarray, seed: int | None, eps: float | None) -> dict:
     """One estimate; params may set n_bootstrap (200), bootstrap_block_len (a tenth) and ci_levels (0.95)."""
     out: dict = dict.fromkeys(("point", "ci_low", "ci_high", "stderr", "failure_reason", "bootstrap_std", "point_alt"))
     out |= {"valid": False, "bootstrap_cis": [], "bootstrap_used": 0}
@@ -56,15 +65,15 @@ def fit_one(kernel: Kernel, params: dict, x: np.ndarray, seed: int | None, eps:
         return out | {"point": None, "valid": False, "ci_low": None, "ci_high": None, "failure_reason": f"exception:{type(e).__name__}:{e}"}
 
 
-def estimate(records: DataFrame, specs: list[EstimatorSpec], eps: float | None = None, plugins: dict[str, Kernel] | None = None) -> DataFrame:
-    """ESTIMATES for records (record_id, seed, values) and all specs; eps adds the refit on scaled values."""
+def estimate(records: DataFrame, specs: list[EstimatorSpec], eps: float | None = None, plugins: dict[str, Kernel] | None = None, max_workers: int | None = None) -> DataFrame:
+    """ESTIMATES for records (record_id, seed, values) and all specs, in at most max_workers tasks at once if given; eps adds the refit on scaled values."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     target = to_arrow_schema(StructType.fromDDL(ESTIMATES))
     own = [(s.name, kernel_of(s.base, plugins), dict(s.params)) for s in specs]
     jobs = records.select("record_id", "seed", "values", F.explode(F.array(*[F.lit(i) for i in range(len(specs))])).alias("spec"))
-    tasks = max(1, int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    tasks = max(1, int(max_workers or records.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     jobs = jobs.repartition(tasks, "record_id", "spec")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

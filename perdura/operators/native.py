@@ -46,26 +46,42 @@ def rescaled_range(long: DataFrame) -> DataFrame:
     return result(rows.withColumn("point", point), "RS", "rs")
 
 
+def grid(first: int, most: int = 1 << 40) -> list[int]:
+    """Scales from first on, each a quarter larger (halves to even), at least one more."""
+    out = [first]
+    while out[-1] < most:
+        out.append(max(out[-1] + 1, round(out[-1] * 1.25)))
+    return out
+
+
 def scales(n, first: int, last: int | None):
-    """The grid of scales as an array: each a quarter larger (halves to even), at least one more."""
-    top = F.least(F.greatest(F.lit(first + 4), F.floor(n / 4)) if last is None else F.lit(last), F.floor(n / 2)).cast("int")
-    step = lambda s: F.greatest(s + 1, F.bround(s * 1.25, 0).cast("int"))
-    grow = lambda a, _: F.when(step(F.element_at(a, -1)) <= top, F.array_append(a, step(F.element_at(a, -1)))).otherwise(a)
-    grid = F.aggregate(F.sequence(F.lit(1), F.lit(120)), F.array(F.lit(first)), grow)
-    return F.when(top > first, grid).otherwise(F.array().cast("array<int>"))
+    """The grid of scales up to a series' largest as an array: the grid is a constant, of which n takes the head."""
+    top = F.least(F.greatest(F.lit(first + 4), F.floor(n / 4)) if last is None else F.lit(last), F.floor(n / 2))
+    known = F.array(*[F.lit(s).cast("long") for s in grid(first)])
+    return F.when(top > first, F.filter(known, lambda s: s <= top)).otherwise(F.array().cast("array<bigint>"))
 
 
 def dfa(long: DataFrame, order: int = 1, min_scale: int = 16, max_scale: int | None = None) -> DataFrame:
-    """Orders 0 and 1; boxes of a scale are groups, their residuals come from regr_ aggregates."""
-    rows = profile(long).withColumn("s", F.explode_outer(scales(F.col("n"), min_scale, max_scale)))
-    inside = (F.col("s") >= order + 2) & (F.floor(F.col("n") / F.col("s")) >= 2) & (F.col("t") < F.floor(F.col("n") / F.col("s")) * F.col("s"))
+    """Orders 0 and 1; boxes of a scale are groups, their residuals follow from sums, which are made before rows move.
+
+    A box of s rows has known sums of places and their squares, so three sums are enough.
+    """
+    rows = profile(long)
+    per_series = rows.groupBy("series_id", "n").agg(F.count(F.lit(1)).alias("rows")).select("series_id", "n")
+    grids = per_series.select("series_id", "n", scales(F.col("n"), min_scale, max_scale).alias("grid"))
+    usable = F.filter("grid", lambda s: (s >= order + 2) & (F.floor(F.col("n") / s) >= 2))
+    rows = rows.join(grids.select("series_id", usable.alias("grid")), "series_id").withColumn("s", F.explode("grid"))
+    rows = rows.filter(F.col("t") < F.floor(F.col("n") / F.col("s")) * F.col("s"))
     boxes = rows.groupBy("series_id", "n", "s", F.floor(F.col("t") / F.col("s")).alias("box"))
-    u, y = F.when(inside, F.pmod("t", "s").cast("double")), F.when(inside, F.col("y"))
-    rss = F.regr_syy(y, u) if order == 0 else F.regr_syy(y, u) - F.pow(F.regr_sxy(y, u), F.lit(2.0)) / F.regr_sxx(y, u)
-    each = boxes.agg(F.greatest(rss, F.lit(0.0)).alias("rss"), F.count(u).alias("k"))
-    by_scale = each.groupBy("series_id", "n", "s").agg((F.sum(F.when(F.col("k") > 0, F.col("rss"))) / F.nullif(F.sum("k"), F.lit(0))).alias("f2"))
+    u, y, s = F.pmod("t", "s").cast("double"), F.col("y"), F.col("s")
+    each = boxes.agg(F.sum("y").alias("sy"), F.sum(y * y).alias("syy"), F.sum(u * y).alias("suy"))
+    centred = F.col("syy") - F.col("sy") * F.col("sy") / s
+    slope = F.col("suy") - (s - 1) / 2 * F.col("sy")
+    rss = centred if order == 0 else centred - slope * slope * 12 / (s * (s.cast("double") * s - 1))
+    by_scale = each.groupBy("series_id", "n", "s").agg((F.sum(F.greatest(rss, F.lit(0.0))) / (F.count(F.lit(1)) * F.first("s"))).alias("f2"))
     ok = F.col("f2") > 0
-    fit = by_scale.groupBy("series_id", "n").agg(F.count(F.when(ok, 1)).alias("k"), F.regr_slope(F.when(ok, F.log("f2") / 2), F.when(ok, F.log("s"))).alias("slope"))
+    fit = by_scale.groupBy("series_id").agg(F.count(F.when(ok, 1)).alias("k"), F.regr_slope(F.when(ok, F.log("f2") / 2), F.when(ok, F.log("s"))).alias("slope"))
+    fit = per_series.join(fit, "series_id", "left")
     point = F.when((F.col("n") >= 64) & (F.col("k") >= 3), clipped(F.col("slope"), LOW, HIGH))
     return result(fit.withColumn("point", point), "DFA", "dfa")
 
@@ -109,9 +125,18 @@ def polynomial_trend(long: DataFrame, order: int, strength: float) -> DataFrame:
 
 
 def fixed_outliers(long: DataFrame, rate: float, amplitude: float, step: int = 37) -> DataFrame:
-    """Outliers at positions spread by a fixed step, with signs in turn: as many as the random operator sets."""
+    """Outliers at the first k of the places 0, step, 2 step ... modulo n, with signs in turn: as many as the random operator sets.
+
+    With g = gcd(step, n), a place t is among them if g divides it and its number, t / g times the inverse of step / g
+    modulo n / g, is below k; the inverse is found by Euclid's algorithm, a few steps for each row and none across rows.
+    """
     rows = long.withColumn("n", F.count(F.lit(1)).over(whole())).withColumn("s", spread())
     k = F.least(F.greatest(F.lit(1), F.bround(rate * F.col("n"), 0)), F.col("n"))
-    hit = F.exists(F.sequence(F.lit(0), (k - 1).cast("int")), lambda i: F.pmod(i * step, F.col("n")) == F.col("t"))
+    # (a, b, x, y) with a = x * step and b = y * step modulo n; ends with a = gcd and x its inverse.
+    begin = F.struct(F.lit(step).cast("long").alias("a"), F.col("n").alias("b"), F.lit(1).cast("long").alias("x"), F.lit(0).cast("long").alias("y"))
+    turn = lambda e, _: F.when(e["b"] == 0, e).otherwise(F.struct(e["b"].alias("a"), F.pmod(e["a"], F.when(e["b"] != 0, e["b"])).alias("b"), e["y"].alias("x"), (e["x"] - F.floor(e["a"] / F.when(e["b"] != 0, e["b"])) * e["y"]).alias("y")))
+    rows = rows.withColumn("e", F.aggregate(F.sequence(F.lit(1), F.lit(2 * step.bit_length() + 4)), begin, turn))
+    g, cycle = F.col("e.a"), F.floor(F.col("n") / F.col("e.a"))
+    hit = (F.pmod("t", g) == 0) & (F.pmod(F.floor(F.col("t") / g) * F.pmod(F.col("e.x"), cycle), cycle) < k)
     sign = F.when(F.pmod("t", F.lit(2)) == 0, 1.0).otherwise(-1.0)
     return rows.select("series_id", "t", F.when(hit, F.col("v") + sign * amplitude * F.col("s")).otherwise(F.col("v")).alias("v"))

@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame
 from perdura.kernels.simulate import CONTAMINATIONS, GENERATORS
 
 
-def generate(grid: DataFrame) -> DataFrame:
+def generate(grid: DataFrame, generators: dict | None = None) -> DataFrame:
     """Adds values to rows with family, params_json and seed; rows of one family and parameters share factors."""
+    known = {**GENERATORS, **(generators or {})}
     names = [f.name for f in grid.schema if f.name != "values"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in grid.schema if f.name != "values") + ", values array<double>"
 
@@ -24,7 +25,7 @@ def generate(grid: DataFrame) -> DataFrame:
         for b in batches:
             values = []
             for family, params, seed in zip(b.column("family").to_pylist(), b.column("params_json").to_pylist(), b.column("seed").to_pylist(), strict=True):
-                values.append(GENERATORS[family][0](np.random.default_rng(seed), **json.loads(params)))
+                values.append(known[family][0](np.random.default_rng(seed), **json.loads(params)))
             arrays = [*(b.column(n) for n in names), pa.array(values, pa.list_(pa.float64()))]
             yield pa.record_batch(arrays, names=[*names, "values"])
 

@@ -18,39 +18,40 @@ class MetricSpec:
     aggregation_rule: str
     optimisation_direction: str
     unit: str | None = None
-    null_policy: str = "skip"
+    null_policy: str = "explicit_null"
     nominal_levels: tuple[float, ...] = ()
     parameters: dict[str, Any] = field(default_factory=dict)
 
 
-def spec(name: str, symbol: str, truth: bool, modes: tuple[str, ...], rule: str = "mean", direction: str = "minimise", unit: str | None = None) -> MetricSpec:
-    return MetricSpec(name, symbol, truth, modes, rule, direction, unit)
+def spec(name: str, symbol: str, truth: bool, modes: tuple[str, ...], direction: str = "minimise", unit: str | None = None, nulls: str | None = None) -> MetricSpec:
+    found = MetricSpec(name, symbol, truth, modes, "mean_over_stratum", direction, unit)
+    return found if nulls is None else replace(found, null_policy=nulls)
 
 
-#: Names, whether truth is needed, admissible modes and direction of the metrics.
+#: Names, symbols, whether truth is needed, admissible modes, direction, unit and null policy of the metrics.
 METRICS: dict[str, MetricSpec] = {
     m.name: m
     for m in (
         spec("bias", "bias", True, (G, S)),
         spec("mae", "MAE", True, (G, S)),
-        spec("rmse", "RMSE", True, (G, S), "root_mean_square"),
-        spec("coverage", "cov", True, (G, S), "mean", "maximise"),
-        spec("coverage_error", "cov_err", True, (G, S), "absolute_difference_of_mean"),
-        spec("ci_width", "width", False, (G, S, O)),
-        spec("validity_rate", "valid", False, (G, S, O), "mean", "maximise"),
-        spec("runtime", "time", False, (G, S, O), unit="seconds"),
-        spec("instability", "inst", False, (O,)),
-        spec("preprocessing_sensitivity", "sens", False, (O,)),
-        spec("estimate_drift", "drift", False, (S,)),
-        spec("relative_degradation_ratio", "RDR", True, (S,)),
-        spec("validity_collapse", "v_coll", False, (S,)),
-        spec("coverage_collapse", "c_coll", True, (S,)),
-        spec("false_positive_lrd_rate", "FPR", True, (G, S)),
-        spec("cross_estimator_dispersion", "disp", False, (G, S, O)),
-        spec("pairwise_estimator_disagreement", "pair", False, (G, S, O)),
-        spec("family_level_disagreement", "fam", False, (G, S, O)),
-        spec("parameter_variant_sensitivity", "var_sens", False, (G, S, O)),
-        spec("max_variant_drift", "var_drift", False, (G, S, O)),
+        spec("rmse", "RMSE", True, (G, S)),
+        spec("coverage", "Cov", True, (G, S), "maximise", "1"),
+        spec("coverage_error", "CErr", True, (G, S), unit="1"),
+        spec("ci_width", "MW", False, (G, S, O), unit="1"),
+        spec("validity_rate", "VR", False, (G, S, O), "maximise", "1"),
+        spec("runtime", "RT", False, (G, S, O), unit="s"),
+        spec("instability", "Instab", False, (O,)),
+        spec("preprocessing_sensitivity", "PSens", False, (O,)),
+        spec("estimate_drift", "Drift", False, (S,)),
+        spec("relative_degradation_ratio", "RDR", True, (S,), unit="1"),
+        spec("validity_collapse", "VCol", False, (S,), unit="1"),
+        spec("coverage_collapse", "CCol", True, (S,), unit="1"),
+        spec("false_positive_lrd_rate", "FPR", True, (G, S), unit="1", nulls="skip_non_null_truth"),
+        spec("cross_estimator_dispersion", "XDisp", False, (G, S, O)),
+        spec("pairwise_estimator_disagreement", "PairDis", False, (G, S, O)),
+        spec("family_level_disagreement", "FamDis", False, (G, S, O)),
+        spec("parameter_variant_sensitivity", "VarSens", False, (G, S, O)),
+        spec("max_variant_drift", "MaxVarDrift", False, (G, S, O)),
     )
 }
 #: Metrics with a value for each nominal level.

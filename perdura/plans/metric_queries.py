@@ -1,8 +1,8 @@
 """Registered queries of the metric layer, over facts made from the users' event series.
 
 Records are the series by user; the truth is a Hurst proxy of 0.5; strata are lengths in
-tens. Enrolled are the rescaled range, the variance ratio with two lengths required
-(variants), and the generalised Hurst exponent, which these short series never allow.
+tens. Enrolled are the rescaled range and the variance ratio with three lengths required
+(variants), one of which no series has.
 Intervals are fixed offsets, so that both engines have the same ones. For the stress
 test each series is also perturbed by a trend.
 """
@@ -25,11 +25,13 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 HURST = "hurst_scaling_proxy"
+#: A length that no series has.
+NEVER = 1 << 40
 SPECS = [
     EstimatorSpec("RS", "time_domain", HURST),
     EstimatorSpec("VarianceRatio::short", "variance", HURST, params={"min_n": 32}, base="VarianceRatio", variant="short"),
     EstimatorSpec("VarianceRatio::long", "variance", HURST, params={"min_n": 60}, base="VarianceRatio", variant="long"),
-    EstimatorSpec("GHE", "time_domain", HURST),
+    EstimatorSpec("VarianceRatio::never", "variance", HURST, params={"min_n": NEVER}, base="VarianceRatio", variant="never"),
 ]
 CI = "array<struct<nominal:double,ci_low:double,ci_high:double>>"
 
@@ -38,7 +40,7 @@ def estimates_of(long: DataFrame) -> DataFrame:
     """Estimates of the enrolled estimators; the long variant has no intervals."""
     rs = native.rescaled_range(long).select("series_id", "n", F.col("point").alias("rs"))
     vr = native.variance_ratio(long, 32).select("series_id", F.col("point").alias("vr"))
-    points = {"RS": F.col("rs"), "VarianceRatio::short": F.col("vr"), "VarianceRatio::long": F.when(F.col("n") >= 60, F.col("vr")), "GHE": F.lit(None).cast("double")}
+    points = {"RS": F.col("rs"), "VarianceRatio::short": F.col("vr"), "VarianceRatio::long": F.when(F.col("n") >= 60, F.col("vr")), "VarianceRatio::never": F.when(F.col("n") >= NEVER, F.col("vr"))}
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("estimator_name"), v.alias("point")) for k, v in points.items()])).alias("e")
     every = rs.join(vr, "series_id").select("series_id", each).select("series_id", "e.*").withColumn("valid", F.col("point").isNotNull())
     p = F.col("point")
@@ -81,7 +83,7 @@ g AS (SELECT series_id, count(*) AS n, CASE WHEN count(*) >= 16 AND stddev_pop(v
 e AS (SELECT series_id, n, 'RS' AS estimator_name, 0 AS ord, 'time_domain' AS family, 'RS' AS base, rs AS point FROM g
   UNION ALL SELECT series_id, n, 'VarianceRatio::short', 1, 'variance', 'VarianceRatio', vr FROM g
   UNION ALL SELECT series_id, n, 'VarianceRatio::long', 2, 'variance', 'VarianceRatio', CASE WHEN n >= 60 THEN vr END FROM g
-  UNION ALL SELECT series_id, n, 'GHE', 3, 'time_domain', 'GHE', NULL FROM g)
+  UNION ALL SELECT series_id, n, 'VarianceRatio::never', 3, 'variance', 'VarianceRatio', NULL::DOUBLE FROM g)
 SELECT series_id || '{mark}' AS record_id, series_id AS clean_record_id, '{role}' AS stress_role, estimator_name, ord, family, base, point, point IS NOT NULL AS valid,
   '{{"contamination_operator":"{operator}","n":' || CAST((n // 10) * 10 AS VARCHAR) || '}}' AS stratum, 0.5::DOUBLE AS truth,
   point IS NOT NULL AND estimator_name <> 'VarianceRatio::long' AS has FROM e)"""

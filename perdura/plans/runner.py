@@ -8,14 +8,16 @@ import uuid
 from dataclasses import dataclass, field
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from perdura.interfaces import Evaluator, LeaderboardBuilder
 from perdura.kernels.estimators import Kernel
 from perdura.operators import evaluate, uncertainty
 from perdura.operators.estimate import ESTIMATES, estimate
 from perdura.plans.catalog import O
-from perdura.plans.manifest import Manifest, manifest_of
+from perdura.plans.manifest import LeaderboardSpec, Manifest, manifest_of
 from perdura.plans.registry import kernel_of
 from perdura.plans.suites import resolve
 from perdura.sources.records import records as records_of
@@ -33,6 +35,19 @@ class Run:
     aggregates: DataFrame
     uncertainty: DataFrame | None
     leaderboards: dict[str, DataFrame] = field(default_factory=dict)
+    kept: list[DataFrame] = field(default_factory=list)
+
+    def close(self) -> None:
+        """Frees what the run keeps in memory; its tables are then computed anew where they are used."""
+        for df in self.kept:
+            df.unpersist()
+        self.kept = []
+
+    def __enter__(self) -> Run:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
 
 
 def cached_estimates(rows: DataFrame, m: Manifest, eps: float | None, plugins: dict[str, Kernel] | None) -> DataFrame:
@@ -41,25 +56,28 @@ def cached_estimates(rows: DataFrame, m: Manifest, eps: float | None, plugins: d
     A cache entry is keyed by record, estimator, its version and parameters, and the values.
     """
     folder = m.execution.get("estimate_cache_dir")
+    workers = m.execution.get("max_workers")
     if not folder:
-        return estimate(rows, m.estimators, eps, plugins)
+        return estimate(rows, m.estimators, eps, plugins, workers)
     spark = rows.sparkSession
     keys = [(s.name, hashlib.sha1(json.dumps([s.name, s.version, VERSION, s.params, eps], sort_keys=True, default=str).encode()).hexdigest()) for s in m.estimators]
     marked = rows.withColumn("values_hash", F.sha2(F.to_json(F.struct("values", "seed")), 256))
     wanted = marked.select("record_id", "values_hash").join(F.broadcast(spark.createDataFrame(keys, "estimator_name string, spec_hash string")))
-    try:
-        stored = spark.read.parquet(folder) if m.execution.get("cache_read", True) else None
-    except Exception:  # no cache there yet
-        stored = None
-    if stored is None:
-        stored = spark.createDataFrame([], "values_hash string, spec_hash string, " + ESTIMATES)
+    shape = "values_hash string, spec_hash string, " + ESTIMATES
+    stored = spark.createDataFrame([], shape)
+    if m.execution.get("cache_read", True):
+        try:
+            stored = spark.read.schema(shape).parquet(folder)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":  # only that there is no cache yet
+                raise
     on = ["record_id", "estimator_name", "values_hash", "spec_hash"]
     hits = wanted.join(stored.dropDuplicates(on), on)
     missing = wanted.join(hits.select(on), on, "left_anti")
     parts = [hits.select("values_hash", "spec_hash", *[c.split()[0] for c in ESTIMATES.split(", ") if " " in c])]
     for s in m.estimators:  # a few enrolled estimators
         todo = marked.join(missing.filter(F.col("estimator_name") == s.name).select("record_id", "spec_hash"), "record_id")
-        parts.append(estimate(todo.select("record_id", "seed", "values"), [s], eps, plugins).join(todo.select("record_id", "values_hash", "spec_hash"), "record_id").select(parts[0].columns))
+        parts.append(estimate(todo.select("record_id", "seed", "values"), [s], eps, plugins, workers).join(todo.select("record_id", "values_hash", "spec_hash"), "record_id").select(parts[0].columns))
     fresh = parts[1]
     for p in parts[2:]:
         fresh = fresh.unionByName(p)
@@ -69,24 +87,56 @@ def cached_estimates(rows: DataFrame, m: Manifest, eps: float | None, plugins: d
     return parts[0].unionByName(fresh).drop("values_hash", "spec_hash")
 
 
-def run(spark: SparkSession, manifest: Manifest | dict | str, base_dir: Path | None = None, plugins: dict[str, Kernel] | None = None) -> Run:
-    """Runs a manifest, a mapping, a path or a packaged suite's name. Records and estimates are computed once and kept."""
+def run(
+    spark: SparkSession,
+    manifest: Manifest | dict | str,
+    base_dir: Path | None = None,
+    plugins: dict[str, Kernel] | None = None,
+    generators: dict | None = None,
+    contaminations: dict | None = None,
+    evaluator: Evaluator | None = None,
+    leaderboard_builder: LeaderboardBuilder | None = None,
+) -> Run:
+    """Runs a manifest, a mapping, a path or a packaged suite's name. Records and estimates are computed once and kept until
+    the run is closed.
+
+    Own estimators, generators and contaminations are given by name and go before the built-in ones; an own evaluator or
+    leaderboard builder takes the place of the built-in one.
+    """
     m = manifest if isinstance(manifest, Manifest) else manifest_of(manifest) if isinstance(manifest, dict) else resolve(manifest)
     for s in m.estimators:
         kernel_of(s.base, plugins)
-    rows = records_of(spark, m, base_dir).persist()
+    rows = records_of(spark, m, base_dir, generators, contaminations).persist()
     eps = float(m.preprocessing.get("sensitivity_eps", 1e-4)) if m.mode == O else None
     work = rows.withColumn("seed", F.col("estimator_seed"))
     estimates = cached_estimates(work, m, eps, plugins).persist()
     fact = evaluate.facts(rows, estimates, evaluate.spec_table(spark, m.estimators))
-    series = evaluate.per_series(fact, m.metrics, m.mode).persist()
-    aggregates = evaluate.aggregate(series, m.metrics).persist()
-    out = Run(uuid.uuid4().hex, m, rows, estimates, series, aggregates, benchmark_uncertainty(series, aggregates, m))
+    evaluator, builder = evaluator or CatalogueEvaluator(), leaderboard_builder or WeightedRank()
+    series = evaluator.per_series(m, fact).persist()
+    aggregates = evaluator.aggregate(m, series).persist()
+    out = Run(uuid.uuid4().hex, m, rows, estimates, series, aggregates, benchmark_uncertainty(series, aggregates, m), kept=[rows, estimates, series, aggregates])
     for b in m.leaderboards:
-        out.leaderboards[b.name] = evaluate.leaderboard(aggregates, [s.name for s in m.estimators], b.weights)
+        out.leaderboards[b.name] = builder.build(m, b, aggregates)
     return out
 
 
+class CatalogueEvaluator(Evaluator):
+    """The catalogue's metrics."""
+
+    def per_series(self, manifest: Manifest, facts: DataFrame) -> DataFrame:
+        return evaluate.per_series(facts, manifest.metrics, manifest.mode)
+
+    def aggregate(self, manifest: Manifest, series: DataFrame) -> DataFrame:
+        return evaluate.aggregate(series, manifest.metrics)
+
+
+class WeightedRank(LeaderboardBuilder):
+    """Weighted mean of the ranks by component."""
+
+    def build(self, manifest: Manifest, board: LeaderboardSpec, aggregates: DataFrame) -> DataFrame:
+        return evaluate.leaderboard(aggregates, [s.name for s in manifest.estimators], board.weights)
+
+
 def benchmark_uncertainty(series: DataFrame, aggregates: DataFrame, m: Manifest) -> DataFrame | None:
     """Bootstrap rows of the manifest's uncertainty block, with type and aggregation; None if it is off."""
     u = m.uncertainty

@@ -317,7 +317,7 @@ def block_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
     from perdura.plans.registry import EstimatorSpec
 
     records = pack(VIEWS["E5"](spark, sf)).select(F.col("series_id").alias("record_id"), F.lit(7).cast("long").alias("seed"), "values")
-    specs = [EstimatorSpec(n, params={"n_bootstrap": 32}) for n in ("RS", "DFA", "GPH", "WaveletOLS")]
+    specs = [EstimatorSpec(n, params={"n_bootstrap": 200}) for n in ("RS", "DFA", "GPH", "WaveletOLS")]
     out = estimate(records, specs)
     return out.select("record_id", "estimator_name", rounded("point").alias("point"), rounded("ci_low").alias("ci_low"), rounded("ci_high").alias("ci_high"), "valid", "bootstrap_used")
 

@@ -122,5 +122,5 @@ def suite(name: str) -> Query:
     return query
 
 
-for _s in ("smoke_ground_truth", "smoke_stress_test", "smoke_observational", "benchmark_rs_gph", "small_canonical", "small_stress", "small_null", "small_sensitivity"):
+for _s in ("smoke_ground_truth", "smoke_stress_test", "smoke_observational", "benchmark_rs_gph", "small_canonical", "small_stress", "small_null", "small_sensitivity", "medium_canonical", "medium_stress", "medium_null", "medium_sensitivity"):
     QUERIES[f"suite_{_s}"] = suite(_s)

@@ -52,7 +52,11 @@ def validate_output(root: str | Path) -> list[str]:
             continue
         if columns is None:
             continue
-        got = header(path)
+        try:
+            got = header(path)
+        except (UnicodeDecodeError, csv.Error) as e:
+            errors.append(f"unreadable CSV file: {name} ({e})")
+            continue
         if not got:
             errors.append(f"missing CSV header: {name}")
         elif lost := [c for c in columns if c not in got]:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import csv
 import hashlib
 import json
 import platform
+from collections.abc import Sequence
 from datetime import UTC, datetime
 from pathlib import Path
 
@@ -13,6 +15,7 @@ import pyspark
 from pyspark.sql import DataFrame
 
 from perdura import __version__
+from perdura.interfaces import Reporter, ResultStore
 from perdura.plans.runner import Run
 from perdura.sinks import render
 from perdura.sinks.contract import ARTEFACTS
@@ -29,17 +32,28 @@ def single_csv(df: DataFrame, path: Path) -> pd.DataFrame:
     return pdf
 
 
-def write_run(run: Run, export_root: str | Path | None = None) -> Path:
+def streamed_csv(df: DataFrame, path: Path) -> None:
+    """A table of any size as one CSV file, sorted: rows pass through the driver one partition at a time."""
+    path.parent.mkdir(parents=True, exist_ok=True)
+    with path.open("w", newline="", encoding="utf-8") as f:
+        out = csv.writer(f)
+        out.writerow(df.columns)
+        out.writerows(df.sort(*df.columns[:4]).toLocalIterator(prefetchPartitions=True))
+
+
+def write_run(run: Run, export_root: str | Path | None = None, reporters: Sequence[Reporter] = ()) -> Path:
     """Writes all files of the contract under export_root/run_id, and returns that folder.
 
-    The folder is local to the driver. Use write_parquet for results of any size.
+    The folder is local to the driver and, but for values.parquet, needs memory for the reports
+    only; on a cluster export_root must be shared with the executors, which write the values.
+    Use write_parquet for results of any size.
     """
     m = run.manifest
     root = Path(export_root or m.report.get("export_root", "reports")) / run.run_id
     formats = [str(f) for f in m.report.get("formats", ("html", "csv"))]
     got = {name: single_csv(df, root / "tables" / f"{name}.csv") for name, df in tables(run).items()}
     for name, df in raw_tables(run).items():
-        single_csv(df, root / "raw" / f"{name}.csv")
+        streamed_csv(df, root / "raw" / f"{name}.csv")
     run.records.select("record_id", "values").write.mode("overwrite").parquet(str((root / "raw/values.parquet").absolute()))
     environment = {"perdura": __version__, "python": platform.python_version(), "pyspark": pyspark.__version__, "seeds": m.seeds, "execution": m.execution, "uncertainty": m.uncertainty}
     put(root / "manifest/environment.json", json.dumps(environment, indent=2, sort_keys=True, default=str))
@@ -55,6 +69,8 @@ def write_run(run: Run, export_root: str | Path | None = None) -> Path:
     for name in m.report.get("figure_set", ()):
         if svg := render.figure(name, got):
             put(root / f"figures/{name}.svg", svg)
+    for r in reporters:
+        r.render(run, got, root)
     index = pd.DataFrame(artefacts(root, run.run_id), columns=ARTEFACTS)
     for where in ("artefacts/artefact_index.csv", "raw/artefacts.csv"):
         (root / where).parent.mkdir(parents=True, exist_ok=True)
@@ -73,7 +89,25 @@ def artefacts(root: Path, run_id: str) -> list[tuple]:
     return [(hashlib.sha1(str(p.relative_to(root)).encode()).hexdigest()[:16], run_id, p.parent.name, p.suffix[1:], str(p.relative_to(root)), hashlib.sha256(p.read_bytes()).hexdigest(), now, "[]") for p in files]
 
 
-def write_parquet(run: Run, folder: str) -> None:
-    """All results as Parquet under a folder of any file system that Spark writes to."""
+class ParquetStore(ResultStore):
+    """Parquet under a folder of any file system that Spark writes to."""
+
+    def __init__(self, folder: str):
+        self.folder = folder
+
+    def write(self, name: str, df: DataFrame) -> None:
+        df.write.mode("overwrite").parquet(f"{self.folder}/{name}")
+
+    def finalise(self) -> str:
+        return self.folder
+
+
+def write_to(run: Run, store: ResultStore) -> str:
+    """All results of a run, of any size, to a store."""
     for name, df in {**tables(run), **raw_tables(run), "values": run.records.select("record_id", "values")}.items():
-        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        store.write(name, df)
+    return store.finalise()
+
+
+def write_parquet(run: Run, folder: str) -> None:
+    write_to(run, ParquetStore(folder))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from perdura.operators import evaluate
 from perdura.plans.catalog import DISAGREEMENT, SENSITIVITY, STRESS
 from perdura.plans.runner import Run
+from perdura.sources.records import STRATUM
 
 
 def notes(*names: str) -> Column:
@@ -33,6 +34,13 @@ def strata_columns(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
     return df
 
 
+def strata_keys(run: Run) -> list[str]:
+    """The keys that strata of this run have, out of those that any can have: one pass that yields one row."""
+    known = sorted({*STRATUM, "target_estimand", "target_value"})
+    there = run.records.agg(*[F.bool_or(F.array_contains(F.json_object_keys("stratum"), k)).alias(k) for k in known]).first()
+    return [k for k in known if there[k]]
+
+
 def tables(run: Run) -> dict[str, DataFrame]:
     """The tables by name."""
     m, spark = run.manifest, run.records.sparkSession
@@ -40,7 +48,7 @@ def tables(run: Run) -> dict[str, DataFrame]:
     show = ["estimator_name", "metric_name", "value", "stratum_json", "metadata_json"]
     scoped = lambda names: every.filter(F.col("metric_name").isin(list(names)) & F.col("scope").isin("per_series", "aggregate")).drop("nominal")
     aggregated = every.filter("scope = 'aggregate'")
-    strata = sorted({k for r in run.records.select("stratum").distinct().limit(1000).collect() for k in json.loads(r.stratum)})
+    strata = strata_keys(run)
     fail = strata_columns(evaluate.failures(run.series).withColumnRenamed("stratum", "stratum_json"), "stratum_json", strata)
     by = strata_columns(evaluate.failure_map(run.aggregates).withColumnRenamed("stratum", "stratum_json"), "stratum_json", strata)
     specs = [(s.name, s.family, s.target_estimand, s.supports_ci, s.supports_diagnostics, json.dumps(list(s.assumptions)), json.dumps(s.params, sort_keys=True), s.version) for s in m.estimators]
@@ -77,7 +85,7 @@ def raw_tables(run: Run) -> dict[str, DataFrame]:
     r = run.records
     out = {
         "records": r.select("record_id", "source_type", "source_name", F.size("values").alias("n"), F.lit("raw/values.parquet").alias("values_path"), "truth_family", F.col("truth_estimand").alias("target_estimand"), F.col("truth_value").alias("target_value"), "annotations_json"),
-        "estimates": run.estimates.select("record_id", "estimator_name", "point", "ci_low", "ci_high", "stderr", "valid", "runtime_seconds", "failure_reason", F.lit("").alias("warnings"), F.to_json("bootstrap_cis").alias("bootstrap_cis_json")),
+        "estimates": run.estimates.select("record_id", "estimator_name", "point", "ci_low", "ci_high", "stderr", "valid", "runtime_seconds", "failure_reason", F.coalesce(F.array_join("warnings", "|"), F.lit("")).alias("warnings"), F.to_json("bootstrap_cis").alias("bootstrap_cis_json")),
         "metrics": metric_rows(run).drop("nominal"),
     }
     if run.leaderboards:

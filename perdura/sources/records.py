@@ -48,13 +48,15 @@ def stratum_of(notes: dict[str, Any], truth: tuple[str, float | None] | None) ->
     return json.dumps(kept, sort_keys=True)
 
 
-def grid_rows(m: Manifest) -> list[tuple]:
+def grid_rows(m: Manifest, generators: dict | None = None, contaminations: dict | None = None) -> list[tuple]:
+    """Rows of RECORDS; own generators and contaminations, by name as in GENERATORS and CONTAMINATIONS, go before the built-in ones."""
+    makers, benders = {**GENERATORS, **(generators or {})}, {**CONTAMINATIONS, **(contaminations or {})}
     rows: list[tuple] = []
     scenarios = contamination_grid(m.contamination) if m.mode == S else []
     for family, params, rep in generator_grid(m.source):
-        if family not in GENERATORS:
-            raise ManifestError(f"unknown generator {family!r}; known: {sorted(GENERATORS)}")
-        _, estimand, key = GENERATORS[family]
+        if family not in makers:
+            raise ManifestError(f"unknown generator {family!r}; known: {sorted(makers)}")
+        _, estimand, key = makers[family]
         record_id = short_hash(m.manifest_id, family, sorted(params.items()), rep)
         seed, truth = stable_seed(m.manifest_id, family, params, rep), float(params[key])
         notes = {"process_family": family, **params}
@@ -63,9 +65,9 @@ def grid_rows(m: Manifest) -> list[tuple]:
         common = (family, json.dumps(params), seed)
         rows.append((record_id, len(rows), "synthetic", family, *common, seed, family, estimand, truth, stratum_of(notes, (estimand, truth)), notes.get("stress_role"), record_id, None, None, None, json.dumps(notes, sort_keys=True)))
         for name, op in scenarios:
-            if name not in CONTAMINATIONS:
-                raise ManifestError(f"unknown contamination {name!r}; known: {sorted(CONTAMINATIONS)}")
-            bent = notes | {"stress_role": "contaminated", "contamination_operator": name, "contamination_family": CONTAMINATIONS[name][1], "contamination_severity": severity(op)}
+            if name not in benders:
+                raise ManifestError(f"unknown contamination {name!r}; known: {sorted(benders)}")
+            bent = notes | {"stress_role": "contaminated", "contamination_operator": name, "contamination_family": benders[name][1], "contamination_severity": severity(op)}
             own = short_hash(m.manifest_id, record_id, name, sorted(op.items()))
             op_seed = stable_seed(m.manifest_id, "contam", record_id, name, tuple(sorted(op.items())))
             # Perturbed records have no seed of their own, so their estimators draw from the fixed offsets.
@@ -76,10 +78,11 @@ def grid_rows(m: Manifest) -> list[tuple]:
     return rows
 
 
-def grid_records(spark: SparkSession, m: Manifest) -> DataFrame:
+def grid_records(spark: SparkSession, m: Manifest, generators: dict | None = None, contaminations: dict | None = None) -> DataFrame:
     """Records with values; a perturbed record simulates its clean series from the same seed."""
-    rows = spark.createDataFrame(grid_rows(m), RECORDS)
-    made = generate(rows)
+    rows = spark.createDataFrame(grid_rows(m, generators, contaminations), RECORDS)
+    made = generate(rows, generators)
+    benders = {**CONTAMINATIONS, **(contaminations or {})}
     names = [f.name for f in made.schema]
     from collections.abc import Iterator
 
@@ -92,7 +95,7 @@ def grid_records(spark: SparkSession, m: Manifest) -> DataFrame:
             out = []
             for x, op, params, seed in zip(b.column("values"), b.column("operator").to_pylist(), b.column("operator_params").to_pylist(), b.column("operator_seed").to_pylist(), strict=True):
                 values = np.asarray(x.values, dtype=float)
-                out.append(CONTAMINATIONS[op][0](values, np.random.default_rng(seed), **json.loads(params)) if op else values)
+                out.append(benders[op][0](values, np.random.default_rng(seed), **json.loads(params)) if op else values)
             yield pa.record_batch([*(b.column(n) for n in names if n != "values"), pa.array(out, pa.list_(pa.float64()))], names=names)
 
     return made.mapInArrow(bend, schema)
@@ -101,7 +104,7 @@ def grid_records(spark: SparkSession, m: Manifest) -> DataFrame:
 def finite(values: list[Any], where: str) -> list[float]:
     out = [float(v) for v in values if v not in (None, "") and not math.isnan(float(v))]
     if len(out) < 2:
-        raise ManifestError(f"{where}: a series needs at least two finite values")
+        raise ManifestError(f"{where}: a series needs at least two samples, at least two finite samples after missing ones are left out")
     return out
 
 
@@ -115,7 +118,7 @@ def observed_series(m: Manifest, base_dir: Path) -> list[tuple[str, str, dict[st
             continue
         path = Path(s["path"]) if Path(s["path"]).is_absolute() else base_dir / s["path"]
         if not path.is_file():
-            raise FileNotFoundError(f"series file not found: {path}")
+            raise FileNotFoundError(f"observational series file not found: {path}")
         column = str(s.get("value_column", "value"))
         with path.open(newline="", encoding="utf-8") as f:
             rows = csv.DictReader(f)
@@ -144,7 +147,7 @@ def csv_series(spark: SparkSession, path: str, value_column: str = "value", orde
     return table_to_series(rows.withColumn("_v", F.expr(f"try_cast(`{value_column}` as double)")).filter("not isnan(_v)"), "key", order or ["_place"], "_v")
 
 
-def records(spark: SparkSession, m: Manifest, base_dir: Path | None = None) -> DataFrame:
+def records(spark: SparkSession, m: Manifest, base_dir: Path | None = None, generators: dict | None = None, contaminations: dict | None = None) -> DataFrame:
     if m.source["type"] == "generator_grid":
-        return grid_records(spark, m)
+        return grid_records(spark, m, generators, contaminations)
     return observed_records(spark, m, base_dir or Path.cwd())

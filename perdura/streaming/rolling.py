@@ -1,7 +1,8 @@
 """Rolling rescaled-range estimates over event streams: tumbling windows of event time.
 
-An addition of this library. The windowed state keeps only counts, sums and extremes of
-time-ordered values inside a window; late events beyond the watermark are left out.
+An addition of this library. A window's state keeps its values, as their order is known
+only when it closes: events of a window and key must fit in a task. Late events beyond
+the watermark are left out.
 """
 
 from __future__ import annotations

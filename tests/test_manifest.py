@@ -1,16 +1,23 @@
 """Manifests, suites, files, command line."""
 
 import json
+import os
+import warnings
 
+import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from perdura import cli
+from perdura import cli, testing
+from perdura.interfaces import LeaderboardBuilder
 from perdura.kernels.estimators import Kernel, variance_ratio
+from perdura.operators.evaluate import GLOBAL
 from perdura.plans import runner
 from perdura.plans.catalog import METRICS
 from perdura.plans.manifest import ManifestError, manifest_of
 from perdura.plans.suites import SUITES, resolve
-from perdura.sinks import contract
+from perdura.sinks import contract, render
 from perdura.sinks.store import write_run
 from perdura.sinks.tables import tables
 from perdura.sources.records import grid_rows, severity
@@ -69,11 +76,27 @@ def test_golden_row_counts(spark, name):
     assert tuple(got[n].count() for n in names) == GOLDEN[name]
 
 
+#: Recorded counts of the medium suites: aggregate rows, uncertainty rows, and stress rows where there are any.
+MEDIUM = {"medium_canonical": (459, 170, None), "medium_stress": (2631, 880, 1872), "medium_null": (167, 32, None), "medium_sensitivity": (616, 105, None)}
+
+
+@pytest.mark.parametrize("name", sorted(MEDIUM) if os.environ.get("TEST_ALL") else ["medium_null"])
+def test_recorded_row_counts_of_medium_suites(spark, name):
+    with runner.run(spark, name) as out:
+        got = tables(out)
+        assert (got["per_stratum_metrics"].count(), got["benchmark_uncertainty"].count(), got["stress_metrics"].count() if "stress_metrics" in got else None) == MEDIUM[name]
+
+
 def test_run_writes_a_valid_folder(spark, tmp_path):
     out = runner.run(spark, changed("smoke_stress_test", report={"formats": ["html", "csv", "latex"], "figure_set": ["degradation_curve"]}))
     root = write_run(out, tmp_path)
     assert contract.validate_output(root) == [] and (root / "latex/leaderboard.tex").exists() and (root / "figures/degradation_curve.svg").exists()
     assert cli.main(["validate-output", str(root)]) == 0
+    raw = pd.read_csv(root / "raw/metrics.csv")
+    assert len(raw) == tables(out)["failures"].agg({"n_metric_rows": "sum"}).first()[0] + (raw.scope != "per_series").sum()
+    (root / "tables/failures.csv").write_bytes(b"\xff\xfe\x00")
+    assert any("failures.csv" in e for e in contract.validate_output(root))
+    write_run(out, tmp_path)
     (root / "tables/leaderboard.csv").write_text("a,b\n")
     (root / "raw/metrics.csv").unlink()
     assert len(contract.validate_output(root)) == 2 and cli.main(["validate-output", str(root)]) == 2
@@ -114,6 +137,60 @@ def test_plugins(spark):
     assert 0 < got.estimates.first().point < 1
 
 
+def test_own_generators_contaminations_evaluator_and_leaderboard(spark):
+    ramp = lambda rng, H, n: np.linspace(0, H, int(n)) + rng.normal(size=int(n))
+    flip = lambda x, rng, **_: -x
+    source = {"type": "generator_grid", "generators": [{"family": "Ramp", "params": {"H": 0.5, "n": 64}, "replicates": 2}]}
+    data = changed("smoke_stress_test", source=source, contamination={"operators": [{"name": "flip"}]})
+    with pytest.raises(ManifestError):
+        runner.run(spark, data)
+
+    class Halved(runner.CatalogueEvaluator):
+        def aggregate(self, manifest, series):
+            return super().aggregate(manifest, series).withColumn("value", F.col("value") / 2)
+
+    class ByName(LeaderboardBuilder):
+        def build(self, manifest, board, aggregates):
+            return spark.createDataFrame([("RS", 1, 0.0, {"mae": 0.0})], "estimator_name string, rank int, score double, components map<string,double>")
+
+    own = {"generators": {"Ramp": (ramp, "hurst_scaling_proxy", "H")}, "contaminations": {"flip": (flip, "sign")}}
+    with runner.run(spark, data, **own) as plain, runner.run(spark, data, evaluator=Halved(), leaderboard_builder=ByName(), **own) as bent:
+        got = {r.record_id: r for r in plain.records.collect()}
+        assert len(got) == 4 and all(r["values"] == [-v for v in got[r.clean_record_id]["values"]] for r in got.values() if r.operator)
+        value = lambda run: run.aggregates.filter("metric_name = 'mae'").agg({"value": "sum"}).first()[0]
+        assert value(bent) == pytest.approx(value(plain) / 2)
+        assert [r.score for b in bent.leaderboards.values() for r in b.collect()] == [0.0]
+    assert not plain.kept
+
+
+def test_figures():
+    import xml.dom.minidom
+
+    rows = pd.DataFrame({"scope": "aggregate", "estimator_name": ["A", "A", "B"], "metric_name": ["x<y", "z", "z"], "value": [0.1, 0.9, None]})
+    bands = pd.DataFrame({"estimator_name": ["A", "B"], "metric_name": ["m", "m"], "value": [1.0, 2.0], "ci_low": [0.5, None], "ci_high": [1.5, None]})
+    rates = pd.DataFrame({"estimator_name": ["A", "B"], "metric_name": "false_positive_lrd_rate", "value": [0.1, 0.2], "stratum_json": GLOBAL})
+    stress = pd.DataFrame({"metric_name": "estimate_drift", "value": [0.1, 0.4], "contamination_operator": ["trend", "shift"]})
+    given = {"estimator_disagreement": rows, "scale_window_sensitivity": rows.head(0), "benchmark_uncertainty": bands, "per_stratum_metrics": rates, "stress_metrics": stress}
+    made = {n: render.figure(n, given) for n in ("disagreement_heatmap", "sensitivity_heatmap", "benchmark_uncertainty_intervals", "false_positive_lrd", "degradation_curve", "odd")}
+    assert made["sensitivity_heatmap"] is None and made["odd"] is None
+    for svg in filter(None, made.values()):
+        xml.dom.minidom.parseString(svg)
+    assert made["disagreement_heatmap"].count("<rect") == 2 and made["benchmark_uncertainty_intervals"].count("<line") == 1 and "polyline" in made["degradation_curve"]
+
+
+def test_helpers_for_authors():
+    def shaky(x):
+        warnings.warn("short series", stacklevel=1)
+        return np.where(x.std(axis=1) > 0, 0.5, np.nan)
+
+    kernel = Kernel(shaky, "shaky")
+    got = testing.smoke_fit(kernel, np.arange(40.0), 0.4, 0.6)
+    assert got["warnings"] == ["short series"] and testing.estimator_spec(family="x").family == "x"
+    testing.assert_invalid(testing.fit(kernel, np.zeros(40)), "shaky")
+    with pytest.raises(AssertionError):
+        testing.smoke_fit(kernel, np.arange(40.0), low=0.9)
+
+
 def test_failing_estimator_is_a_result(spark):
     def broken(x):
         raise RuntimeError("no")
