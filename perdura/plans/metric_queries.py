@@ -9,14 +9,14 @@ test each series is also perturbed by a trend.
 
 from __future__ import annotations
 
-
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from perdura.functions.columns import rounded
 from perdura.operators import evaluate, native, uncertainty
-from perdura.plans.catalog import metric
+from perdura.plans.catalog import MetricSpec, metric
 from perdura.plans.registry import EstimatorSpec
 from perdura.plans.series_queries import TREND_SQL, VIEW_SQL, Query
 from perdura.sources.series import VIEWS
@@ -156,12 +156,17 @@ agg AS (SELECT estimator_name, metric_name, nominal, value, stratum, NULL::BIGIN
 """
 
 
-def clean_series(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluate.per_series(clean_facts(spark, sf), METRICS, "ground_truth")
+def chosen(names: Iterable[str] | None) -> list[MetricSpec]:
+    return [m for m in METRICS if names is None or m.name in names]
+
+
+def clean_series(spark: SparkSession, sf: str, names: Iterable[str] | None = None) -> DataFrame:
+    """Metric rows; of the named metrics only, so that no other is computed."""
+    return evaluate.per_series(clean_facts(spark, sf), chosen(names), "ground_truth")
 
 
-def aggregates(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluate.aggregate(clean_series(spark, sf), METRICS)
+def aggregates(spark: SparkSession, sf: str, names: Iterable[str] | None = None) -> DataFrame:
+    return evaluate.aggregate(clean_series(spark, sf, names), chosen(names))
 
 
 def with_value(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -172,20 +177,20 @@ QUERIES["aggregate_strata_and_global"] = lambda spark, sf: with_value(aggregates
 SQL["aggregate_strata_and_global"] = STEP + "SELECT estimator_name, metric_name, nominal, round(value, 6) + 0.0 AS value, stratum, coalesce(n_strata, 1) AS n_strata FROM agg"
 
 CALIBRATION = ["coverage", "ci_width", "coverage_error"]
-QUERIES["uncertainty_calibration"] = lambda spark, sf: with_value(aggregates(spark, sf).filter(F.col("metric_name").isin(CALIBRATION))).drop("n_strata")
+QUERIES["uncertainty_calibration"] = lambda spark, sf: with_value(aggregates(spark, sf, CALIBRATION)).drop("n_strata")
 SQL["uncertainty_calibration"] = STEP + "SELECT estimator_name, metric_name, nominal, round(value, 6) + 0.0 AS value, stratum FROM agg WHERE metric_name IN ('coverage', 'ci_width', 'coverage_error')"
 
 WEIGHTS = {"mae": 0.5, "coverage_error": 0.3, "validity_rate": 0.2}
 
 
 def leaderboard(spark: SparkSession, sf: str) -> DataFrame:
-    board = evaluate.leaderboard(with_value(aggregates(spark, sf)), [s.name for s in SPECS], WEIGHTS)
+    board = evaluate.leaderboard(with_value(aggregates(spark, sf, ["coverage", *WEIGHTS])), [s.name for s in SPECS], WEIGHTS)
     return board.select("estimator_name", F.col("rank").cast("long").alias("rank"), rounded("score").alias("score"), *[rounded(F.element_at("components", k), 5).alias(f"metric__{k}") for k in WEIGHTS])
 
 
 QUERIES["leaderboard_weighted_rank"] = leaderboard
 SQL["leaderboard_weighted_rank"] = STEP + f"""
-, v AS (SELECT estimator_name, metric_name, avg(round(value, 6) + 0.0) AS value FROM agg WHERE stratum = '{evaluate.GLOBAL}' AND metric_name IN ('mae', 'coverage_error', 'validity_rate') AND estimator_name IN ('RS', 'VarianceRatio::short', 'VarianceRatio::long', 'GHE') GROUP BY ALL),
+, v AS (SELECT estimator_name, metric_name, avg(round(value, 6) + 0.0) AS value FROM agg WHERE stratum = '{evaluate.GLOBAL}' AND metric_name IN ('mae', 'coverage_error', 'validity_rate') AND estimator_name IN ('RS', 'VarianceRatio::short', 'VarianceRatio::long', 'VarianceRatio::never') GROUP BY ALL),
 w(metric_name, weight, up) AS (VALUES ('mae', 0.5::DOUBLE, false), ('coverage_error', 0.3, false), ('validity_rate', 0.2, true)),
 g AS (SELECT e.estimator_name, w.*, v.value FROM (SELECT DISTINCT estimator_name FROM v) AS e CROSS JOIN w LEFT JOIN v ON v.estimator_name = e.estimator_name AND v.metric_name = w.metric_name),
 p AS (SELECT *, row_number() OVER (PARTITION BY metric_name ORDER BY CASE WHEN up THEN -coalesce(value, 'infinity'::DOUBLE) ELSE coalesce(value, 'infinity'::DOUBLE) END, estimator_name) AS place FROM g),
@@ -213,8 +218,7 @@ def scoped(names: tuple[str, ...]) -> Query:
     """Rows of some metrics, per series and aggregated."""
 
     def query(spark: SparkSession, sf: str) -> DataFrame:
-        one = clean_series(spark, sf).filter(F.col("metric_name").isin(list(names)))
-        two = aggregates(spark, sf).filter(F.col("metric_name").isin(list(names)))
+        one, two = clean_series(spark, sf, names), aggregates(spark, sf, names)
         columns = ["record_id", "estimator_name", "metric_name", "value", "stratum"]
         return with_value(one.select(F.lit("per_series").alias("scope"), *columns).unionByName(two.withColumn("record_id", F.lit(None).cast("string")).select(F.lit("aggregate").alias("scope"), *columns)))
 
