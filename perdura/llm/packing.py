@@ -37,7 +37,7 @@ TASK_ROWS = 200_000
 #: Standard deviation, in tokens, of what is added to lengths before they are put in descending order.
 STIR = 20
 #: Chunks whose ids a Python worker keeps, in a table and an older one that it replaces when full; their greatest length.
-CACHE_CHUNKS, CACHED_LENGTH = 500_000, 40
+CACHE_CHUNKS, CACHED_LENGTH = 250_000, 40
 #: Chunks that are encoded as the lines of one text.
 GROUP = 200
 #: A run of plain white space with the run of other characters after it. Pre-tokens hold no white space
@@ -90,15 +90,16 @@ class Encoder:
             self.chunks, self.older = {}, self.chunks
         known, older = self.chunks, self.older
         cut = [None if any(a in t for a in self.added) or OTHER_SPACE.search(t) else CHUNK.findall(t) for t in texts]
-        new = {c for parts in cut if parts for c in parts if c not in known}
-        for c in [c for c in new if c in older]:
-            known[c] = older[c]
-            new.remove(c)
-        over = {}
-        for c, ids in self.each(list(new)):
-            (known if len(c) <= CACHED_LENGTH else over)[c] = ids
-        get = known.__getitem__ if not over else lambda c: known[c] if c in known else over[c]
-        return [self.whole([t])[0] if parts is None else b"".join(map(get, parts)) for t, parts in zip(texts, cut, strict=True)]
+        ids = [None if parts is None else list(map(known.get, parts)) for parts in cut]
+        missing = [[k for k, x in enumerate(got) if x is None] if got and None in got else () for got in ids]
+        new = {parts[k] for parts, places in zip(cut, missing, strict=True) for k in places}
+        found = {c: older[c] for c in new if c in older}
+        found.update(self.each([c for c in new if c not in found]))
+        for parts, got, places in zip(cut, ids, missing, strict=True):
+            for k in places:
+                got[k] = found[parts[k]]
+        known.update((c, x) for c, x in found.items() if len(c) <= CACHED_LENGTH)
+        return [self.whole([t])[0] if got is None else b"".join(got) for t, got in zip(texts, ids, strict=True)]
 
 
 ENCODERS: dict[str, Encoder] = {}
