@@ -19,6 +19,8 @@ from perdura.operators.evaluate import GLOBAL
 
 KEYS = ["estimator_name", "metric_name", "stratum", "nominal"]
 OUT = "value double, ci_level double, ci_low double, ci_high double, n long"
+#: Values that one task draws from.
+BLOCK_ROWS = 1_000_000
 #: Metrics that derive from others and have no values to resample.
 DERIVED = ("coverage_error",)
 
@@ -42,32 +44,55 @@ def paired(series: DataFrame, metrics: list[str]) -> DataFrame:
     return both.select(F.concat_ws("__minus__", "l.estimator_name", "r.estimator_name").alias("estimator_name"), "l.metric_name", "l.stratum", "l.nominal", F.col("l.record_id").alias("ord"), (F.col("l.value") - F.col("r.value")).alias("value"))
 
 
-def centre(metric: str, values: np.ndarray) -> np.ndarray | float:
-    mean = values.mean(axis=-1)
-    return np.sqrt(mean) if metric == "rmse" else mean
-
-
-def bootstrap(rows: DataFrame, n_bootstrap: int = 200, levels: tuple[float, ...] = (0.95,), seed: int = 0, root: bool = True) -> DataFrame:
-    """KEYS and OUT for rows of KEYS, ord and value; a group's values are one array in its task."""
-    schema = "estimator_name string, metric_name string, stratum string, nominal double, " + OUT
-    packed = rows.groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("ord", "value"))).alias("x"))
-    packed = packed.select(*KEYS, F.transform("x", lambda r: r["value"]).alias("values"), F.xxhash64(F.lit(seed), *KEYS).alias("seed"))
+def bootstrap(rows: DataFrame, n_bootstrap: int = 200, levels: tuple[float, ...] = (0.95,), seed: int = 0, root: bool = True, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """KEYS and OUT for rows of KEYS, ord and value.
+
+    A group's rows are cut into blocks of about block_rows by a hash of ord. For each replicate
+    a multinomial law says how many of the group's draws fall on each block, which every
+    block's task finds from the group's seed; the draws inside a block are then made in its
+    task, and only their sums, one for each replicate, move on. So a group of any size is
+    drawn exactly, with no task that holds more than a block.
+    """
+    group = F.xxhash64(F.lit(seed), *KEYS)
+    marked = rows.select(*KEYS, "ord", "value", group.alias("seed"))
+    sizes = marked.groupBy("seed").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
+    placed = marked.join(sizes, "seed").withColumn("block", F.pmod(F.xxhash64("ord"), F.col("blocks")).cast("int"))
+    packed = placed.groupBy(*KEYS, "seed", "blocks", "block").agg(F.sort_array(F.collect_list(F.struct("ord", "value"))).alias("x"))
+    packed = packed.select(*KEYS, "seed", "blocks", "block", F.transform("x", lambda r: r["value"]).alias("values"))
+    counts = packed.select("seed", "blocks", "block", F.size("values").alias("n")).groupBy("seed", "blocks").agg(F.map_from_entries(F.collect_list(F.struct("block", "n"))).alias("m"))
+    of_blocks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.coalesce(F.element_at("m", i), F.lit(0)))
+    ready = packed.join(counts.select("seed", of_blocks.alias("sizes")), "seed")
+    schema = "estimator_name string, metric_name string, stratum string, nominal double, n long, total double, sums array<double>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for r in b.itertuples(index=False):
-                x = np.asarray(r.values, dtype=float)
-                rng = np.random.default_rng(int(r.seed) & 0xFFFFFFFFFFFFFFFF)
-                step = max(1, 2_000_000 // len(x))
-                metric = r.metric_name if root else ""
-                drawn = np.concatenate([np.atleast_1d(centre(metric, x[rng.integers(0, len(x), size=(min(step, n_bootstrap - a), len(x)))])) for a in range(0, n_bootstrap, step)])
-                for level in levels:
-                    low, high = np.quantile(drawn, [(1 - level) / 2, 1 - (1 - level) / 2])
-                    out.append((r.estimator_name, r.metric_name, r.stratum, r.nominal, float(centre(metric, x)), level, low, high, len(x)))
+                x, sizes = np.asarray(r.values, dtype=float), np.asarray(r.sizes, dtype=np.int64)
+                n, own = int(sizes.sum()), int(r.seed) & 0xFFFFFFFFFFFFFFFF
+                draws = np.random.default_rng(own).multinomial(n, sizes / n, size=n_bootstrap)[:, r.block]
+                rng = np.random.default_rng([own, r.block])
+                sums = [float(x[rng.integers(0, len(x), size=k)].sum()) for k in draws.tolist()]
+                out.append((r.estimator_name, r.metric_name, r.stratum, r.nominal, len(x), float(x.sum()), sums))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
-    return packed.mapInPandas(run, schema)
+    drawn = ready.mapInPandas(run, schema)
+    add = lambda a, x: F.when(F.size(a) == 0, x).otherwise(F.zip_with(a, x, lambda p, q: p + q))
+    sums = F.aggregate(F.sort_array(F.collect_list("sums")), F.array().cast("array<double>"), add)
+    whole = drawn.groupBy(*KEYS).agg(F.sum("n").alias("n"), F.sum("total").alias("total"), sums.alias("sums"))
+    centre = lambda mean: F.when(F.lit(root) & (F.col("metric_name") == "rmse"), F.sqrt(mean)).otherwise(mean)
+    sorted_ = F.sort_array(F.transform("sums", lambda s: centre(s / F.col("n"))))
+    done = whole.select(*KEYS, "n", centre(F.col("total") / F.col("n")).alias("value"), sorted_.alias("means"))
+
+    def quantile(q: float):
+        """Between the two nearest of the sorted means."""
+        at = q * (n_bootstrap - 1)
+        low, part = int(at), at - int(at)
+        a, b = F.get("means", F.lit(low)), F.get("means", F.lit(min(low + 1, n_bootstrap - 1)))
+        return a + part * (b - a)
+
+    each = F.explode(F.array(*[F.struct(F.lit(float(v)).alias("ci_level"), quantile((1 - v) / 2).alias("ci_low"), quantile(1 - (1 - v) / 2).alias("ci_high")) for v in levels])).alias("c")
+    return done.select(*KEYS, "value", each, "n").select(*KEYS, "value", "c.*", "n")
 
 
 def counter_bootstrap(rows: DataFrame, n_bootstrap: int, level: float) -> DataFrame:

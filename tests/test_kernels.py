@@ -148,3 +148,21 @@ def test_arfima_equals_direct_convolution():
 def test_long_memory_is_seen(h):
     x = np.stack([simulate.fgn(np.random.default_rng(i), h, 1024) for i in range(6)])
     assert abs(K.dfa(x, 1, 8, 128).mean() - h) < 0.12
+
+
+def test_bootstrap_of_groups_in_one_and_in_many_blocks(spark):
+    """Intervals of means near those of the normal law, whatever the blocks; a group of one value has no width."""
+    from perdura.operators.uncertainty import bootstrap
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(5, 2, 4000)
+    rows = [("A", "mae", "s", 0.5, f"r{i}", float(v)) for i, v in enumerate(x)] + [("A", "rmse", "s", None, f"r{i}", float(v * v)) for i, v in enumerate(x)] + [("B", "mae", "s", None, "r0", 7.0)]
+    df = spark.createDataFrame(rows, "estimator_name string, metric_name string, stratum string, nominal double, ord string, value double")
+    for block_rows in (1_000_000, 300):
+        got = {(r.estimator_name, r.metric_name, r.ci_level): r for r in bootstrap(df, 400, (0.8, 0.95), 1, block_rows=block_rows).collect()}
+        assert len(got) == 6
+        for level, z in ((0.8, 1.2816), (0.95, 1.96)):
+            r, half = got["A", "mae", level], z * x.std() / np.sqrt(len(x))
+            assert r.n == 4000 and r.value == pytest.approx(x.mean()) and r.ci_low == pytest.approx(x.mean() - half, abs=half / 4) and r.ci_high == pytest.approx(x.mean() + half, abs=half / 4)
+            assert got["A", "rmse", level].value == pytest.approx(np.sqrt((x**2).mean())) and got["A", "rmse", level].ci_low < got["A", "rmse", level].value < got["A", "rmse", level].ci_high
+            assert (got["B", "mae", level].ci_low, got["B", "mae", level].ci_high, got["B", "mae", level].n) == (7.0, 7.0, 1)
