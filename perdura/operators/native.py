@@ -13,6 +13,7 @@ from pyspark.sql.window import WindowSpec
 
 from perdura.functions.columns import clipped, reason
 from perdura.kernels.estimators import HIGH, LOW
+from perdura.sources.series import before_blocks
 
 
 def whole() -> WindowSpec:
@@ -24,7 +25,16 @@ def so_far() -> WindowSpec:
 
 
 def profile(long: DataFrame) -> DataFrame:
-    """Adds n, x (centred values) and y (their running sum)."""
+    """Adds n, x (centred values) and y (their running sum). Series in blocks are summed block by block, and go on from the
+    sums of their earlier blocks, so that no task gets a whole series."""
+    if "block" in long.columns:
+        of_series = long.groupBy("series_id", "block").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s"))
+        all_blocks = Window.partitionBy("series_id")
+        table = of_series.select("series_id", "block", F.sum("n").over(all_blocks).alias("n"), (F.sum("s").over(all_blocks) / F.sum("n").over(all_blocks)).alias("mean"))
+        rows = long.join(table, ["series_id", "block"]).withColumn("x", F.col("v") - F.col("mean")).drop("mean")
+        inside = Window.partitionBy("series_id", "block").orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        rows = before_blocks(rows.withColumn("y", F.sum("x").over(inside)), F.sum("x").alias("carried"))
+        return rows.withColumn("y", F.col("y") + F.col("carried")).drop("carried")
     rows = long.withColumn("n", F.count(F.lit(1)).over(whole())).withColumn("x", F.col("v") - F.avg("v").over(whole()))
     return rows.withColumn("y", F.sum("x").over(so_far()))
 
@@ -67,10 +77,9 @@ def dfa(long: DataFrame, order: int = 1, min_scale: int = 16, max_scale: int | N
     A box of s rows has known sums of places and their squares, so three sums are enough.
     """
     rows = profile(long)
-    per_series = rows.groupBy("series_id", "n").agg(F.count(F.lit(1)).alias("rows")).select("series_id", "n")
-    grids = per_series.select("series_id", "n", scales(F.col("n"), min_scale, max_scale).alias("grid"))
-    usable = F.filter("grid", lambda s: (s >= order + 2) & (F.floor(F.col("n") / s) >= 2))
-    rows = rows.join(grids.select("series_id", usable.alias("grid")), "series_id").withColumn("s", F.explode("grid"))
+    per_series = long.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"))
+    usable = F.filter(scales(F.col("n"), min_scale, max_scale), lambda s: (s >= order + 2) & (F.floor(F.col("n") / s) >= 2))
+    rows = rows.withColumn("s", F.explode(usable))
     rows = rows.filter(F.col("t") < F.floor(F.col("n") / F.col("s")) * F.col("s"))
     boxes = rows.groupBy("series_id", "n", "s", F.floor(F.col("t") / F.col("s")).alias("box"))
     u, y, s = F.pmod("t", "s").cast("double"), F.col("y"), F.col("s")

@@ -93,6 +93,7 @@ RS_BODY = """r AS (SELECT series_id, count(*) AS n, CASE WHEN count(*) >= 16 AND
 """
 for _v, _n in (("E5", "rs_hurst"), ("EU", "rs_validity"), ("L3", "rs_hurst_revenue"), ("O", "rs_hurst_price")):
     add(_n, native_query(_v, native.rescaled_range), with_profile(VIEW_SQL[_v], RS_BODY + finish("rs", "RS")))
+add("rs_hurst_blocks", native_query("E5B", native.rescaled_range), with_profile(VIEW_SQL["E5"], RS_BODY + finish("rs", "RS")))
 
 
 # Detrended fluctuation analysis.
@@ -111,6 +112,7 @@ r AS (SELECT ns.series_id, ns.n, CASE WHEN ns.n >= 64 AND k >= 3 THEN {clip('slo
 
 add("dfa_order0", native_query("E5", lambda s: native.dfa(s, 0)), dfa_sql("E5", 0, 16))
 add("dfa_order1", native_query("E5", native.dfa), dfa_sql("E5", 1, 16))
+add("dfa_order1_blocks", native_query("E5B", native.dfa), dfa_sql("E5", 1, 16))
 add("dfa_default_validity", native_query("EU", native.dfa), dfa_sql("EU", 1, 16))
 add("dfa_embeddings", native_query("V", lambda s: native.dfa(s, 1, 4)), dfa_sql("V", 1, 4))
 add("dfa_arrow", kernel_query("E5", "DFA"), dfa_sql("E5", 1, 16))

@@ -17,6 +17,32 @@ def table_to_series(df: DataFrame, key: Column | str, order: list[str], value: C
     return rows.select("series_id", t.cast("long").alias("t"), "v")
 
 
+def table_to_blocks(df: DataFrame, key: Column | str, order: list[str], value: Column | str, blocks: int) -> DataFrame:
+    """Long series as table_to_series gives them, with block, for series too long for one task.
+
+    A block is a range of the first order column, the same for all series, with bounds at its
+    approximate quantiles (one pass, which yields blocks - 1 values). Rows are shuffled by
+    series and block; t counts on from the series' earlier blocks, whose sizes are a small table.
+    """
+    key, value = (F.col(x) if isinstance(x, str) else x for x in (key, value))
+    rows = df.select(key.cast("string").alias("series_id"), value.cast("double").alias("v"), *order).filter("v is not null")
+    at = [i / blocks for i in range(1, blocks)]
+    bounds = sorted(set(rows.agg(F.percentile_approx(order[0], at)).first()[0] or [])) if at else []
+    block = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col(order[0]))) if bounds else F.lit(0)
+    rows = rows.withColumn("block", block)
+    t = F.row_number().over(Window.partitionBy("series_id", "block").orderBy(*order)) - 1
+    numbered = rows.withColumn("t", t.cast("long"))
+    return before_blocks(numbered, F.count(F.lit(1)).alias("rows")).select("series_id", "block", (F.col("t") + F.col("rows")).alias("t"), "v")
+
+
+def before_blocks(rows: DataFrame, *sums: Column) -> DataFrame:
+    """rows (series_id, block, ...) with each sum over the series' earlier blocks, 0 in the first."""
+    each = rows.groupBy("series_id", "block").agg(*sums)
+    names = [c for c in each.columns if c not in ("series_id", "block")]
+    earlier = Window.partitionBy("series_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.join(each.select("series_id", "block", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in names]), ["series_id", "block"])
+
+
 def pack(long: DataFrame) -> DataFrame:
     """series_id, n and values, in order of t."""
     rows = long.groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct("t", "v"))).alias("x"))
@@ -55,4 +81,8 @@ def embedding_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("series_id", F.col("t").cast("long").alias("t"), F.col("v").cast("double").alias("v"))
 
 
-VIEWS = {"E5": events_by_type, "EU": events_by_user, "L3": revenue_by_flag, "O": price_by_priority, "V": embedding_rows}
+def events_in_blocks(spark: SparkSession, sf_dir: str, blocks: int = 16) -> DataFrame:
+    return table_to_blocks(read(spark, sf_dir, "events"), "event_type", ["ts", "event_id"], "value", blocks)
+
+
+VIEWS = {"E5": events_by_type, "EU": events_by_user, "L3": revenue_by_flag, "O": price_by_priority, "V": embedding_rows, "E5B": events_in_blocks}

@@ -12,7 +12,7 @@ from perdura.plans import catalogue
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 QUERIES, SQL = catalogue.queries(), catalogue.oracle_sql()
 #: Queries that stand for many alike, for a run of the tests in short time; TEST_ALL=1 runs all.
-SOME = ["series_profile_l3", "packed_round_trip", "rs_hurst", "rs_validity", "dfa_order1", "dma_hurst", "higuchi_slope", "ghe", "ghe_native_lags", "gph", "whittle_grid", "local_whittle_grid", "wavelet_haar_bardet", "wavelet_haar_jensen", "variance_ratio_plugin", "polynomial_trend", "outliers_fixed", "metric_coverage", "metric_family_level_disagreement", "metric_coverage_collapse", "metric_max_variant_drift", "aggregate_strata_and_global", "leaderboard_weighted_rank", "failures", "bench_uncertainty_paired", "generator_grid", "contamination_grid", "rolling_hurst"]
+SOME = ["series_profile_l3", "packed_round_trip", "rs_hurst", "rs_validity", "rs_hurst_blocks", "dfa_order1", "dfa_order1_blocks", "dma_hurst", "higuchi_slope", "ghe", "ghe_native_lags", "gph", "whittle_grid", "local_whittle_grid", "wavelet_haar_bardet", "wavelet_haar_jensen", "variance_ratio_plugin", "polynomial_trend", "outliers_fixed", "metric_coverage", "metric_family_level_disagreement", "metric_coverage_collapse", "metric_max_variant_drift", "aggregate_strata_and_global", "leaderboard_weighted_rank", "failures", "bench_uncertainty_paired", "generator_grid", "contamination_grid", "rolling_hurst"]
 
 
 @pytest.fixture(scope="module")
@@ -34,6 +34,14 @@ def test_same_rows_as_sql(spark, duck, name):
     assert sorted(got.columns) == sorted(want.columns) and plain(got) == plain(want)
 
 
+def test_blocks_give_the_same_series(spark):
+    from perdura.sources.series import VIEWS, events_in_blocks
+
+    plain = {(r.series_id, r.t): r.v for r in VIEWS["E5"](spark, SF).collect()}
+    cut = events_in_blocks(spark, SF, 7).collect()
+    assert {(r.series_id, r.t): r.v for r in cut} == plain and len(cut) == len(plain) and len({r.block for r in cut}) == 7
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
