@@ -118,7 +118,11 @@ def described(span: Column, text: Column, base: bool) -> Column:
 
 
 def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with _spans: base spans and proposed ones that touch no base span, each with votes and features. Narrow."""
+    """docs with _spans: base spans and proposed ones that touch no base span, each with votes and features. Narrow.
+
+    A null text has no spans; repeated rows have the same. docs must have no columns that begin
+    with an underscore; redact() takes any.
+    """
     df = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
     names = []
     for kind, pattern, needs in BASE:

@@ -191,6 +191,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, folds: int = 5, held: in
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
+    """The model of docs (doc_id, text) and labels (doc_id, quality); other columns of both are ignored.
+
+    Rows of labels with a null doc_id or a quality other than 0 and 1, or of a document that
+    is not there, are left out. A repeated label, or a document with several rows, counts as
+    often as it is there. A null text is an empty one. Without labels, or with labels of one
+    kind, the model is a constant.
+    """
     return fit(*labelled_sample(docs, labels))
 
 
