@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from perdura.llm.common import checkpointed, record_batch, to_arrow
+from perdura.llm.words import BYTES, mixed, sums
 
 SIZE, END_ID = 1024, 2
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -36,13 +37,11 @@ PACKED = PIECES + ", sequence_id long, offset long"
 TASK_ROWS = 200_000
 #: Standard deviation, in tokens, of what is added to lengths before they are put in descending order.
 STIR = 20
-#: Chunks whose ids a Python worker keeps, in a table and an older one that it replaces when full; their greatest length.
-CACHE_CHUNKS, CACHED_LENGTH = 250_000, 40
-#: Chunks that are encoded as the lines of one text.
-GROUP = 200
-#: A run of plain white space with the run of other characters after it. Pre-tokens hold no white space
-#: after another character, so none spans two chunks, and a chunk has the same ids by itself.
-CHUNK = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
+#: Slots (a power of two) of the table of chunks whose ids a Python worker keeps, and the ids that it keeps before it begins anew.
+SLOTS, KEPT_IDS = 20, 6_000_000
+#: Chunks that are encoded as the lines of one text, and bytes of texts whose chunks are looked up at once.
+GROUP, PART_BYTES = 200, 60_000
+PLAIN_SPACE = np.isin(np.arange(256), [9, 10, 13, 32])
 #: White space (or near it) of any other kind: in such texts chunks might cut a run of white space.
 OTHER_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 
@@ -50,8 +49,12 @@ OTHER_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2
 class Encoder:
     """Ids of the byte-level vocabulary, by its tokenizer with its own settings, as little-endian uint32 bytes.
 
-    Texts are encoded chunk by chunk and the chunks' ids are kept. Texts with an added
-    token's literal or other white space than the plain are encoded as they are.
+    A text is a row of chunks: runs of plain white space, each with the run of other
+    characters after it. Pre-tokens hold no white space after another character, so none
+    spans two chunks, and a chunk has the same ids by itself. The ids of chunks are kept in
+    a table by 63-bit hashes, and all chunks of some texts are looked up at once. Texts with
+    an added token's literal, with other white space or at whose end is white space are
+    encoded as they are.
     """
 
     def __init__(self, path: str):
@@ -61,8 +64,11 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.line_break = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.chunks: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known = np.zeros(1 << SLOTS, dtype=np.uint64)  # the hash in each slot; none is 0
+        self.first = np.zeros(1 << SLOTS, dtype=np.int64)  # where its ids begin
+        self.count = np.zeros(1 << SLOTS, dtype=np.int64)
+        self.ids = np.empty(KEPT_IDS + PART_BYTES, dtype="<u4")
+        self.used = 0
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -86,20 +92,79 @@ class Encoder:
         return self.encode_all([text])[0]
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        if len(self.chunks) > CACHE_CHUNKS:
-            self.chunks, self.older = {}, self.chunks
-        known, older = self.chunks, self.older
-        cut = [None if any(a in t for a in self.added) or OTHER_SPACE.search(t) else CHUNK.findall(t) for t in texts]
-        ids = [None if parts is None else list(map(known.get, parts)) for parts in cut]
-        missing = [[k for k, x in enumerate(got) if x is None] if got and None in got else () for got in ids]
-        new = {parts[k] for parts, places in zip(cut, missing, strict=True) for k in places}
-        found = {c: older[c] for c in new if c in older}
-        found.update(self.each([c for c in new if c not in found]))
-        for parts, got, places in zip(cut, ids, missing, strict=True):
-            for k in places:
-                got[k] = found[parts[k]]
-        known.update((c, x) for c, x in found.items() if len(c) <= CACHED_LENGTH)
-        return [self.whole([t])[0] if got is None else b"".join(got) for t, got in zip(texts, ids, strict=True)]
+        out: list[list[bytes]] = [[] for _ in texts]
+        held: list[tuple[int, bytes]] = []
+        size = 0
+        for i, t in enumerate(texts):
+            if not t or t[-1] in " \t\n\r" or OTHER_SPACE.search(t) or any(a in t for a in self.added):
+                out[i].append(self.whole([t])[0])
+                continue
+            for part in parts_of(t.encode()):
+                if held and size + len(part) > PART_BYTES:
+                    self.look_up(held, out)
+                    held, size = [], 0
+                if len(part) > PART_BYTES:
+                    out[i].append(self.whole([part.decode()])[0])  # one very long chunk
+                else:
+                    held.append((i, part))
+                    size += len(part)
+        if held:
+            self.look_up(held, out)
+        return [b"".join(x) for x in out]
+
+    def look_up(self, parts: list[tuple[int, bytes]], out: list[list[bytes]]) -> None:
+        """Appends the ids of each part (a text's number and whole chunks of it, PART_BYTES together at most)."""
+        if self.used > KEPT_IDS:
+            self.known[:] = 0
+            self.used = 0
+        raw = b"".join([p for _, p in parts])
+        a = np.frombuffer(raw, dtype=np.uint8)
+        part_end = np.cumsum([len(p) for _, p in parts])
+        other = ~PLAIN_SPACE[a]
+        last = other.copy()
+        last[:-1] &= ~other[1:]
+        last[part_end - 1] = True
+        end = np.flatnonzero(last) + 1
+        start = np.concatenate([[0], end[:-1]])
+        total, down = sums(BYTES[0][a], 0)
+        h = mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)) | np.uint64(1)
+        slot = (h >> np.uint64(64 - SLOTS)).astype(np.int64)
+        first, count = self.first[slot], self.count[slot]
+        missing = np.flatnonzero(self.known[slot] != h)
+        if len(missing):
+            new, at = np.unique(h[missing], return_index=True)
+            at = missing[at]
+            number = {raw[s:e].decode(): k for k, (s, e) in enumerate(zip(start[at].tolist(), end[at].tolist(), strict=True))}
+            new_first, new_count = np.empty(len(new), dtype=np.int64), np.empty(len(new), dtype=np.int64)
+            for c, ids in self.each(list(number)):
+                k, n = number[c], len(ids) // 4
+                new_first[k], new_count[k] = self.used, n
+                self.ids[self.used : self.used + n] = np.frombuffer(ids, dtype="<u4")
+                self.used += n
+            to = slot[at]
+            self.known[to], self.first[to], self.count[to] = new, new_first, new_count
+            k = np.searchsorted(new, h[missing])
+            first[missing], count[missing] = new_first[k], new_count[k]
+        done = np.cumsum(count)
+        ids = self.ids[np.repeat(first - done + count, count) + np.arange(done[-1])]
+        cut = done[np.searchsorted(end, part_end)].tolist()
+        for (i, _), s, e in zip(parts, [0, *cut[:-1]], cut, strict=True):
+            out[i].append(ids[s:e].tobytes())
+
+
+def parts_of(raw: bytes) -> list[bytes]:
+    """A text's bytes cut before white space that follows another character, into parts of PART_BYTES at most where there is such a place."""
+    if len(raw) <= PART_BYTES:
+        return [raw]
+    space = PLAIN_SPACE[np.frombuffer(raw, dtype=np.uint8)]
+    places = np.flatnonzero(space[1:] & ~space[:-1]) + 1
+    out, a = [], 0
+    while len(raw) - a > PART_BYTES:
+        k = int(np.searchsorted(places, a + PART_BYTES, side="right"))
+        b = int(places[k - 1]) if k and places[k - 1] > a else int(places[k]) if k < len(places) else len(raw)
+        out.append(raw[a:b])
+        a = b
+    return [*out, raw[a:]] if a < len(raw) else out
 
 
 ENCODERS: dict[str, Encoder] = {}
