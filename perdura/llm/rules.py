@@ -173,7 +173,7 @@ def starts(rows: DataFrame) -> DataFrame:
     t = joined(z.groupBy("_group").agg(*signs, *scores), q, "_group")
     out = None
     for number in range(3):
-        share = lambda i, j, t="ab"[number - 1]: F.col(f"{t}_{i}_{j}") / F.greatest(F.sqrt(F.col(f"{t}_{i}_{i}") * F.col(f"{t}_{j}_{j}")), F.lit(1.0))
+        share = lambda i, j, t="ab"[number - 1]: F.col(f"{t}_{i}_{j}") / F.greatest(F.sqrt(F.col(f"{t}_{i}_{i}").cast("double") * F.col(f"{t}_{j}_{j}")), F.lit(1.0))
         c = [((F.lit(float(i == j)) if number == 0 else share(i, j)) * F.col(f"s_{i}") * F.col(f"s_{j}")).alias(f"c_{i}_{j}") for i, j in PAIRS]
         one = t.select("_group", F.lit(number).alias("_start"), "k", *[f"m_{i}" for i in range(P)], *c)
         out = one if out is None else out.unionByName(one)

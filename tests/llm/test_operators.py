@@ -189,7 +189,8 @@ def test_robust_estimate_is_that_of_a_plain_one(spark):
     x = rng.normal(size=(n, 5)) * 0.2 @ mix.T + 0.5
     x[:80] = rng.normal(size=(80, 5)) * 0.05 + np.array([0.5, 2.0, 0.2, -1.5, 1.2])  # a fifth lies together elsewhere
     x = np.round(x * rules.UNIT)
-    rows = spark.createDataFrame([("g", *map(int, r)) for r in x] + [("one", 1, 2, 3, 4, 5)], "_group string, " + ", ".join(f"{c} long" for c in rules.NAMES)).cache()
+    rows = spark.createDataFrame([("g", *map(int, r)) for r in x] + [("one", 1, 2, 3, 4, 5)], "_group string, " + ", ".join(f"{c} long" for c in rules.NAMES))
+    rows = rows.unionByName(spark.range(8000).select(F.lit("big").alias("_group"), *[F.pmod(F.hash("id", F.lit(i)), F.lit(1000)).cast("long").alias(c) for i, c in enumerate(rules.NAMES)])).cache()
     got = rules.distance(rows.filter("_group = 'g'").withColumn("i", F.monotonically_increasing_id()), rules.robust(rows)).orderBy("i").collect()
     d = np.array([r._d2 for r in got])
     want = plain_mcd(x / rules.UNIT)
