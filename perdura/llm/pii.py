@@ -34,7 +34,7 @@ WIDE = [
     ("phone", r"(?<![0-9+.(-])(?<!\+[0-9] )(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9-])", None),
     ("secret", r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]{0,40}[0-9])(?=[0-9_+/-]{0,40}[A-Za-z])[A-Za-z0-9_+/-]{20,}+={0,2}", None),
     ("name", r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sra)\.? \p{Lu}\p{L}{1,20}(?: \p{Lu}\p{L}{1,20})?", None),
-    ("name", r"(?<=\b(?:[Nn]ame|[Nn]ombre|[Aa]uthor|[Cc]ontact|[Kk]ontakt|Dear|Sincerely|Regards)[:,]? )\p{Lu}\p{L}{1,20} \p{Lu}\p{L}{1,20}", None),
+    ("name", r"(?=\p{Lu})(?<= )(?<=\b(?:[Nn]ame|[Nn]ombre|[Aa]uthor|[Cc]ontact|[Kk]ontakt|Dear|Sincerely|Regards)[:,]? )\p{Lu}\p{L}{1,20} \p{Lu}\p{L}{1,20}", None),
     ("id", r"(?<![0-9A-Za-z-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30})(?![0-9A-Za-z-])", None),
 ]
 #: Gazetteers and cues: fixed word lists.
