@@ -246,8 +246,8 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix(), plan: Plan | None = None) ->
 
 
 def mixed_rows(mixed: DataFrame, columns: list[str], plan: Plan) -> DataFrame:
-    """One row for each copy, with shard (a column of that name is replaced) and part; rows of a part together, in shuffled order."""
+    """One row for each copy, with shard (a column of that name is replaced) and part; each part in a task of its own, in shuffled order."""
     rows = mixed.select(F.struct(*columns).alias("row"), F.explode("copies").alias("copy")).select("row", "copy.*")
     order = F.xxhash64(F.lit(plan.mix.seed), "pass", "place")
-    dealt = rows.repartition(plan.shards * plan.parts, "shard", "part").sortWithinPartitions("shard", "part", order)
+    dealt = rows.withColumn("to", (F.col("shard") * plan.parts + F.col("part")).cast("int")).repartitionById(plan.shards * plan.parts, "to").sortWithinPartitions("to", order)
     return dealt.select(*[F.col("row").getField(c).alias(c) for c in columns if c not in ("shard", "part")], "shard", "part")
