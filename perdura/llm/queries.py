@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perdura.llm import fingerprint, langid, mixing, neardup, packing, passages, pii, quality, rules, urls
+from perdura.llm import audit, centroids, fingerprint, langid, mixing, neardup, packing, passages, pii, quality, rules, urls
 from perdura.llm.common import checkpointed, crc_mod, stored, table
 
 
@@ -66,6 +66,14 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.decided(found, pii.train(found)))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
@@ -89,5 +97,62 @@ LEFT JOIN fits USING (page_id)
 """
 
 
+OP12_SQL = r"""
+WITH judged AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+    min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least
+  FROM documents),
+marks AS (SELECT doc_id, max(coalesce(quality = 1, false)::INT) AS good, max(coalesce(toxic = 1, false)::INT) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+masks AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    (len(words) < 200)::INT + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::INT
+    + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t))::INT
+    + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > least, false)::INT AS mask
+  FROM judged LEFT JOIN marks USING (doc_id)),
+counts AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM masks GROUP BY ALL),
+letters(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS o
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (
+  SELECT o, k AS step, o[k] AS letter, 1 << (ascii(o[k]) - 65) AS own,
+    coalesce(list_sum(list_transform(string_split(o[1:k - 1], ''), lambda y: CASE WHEN y = '' THEN 0 ELSE 1 << (ascii(y) - 65) END)), 0) AS before
+  FROM orders, range(1, 6) AS r(k)),
+found AS (
+  SELECT part, o AS filter_order, step::INT AS step, letter,
+    sum(CASE WHEN mask & (before | own) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+    sum(CASE WHEN mask & before = 0 AND mask & own > 0 THEN n ELSE 0 END)::BIGINT AS removed,
+    sum(CASE WHEN mask & before > 0 AND mask & own > 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+    sum(CASE WHEN mask = own THEN n ELSE 0 END)::BIGINT AS unique_fails,
+    sum(CASE WHEN mask & before = 0 AND mask & own > 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+    sum(CASE WHEN mask & before = 0 AND mask & own > 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM counts, (SELECT *, before::INT AS b FROM steps) GROUP BY ALL)
+SELECT * EXCLUDE (letter), sum(removed) OVER (PARTITION BY part, letter)::BIGINT AS shapley FROM found
+"""
+
+
+def clustering_sql(rounds: int = centroids.ROUNDS) -> str:
+    """One common table expression for each assignment and each update."""
+    parts = ["""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+x AS MATERIALIZED (SELECT rid, unnest(range(64)) AS i, unnest(v) AS x FROM kept),
+c0 AS MATERIALIZED (
+  SELECT k, unnest(range(64)) AS i, unnest(v) AS c
+  FROM (SELECT row_number() OVER (ORDER BY sha256('3:' || coalesce(vec_id::VARCHAR, '')), v) - 1 AS k, v FROM kept QUALIFY k < 8))"""]
+    for r in range(rounds + 1):
+        parts.append(f"a{r} AS MATERIALIZED (SELECT rid, min(k) AS k, min(d) AS d FROM (SELECT rid, k, d, min(d) OVER (PARTITION BY rid) AS least FROM (SELECT rid, k, sum((x - c) * (x - c))::BIGINT AS d FROM x JOIN c{r} USING (i) GROUP BY rid, k)) WHERE d = least GROUP BY rid)")
+        if r < rounds:
+            parts.append(f"c{r + 1} AS MATERIALIZED (SELECT k, i, coalesce((s - ((s % n) + n) % n) // n, c)::BIGINT AS c FROM c{r} LEFT JOIN (SELECT k, i, sum(x)::BIGINT AS s, count(*) AS n FROM a{r} JOIN x USING (rid) GROUP BY k, i) USING (k, i))")
+    parts.append(f"h AS (SELECT k, sha256(string_agg(c::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY k)")
+    return ",\n".join(parts) + f"""
+SELECT vec_id, k::INT AS cluster, d AS distance, sum(d) OVER (PARTITION BY k)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia, centroid_sha256
+FROM a{rounds} JOIN kept USING (rid) JOIN h USING (k)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filters": OP4_SQL}
+    return {"op4_url_filters": OP4_SQL, "op12_filter_audit": OP12_SQL, "op13_centroid_clustering": clustering_sql()}
