@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perdura.llm import audit, centroids, fingerprint, langid, mixing, neardup, packing, passages, pii, quality, rules, urls
+from perdura.llm import audit, centroids, fingerprint, langid, lm, mixing, neardup, packing, passages, pii, quality, rules, urls
 from perdura.llm.common import checkpointed, crc_mod, stored, table
 
 
@@ -66,6 +66,10 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.decided(found, pii.train(found)))
 
 
+def op11_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
