@@ -19,15 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from perdura.llm.common import crc_mod, map_rows
+from perdura.llm.common import crc_mod, map_rows, to_arrow
 
 #: Documents that a language is learned from: about so many, chosen by id hash.
 DOCS_PER_LANGUAGE = 400
-#: Languages that are learned: those with the most documents.
-MAX_LANGUAGES = 500
 EM_ROUNDS, PRIOR = 4, 0.05
-#: Sums over longer words are by logarithms.
-SHORT = 40
+#: Sums that could be smaller than this are by logarithms.
+SMALLEST = 1e-280
 #: Sums that are held at once: words by positions by languages.
 CELLS = 4_000_000
 #: Words, and scores, that a Python worker keeps at most; the table is emptied when full.
@@ -54,6 +52,7 @@ class Vocabulary:
         self.pieces = {sp.id_to_piece(i): i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))}
         self.unknown = sp.get_piece_size()
         self.size = self.unknown + 1
+        self.longest = max(map(len, self.pieces))
         self.prefixes = {p[:k] for p in self.pieces for k in range(1, len(p))}
 
     def lattice(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -123,11 +122,16 @@ def expected(edges: tuple, p: np.ndarray, logs: bool) -> np.ndarray:
     return alpha[word, start, 0] * p[piece, 0] * beta[word, end, 0] / total
 
 
-def grouped(words: list[str], languages: int) -> Iterator[tuple[np.ndarray, bool]]:
-    """Numbers of words whose sums are held at once, and whether by logarithms; words of like lengths together."""
+def longest(least: float) -> int:
+    """Characters of the longest words whose sums are at least SMALLEST, whatever their pieces, if each has a probability of at least least."""
+    return int(np.log(SMALLEST) / np.log(min(least, 0.5)))
+
+
+def grouped(words: list[str], languages: int, short: int) -> Iterator[tuple[np.ndarray, bool]]:
+    """Numbers of words whose sums are held at once, and whether by logarithms (longer than short); words of like lengths together."""
     lengths = np.array([len(w) for w in words], dtype=np.int64)
     order = np.argsort(lengths, kind="stable")
-    cut = int(np.searchsorted(lengths[order], SHORT, side="right"))
+    cut = int(np.searchsorted(lengths[order], short, side="right"))
     for part, logs in ((order[:cut], False), (order[cut:], True)):
         a = 0
         while a < len(part):
@@ -147,7 +151,10 @@ def learn(counts: Counter, vocabulary: Vocabulary) -> np.ndarray:
     pairs = sorted(counts.items())
     names = [marked(w) for w, _ in pairs]
     n = np.array([c for _, c in pairs], dtype=float)
-    parts = [(vocabulary.lattice([names[i] for i in some]), n[some], logs) for some, logs in grouped(names, 1)]
+    # Neither the first weights nor the expected pieces of a round add up to more: at each place, a piece of each length.
+    most = sum(m * len(w) * k * (k + 1) * (2 * k + 1) / 6 for w, m in zip(names, n.tolist(), strict=True) for k in (min(len(w), vocabulary.longest),))
+    short = longest(PRIOR / (most + PRIOR * vocabulary.size))
+    parts = [(vocabulary.lattice([names[i] for i in some]), n[some], logs) for some, logs in grouped(names, 1, short)]
     found = np.zeros(vocabulary.size)
     for (word, start, end, piece, _), m, _ in parts:
         found += np.bincount(piece, m[word] * (end - start) ** 2, vocabulary.size)  # longer pieces are likelier to begin with
@@ -181,7 +188,7 @@ def word_scores(model: Model, words: list[bytes]) -> np.ndarray:
     """Log probabilities, words by languages."""
     names = [marked(w) for w in words]
     out = np.zeros((len(words), len(model.languages)))
-    for some, logs in grouped(names, len(model.languages)):
+    for some, logs in grouped(names, len(model.languages), longest(float(model.p.min()))):
         out[some] = log_totals(vocabulary(model.path).lattice([names[i] for i in some]), np.log(model.p) if logs else model.p, logs)
     return out
 
@@ -225,31 +232,37 @@ def identify(model: Model, values: list[str | None]) -> tuple[list[str], list[fl
 def train(docs: DataFrame, path: str, folds: int = 3, held: int = 1, per_language: int = DOCS_PER_LANGUAGE) -> Model:
     """Learns from about per_language documents for each language outside the held-out fold.
 
-    Rows with a null text or lang are left out. Of more than MAX_LANGUAGES values of lang,
-    those of the most documents are learned. Only word counts of the chosen documents reach
-    the driver. Repeated rows are chosen together.
+    Rows with a null text or lang are left out. Every value of lang is learned, each in a
+    task of its own from the word counts of its chosen documents; only the piece
+    probabilities (256 KB a language) reach the driver. Repeated rows are chosen together.
     """
     usable = docs.select("doc_id", "text", "lang").filter("lang is not null and text is not null").filter(crc_mod(F.col("doc_id"), folds) != held)
-    most = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
-    sizes = {r[0]: r[1] for r in most.collect()}
-    languages = sorted(sizes)
-    if not languages:
-        return Model(path, [], np.zeros((0, 0)))
-    most = F.element_at(F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(int(min(1.0, per_language / sizes[k]) * (1 << 30))))]), F.col("lang"))
-    chosen = usable.filter(F.shiftrightunsigned(F.xxhash64(F.lit("lang"), F.col("doc_id")), 34) < most)
+    sizes = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("size"))
+    share = F.least(F.lit(1.0), F.lit(per_language) / F.col("size")) * (1 << 30)
+    some = usable.join(F.broadcast(sizes), "lang")  # a row for each language, far less than the model
+    chosen = some.filter(F.shiftrightunsigned(F.xxhash64(F.lit("lang"), F.col("doc_id")), 34) < share).select("lang", "text")
 
     def batch(b: pa.RecordBatch) -> dict:
         counts: Counter = Counter()
         for lang, t in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
-            counts.update((lang, w) for w in words_of(t))
+            words = words_of(t)
+            counts.update((lang, w) for w in words)
+            counts[lang, b""] += not words  # a language without a word is learned too
         return {"lang": [k[0] for k in counts], "word": [k[1] for k in counts], "n": list(counts.values())}
 
-    got = map_rows(chosen, "lang string, word binary, n long", batch).groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
-    counts = {k: Counter() for k in languages}
-    for lang, w, n in zip(*(got.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True):
-        counts[lang][bytes(w)] = n
-    vocab = vocabulary(path)
-    return Model(path, languages, np.stack([learn(counts[k], vocab) for k in languages], axis=1))
+    counted = map_rows(chosen, "lang string, word binary, n long", batch).groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    schema = "lang string, p array<double>"
+    target = to_arrow(docs.sparkSession, schema)
+
+    def one(group: pa.Table) -> pa.Table:
+        counts = Counter(dict(zip(group.column("word").to_pylist(), group.column("n").to_pylist(), strict=True)))
+        counts.pop(b"", None)
+        return pa.table({"lang": group.column("lang").slice(0, 1), "p": pa.array([learn(counts, vocabulary(path))], type=target.field("p").type)}, schema=target)
+
+    got = counted.groupBy("lang").applyInArrow(one, schema).toArrow()
+    learned = dict(zip(got.column("lang").to_pylist(), got.column("p").to_pylist(), strict=True))
+    languages = sorted(learned)
+    return Model(path, languages, np.stack([np.array(learned[k]) for k in languages], axis=1) if languages else np.zeros((0, 0)))
 
 
 def identify_language(docs: DataFrame, model: Model) -> DataFrame:

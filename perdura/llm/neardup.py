@@ -18,7 +18,7 @@ square of its number of different sets; the rows made do not.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 from math import comb
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from perdura.llm.common import join_by_key, map_rows, record_batch, stored, to_arrow
 from perdura.llm.graphs import chosen_rows, components, hash_bits, id_bits, may_hold
-from perdura.llm.words import mixed, run_hashes, word_hashes
+from perdura.llm.words import all_word_hashes, mixed, run_hashes
 
 SYMBOLS, BITS, MISS = 60, 16, 1e-4
 #: Members of a bucket in one block.
@@ -62,12 +62,10 @@ class Near:
         return 2 * (SYMBOLS // self.chunk) - 3
 
 
-def shingles(text: str, k: int) -> np.ndarray:
-    """The sorted set of a text's shingle hashes; of a text with fewer words, one for all its words."""
-    h = word_hashes(text.encode("utf-8", "surrogatepass"), lower=True)
-    if not len(h):
-        return h
-    return np.unique(run_hashes(h, min(k, len(h)), salt=min(k, len(h))))
+def all_shingles(texts: Iterable[str | None], k: int) -> Iterator[np.ndarray]:
+    """The sorted set of each text's shingle hashes; of a text with fewer words, one for all its words."""
+    for h in all_word_hashes(((t or "").encode("utf-8", "surrogatepass") for t in texts), lower=True):
+        yield np.unique(run_hashes(h, min(k, len(h)), salt=min(k, len(h)))) if len(h) else h
 
 
 RNG = np.random.default_rng(60)
@@ -93,8 +91,7 @@ SETS = "doc_id long, n_shingles long, set1 long, set2 long, sig binary"
 def read_sets(docs: DataFrame, k: int) -> DataFrame:
     def batch(b: pa.RecordBatch) -> dict:
         out: dict[str, list] = {x: [] for x in ("n_shingles", "set1", "set2", "sig")}
-        for t in b.column("text").to_pylist():
-            s = shingles(t or "", k)
+        for s in all_shingles(b.column("text").to_pylist(), k):
             out["n_shingles"].append(len(s))
             out["set1"].append(first_total(s))
             out["set2"].append(int(mixed(s, 2).sum(dtype=np.uint64).view(np.int64)) if len(s) else None)
@@ -296,7 +293,7 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
     k = near.words
 
     def sets(ids: list, texts: list[str]) -> dict:
-        found = [shingles(t, k) for t in texts]
+        found = list(all_shingles(texts, k))
         return {"rep": ids, "set1": [first_total(s) for s in found], "s": [s.tobytes() for s in found]}
 
     full = stored(chosen_rows(docs, id_bits(near_rows, "rep"), "rep long, set1 long, s binary", sets).join(near_rows.select("rep", "set1").distinct(), ["rep", "set1"]).dropDuplicates(["rep", "set1"]))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from perdura.llm.common import checkpointed, record_batch, to_arrow
-from perdura.llm.words import BYTES, mixed, sums
+from perdura.llm.words import blocks, padded, stretch_hashes
 
 SIZE, END_ID = 1024, 2
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -52,7 +52,7 @@ class Encoder:
     A text is a row of chunks: runs of plain white space, each with the run of other
     characters after it. Pre-tokens hold no white space after another character, so none
     spans two chunks, and a chunk has the same ids by itself. The ids of chunks are kept in
-    a table by 63-bit hashes, and all chunks of some texts are looked up at once. Texts with
+    a table by hashes, with the chunks' bytes, which are compared; all chunks of some texts are looked up at once. Texts with
     an added token's literal, with other white space or at whose end is white space are
     encoded as they are.
     """
@@ -69,6 +69,11 @@ class Encoder:
         self.count = np.zeros(1 << SLOTS, dtype=np.int64)
         self.ids = np.empty(KEPT_IDS + PART_BYTES, dtype="<u4")
         self.used = 0
+        self.head = np.zeros((2, 1 << SLOTS), dtype=np.uint64)  # its first 16 bytes
+        self.from_byte = np.zeros(1 << SLOTS, dtype=np.int64)  # where all its bytes begin, if it has more
+        self.size = np.zeros(1 << SLOTS, dtype=np.int64)
+        self.bytes = np.empty(4 * (KEPT_IDS + PART_BYTES), dtype=np.uint8)
+        self.used_bytes = 0
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -112,11 +117,40 @@ class Encoder:
             self.look_up(held, out)
         return [b"".join(x) for x in out]
 
+    def holds(self, a: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """Which chunks of the bytes a are in the table, byte for byte."""
+        size, more_bytes = end - start, padded(a)
+        out = (self.known[slot] == h) & (self.size[slot] == size)
+        for k in (0, 1):
+            out &= self.head[k][slot] == blocks(more_bytes, start + 8 * k, size - 8 * k)
+        at = np.flatnonzero(out & (size > 16))
+        if len(at):
+            size = size[at]
+            begin = np.cumsum(size) - size
+            step = np.arange(size.sum())
+            same = a[np.repeat(start[at] - begin, size) + step] == self.bytes[np.repeat(self.from_byte[slot[at]] - begin, size) + step]
+            out[at] = np.logical_and.reduceat(same, begin)
+        return out
+
+    def keep(self, a: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray, slot: np.ndarray, first: np.ndarray, count: np.ndarray) -> None:
+        """Puts chunks into the table; of those with one slot one stays."""
+        slot, at = np.unique(slot, return_index=True)
+        size, more_bytes = (end - start)[at], padded(a)
+        self.known[slot], self.first[slot], self.count[slot], self.size[slot] = h[at], first[at], count[at], size
+        for k in (0, 1):
+            self.head[k][slot] = blocks(more_bytes, start[at] + 8 * k, size - 8 * k)
+        long = size > 16
+        slot, at, size = slot[long], at[long], size[long]
+        begin, n = np.cumsum(size) - size, int(size.sum())
+        self.bytes[self.used_bytes : self.used_bytes + n] = a[np.repeat(start[at] - begin, size) + np.arange(n)]
+        self.from_byte[slot] = self.used_bytes + begin
+        self.used_bytes += n
+
     def look_up(self, parts: list[tuple[int, bytes]], out: list[list[bytes]]) -> None:
         """Appends the ids of each part (a text's number and whole chunks of it, PART_BYTES together at most)."""
-        if self.used > KEPT_IDS:
+        if self.used > KEPT_IDS or self.used_bytes > 4 * KEPT_IDS:
             self.known[:] = 0
-            self.used = 0
+            self.used = self.used_bytes = 0
         raw = b"".join([p for _, p in parts])
         a = np.frombuffer(raw, dtype=np.uint8)
         part_end = np.cumsum([len(p) for _, p in parts])
@@ -126,25 +160,22 @@ class Encoder:
         last[part_end - 1] = True
         end = np.flatnonzero(last) + 1
         start = np.concatenate([[0], end[:-1]])
-        total, down = sums(BYTES[0][a], 0)
-        h = mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)) | np.uint64(1)
+        h = stretch_hashes(a, start, end) | np.uint64(1)
         slot = (h >> np.uint64(64 - SLOTS)).astype(np.int64)
         first, count = self.first[slot], self.count[slot]
-        missing = np.flatnonzero(self.known[slot] != h)
+        missing = np.flatnonzero(~self.holds(a, start, end, h, slot))
         if len(missing):
-            new, at = np.unique(h[missing], return_index=True)
-            at = missing[at]
-            number = {raw[s:e].decode(): k for k, (s, e) in enumerate(zip(start[at].tolist(), end[at].tolist(), strict=True))}
-            new_first, new_count = np.empty(len(new), dtype=np.int64), np.empty(len(new), dtype=np.int64)
-            for c, ids in self.each(list(number)):
-                k, n = number[c], len(ids) // 4
-                new_first[k], new_count[k] = self.used, n
+            chunks = [raw[s:e].decode() for s, e in zip(start[missing].tolist(), end[missing].tolist(), strict=True)]
+            number = dict.fromkeys(chunks)
+            new_first, new_count = np.empty(len(number), dtype=np.int64), np.empty(len(number), dtype=np.int64)
+            for k, (c, ids) in enumerate(self.each(list(number))):
+                n = len(ids) // 4
+                number[c], new_first[k], new_count[k] = k, self.used, n
                 self.ids[self.used : self.used + n] = np.frombuffer(ids, dtype="<u4")
                 self.used += n
-            to = slot[at]
-            self.known[to], self.first[to], self.count[to] = new, new_first, new_count
-            k = np.searchsorted(new, h[missing])
+            k = np.array([number[c] for c in chunks])
             first[missing], count[missing] = new_first[k], new_count[k]
+            self.keep(a, start[missing], end[missing], h[missing], slot[missing], first[missing], count[missing])
         done = np.cumsum(count)
         ids = self.ids[np.repeat(first - done + count, count) + np.arange(done[-1])]
         cut = done[np.searchsorted(end, part_end)].tolist()

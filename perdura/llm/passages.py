@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from perdura.llm.common import join_by_key, map_rows, record_batch, stored, to_arrow
 from perdura.llm.graphs import chosen_rows, hash_bits, id_bits, may_hold
-from perdura.llm.words import Runs, mixed, word_hashes
+from perdura.llm.words import Runs, all_word_hashes, mixed
 
 SIZE, K, BLOCK = 50, 10, 25
 #: Words of a shard's phrases, and documents that one task streams through a shard.
@@ -56,6 +56,12 @@ def read_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
+def hashed(doc_ids: list, values: list[str | None]) -> Iterator[tuple[int, np.ndarray, Runs]]:
+    """Each text's id, its words' hashes and its runs."""
+    words = list(all_word_hashes((t or "").encode("utf-8", "surrogatepass") for t in values))
+    return zip(doc_ids, words, Runs.each(words), strict=True)
+
+
 def span_key(ids: np.ndarray, s: np.ndarray) -> np.ndarray:
     """One key for all places of a span (by its hash) in a document."""
     return mixed(mixed(ids.astype(np.int64).view(np.uint64)) + s.view(np.uint64), 3)
@@ -69,10 +75,9 @@ def all_spans(docs: DataFrame) -> DataFrame:
 
     def batch(b: pa.RecordBatch) -> dict:
         out: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(5)]
-        for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-            words = word_hashes((t or "").encode("utf-8", "surrogatepass"))
+        for i, words, runs in hashed(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
             if len(words) >= SIZE:
-                h, s, first, n = spans(Runs(words), len(words))
+                h, s, first, n = spans(runs, len(words))
                 for x, y in zip(out, (h.view(np.int64), s.view(np.int64), np.full(len(h), i), first, n), strict=True):
                     x.append(y)
         return dict(zip(("h", "s", "doc_id", "start", "n"), map(np.concatenate, out), strict=True))
@@ -97,10 +102,8 @@ def windows(docs: DataFrame, ids: np.ndarray, bits: np.ndarray) -> DataFrame:
 
     def batch(doc_ids: list, values: list[str]) -> dict:
         out: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(5)]
-        for i, t in zip(doc_ids, values, strict=True):
-            words = word_hashes(t.encode("utf-8", "surrogatepass"))
+        for i, words, runs in hashed(doc_ids, values):
             if len(words) >= SIZE:
-                runs = Runs(words)
                 h, s, first, n = spans(runs, len(words))
                 keep = may_hold(shared.value, span_key(np.full(len(h), i), s))
                 h, s, first, n = h[keep], s[keep], first[keep], n[keep]
