@@ -105,3 +105,18 @@ def details(x: np.ndarray, wavelet: str) -> list[np.ndarray]:
         out.append(rows @ high)
         x = rows @ low
     return out
+
+
+def zoomed_dft(x: np.ndarray, first: int, n: int, m: int) -> np.ndarray:
+    """Sums of x[t] * exp(-2 pi i j (first + t) / n) for j from 1 to m, by one convolution with a chirp.
+
+    With 2 j t = j^2 + t^2 - (j - t)^2, all m frequencies take the work of three transforms of about len(x) + m
+    places. Squares are taken modulo 2 n, so angles stay exact however long the series is.
+    """
+    size, j = len(x), np.arange(1, m + 1)
+    chirp = lambda k: np.exp(-1j * np.pi * ((k * k) % (2 * n)) / n)
+    wide = 1 << int(np.ceil(np.log2(size + m)))
+    kernel = np.zeros(wide, dtype=complex)
+    kernel[: m + size - 1] = np.conj(chirp(np.arange(2 - size, m + 1)))  # j - t from its least on
+    z = np.fft.ifft(np.fft.fft(x * chirp(np.arange(size)), wide) * np.fft.fft(kernel))[size - 1 : size - 1 + m]
+    return z * chirp(j) * np.exp(-2j * np.pi * ((j * first) % n) / n)

@@ -7,7 +7,7 @@ something else needs no further exchange.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
@@ -30,6 +30,7 @@ def profile(long: DataFrame) -> DataFrame:
     if "block" in long.columns:
         of_series = long.groupBy("series_id", "block").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s"))
         all_blocks = Window.partitionBy("series_id")
+        long = long.drop("n")
         table = of_series.select("series_id", "block", F.sum("n").over(all_blocks).alias("n"), (F.sum("s").over(all_blocks) / F.sum("n").over(all_blocks)).alias("mean"))
         rows = long.join(table, ["series_id", "block"]).withColumn("x", F.col("v") - F.col("mean")).drop("mean")
         inside = Window.partitionBy("series_id", "block").orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -71,19 +72,45 @@ def scales(n, first: int, last: int | None):
     return F.when(top > first, F.filter(known, lambda s: s <= top)).otherwise(F.array().cast("array<bigint>"))
 
 
+#: Places over which DFA's running sums go on before they begin anew, which keeps their digits.
+CHUNK = 1024
+
+
+def box_sums(rows: DataFrame, usable: Column) -> DataFrame:
+    """series_id, n, s, box and the sums sy, syy and suy (u the place in the box) of each box of each scale s of usable (an array by n).
+
+    Sums run through a chunk of CHUNK places once for all scales and are kept as an array; what a chunk holds of a box
+    is the difference of two of its entries. So a scale takes n / s + n / CHUNK rows.
+    """
+    parts = [*[c for c in ("series_id", "block") if c in rows.columns], "chunk"]
+    rows = rows.withColumn("chunk", F.floor(F.col("t") / CHUNK))
+    inside = Window.partitionBy(*parts).orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    place = (F.col("t") - F.col("chunk") * CHUNK).cast("double")
+    run = {"y": F.col("y"), "yy": F.col("y") * F.col("y"), "uy": place * F.col("y")}
+    rows = rows.select(*parts, "n", "t", *(F.sum(x).over(inside).alias(k) for k, x in run.items()))
+    chunks = rows.groupBy(*parts, "n").agg(F.sort_array(F.collect_list(F.struct("t", *run))).alias("at"))
+    first, last = F.col("at")[0]["t"], F.col("at")[F.size("at") - 1]["t"]
+    scaled = chunks.select("series_id", "n", "chunk", "at", first.alias("first"), last.alias("last"), F.explode(usable).alias("s"))
+    s, box = F.col("s"), F.col("box")
+    boxes = F.sequence(F.floor(F.col("first") / s), F.least(F.floor(F.col("last") / s), F.floor(F.col("n") / s) - 1))
+    pieces = scaled.filter(F.floor(F.col("first") / s) < F.floor(F.col("n") / s)).select("*", F.explode(boxes).alias("box"))
+    index = lambda t: (t - F.col("first")).cast("int")
+    high = F.col("at")[index(F.least((box + 1) * s - 1, F.col("last")))]
+    low = F.col("at")[F.greatest(index(box * s) - 1, F.lit(0))]
+    held = {k: high[k] - F.when(box * s > F.col("first"), low[k]).otherwise(0.0) for k in run}
+    pieces = pieces.select("series_id", "n", "s", "box", held["y"].alias("y"), held["yy"].alias("yy"), (held["uy"] + (F.col("chunk") * CHUNK - box * s) * held["y"]).alias("uy"))
+    return pieces.groupBy("series_id", "n", "s", "box").agg(*(F.sum(k).alias(f"s{k}") for k in run))
+
+
 def dfa(long: DataFrame, order: int = 1, min_scale: int = 16, max_scale: int | None = None) -> DataFrame:
-    """Orders 0 and 1; boxes of a scale are groups, their residuals follow from sums, which are made before rows move.
+    """Orders 0 and 1; residuals of a box follow from its sums.
 
     A box of s rows has known sums of places and their squares, so three sums are enough.
     """
     rows = profile(long)
     per_series = long.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"))
     usable = F.filter(scales(F.col("n"), min_scale, max_scale), lambda s: (s >= order + 2) & (F.floor(F.col("n") / s) >= 2))
-    rows = rows.withColumn("s", F.explode(usable))
-    rows = rows.filter(F.col("t") < F.floor(F.col("n") / F.col("s")) * F.col("s"))
-    boxes = rows.groupBy("series_id", "n", "s", F.floor(F.col("t") / F.col("s")).alias("box"))
-    u, y, s = F.pmod("t", "s").cast("double"), F.col("y"), F.col("s")
-    each = boxes.agg(F.sum("y").alias("sy"), F.sum(y * y).alias("syy"), F.sum(u * y).alias("suy"))
+    each, s = box_sums(rows, usable), F.col("s")
     centred = F.col("syy") - F.col("sy") * F.col("sy") / s
     slope = F.col("suy") - (s - 1) / 2 * F.col("sy")
     rss = centred if order == 0 else centred - slope * slope * 12 / (s * (s.cast("double") * s - 1))

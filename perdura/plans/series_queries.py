@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from perdura.functions.columns import rounded
 from perdura.kernels import estimators as K
 from perdura.kernels.estimators import Kernel
-from perdura.operators import native
+from perdura.operators import blocks, native
 from perdura.operators.estimate import kernel_points
 from perdura.sources.series import VIEWS, pack
 
@@ -271,6 +271,23 @@ VARIANCE_RATIO = {"VarianceRatio": Kernel(K.variance_ratio, "variance_ratio", 0,
 add("variance_ratio", native_query("EU", native.variance_ratio), with_profile(VIEW_SQL["EU"], VR_BODY + finish("variance_ratio", "VarianceRatio")))
 add("variance_ratio_plugin", kernel_query("EU", "VarianceRatio", plugins=VARIANCE_RATIO), with_profile(VIEW_SQL["EU"], VR_BODY + finish("variance_ratio", "VarianceRatio")))
 
+#: Rows of a block in the registered queries: small, so that also small tables have many.
+BLOCK = 256
+
+
+def block_query(f: Callable[[DataFrame, int], DataFrame], view: str = "E5B") -> Query:
+    return lambda spark, sf: shown(f(VIEWS[view](spark, sf), BLOCK))
+
+
+# The same estimators on series in blocks, against the same SQL.
+for _n, _f in (("ghe", blocks.ghe), ("higuchi", blocks.higuchi), ("dma_hurst", blocks.dma), ("gph", blocks.gph), ("periodogram", blocks.log_periodogram)):
+    add(f"{_n}_blocks", block_query(_f), SQL[_n])
+add("periodogram_m_blocks", block_query(lambda s, size: blocks.log_periodogram(s, size, 24)), SQL["periodogram_m"])
+add("ghe_revenue_blocks", block_query(blocks.ghe, "L3"), SQL["ghe_revenue"])
+add("gph_validity_blocks", block_query(blocks.gph, "EU"), SQL["gph_validity"])
+add("dma_validity_blocks", block_query(blocks.dma, "EU"), SQL["dma_validity"])
+add("variance_ratio_blocks", block_query(blocks.variance_ratio, "EU"), SQL["variance_ratio"])
+
 # Perturbations.
 SHIFT_SQL = "SELECT series_id, t, v + 0.75 * (stddev_pop(v) OVER (PARTITION BY series_id) + 1e-12) AS v FROM ({view})"
 TREND_SQL = """SELECT series_id, t, v + {strength} * (sd + 1e-12) * (g - avg(g) OVER w) / (stddev_pop(g) OVER w + 1e-12) AS v FROM
@@ -291,6 +308,7 @@ def points_sql(sql: str) -> str:
 E5_TREND = TREND_SQL.format(view=VIEW_SQL["E5"], strength=0.8, g="u + u * u")
 add("level_shift", points_of(lambda s: native.level_shift(s, 0.75)), points_sql(SHIFT_SQL.format(view=VIEW_SQL["E5"])))
 add("polynomial_trend", points_of(lambda s: native.polynomial_trend(s, 2, 0.8)), points_sql(E5_TREND))
+add("polynomial_trend_blocks", lambda spark, sf: blocks.polynomial_trend(VIEWS["E5B"](spark, sf), 2, 0.8, BLOCK).select("series_id", "t", rounded("v", 5).alias("v")), points_sql(E5_TREND))
 add("outliers_fixed", points_of(lambda s: native.fixed_outliers(s, 0.02, 4.0)), points_sql(OUTLIER_SQL.format(view=VIEW_SQL["E5"])))
 add("rs_after_trend", lambda spark, sf: shown(native.rescaled_range(native.polynomial_trend(VIEWS["E5"](spark, sf), 2, 0.8))), with_profile(E5_TREND, RS_BODY + finish("rs", "RS")))
 
