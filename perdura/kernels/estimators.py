@@ -128,25 +128,27 @@ def log_periodogram(x: np.ndarray, m: int | None = None) -> np.ndarray:
     return np.clip(log_periodogram_d(x, m), -0.499, 0.499)
 
 
-def whittle_objective(d: float, frequency: np.ndarray, power: np.ndarray) -> float:
-    shape = np.maximum(np.abs(2 * np.sin(frequency / 2)) ** (-2 * d), 1e-12)
-    variance = np.mean(power / shape)
-    f = variance / (2 * np.pi) * shape
-    return float(np.mean(np.log(f) + power / f)) if variance > 0 and np.isfinite(variance) else 1e12
+def whittle_objective(d: np.ndarray, frequency: np.ndarray, power: np.ndarray) -> np.ndarray:
+    """Of one d for each row of power."""
+    shape = np.maximum(np.abs(2 * np.sin(frequency / 2)) ** (-2 * np.asarray(d)[:, None]), 1e-12)
+    variance = np.mean(power / shape, axis=1)
+    ok = (variance > 0) & np.isfinite(variance)
+    f = np.where(ok, variance, 1.0)[:, None] / (2 * np.pi) * shape
+    return np.where(ok, np.mean(np.log(f) + power / f, axis=1), 1e12)
 
 
-def local_whittle_objective(d: float, frequency: np.ndarray, power: np.ndarray) -> float:
-    g = np.mean(frequency ** (2 * d) * power)
-    return float(np.log(g) - 2 * d * np.mean(np.log(frequency))) if g > 0 and np.isfinite(g) else 1e12
+def local_whittle_objective(d: np.ndarray, frequency: np.ndarray, power: np.ndarray) -> np.ndarray:
+    d = np.asarray(d)
+    g = np.mean(frequency ** (2 * d[:, None]) * power, axis=1)
+    ok = (g > 0) & np.isfinite(g)
+    return np.where(ok, np.log(np.where(ok, g, 1.0)) - 2 * d * np.mean(np.log(frequency)), 1e12)
 
 
 def minimised_d(x: np.ndarray, m: int, objective: Callable) -> np.ndarray:
+    """The minimum for each series, all searched at once."""
     frequency, power = periodogram(x, m)
-    out = invalid(x)
-    for i, p in enumerate(power):
-        d, ok = minimise(lambda v, p=p: objective(v, frequency, p), -0.49, 0.49)
-        out[i] = np.clip(d, -0.499, 0.499) if ok else np.nan
-    return out
+    d, ok = minimise(lambda u, rows: objective(u, frequency, power[rows]), len(x), -0.49, 0.49)
+    return np.where(ok, np.clip(d, -0.499, 0.499), np.nan)
 
 
 def whittle(x: np.ndarray, m: int | None = None) -> np.ndarray:
@@ -219,16 +221,13 @@ def wavelet_whittle(x: np.ndarray, wavelet: str = "db4", j_drop_high: int = 1, j
         return invalid(x)
     j, v, n = got
 
-    def cost(h: float, row: np.ndarray) -> float:
-        shape = 2.0 ** ((2 * h - 2) * j)
-        expected = (n * row).sum() / (n * shape).sum() * shape
-        return float((n * (np.log(expected) + row / expected)).sum())
+    def cost(h: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        shape = 2.0 ** ((2 * h[:, None] - 2) * j)
+        expected = ((n * v[rows]).sum(axis=1) / (n * shape).sum(axis=1))[:, None] * shape
+        return (n * (np.log(expected) + v[rows] / expected)).sum(axis=1)
 
-    out = invalid(x)
-    for i, row in enumerate(v):
-        h, ok = minimise(lambda u, row=row: cost(u, row), 0.06, 0.994)
-        out[i] = np.clip(h, LOW, HIGH) if ok else np.nan
-    return out
+    h, ok = minimise(cost, len(x), 0.06, 0.994)
+    return np.where(ok, np.clip(h, LOW, HIGH), np.nan)
 
 
 def variance_ratio(x: np.ndarray, min_n: int = 32) -> np.ndarray:

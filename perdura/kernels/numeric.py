@@ -26,42 +26,48 @@ def slopes(u: np.ndarray, v: np.ndarray, least: int, weights: np.ndarray | None
     return np.where((ok.sum(axis=1) >= least) & (scale >= 1e-20), out, np.nan)
 
 
-def minimise(f: Callable[[float], float], low: float, high: float, tolerance: float = 1e-5, most: int = 500) -> tuple[float, bool]:
-    """Brent's bounded minimisation (golden sections and parabolas); the place, and whether it converged."""
+def minimise(f: Callable[[np.ndarray, np.ndarray], np.ndarray], count: int, low: float, high: float, tolerance: float = 1e-5, most: int = 500) -> tuple[np.ndarray, np.ndarray]:
+    """Brent's bounded minimisation (golden sections and parabolas) of count functions at once; the places, and which converged.
+
+    f(u, rows) gives the values at u, one place for each of the functions rows that are still open.
+    """
     golden, eps = (3 - sqrt(5)) / 2, sqrt(2.2e-16)
-    a, b = low, high
-    x = w = v = a + golden * (b - a)
-    fx = fw = fv = f(x)
-    step = before = 0.0
+    place, done = np.full(count, low + golden * (high - low)), np.zeros(count, dtype=bool)
+    rows = np.arange(count)
+    a, b, x = np.full(count, low), np.full(count, high), place.copy()
+    w, v = x.copy(), x.copy()
+    fx = f(x, rows) if count else np.zeros(0)
+    fw, fv = fx.copy(), fx.copy()
+    step, before = np.zeros(count), np.zeros(count)
     for _ in range(most):
-        mid, tol = (a + b) / 2, eps * abs(x) + tolerance / 3
-        if abs(x - mid) <= 2 * tol - (b - a) / 2:
-            return x, True
-        parabola = False
-        if abs(before) > tol:
-            r, q = (x - w) * (fx - fv), (x - v) * (fx - fw)
-            p, q = (x - v) * q - (x - w) * r, 2 * (q - r)
-            p, q = (-p if q > 0 else p), abs(q)
-            last, before = before, step
-            if abs(p) < abs(q * last / 2) and q * (a - x) < p < q * (b - x):
-                step, parabola = p / q, True
-                if min(x + step - a, b - x - step) < 2 * tol:
-                    step = tol if mid >= x else -tol
-        if not parabola:
-            before = (a if x >= mid else b) - x
-            step = golden * before
-        u = x + (step if abs(step) >= tol else (tol if step >= 0 else -tol))
-        fu = f(u)
-        if fu <= fx:
-            a, b = (x, b) if u >= x else (a, x)
-            v, fv, w, fw, x, fx = w, fw, x, fx, u, fu
-        else:
-            a, b = (u, b) if u < x else (a, u)
-            if fu <= fw or w == x:
-                v, fv, w, fw = w, fw, u, fu
-            elif fu <= fv or v in (x, w):
-                v, fv = u, fu
-    return x, False
+        mid, tol = (a + b) / 2, eps * np.abs(x) + tolerance / 3
+        stop = np.abs(x - mid) <= 2 * tol - (b - a) / 2
+        place[rows] = x
+        if stop.any():
+            done[rows[stop]] = True
+            rows, a, b, x, w, v, fx, fw, fv, step, before, mid, tol = (z[~stop] for z in (rows, a, b, x, w, v, fx, fw, fv, step, before, mid, tol))
+        if not len(rows):
+            break
+        r, q = (x - w) * (fx - fv), (x - v) * (fx - fw)
+        p, q = (x - v) * q - (x - w) * r, 2 * (q - r)
+        p, q = np.where(q > 0, -p, p), np.abs(q)
+        parabola = (np.abs(before) > tol) & (np.abs(p) < np.abs(q * before / 2)) & (q * (a - x) < p) & (p < q * (b - x))
+        before = np.where(parabola, step, np.where(x >= mid, a, b) - x)
+        step = np.where(parabola, np.divide(p, q, out=np.zeros_like(p), where=parabola), golden * before)
+        near_end = parabola & (np.minimum(x + step - a, b - x - step) < 2 * tol)
+        step = np.where(near_end, np.where(mid >= x, tol, -tol), step)
+        u = x + np.where(np.abs(step) >= tol, step, np.where(step >= 0, tol, -tol))
+        fu = f(u, rows)
+        better = fu <= fx
+        right = u >= x
+        a, b = np.where(better & right, x, np.where(~better & ~right, u, a)), np.where(better & ~right, x, np.where(~better & right, u, b))
+        second = ~better & ((fu <= fw) | (w == x))
+        third = ~better & ~second & ((fu <= fv) | (v == x) | (v == w))
+        v, fv = np.where(better | second, w, np.where(third, u, v)), np.where(better | second, fw, np.where(third, fu, fv))
+        w, fw = np.where(better, x, np.where(second, u, w)), np.where(better, fx, np.where(second, fu, fw))
+        x, fx = np.where(better, u, x), np.where(better, fu, fx)
+    place[rows] = x
+    return place, done
 
 
 @cache

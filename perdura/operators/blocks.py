@@ -8,7 +8,8 @@ made by numpy; adding them up, and all that follows, are expressions.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from perdura.functions.columns import clipped
-from perdura.kernels.estimators import HIGH, LOW
-from perdura.kernels.numeric import zoomed_dft
+from perdura.kernels.estimators import HIGH, LOW, local_whittle_objective
+from perdura.kernels.numeric import minimise, wavelet_filter, zoomed_dft
 from perdura.operators.native import profile, result, scales
 from perdura.sources.series import before_blocks
 
@@ -33,6 +34,14 @@ def even_blocks(long: DataFrame, size: int = SIZE) -> DataFrame:
     return rows.join(sizes, ["series_id", "block"])
 
 
+def centred(long: DataFrame, size: int) -> DataFrame:
+    """even_blocks with x, the value less the series' mean."""
+    rows = even_blocks(long, size)
+    sums = rows.groupBy("series_id", "block").agg(F.sum("v").alias("s"))
+    totals = sums.select("series_id", "block", F.sum("s").over(Window.partitionBy("series_id")).alias("total"))
+    return rows.join(totals, ["series_id", "block"]).withColumn("x", F.col("v") - F.col("total") / F.col("n"))
+
+
 def with_halo(rows: DataFrame, lags: Column, size: int) -> DataFrame:
     """rows, each also copied to the later blocks where some row has it at one of its lags; own tells a block's rows from copies.
 
@@ -165,10 +174,7 @@ def periodogram(long: DataFrame, m: Column, size: int = SIZE) -> DataFrame:
     A block gives its cosine and sine sums at those frequencies by one zoomed transform, turned by the phase at which
     it begins; the blocks' sums add up to the series' transform. A block's rows out are m, its work size * log(size).
     """
-    rows = even_blocks(long, size)
-    counts = rows.groupBy("series_id", "block").agg(F.sum("v").alias("s"))
-    means = counts.select("series_id", "block", F.sum("s").over(Window.partitionBy("series_id")).alias("total"))
-    rows = rows.join(means, ["series_id", "block"]).select("series_id", "block", "n", m.cast("long").alias("m"), "t", (F.col("v") - F.col("total") / F.col("n")).alias("x")).filter("m >= 1")
+    rows = centred(long, size).select("series_id", "block", "n", m.cast("long").alias("m"), "t", "x").filter("m >= 1")
     schema = "series_id string, n long, re array<double>, im array<double>"
 
     def block(group: pa.Table) -> pa.Table:
@@ -213,3 +219,73 @@ def polynomial_trend(long: DataFrame, order: int, strength: float, size: int = S
     spread = lambda s, ss: F.sqrt(F.greatest(total[ss] / total["k"] - (total[s] / total["k"]) ** 2, F.lit(0.0))) + 1e-12
     table = sums.select("series_id", "block", spread("sv", "svv").alias("s"), (total["sg"] / total["k"]).alias("g0"), spread("sg", "sgg").alias("gs"))
     return rows.join(table, ["series_id", "block"]).select("series_id", "t", (F.col("v") + strength * F.col("s") * (F.col("g") - F.col("g0")) / F.col("gs")).alias("v"))
+
+
+def filtered(level: DataFrame, wavelet: str) -> DataFrame:
+    """series_id, top, len, i, x and d of the next wavelet level from places i of this one.
+
+    A value goes to the half as many coefficients as there are taps in which it counts, and near an end also to those
+    that see its mirror image; coefficients are sums by series and place, so keys are even and no series is gathered.
+    """
+    h = wavelet_filter(wavelet)
+    taps, i, n, p, j = len(h), F.col("i"), F.col("len"), F.col("p"), F.col("j")
+    wide = F.floor((n + taps - 1) / 2)
+    images = F.filter(F.array(i, -1 - i, 2 * n - 1 - i), lambda q: (q > 1 - taps) & (q <= 2 * wide - 1) & ((q == i) | (q < 0) | (q >= n)))
+    sent = level.select("series_id", "top", "len", "x", F.explode(images).alias("p")).select("*", F.explode(F.sequence(F.pmod(p + 1, F.lit(2)), F.lit(taps - 1).cast("long"), F.lit(2).cast("long"))).alias("j"))
+    to = F.floor((p + j - 1) / 2)
+    low, high = F.array(*map(F.lit, h[::-1])), F.array(*[F.lit((-1) ** (k + 1) * c) for k, c in enumerate(h)])
+    at = j.cast("int")
+    terms = sent.select("series_id", "top", wide.alias("len"), to.alias("i"), (low[at] * F.col("x")).alias("lo"), (high[at] * F.col("x")).alias("hi"), wide.alias("wide")).filter("i >= 0 and i < wide")
+    return terms.groupBy("series_id", "top", "len", "i").agg(F.sum("lo").alias("x"), F.sum("hi").alias("d"))
+
+
+def wavelet_levels(long: DataFrame, wavelet: str = "db4", size: int = SIZE) -> DataFrame:
+    """series_id, n, top, j (1 the coarsest level), c (coefficients) and v (their variance), of series of at least 128 places.
+
+    One aggregation a level, each of half the rows; their number is the logarithm of the longest series.
+    """
+    reach = len(wavelet_filter(wavelet)) - 1
+    rows = centred(long, size).filter("n >= 128").withColumn("top", F.floor(F.log2(F.col("n") / reach)))
+    level = rows.select("series_id", "top", F.col("n").alias("len"), F.col("t").alias("i"), "x")
+    found = []
+    for k in range(1, (rows.agg(F.max("top")).first()[0] or 0) + 1):
+        got = filtered(level.filter(F.col("top") >= k), wavelet)
+        found.append(got.groupBy("series_id", "top").agg(F.count(F.lit(1)).alias("c"), F.greatest(F.var_samp("d"), F.lit(1e-30)).alias("v")).select("series_id", "top", (F.col("top") - k + 1).alias("j"), "c", "v"))
+        level = got.drop("d")
+    if not found:
+        return rows.select("series_id", "top", F.col("top").alias("j"), F.lit(0).cast("long").alias("c"), F.lit(0.0).alias("v")).limit(0)
+    return reduce(DataFrame.unionByName, found).filter("c >= 2")
+
+
+def wavelet_slope(long: DataFrame, name: str, tag: str, wavelet: str = "db4", drop_coarse: int = 1, drop_fine: int = 1, weighted: bool = False, size: int = SIZE) -> DataFrame:
+    """The exponent from the slope of log variance on the level, over the levels that are not dropped; by counts if weighted."""
+    kept = wavelet_levels(long, wavelet, size).filter((F.col("j") > drop_coarse) & (F.col("j") <= F.col("top") - drop_fine))
+    w, y = (F.col("c") if weighted else F.lit(1)).cast("double"), F.log2("v")
+    s = kept.groupBy("series_id").agg(F.count(F.lit(1)).alias("k"), *(F.sum(x).alias(c) for c, x in {"w": w, "wj": w * F.col("j"), "wy": w * y, "wjj": w * F.col("j") * F.col("j"), "wjy": w * F.col("j") * y}.items()))
+    slope = F.try_divide(F.col("w") * F.col("wjy") - F.col("wj") * F.col("wy"), F.col("w") * F.col("wjj") - F.col("wj") * F.col("wj"))
+    fit = s.select("series_id", "k", slope.alias("slope"))
+    point = F.when(F.col("k") >= 3, clipped((F.col("slope") + 2) / 2, LOW, HIGH))
+    return result(lengths(even_blocks(long, size)).join(fit, "series_id", "left").withColumn("point", point), name, tag)
+
+
+def local_whittle(long: DataFrame, size: int = SIZE) -> DataFrame:
+    """Modified local Whittle: the n ** 0.55 lowest frequencies by blocks, then the minimum for many series at once."""
+    n = F.col("n")
+    m = F.least(F.greatest(F.lit(8), F.floor(F.pow(n, F.lit(0.55)))), F.floor(n / 3))
+    found = periodogram(long, F.when((n >= 256) & (m >= 8), m).otherwise(0), size)
+    spectra = found.groupBy("series_id", "n").agg(F.transform(F.sort_array(F.collect_list(F.struct("j", "power"))), lambda x: x["power"]).alias("power"))
+
+    def batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            points = np.full(b.num_rows, np.nan)
+            lengths_, counts = b.column("n").to_numpy(), b.column("power").value_lengths().to_numpy()
+            for k in np.unique(np.stack([lengths_, counts], axis=1), axis=0):
+                rows = np.flatnonzero((lengths_ == k[0]) & (counts == k[1]))
+                power = b.column("power").take(pa.array(rows)).flatten().to_numpy().reshape(len(rows), -1)
+                frequency = 2 * np.pi * np.arange(1, k[1] + 1) / k[0]
+                d, ok = minimise(lambda u, some, f=frequency, p=power: local_whittle_objective(u, f, p[some]), len(rows), -0.49, 0.49)
+                points[rows] = np.where(ok, np.clip(d, -0.499, 0.499), np.nan)
+            yield pa.record_batch({"series_id": b.column("series_id"), "point": pa.array(points, from_pandas=True)})
+
+    fit = spectra.mapInArrow(batch, "series_id string, point double")
+    return result(lengths(even_blocks(long, size)).join(fit, "series_id", "left"), "ModifiedLocalWhittle", "mlw")

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-
+import math
 from collections.abc import Callable
 
 import numpy as np
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from perdura.functions.columns import rounded
 from perdura.kernels import estimators as K
 from perdura.kernels.estimators import Kernel
+from perdura.kernels.numeric import wavelet_filter
 from perdura.operators import blocks, native
 from perdura.operators.estimate import kernel_points
 from perdura.sources.series import VIEWS, pack
@@ -198,7 +198,7 @@ def on_grid(x: np.ndarray, m: int, least: int, objective: Callable) -> np.ndarra
     if n < least or m < 8:
         return K.invalid(x)
     frequency, power = K.periodogram(x, m)
-    return np.array([GRID[int(np.argmin([objective(d, frequency, p) for d in GRID]))] for p in power])
+    return np.array(GRID)[np.argmin([objective(np.full(len(x), d), frequency, power) for d in GRID], axis=0)]
 
 
 GRID_KERNELS = {
@@ -220,21 +220,72 @@ WHITTLE = """SELECT series_id, d, avg(ln(s2 / (2 * pi()) * h) + i / (s2 / (2 * p
 LOCAL = "SELECT i.series_id, q.d, ln(avg(pow(lam, 2 * q.d) * i.i)) - 2 * q.d * avg(ln(lam)) AS o FROM i, q GROUP BY i.series_id, q.d"
 add("whittle_grid", kernel_query("E5", "WhittleGrid", plugins=GRID_KERNELS), grid_sql("least(64, n // 2 - 1)", 128, WHITTLE, "whittle", "WhittleGrid"))
 add("local_whittle_grid", kernel_query("E5", "LocalWhittleGrid", plugins=GRID_KERNELS), grid_sql("least(greatest(8, floor(pow(n, 0.55))), n // 3)", 256, LOCAL, "mlw", "LocalWhittleGrid"))
-add("whittle_mle", kernel_query("E5", "WhittleMLE"))
-add("modified_local_whittle", kernel_query("E5", "ModifiedLocalWhittle"))
 
 
-# Wavelets: Haar in SQL, level by level; longer filters by rows only.
-def haar_sql(name: str, tag: str, body: str) -> str:
-    steps = ["a0 AS (SELECT series_id, t, x AS a, n AS len, n FROM p WHERE n >= 128)"]
+def brent_sql(source: str, objective: str, low: float, high: float, tolerance: float = 1e-5) -> str:
+    """Common table expressions ending in least(series_id, d): Brent's bounded minimisation, a step for each recursion.
+
+    source is SQL for series_id and lists; objective is an expression of its lists and of u.
+    """
+    golden, eps = (3 - math.sqrt(5)) / 2, math.sqrt(2.2e-16)
+    return f"""src AS MATERIALIZED ({source}),
+steps AS (
+  SELECT *, u AS x, u AS w, u AS v, fu AS fx, fu AS fw, fu AS fv, 0.0::DOUBLE AS step, 0.0::DOUBLE AS before, false AS done
+  FROM (SELECT *, ({objective})::DOUBLE AS fu FROM (SELECT *, {low!r}::DOUBLE AS a, {high!r}::DOUBLE AS b, ({low!r} + {golden!r} * ({high!r} - {low!r}))::DOUBLE AS u FROM src))
+  UNION ALL
+  SELECT * EXCLUDE (a, b, u, fu, x, w, v, fx, fw, fv, step, before, done, mid, tol, stop, r, q0, p0, q1, p, q, bow, e, s0, s1, better, second),
+    CASE WHEN stop THEN a WHEN better AND u >= x THEN x WHEN NOT better AND u < x THEN u ELSE a END AS a,
+    CASE WHEN stop THEN b WHEN better AND u < x THEN x WHEN NOT better AND u >= x THEN u ELSE b END AS b,
+    u, fu, CASE WHEN NOT stop AND better THEN u ELSE x END AS x,
+    CASE WHEN better THEN x WHEN second THEN u ELSE w END AS w,
+    CASE WHEN better OR second THEN w WHEN fu <= fv OR v = x OR v = w THEN u ELSE v END AS v,
+    CASE WHEN better THEN fu ELSE fx END AS fx, CASE WHEN better THEN fx WHEN second THEN fu ELSE fw END AS fw,
+    CASE WHEN better OR second THEN fw WHEN fu <= fv OR v = x OR v = w THEN fu ELSE fv END AS fv, s1 AS step, e AS before, stop AS done
+  FROM (SELECT *, fu <= fx AS better, fu > fx AND (fu <= fw OR w = x) AS second
+  FROM (SELECT *, ({objective})::DOUBLE AS fu
+  FROM (SELECT *, x + CASE WHEN abs(s1) >= tol THEN s1 WHEN s1 >= 0 THEN tol ELSE -tol END AS u
+  FROM (SELECT *, CASE WHEN bow AND least(x + s0 - a, b - x - s0) < 2 * tol THEN CASE WHEN mid >= x THEN tol ELSE -tol END ELSE s0 END AS s1
+  FROM (SELECT *, CASE WHEN bow THEN p / q ELSE {golden!r} * e END AS s0
+  FROM (SELECT *, CASE WHEN bow THEN step ELSE CASE WHEN x >= mid THEN a ELSE b END - x END AS e
+  FROM (SELECT *, abs(before) > tol AND abs(p) < abs(q * before / 2) AND q * (a - x) < p AND p < q * (b - x) AS bow
+  FROM (SELECT *, CASE WHEN q1 > 0 THEN -p0 ELSE p0 END AS p, abs(q1) AS q
+  FROM (SELECT *, (x - v) * q0 - (x - w) * r AS p0, 2 * (q0 - r) AS q1
+  FROM (SELECT *, abs(x - mid) <= 2 * tol - (b - a) / 2 AS stop, (x - w) * (fx - fv) AS r, (x - v) * (fx - fw) AS q0
+  FROM (SELECT * EXCLUDE (u, fu), (a + b) / 2 AS mid, {eps!r} * abs(x) + {tolerance / 3!r} AS tol FROM steps WHERE NOT done)))))))))))
+),
+least AS (SELECT series_id, x AS d FROM steps WHERE done)"""
+
+
+def whittle_sql(m: str, least: int, objective: str, tag: str, name: str) -> str:
+    source = "SELECT series_id, list(lam ORDER BY j) AS lams, list(i ORDER BY j) AS powers FROM i WHERE m >= 8 GROUP BY series_id"
+    body = spectrum(m, least) + brent_sql(source, objective, -0.49, 0.49) + f""",
+r AS (SELECT ns.series_id, ns.n, CASE WHEN ns.n >= {least} THEN {clip('d', -0.499, 0.499)} END AS point FROM ns LEFT JOIN least ON ns.series_id = least.series_id)
+"""
+    return with_profile(VIEW_SQL["E5"], body + finish(tag, name))
+
+
+#: Shapes at u, the variance that fits them, and the mean of log density and power over density; the same in logarithms for the local form.
+SHAPES = "list_transform(lams, lambda l: greatest(pow(abs(2 * sin(l / 2)), -2 * u), 1e-12))"
+VARIANCE = f"list_avg(list_transform(list_zip(powers, {SHAPES}), lambda z: z[1] / z[2])) / (2 * pi())"
+WHITTLE_AT = f"(SELECT list_avg(list_transform(list_zip(powers, sh), lambda z: ln(g * z[2]) + z[1] / (g * z[2]))) FROM (SELECT {SHAPES} AS sh, {VARIANCE} AS g))"
+LOCAL_AT = "ln(list_avg(list_transform(list_zip(lams, powers), lambda z: pow(z[1], 2 * u) * z[2]))) - 2 * u * list_avg(list_transform(lams, lambda l: ln(l)))"
+add("whittle_mle", kernel_query("E5", "WhittleMLE"), whittle_sql("least(greatest(8, n // 8), n // 2 - 1)", 128, WHITTLE_AT, "whittle", "WhittleMLE"))
+add("modified_local_whittle", kernel_query("E5", "ModifiedLocalWhittle"), whittle_sql("least(greatest(8, floor(pow(n, 0.55))), n // 3)", 256, LOCAL_AT, "mlw", "ModifiedLocalWhittle"))
+
+
+# Wavelets in SQL, level by level.
+def levels_sql(wavelet: str, name: str, tag: str, body: str) -> str:
+    """Each coefficient is a sum over the filter's taps of values at places mirrored at both ends."""
+    h = wavelet_filter(wavelet)
+    taps, filters = len(h), ", ".join(f"({j}, {h[len(h) - 1 - j]!r}::DOUBLE, {(-1) ** (j + 1) * c!r}::DOUBLE)" for j, c in enumerate(h))
+    steps = [f"taps(j, lo, hi) AS (VALUES {filters})", f"a0 AS MATERIALIZED (SELECT series_id, t, x AS a, n AS len, CAST(floor(log2(n / {taps - 1})) AS BIGINT) AS top FROM p WHERE n >= 128)"]
     for k in range(1, 18):
-        # A last odd value meets its own mirror image.
-        steps.append(f"""b{k} AS (SELECT l.series_id, l.t // 2 AS t, l.a AS lo, coalesce(r.a, l.a) AS hi, (l.len + 1) // 2 AS len, l.n FROM a{k - 1} AS l LEFT JOIN a{k - 1} AS r ON r.series_id = l.series_id AND r.t = l.t + 1 WHERE l.t % 2 = 0 AND {k} <= floor(log2(l.n))),
-a{k} AS (SELECT series_id, t, (lo + hi) / sqrt(2.0) AS a, len, n FROM b{k}), d{k} AS (SELECT series_id, {k} AS k, count(*) AS c, greatest(var_samp((lo - hi) / sqrt(2.0)), 1e-30) AS v FROM b{k} GROUP BY series_id)""")
+        steps.append(f"""o{k} AS (SELECT series_id, len, top, unnest(range((len + {taps - 1}) // 2)) AS k FROM (SELECT DISTINCT series_id, len, top FROM a{k - 1} WHERE top >= {k})),
+mirrored{k} AS (SELECT o.*, lo, hi, ((2 * k + 1 - j) % (2 * len) + 2 * len) % (2 * len) AS place FROM o{k} AS o, taps),
+b{k} AS MATERIALIZED (SELECT m.series_id, m.k AS t, sum(m.lo * a.a) AS a, sum(m.hi * a.a) AS d, (m.len + {taps - 1}) // 2 AS len, m.top FROM mirrored{k} AS m JOIN a{k - 1} AS a ON a.series_id = m.series_id AND a.t = CASE WHEN place < m.len THEN place ELSE 2 * m.len - 1 - place END GROUP BY m.series_id, m.k, m.len, m.top),
+a{k} AS MATERIALIZED (SELECT series_id, t, a, len, top FROM b{k}), d{k} AS (SELECT series_id, top, {k} AS k, count(*) AS c, greatest(var_samp(d), 1e-30) AS v FROM b{k} GROUP BY series_id, top)""")
     union = " UNION ALL ".join(f"SELECT * FROM d{k}" for k in range(1, 18))
-    tail = f"""dd AS ({union}),
-top AS (SELECT series_id, max(k) AS top FROM dd GROUP BY series_id),
-j AS (SELECT dd.series_id, top - k + 1 AS j, top, c, v FROM dd JOIN top ON dd.series_id = top.series_id WHERE c >= 2),
+    tail = f"""j AS (SELECT series_id, top - k + 1 AS j, top, c, v FROM ({union}) WHERE c >= 2),
 {body}
 """
     return with_profile(VIEW_SQL["E5"], ",\n".join(steps) + ",\n" + tail + finish(tag, name))
@@ -255,13 +306,14 @@ r AS (SELECT ns.series_id, ns.n, CASE WHEN k >= 3 THEN {clip('(slope + 2) / 2')}
 
 JENSEN = f"""m1 AS ({slope_of("SELECT * FROM j WHERE j BETWEEN 2 AND 4", True)}), m2 AS ({slope_of("SELECT * FROM j WHERE j BETWEEN 4 AND 6", True)}),
 r AS (SELECT ns.series_id, ns.n, CASE WHEN ns.n >= 256 THEN {clip(f"2 * {clip('(m1.slope + 2) / 2')} - {clip('(m2.slope + 2) / 2')}")} END AS point FROM ns LEFT JOIN m1 ON ns.series_id = m1.series_id LEFT JOIN m2 ON ns.series_id = m2.series_id)"""
-HAAR = {"wavelet": "haar"}
-add("wavelet_haar_ols", kernel_query("E5", "WaveletOLS", HAAR), haar_sql("WaveletOLS", "wavelet_ols", haar_slope(1, 1, False)))
-add("wavelet_haar_abry_veitch", kernel_query("E5", "WaveletAbryVeitch", HAAR), haar_sql("WaveletAbryVeitch", "wavelet_av", haar_slope(2, 2, False)))
-add("wavelet_haar_bardet", kernel_query("E5", "WaveletBardet", HAAR), haar_sql("WaveletBardet", "wavelet_bardet", haar_slope(1, 2, True)))
-add("wavelet_haar_jensen", kernel_query("E5", "WaveletJensen", HAAR), haar_sql("WaveletJensen", "wavelet_jensen", JENSEN))
-for _n in ("WaveletAbryVeitch", "WaveletBardet", "WaveletOLS", "WaveletJensen", "WaveletWhittle"):
-    add(f"{_n.lower().replace('wavelet', 'wavelet_db4_')}", kernel_query("E5", _n))
+LEVELS_AT = "list_transform(js, lambda x: pow(2.0, (2 * u - 2) * x))"
+WAVELET_AT = f"(SELECT list_sum(list_transform(list_zip(cs, vs, sh), lambda z: z[1] * (ln(g * z[3]) + z[2] / (g * z[3])))) FROM (SELECT {LEVELS_AT} AS sh, list_sum(list_transform(list_zip(cs, vs), lambda z: z[1] * z[2])) / list_sum(list_transform(list_zip(cs, {LEVELS_AT}), lambda z: z[1] * z[2])) AS g))"
+WAVELET_WHITTLE = brent_sql("SELECT series_id, list(j::DOUBLE ORDER BY j) AS js, list(c::DOUBLE ORDER BY j) AS cs, list(v ORDER BY j) AS vs FROM j WHERE j > 1 AND j <= top - 1 GROUP BY series_id HAVING count(*) >= 3", WAVELET_AT, 0.06, 0.994) + f""",
+r AS (SELECT ns.series_id, ns.n, {clip('d')} AS point FROM ns LEFT JOIN least ON ns.series_id = least.series_id)"""
+WAVELET_BODIES = {"WaveletOLS": ("ols", "wavelet_ols", haar_slope(1, 1, False)), "WaveletAbryVeitch": ("abry_veitch", "wavelet_av", haar_slope(2, 2, False)), "WaveletBardet": ("bardet", "wavelet_bardet", haar_slope(1, 2, True)), "WaveletJensen": ("jensen", "wavelet_jensen", JENSEN), "WaveletWhittle": ("whittle", "wavelet_whittle", WAVELET_WHITTLE)}
+for _n, (_short, _tag, _body) in WAVELET_BODIES.items():
+    add(f"wavelet_haar_{_short}", kernel_query("E5", _n, {"wavelet": "haar"}), levels_sql("haar", _n, _tag, _body))
+    add(f"wavelet_db4_{_n.lower().replace('wavelet', '')}", kernel_query("E5", _n), levels_sql("db4", _n, _tag, _body))
 
 # The example plugin, native and as a registered kernel.
 VR_BODY = """d AS (SELECT series_id, v, v - lag(v) OVER (PARTITION BY series_id ORDER BY t) AS d FROM s),
@@ -286,6 +338,9 @@ add("periodogram_m_blocks", block_query(lambda s, size: blocks.log_periodogram(s
 add("ghe_revenue_blocks", block_query(blocks.ghe, "L3"), SQL["ghe_revenue"])
 add("gph_validity_blocks", block_query(blocks.gph, "EU"), SQL["gph_validity"])
 add("dma_validity_blocks", block_query(blocks.dma, "EU"), SQL["dma_validity"])
+for _n, _short, _args in (("WaveletOLS", "ols", (1, 1, False)), ("WaveletAbryVeitch", "abryveitch", (2, 2, False)), ("WaveletBardet", "bardet", (1, 2, True))):
+    add(f"wavelet_db4_{_short}_blocks", block_query(lambda s, size, n=_n, a=_args: blocks.wavelet_slope(s, n, WAVELET_BODIES[n][1], "db4", *a, size=size)), SQL[f"wavelet_db4_{_short}"])
+add("modified_local_whittle_blocks", block_query(blocks.local_whittle), SQL["modified_local_whittle"])
 add("variance_ratio_blocks", block_query(blocks.variance_ratio, "EU"), SQL["variance_ratio"])
 
 # Perturbations.

@@ -28,7 +28,7 @@ def table_to_blocks(df: DataFrame, key: Column | str, order: list[str], value: C
     rows = df.select(key.cast("string").alias("series_id"), value.cast("double").alias("v"), *order).filter("v is not null")
     at = [i / blocks for i in range(1, blocks)]
     bounds = sorted(set(rows.agg(F.percentile_approx(order[0], at)).first()[0] or [])) if at else []
-    block = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col(order[0]))) if bounds else F.lit(0)
+    block = sum(((F.col(order[0]) >= F.lit(b)).cast("int") for b in bounds), F.lit(0))
     rows = rows.withColumn("block", block)
     t = F.row_number().over(Window.partitionBy("series_id", "block").orderBy(*order)) - 1
     numbered = rows.withColumn("t", t.cast("long"))

@@ -59,12 +59,22 @@ def test_white_noise_and_flat_slopes():
     assert np.isnan(K.local_whittle(noise[:, :255])).all() and np.isnan(K.ghe(noise[:, :127])).all()
 
 
-def test_brent_finds_minima():
-    for c in (-0.3, 0.0, 0.41):
-        at, ok = numeric.minimise(lambda v, c=c: (v - c) ** 2 + 0.1 * (v - c) ** 4, -0.49, 0.49)
-        assert ok and at == pytest.approx(c, abs=1e-4)
-    at, ok = numeric.minimise(np.cos, 0.0, 6.0)
-    assert ok and at == pytest.approx(np.pi, abs=1e-4)
+def test_brent_finds_the_minima_of_many_functions_at_once():
+    c = np.array([-0.3, 0.0, 0.41, -0.49, 0.6])
+    seen = []
+
+    def f(v, rows):
+        seen.append(len(rows))
+        return (v - c[rows]) ** 2 + 0.1 * (v - c[rows]) ** 4
+
+    at, ok = numeric.minimise(f, len(c), -0.49, 0.49)
+    assert ok.all() and at == pytest.approx(np.clip(c, -0.49, 0.49), abs=1e-4) and seen[0] == 5 and seen[-1] < 5
+    for i in range(len(c)):  # each as by itself
+        assert numeric.minimise(lambda v, _, i=i: (v - c[i]) ** 2 + 0.1 * (v - c[i]) ** 4, 1, -0.49, 0.49)[0][0] == at[i]
+    at, ok = numeric.minimise(lambda v, _: np.cos(v), 1, 0.0, 6.0)
+    assert ok.all() and at == pytest.approx([np.pi], abs=1e-4)
+    assert len(numeric.minimise(f, 0, 0.0, 1.0)[0]) == 0
+    assert not numeric.minimise(lambda v, _: np.cos(v), 1, 0.0, 6.0, most=3)[1].any()
 
 
 @pytest.mark.parametrize("order", [1, 2, 4])

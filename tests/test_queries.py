@@ -12,7 +12,7 @@ from perdura.plans import catalogue
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 QUERIES, SQL = catalogue.queries(), catalogue.oracle_sql()
 #: Queries that stand for many alike, for a run of the tests in short time; TEST_ALL=1 runs all.
-SOME = ["series_profile_l3", "packed_round_trip", "rs_hurst", "rs_validity", "rs_hurst_blocks", "dfa_order1", "dfa_order1_blocks", "dma_hurst", "higuchi_slope", "ghe", "ghe_native_lags", "gph", "whittle_grid", "local_whittle_grid", "wavelet_haar_bardet", "wavelet_haar_jensen", "variance_ratio_plugin", "polynomial_trend", "outliers_fixed", "metric_coverage", "metric_family_level_disagreement", "metric_coverage_collapse", "metric_max_variant_drift", "aggregate_strata_and_global", "leaderboard_weighted_rank", "failures", "bench_uncertainty_paired", "generator_grid", "contamination_grid", "rolling_hurst"]
+SOME = ["series_profile_l3", "packed_round_trip", "rs_hurst", "rs_validity", "rs_hurst_blocks", "dfa_order1", "dfa_order1_blocks", "dma_hurst", "dma_hurst_blocks", "gph_blocks", "higuchi_slope", "whittle_mle", "wavelet_db4_bardet", "wavelet_db4_whittle", "ghe", "ghe_native_lags", "gph", "whittle_grid", "local_whittle_grid", "wavelet_haar_bardet", "wavelet_haar_jensen", "variance_ratio_plugin", "polynomial_trend", "outliers_fixed", "metric_coverage", "metric_family_level_disagreement", "metric_coverage_collapse", "metric_max_variant_drift", "aggregate_strata_and_global", "leaderboard_weighted_rank", "failures", "bench_uncertainty_paired", "generator_grid", "contamination_grid", "rolling_hurst"]
 
 
 @pytest.fixture(scope="module")
