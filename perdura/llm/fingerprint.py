@@ -2,14 +2,19 @@
 
 A text is the multiset of its paragraphs (lines that are not empty). A paragraph is
 hashed to a wide vector: 128 bits for the whole of it, which are added to two totals
-modulo 2**64, and for each of its sentences a 1 or -1 in every one of LANES lanes, added
-modulo 2**32. The sum does not depend on the order of paragraphs, and paragraphs can be
-added or taken out one by one. Totals and count decide equality.
+modulo 2**64, and a 1 or -1 in every one of LANES lanes, added modulo 2**32. The sum does
+not depend on the order of paragraphs, and paragraphs can be added or taken out one by
+one. Totals and count decide equality.
+
+A paragraph's lanes are those of its pieces, so that a long one changed in part stays
+alike in part: it is cut where the hash of the last few bytes is the least within REACH
+bytes to either side, so places depend on what stands there alone, in any script, with or
+without sentences. A piece has REACH to MOST bytes; a shorter paragraph is one.
 
 Lanes tell how alike two texts are, at any length: for lanes A and B, A.B estimates the
-scalar product of the texts' vectors of sentence counts, and likeness is their Dice
-coefficient 2 A.B / (A.A + B.B). Without repeated sentences that is twice the number of
-common sentences over the number of all; a repeated one weighs by the squares of its
+scalar product of the texts' vectors of piece counts, and likeness is their Dice
+coefficient 2 A.B / (A.A + B.B). Without repeated pieces that is twice the number of
+common pieces over the number of all; a repeated one weighs by the squares of its
 counts. It is exact for equal texts; the standard error is at most 1 / sqrt(LANES),
 about 0.03, whatever the texts' lengths.
 """
@@ -25,10 +30,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from perdura.llm.common import record_batch, to_arrow
+from perdura.llm.common import record_batch, small_batches, to_arrow
+from perdura.llm.words import GROUP_BYTES, grouped, mixed, stretch_hashes
 
 LANES = 1024
 MASK = (1 << 64) - 1
+#: A piece ends where a hash is the least of so many to either side; longer pieces are cut.
+REACH, MOST, CONTEXT = 6, 64, 4
+#: Between paragraphs, so that none sees bytes of another.
+GAP = b"\n" * (REACH + CONTEXT)
+#: Pieces whose lanes are held at once.
+HELD = 4096
 
 
 def paragraphs(text: str) -> list[bytes]:
@@ -36,37 +48,98 @@ def paragraphs(text: str) -> list[bytes]:
     return [p for p in text.encode("utf-8", "surrogatepass").split(b"\n") if p]
 
 
-def lanes_of(parts: list[bytes]) -> np.ndarray:
-    """The sum of the sentences' lanes."""
+def pieces(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the pieces of paragraphs, and each one's paragraph. The second, third, ... of equal pieces of a paragraph have their own hashes."""
+    a = np.frombuffer(GAP + GAP.join(parts) + GAP, dtype=np.uint8)
+    inside = np.flatnonzero(a != 10)
+    if not len(inside):
+        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
+    back = np.zeros(len(a), dtype=np.uint32)
+    for k in range(CONTEXT):
+        back[k:] |= a[: len(a) - k].astype(np.uint32) << np.uint32(8 * k)
+    h = (back * np.uint32(2654435761)) ^ (back >> np.uint32(15))
+    h *= np.uint32(2246822519)
+    h[a == 10] = 0  # no cut within REACH of a paragraph's ends
+    # The least of what follows within REACH, and of what is before; of equal ones the first counts.
+    later = least_of(h[1:], REACH)
+    before = least_of(h, REACH)
+    at = np.arange(REACH, len(a) - REACH)
+    cut = np.zeros(len(a) + 1, dtype=bool)
+    cut[at + 1] = (h[at] <= later[at]) & (h[at] < before[at - REACH])
+    edge = np.diff((a != 10).astype(np.int8), prepend=0, append=0)
+    start = np.flatnonzero((edge == 1) | (cut & np.append(a != 10, False)))
+    end = np.append(start[1:], len(a))
+    last = np.flatnonzero(edge == -1)
+    owner = np.searchsorted(last, start, side="right")
+    end = np.minimum(end, last[owner])
+    many = -(-(end - start) // MOST)
+    if many.max() > 1:
+        nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        end = np.repeat(end, many)
+        start = np.repeat(start, many) + nth * MOST
+        end, owner = np.minimum(end, start + MOST), np.repeat(owner, many)
+    out = stretch_hashes(a, start, end)
+    order = np.lexsort((np.arange(len(out)), out, owner))
+    new = np.flatnonzero((np.diff(out[order].view(np.int64), prepend=0) != 0) | (np.diff(owner[order], prepend=-1) != 0))
+    nth = np.arange(len(out)) - np.repeat(new, np.diff(new, append=len(out)))
+    out[order] += nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return out, owner
+
+
+def least_of(h: np.ndarray, n: int) -> np.ndarray:
+    """The least of every n neighbours."""
+    k = 1
+    while 2 * k <= n:
+        h = np.minimum(h[:-k], h[k:])
+        k *= 2
+    return np.minimum(h[: len(h) - n + k], h[n - k :])
+
+
+def lanes_of(hashes: np.ndarray) -> np.ndarray:
+    """The sum of the pieces' lanes."""
     total = np.zeros(LANES, dtype=np.int64)
-    for a in range(0, len(parts), 255):
-        some = parts[a : a + 255]
-        bits = np.frombuffer(b"".join([hashlib.shake_128(s).digest(LANES // 8) for s in some]), dtype=np.uint8)
-        total += np.unpackbits(bits.reshape(len(some), -1), axis=1).sum(axis=0, dtype=np.uint8)
-    return 2 * total - len(parts)
+    salt = np.arange(1, LANES // 64 + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    for a in range(0, len(hashes), HELD):
+        bits = np.unpackbits(mixed(hashes[a : a + HELD, None] ^ salt).view(np.uint8), axis=1)
+        for b in range(0, len(bits), 255):
+            total += bits[b : b + 255].sum(axis=0, dtype=np.uint8)
+    return 2 * total - len(hashes)
 
 
 class Multiset:
-    """The vector: two totals, the counts of paragraphs and of sentences, and the lanes."""
+    """The vector: two totals, the counts of paragraphs and of pieces, and the lanes."""
 
     def __init__(self, text: str = ""):
-        self.totals, self.count, self.sentences = [0, 0], 0, 0
+        self.totals, self.count, self.pieces = [0, 0], 0, 0
         self.lanes = np.zeros(LANES, dtype=np.int32)
         if text:
             self.add(paragraphs(text))
 
     def add(self, some: Iterable[bytes], sign: int = 1) -> Multiset:
         """Adds paragraphs, in place; sign -1 takes them out."""
-        parts: list[bytes] = []
-        for p in some:
+        parts = list(some)
+        return self.put(parts, pieces(parts)[0], sign)
+
+    def put(self, parts: list[bytes], found: np.ndarray, sign: int = 1) -> Multiset:
+        """The same with the paragraphs' pieces at hand."""
+        for p in parts:
             h = int.from_bytes(hashlib.blake2b(p, digest_size=16).digest(), "little")
             self.totals = [(self.totals[0] + sign * (h & MASK)) & MASK, (self.totals[1] + sign * (h >> 64)) & MASK]
-            self.count += sign
-            parts += [s for s in p.split(b". ") if s]
-        self.sentences += sign * len(parts)
-        self.lanes += (sign * lanes_of(parts)).astype(np.int32)
+        self.count += sign * len(parts)
+        self.pieces += sign * len(found)
+        self.lanes += (sign * lanes_of(found)).astype(np.int32)
         return self
 
+    @classmethod
+    def each(cls, texts: Iterable[str]) -> Iterator[Multiset]:
+        """Of every text; the pieces of many texts are found at once."""
+        for group in grouped(texts, GROUP_BYTES):
+            parts = [paragraphs(t) for t in group]
+            counts = np.cumsum([len(x) for x in parts])
+            found, owner = pieces([p for x in parts for p in x])
+            for x, h in zip(parts, np.split(found, np.searchsorted(owner, counts[:-1])), strict=True):
+                yield cls().put(x, h)
+
     def equals(self, other: Multiset) -> bool:
         return self.count == other.count and self.totals == other.totals
 
@@ -78,16 +151,16 @@ class Multiset:
         return float(min(1.0, max(0.0, 2 * (a @ b) / max(1.0, a @ a + b @ b))))
 
     def digest(self) -> str:
-        """Lanes are no greater than the number of sentences, which tells how many bytes each needs."""
-        width = "<i1" if self.sentences < 1 << 7 else "<i2" if self.sentences < 1 << 15 else "<i4"
-        head = np.array([*self.totals, self.count, self.sentences], dtype="<u8").tobytes()
+        """Lanes are no greater than the number of pieces, which tells how many bytes each needs."""
+        width = "<i1" if self.pieces < 1 << 7 else "<i2" if self.pieces < 1 << 15 else "<i4"
+        head = np.array([*self.totals, self.count, self.pieces], dtype="<u8").tobytes()
         return base64.b64encode(head + self.lanes.astype(width).tobytes()).decode()
 
     @classmethod
     def parse(cls, fingerprint: str) -> Multiset:
         data = base64.b64decode(fingerprint)
         out = cls()
-        *out.totals, out.count, out.sentences = np.frombuffer(data[:32], dtype="<u8").tolist()
+        *out.totals, out.count, out.pieces = np.frombuffer(data[:32], dtype="<u8").tolist()
         out.lanes = np.frombuffer(data[32:], dtype=f"<i{(len(data) - 32) // LANES}").astype(np.int32)
         return out
 
@@ -107,7 +180,7 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            prints = [Multiset(t or "").digest() for t in b.column(text).to_pylist()]
+            prints = [m.digest() for m in Multiset.each(t or "" for t in b.column(text).to_pylist())]
             yield record_batch({**{n: b.column(n) for n in names}, "fingerprint": prints}, target)
 
     return out.mapInArrow(run, schema)
@@ -115,6 +188,8 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
 
 PAIR = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 LEAST = -(1 << 63)
+#: Bytes of texts in one part, about.
+PART_BYTES = 1 << 29
 
 
 def with_next(docs: DataFrame, n_parts: int) -> DataFrame:
@@ -125,7 +200,7 @@ def with_next(docs: DataFrame, n_parts: int) -> DataFrame:
     """
     rows = docs.select("doc_id", "text").withColumn("_id", F.coalesce("doc_id", F.lit(LEAST)))
     at = [i / n_parts for i in range(1, n_parts)]
-    bounds = sorted(set(rows.agg(F.percentile_approx("_id", at or [0.5], 10_000)).first()[0] or [])) if at else []
+    bounds = sorted(set(rows.agg(F.percentile_approx("_id", at or [0.5], max(10_000, 10 * n_parts))).first()[0] or [])) if at else []
     coarse, step = bounds[31::32], 32
     low = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in coarse]), lambda b: b <= F.col("_id"))) if coarse else F.lit(0)
     groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
@@ -156,32 +231,25 @@ def edit_fingerprints(docs: DataFrame, n_parts: int | None = None) -> DataFrame:
     itself. Extra columns are ignored. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    n = n_parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
+    n = n_parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2, (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES)
     target = to_arrow(spark, PAIR)
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        last = None  # (part, id, text, multiset) that waits for its next row
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # (id, text, multiset) that waits for its next row
         for b in batches:
-            for i, t, part, halo in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("_part").to_pylist(), b.column("_halo").to_pylist(), strict=True):
-                t = t or ""
+            rows, two = [], []
+            texts = [t or "" for t in b.column("text").to_pylist()]
+            for i, t, halo, now in zip(b.column("doc_id").to_pylist(), texts, b.column("_halo").to_pylist(), Multiset.each(texts), strict=True):
                 if last is None and halo:
                     continue  # a second copy of rows with one id
-                now = Multiset(t)
                 if last is not None:
-                    _, own, text, mine = last
-                    new = edited(text, t)
-                    other = Multiset(new)
-                    yield own, len(text), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), mine.digest(), other.digest(), mine.likeness(other), mine.likeness(now)
-                last = None if halo else (part, i, t, now)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        for row in pairs(batches):
-            held.append(row)
-            if len(held) == 2000:
-                yield record_batch(dict(zip(target.names, zip(*held, strict=True), strict=True)), target)
-                held = []
-        if held:
-            yield record_batch(dict(zip(target.names, zip(*held, strict=True), strict=True)), target)
-
+                    rows.append((*last, edited(last[1], t)))
+                    two.append(now)
+                last = None if halo else (i, t, now)
+            if rows:
+                others = Multiset.each(r[3] for r in rows)
+                out = [(own, len(text), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), mine.digest(), other.digest(), mine.likeness(other), mine.likeness(now)) for (own, text, mine, new), other, now in zip(rows, others, two, strict=True)]
+                yield record_batch(dict(zip(target.names, zip(*out, strict=True), strict=True)), target)
+
+    small_batches(spark)
     return with_next(docs, n).mapInArrow(run, PAIR)
