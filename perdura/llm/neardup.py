@@ -10,10 +10,15 @@ Documents with equal sets are one class from the start, with one representative.
 members of a bucket (a key) are compared by signature inside a task, each pair in the
 first bucket that it shares; the sets of those members that have a partner within the
 distance are then compared in full inside a task, which gives links enough to connect
-what is similar, never all pairs. Buckets of more than BLOCK members are cut into
-blocks, and every two blocks meet in a task of their own, so no task holds more than
-2 * BLOCK members whatever the bucket's size. The work on a bucket grows with the
-square of its number of different sets; the rows made do not.
+what is similar, never all pairs.
+
+In buckets of more than BLOCK members most are often of one family. So each of their
+members is first compared in full with one centre, that of its largest bucket; those
+similar to it are linked to it, are one star, and need no comparison among themselves.
+In such a bucket the members of the most frequent star meet only the others, whose
+number decides how often a row is copied: a family that is one star makes no rows at all.
+Blocks of BLOCK members bound a task whatever the bucket's size. Only different sets
+that share a bucket and are not of its star are compared with each other one by one.
 """
 
 from __future__ import annotations
@@ -35,6 +40,8 @@ from perdura.llm.words import all_word_hashes, mixed, run_hashes
 SYMBOLS, BITS, MISS = 60, 16, 1e-4
 #: Members of a bucket in one block.
 BLOCK = 500
+#: Times that centres of families are compared with each other.
+CENTRE_ROUNDS = 3
 #: Bits (as a power of two) of the filter of keys: 8 MB.
 KEY_BITS = 26
 
@@ -175,7 +182,7 @@ def pairs_within(at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def with_partner(rows: DataFrame, near: Near) -> DataFrame:
-    """The rows (GROUP, rep, set1, n, sig) that have a partner in their group within the signature distance.
+    """The rows (GROUP, rep, star, set1, n, sig) that have a partner of another star in their group within the signature distance.
 
     A pair counts in the first key only that its signatures share.
     """
@@ -186,10 +193,10 @@ def with_partner(rows: DataFrame, near: Near) -> DataFrame:
         for t, at in whole_groups(batches):
             sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), dtype=np.uint16).reshape(t.num_rows, SYMBOLS)
             keys = chunk_keys(sig, near.chunk).reshape(t.num_rows, -1).view(np.int64)
-            n, own = t.column("n").to_numpy(), t.column("key").to_numpy()
+            n, own, star = (t.column(c).to_numpy() for c in ("n", "key", "star"))
             found = np.zeros(t.num_rows, dtype=bool)
             for i, j in pairs_within(at):
-                ok = 100 * np.minimum(n[i], n[j]) >= near.percent * np.maximum(n[i], n[j])
+                ok = (star[i] != star[j]) & (100 * np.minimum(n[i], n[j]) >= near.percent * np.maximum(n[i], n[j]))
                 i, j = i[ok], j[ok]
                 ok = (sig[i] != sig[j]).sum(axis=1) <= near.distance
                 i, j = i[ok], j[ok]
@@ -269,6 +276,96 @@ def links_of(rows: DataFrame, near: Near) -> DataFrame:
     return rows.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(run, schema)
 
 
+def full_sets(docs: DataFrame, reps: DataFrame, words: int) -> DataFrame:
+    """rep, set1 and s (the whole set) of representatives (rep, set1), from one pass over the texts."""
+
+    def sets(ids: list, texts: list[str]) -> dict:
+        found = list(all_shingles(texts, words))
+        return {"rep": ids, "set1": [first_total(s) for s in found], "s": [s.tobytes() for s in found]}
+
+    return chosen_rows(docs, id_bits(reps, "rep"), "rep long, set1 long, s binary", sets).join(reps.select("rep", "set1").distinct(), ["rep", "set1"]).dropDuplicates(["rep", "set1"])
+
+
+def stars(docs: DataFrame, members: DataFrame, hot: DataFrame, reps: DataFrame, near: Near) -> tuple[DataFrame, DataFrame]:
+    """rep and star (its centre's number) of members of hot buckets that are similar to a centre, and the links (rep, star) found.
+
+    Members of one family may have different largest buckets, so centres are compared with centres in turn.
+    """
+    links = star_of = stored(star_links(docs, members, hot, reps, near))
+    for _ in range(CENTRE_ROUNDS):
+        owners = members.join(stored(star_of.select(F.col("star").alias("rep")).distinct()), "rep", "left_semi").join(hot.select("key"), "key", "left_semi")
+        owners = stored(owners)
+        common = stored(owners.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"))
+        more = stored(star_links(docs, owners, common, reps, near))
+        if more.filter("rep != star").isEmpty():
+            break
+        to = more.select(F.col("rep").alias("star"), F.col("star").alias("_to"))
+        star_of = stored(star_of.join(to, "star", "left").select("rep", F.coalesce("_to", "star").alias("star")))
+        links = links.unionByName(more)
+    return star_of, links
+
+
+def star_links(docs: DataFrame, members: DataFrame, hot: DataFrame, reps: DataFrame, near: Near) -> DataFrame:
+    """rep and star of members that are similar to the smallest one of those with the same largest hot bucket, by their full sets.
+
+    That one is its own star. A member is compared once; each block of a bucket's members gets a copy of the centre.
+    """
+    own = join_by_key(members, hot, ["key"])
+    home = stored(own.groupBy("rep").agg(F.max(F.struct("k", "key")).alias("x")).select("rep", F.col("x.key").alias("key")))
+    centres = stored(home.groupBy("key").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("k")).filter("k > 1"))
+    blocks = F.ceil(F.col("k") / BLOCK).cast("int")
+    placed = join_by_key(home, centres, ["key"]).filter("rep > centre").select("key", F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("lo"), "rep", "centre")
+    copies = centres.select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("lo"), F.col("centre").alias("rep"), "centre")
+    rows = placed.unionByName(copies).withColumn("hi", F.lit(0)).join(reps.select("rep", "set1"), "rep")
+    rows = rows.join(full_sets(docs, rows, near.words), ["rep", "set1"])
+    schema = "rep long, star long"
+    target = to_arrow(docs.sparkSession, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, at in whole_groups(batches):
+            rep, centre = t.column("rep").to_numpy(), t.column("centre").to_numpy()
+            s = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in t.column("s")]
+            found: list[int] = []
+            for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                middle = next((s[i] for i in range(lo, hi) if rep[i] == centre[i]), None)
+                if middle is None:
+                    continue
+                for i in range(lo, hi):
+                    both = int(np.isin(s[i], middle, assume_unique=True, kind="sort").sum())
+                    if 100 * both >= near.percent * (len(s[i]) + len(middle) - both):
+                        found.append(i)
+            if found:
+                yield record_batch({"rep": rep[found], "star": centre[found]}, target)
+
+    return rows.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(run, schema).distinct()
+
+
+def placements(members: DataFrame, buckets: DataFrame, starred: DataFrame | None) -> DataFrame:
+    """GROUP, rep and star: in which groups each member of a bucket is compared.
+
+    Members other than those of the bucket's most frequent star (its body) are cut into blocks; every two of these blocks
+    meet, and every one meets every block of the body, but blocks of the body do not meet each other.
+    """
+    rows = members.withColumn("star", F.col("rep"))
+    if starred is not None:
+        rows = stored(members.join(starred, "rep", "left").withColumn("star", F.coalesce("star", "rep")))
+        by_star = join_by_key(rows, buckets.filter(F.col("k") > BLOCK), ["key"]).groupBy("key", "star").agg(F.count(F.lit(1)).alias("n"))
+        bodies = by_star.groupBy("key").agg(F.max(F.struct("n", "star")).alias("x")).select("key", F.col("x.n").alias("body"), F.col("x.star").alias("main"))
+        buckets = stored(buckets.join(bodies, "key", "left").filter("body is null or body < k"))
+        body = F.when(F.col("body") > 1, F.col("body")).otherwise(0)
+    else:
+        buckets, body = buckets.withColumn("main", F.lit(None).cast("long")), F.lit(0)
+    others, wide = F.ceil((F.col("k") - body) / BLOCK).cast("int"), F.ceil(body / BLOCK).cast("int")
+    in_body = F.coalesce((F.col("star") == F.col("main")) & (body > 0), F.lit(False))
+    own = F.pmod(F.xxhash64("rep"), F.when(in_body, wide).otherwise(others)).cast("int")
+    # Blocks of others have numbers from 0 on, the body's blocks negative ones.
+    among = F.transform(F.sequence(F.lit(0), others - 1), lambda o: F.struct(F.least(own, o).alias("lo"), F.greatest(own, o).alias("hi")))
+    with_body = F.when(wide > 0, F.transform(F.sequence(F.lit(1), F.greatest(wide, F.lit(1))), lambda o: F.struct((-o).alias("lo"), own.alias("hi")))).otherwise(F.array().cast("array<struct<lo:int,hi:int>>"))
+    of_body = F.transform(F.sequence(F.lit(0), others - 1), lambda o: F.struct((-1 - own).alias("lo"), o.alias("hi")))
+    meets = F.explode(F.when(in_body, of_body).otherwise(F.concat(among, with_body)))
+    return join_by_key(rows, buckets, ["key"]).select("key", "rep", "star", meets.alias("x")).select("key", "x.lo", "x.hi", "rep", "star")
+
+
 def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable over links) and kept.
 
@@ -284,20 +381,15 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
 
     buckets = stored(keyed(reps, near).groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"))
     members = stored(keyed(reps, near, hash_bits(buckets, "key", KEY_BITS)))
-    blocks = F.ceil(F.col("k") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    meets = F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(own, o).alias("lo"), F.greatest(own, o).alias("hi"))))
-    placed = join_by_key(members, buckets, ["key"]).select("key", "rep", meets.alias("x")).select("key", "x.lo", "x.hi", "rep")
+    hot = buckets.filter(F.col("k") > BLOCK)
+    starred, star_found = (None, None) if hot.isEmpty() else stars(docs, members, hot, reps, near)
+    placed = placements(members, buckets, starred)
     near_rows = stored(with_partner(placed.join(reps.select("rep", "set1", "n", "sig"), "rep"), near))
-
-    k = near.words
-
-    def sets(ids: list, texts: list[str]) -> dict:
-        found = list(all_shingles(texts, k))
-        return {"rep": ids, "set1": [first_total(s) for s in found], "s": [s.tobytes() for s in found]}
-
-    full = stored(chosen_rows(docs, id_bits(near_rows, "rep"), "rep long, set1 long, s binary", sets).join(near_rows.select("rep", "set1").distinct(), ["rep", "set1"]).dropDuplicates(["rep", "set1"]))
-    links = stored(links_of(near_rows.join(full, ["rep", "set1"]).select(*GROUP, "rep", "s"), near))
+    full = stored(full_sets(docs, near_rows, near.words))
+    links = links_of(near_rows.join(full, ["rep", "set1"]).select(*GROUP, "rep", "s"), near)
+    if starred is not None:
+        links = links.unionByName(star_found.filter("rep != star").select(F.col("star").alias("a"), F.col("rep").alias("b")))
+    links = stored(links)
 
     final = components(links).withColumnRenamed("node", "rep")
     classes = stored(reps.select("set1", "set2", "rep", "k").join(final, "rep", "left").select("set1", "set2", F.coalesce("component", "rep").alias("_component"), "k"))
