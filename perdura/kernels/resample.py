@@ -10,19 +10,25 @@ import numpy as np
 BLOCK_VALUES = 4_000_000
 
 
-def replicates(x: np.ndarray, n_boot: int, block: int, seed: int) -> Iterator[np.ndarray]:
-    """Matrices of resampled series; all starts come from one stream, replicate after replicate."""
+def replicates(x: np.ndarray, n_boot: int, block: int, seed: int, first: int = 0, count: int | None = None) -> Iterator[np.ndarray]:
+    """Matrices of resampled series; all starts come from one stream, replicate after replicate.
+
+    With first and count, those replicates alone, as they are in the whole stream: the starts before are drawn
+    and left, as a draw may take more than one step of the generator, so that its place cannot be told.
+    """
     n = len(x)
     block = max(1, min(int(block), n))
     per = -(-n // block)
     rng = np.random.default_rng(seed)
-    left, step = max(1, int(n_boot)), max(1, BLOCK_VALUES // n)
-    while left > 0:
-        k = min(left, step)
+    end = max(1, int(n_boot)) if count is None else min(max(1, int(n_boot)), first + count)
+    step, at = max(1, BLOCK_VALUES // n), 0
+    while at < end:
+        k = min(step, (first if at < first else end) - at)
         starts = rng.integers(0, n, size=(k, per))
-        at = (starts[:, :, None] + np.arange(block)) % n
-        yield x[at.reshape(k, per * block)[:, :n]]
-        left -= k
+        if at >= first:
+            places = (starts[:, :, None] + np.arange(block)) % n
+            yield x[places.reshape(k, per * block)[:, :n]]
+        at += k
 
 
 def percentile_intervals(samples: np.ndarray, levels: Iterable[float]) -> list[tuple[float, float, float]]:

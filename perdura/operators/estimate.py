@@ -1,8 +1,10 @@
 """Estimates with bootstrap intervals, by Arrow kernels over packed series.
 
-Every (record, estimator) is one row of work: rows are dealt by both, so that a long
-series with many replicates delays only its own tasks. A record's seed is in the row,
-which makes results independent of partitioning and of retries.
+Every (record, estimator, range of replicates) is one row of work, dealt by all three, so
+that a long series with many replicates takes several tasks; their replicates are brought
+together by record and estimator. A record's seed is in the row, and a range's replicates
+are those that the whole stream has there, which makes results independent of ranges, of
+partitioning and of retries.
 """
 
 from __future__ import annotations
@@ -29,64 +31,97 @@ ESTIMATES = (
 )
 
 
-def fit_one(kernel: Kernel, params: dict, x: np.ndarray, seed: int | None, eps: float | None) -> dict:
-    """One estimate, with the different warnings that its kernel gave."""
+#: Replicates in one row of work.
+RANGE = 50
+PARTS = "record_id string, spec int, part int, point double, point_alt double, runtime_seconds double, failure_reason string, replicates array<double>, warnings array<string>"
+
+
+def fit_range(kernel: Kernel, params: dict, x: np.ndarray, seed: int | None, eps: float | None, first: int, count: int) -> dict:
+    """The point and some of its replicates, with the different warnings that the kernel gave; only the first range has the time and the refit."""
+    out: dict = dict.fromkeys(("point", "point_alt", "runtime_seconds", "failure_reason")) | {"replicates": []}
     with warnings.catch_warnings(record=True) as given:
         warnings.simplefilter("always")
-        out = fitted(kernel, params, x, seed, eps)
+        began = time.perf_counter()
+        try:
+            point = float(kernel(x[None, :], params)[0]) if len(x) else math.nan
+            out["runtime_seconds"] = time.perf_counter() - began
+            if math.isfinite(point):
+                out["point"] = point
+                block = int(params.get("bootstrap_block_len", 0) or 0) or max(4, len(x) // 10)
+                mask = ((seed or 0) + kernel.seed_offset if seed is not None else kernel.seed_offset) & 0xFFFFFFFF
+                got = np.concatenate([kernel(r, params) for r in replicates(x, int(params.get("n_bootstrap", 200)), block, mask, first, count)])
+                out["replicates"] = got[np.isfinite(got)].tolist()
+                if eps is not None and not first:
+                    again = float(kernel(x[None, :] * (1 + eps), params)[0])
+                    out["point_alt"] = again if math.isfinite(again) else None
+            else:
+                out["failure_reason"] = f"insufficient_signal_for_{kernel.tag}"
+        except Exception as e:  # an estimator of any kind may fail; its failure is the result
+            out |= {"runtime_seconds": time.perf_counter() - began, "failure_reason": f"exception:{type(e).__name__}:{e}"}
     return out | {"warnings": list(dict.fromkeys(str(w.message) for w in given))}
 
 
-def fitted(kernel: Kernel, params: dict, x: np.ndarray, seed: int | None, eps: float | None) -> dict:
-    """One estimate; params may set n_bootstrap (200), bootstrap_block_len (a tenth) and ci_levels (0.95)."""
-    out: dict = dict.fromkeys(("point", "ci_low", "ci_high", "stderr", "failure_reason", "bootstrap_std", "point_alt"))
-    out |= {"valid": False, "bootstrap_cis": [], "bootstrap_used": 0}
-    began = time.perf_counter()
-    try:
-        point = float(kernel(x[None, :], params)[0]) if len(x) else math.nan
-        out["runtime_seconds"] = time.perf_counter() - began
-        if not math.isfinite(point):
-            return out | {"failure_reason": f"insufficient_signal_for_{kernel.tag}"}
-        block = int(params.get("bootstrap_block_len", 0) or 0) or max(4, len(x) // 10)
-        mask = ((seed or 0) + kernel.seed_offset if seed is not None else kernel.seed_offset) & 0xFFFFFFFF
-        got = np.concatenate([kernel(r, params) for r in replicates(x, int(params.get("n_bootstrap", 200)), block, mask)])
-        got = got[np.isfinite(got)]
-        levels = params.get("ci_levels")
-        cis = percentile_intervals(got, (0.95,) if levels is None else levels) if len(got) >= 5 else []
-        main = next((c for c in cis if abs(c[0] - 0.95) < 1e-9), cis[-1] if cis else None)
-        if main:
-            out["ci_low"], out["ci_high"] = main[1], main[2]
-        if eps is not None:
-            again = float(kernel(x[None, :] * (1 + eps), params)[0])
-            out["point_alt"] = again if math.isfinite(again) else None
-        return out | {"point": point, "valid": True, "bootstrap_std": float(got.std()) if len(got) >= 2 else None, "bootstrap_used": len(got), "bootstrap_cis": [{"nominal": a, "ci_low": lo, "ci_high": hi} for a, lo, hi in cis]}
-    except Exception as e:  # an estimator of any kind may fail; its failure is the result
-        out["runtime_seconds"] = time.perf_counter() - began
-        return out | {"point": None, "valid": False, "ci_low": None, "ci_high": None, "failure_reason": f"exception:{type(e).__name__}:{e}"}
+def combined(parts: list[dict], params: dict) -> dict:
+    """One estimate from its ranges in order; params may set n_bootstrap (200), bootstrap_block_len (a tenth) and ci_levels (0.95)."""
+    out: dict = dict.fromkeys(("ci_low", "ci_high", "stderr", "bootstrap_std", "point_alt"))
+    out |= {"valid": False, "point": None, "bootstrap_cis": [], "bootstrap_used": 0, "runtime_seconds": parts[0]["runtime_seconds"]}
+    out["warnings"] = list(dict.fromkeys(w for p in parts for w in p["warnings"]))
+    out["failure_reason"] = next((p["failure_reason"] for p in parts if p["failure_reason"]), None)
+    if out["failure_reason"]:
+        return out
+    got = np.array([v for p in parts for v in p["replicates"]], dtype=float)
+    levels = params.get("ci_levels")
+    cis = percentile_intervals(got, (0.95,) if levels is None else levels) if len(got) >= 5 else []
+    main = next((c for c in cis if abs(c[0] - 0.95) < 1e-9), cis[-1] if cis else None)
+    if main:
+        out["ci_low"], out["ci_high"] = main[1], main[2]
+    out |= {"point": parts[0]["point"], "point_alt": parts[0]["point_alt"], "valid": True, "bootstrap_std": float(got.std()) if len(got) >= 2 else None, "bootstrap_used": len(got)}
+    return out | {"bootstrap_cis": [{"nominal": a, "ci_low": lo, "ci_high": hi} for a, lo, hi in cis]}
+
+
+def fit_one(kernel: Kernel, params: dict, x: np.ndarray, seed: int | None, eps: float | None) -> dict:
+    """One estimate, all replicates at once."""
+    return combined([fit_range(kernel, params, x, seed, eps, 0, max(1, int(params.get("n_bootstrap", 200))))], params)
 
 
 def estimate(records: DataFrame, specs: list[EstimatorSpec], eps: float | None = None, plugins: dict[str, Kernel] | None = None, max_workers: int | None = None) -> DataFrame:
     """ESTIMATES for records (record_id, seed, values) and all specs, in at most max_workers tasks at once if given; eps adds the refit on scaled values."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
+    every = F.explode(F.array(*[F.lit(i) for i in range(len(specs))]))
+    return estimate_jobs(records.select("record_id", "seed", "values", every.alias("spec")), specs, eps, plugins, max_workers)
 
-    target = to_arrow_schema(StructType.fromDDL(ESTIMATES))
+
+def estimate_jobs(jobs: DataFrame, specs: list[EstimatorSpec], eps: float | None = None, plugins: dict[str, Kernel] | None = None, max_workers: int | None = None) -> DataFrame:
+    """ESTIMATES for rows of record_id, seed, values and spec, a place in specs; each record_id and spec at most once."""
     own = [(s.name, kernel_of(s.base, plugins), dict(s.params)) for s in specs]
-    jobs = records.select("record_id", "seed", "values", F.explode(F.array(*[F.lit(i) for i in range(len(specs))])).alias("spec"))
-    tasks = max(1, int(max_workers or records.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    jobs = jobs.repartition(tasks, "record_id", "spec")
+    counts = [max(1, int(params.get("n_bootstrap", 200))) for _, _, params in own]
+    ranges = F.get(F.array(*[F.lit(-(-n // RANGE)) for n in counts]), F.col("spec"))
+    tasks = max(1, int(max_workers or jobs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    jobs = jobs.withColumn("part", F.explode(F.sequence(F.lit(0), ranges - 1))).repartition(tasks, "record_id", "spec", "part")
+    part_schema, target = to_arrow(PARTS), to_arrow(ESTIMATES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for i, seed, x, k in zip(b.column("record_id").to_pylist(), b.column("seed").to_pylist(), b.column("values"), b.column("spec").to_pylist(), strict=True):
-                name, kernel, params = own[k]
+            for i, seed, x, k, part in zip(b.column("record_id").to_pylist(), b.column("seed").to_pylist(), b.column("values"), b.column("spec").to_pylist(), b.column("part").to_pylist(), strict=True):
+                _, kernel, params = own[k]
                 values = np.asarray(x.values, dtype=float) if x.is_valid else np.empty(0)
-                rows.append({"record_id": i, "estimator_name": name} | fit_one(kernel, params, values, seed, eps))
+                rows.append({"record_id": i, "spec": k, "part": part} | fit_range(kernel, params, values, seed, eps, part * RANGE, RANGE))
             if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=target)
+                yield pa.RecordBatch.from_pylist(rows, schema=part_schema)
+
+    def gather(group: pa.Table) -> pa.Table:
+        rows = sorted(group.to_pylist(), key=lambda r: r["part"])
+        name, _, params = own[rows[0]["spec"]]
+        return pa.Table.from_pylist([{"record_id": rows[0]["record_id"], "estimator_name": name} | combined(rows, params)], schema=target)
+
+    return jobs.mapInArrow(run, PARTS).groupBy("record_id", "spec").applyInArrow(gather, ESTIMATES)
+
+
+def to_arrow(schema: str) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
 
-    return jobs.mapInArrow(run, ESTIMATES)
+    return to_arrow_schema(StructType.fromDDL(schema))
 
 
 def kernel_points(packed: DataFrame, name: str, params: dict | None = None, plugins: dict[str, Kernel] | None = None) -> DataFrame:

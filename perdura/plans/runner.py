@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from perdura.interfaces import Evaluator, LeaderboardBuilder
 from perdura.kernels.estimators import Kernel
 from perdura.operators import evaluate, uncertainty
-from perdura.operators.estimate import ESTIMATES, estimate
+from perdura.operators.estimate import ESTIMATES, estimate, estimate_jobs
 from perdura.plans.catalog import O
 from perdura.plans.manifest import LeaderboardSpec, Manifest, manifest_of
 from perdura.plans.registry import kernel_of
@@ -50,41 +50,57 @@ class Run:
         self.close()
 
 
-def cached_estimates(rows: DataFrame, m: Manifest, eps: float | None, plugins: dict[str, Kernel] | None) -> DataFrame:
+def cached_estimates(rows: DataFrame, m: Manifest, eps: float | None, plugins: dict[str, Kernel] | None, kept: list[DataFrame]) -> DataFrame:
     """Estimates, read from and added to a Parquet cache if the manifest names one.
 
-    A cache entry is keyed by record, estimator, its version and parameters, and the values.
+    A cache entry is keyed by record, values, and the estimator with its version and parameters (spec_hash, by which the
+    cache is partitioned, so a run reads only its estimators' files). One join finds what is there and what is not, and
+    one stage fits the rest, however many estimators there are. What is kept in memory is added to kept.
     """
     folder = m.execution.get("estimate_cache_dir")
     workers = m.execution.get("max_workers")
     if not folder:
         return estimate(rows, m.estimators, eps, plugins, workers)
     spark = rows.sparkSession
-    keys = [(s.name, hashlib.sha1(json.dumps([s.name, s.version, VERSION, s.params, eps], sort_keys=True, default=str).encode()).hexdigest()) for s in m.estimators]
+    hashes = [hashlib.sha1(json.dumps([s.name, s.version, VERSION, s.params, eps], sort_keys=True, default=str).encode()).hexdigest() for s in m.estimators]
+    specs = F.array(*[F.struct(F.lit(i).alias("spec"), F.lit(s.name).alias("estimator_name"), F.lit(h).alias("spec_hash")) for i, (s, h) in enumerate(zip(m.estimators, hashes, strict=True))])
     marked = rows.withColumn("values_hash", F.sha2(F.to_json(F.struct("values", "seed")), 256))
-    wanted = marked.select("record_id", "values_hash").join(F.broadcast(spark.createDataFrame(keys, "estimator_name string, spec_hash string")))
-    shape = "values_hash string, spec_hash string, " + ESTIMATES
-    stored = spark.createDataFrame([], shape)
-    if m.execution.get("cache_read", True):
-        try:
-            stored = spark.read.schema(shape).parquet(folder)
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":  # only that there is no cache yet
-                raise
-    on = ["record_id", "estimator_name", "values_hash", "spec_hash"]
-    hits = wanted.join(stored.dropDuplicates(on), on)
-    missing = wanted.join(hits.select(on), on, "left_anti")
-    parts = [hits.select("values_hash", "spec_hash", *[c.split()[0] for c in ESTIMATES.split(", ") if " " in c])]
-    for s in m.estimators:  # a few enrolled estimators
-        todo = marked.join(missing.filter(F.col("estimator_name") == s.name).select("record_id", "spec_hash"), "record_id")
-        parts.append(estimate(todo.select("record_id", "seed", "values"), [s], eps, plugins, workers).join(todo.select("record_id", "values_hash", "spec_hash"), "record_id").select(parts[0].columns))
-    fresh = parts[1]
-    for p in parts[2:]:
-        fresh = fresh.unionByName(p)
-    fresh = fresh.persist()
+    wanted = marked.select("record_id", "values_hash", F.inline(specs))
+    stored = read_cache(spark, folder) if m.execution.get("cache_read", True) else None
+    columns = [c.split()[0] for c in ESTIMATES.split(", ") if " " in c]
+    if stored is None:
+        missing, hits = wanted, None
+    else:
+        on = ["record_id", "estimator_name", "values_hash", "spec_hash"]
+        there = stored.filter(F.col("spec_hash").isin(hashes)).dropDuplicates(on).withColumn("_hit", F.lit(True))
+        both = wanted.join(there, on, "left").persist()
+        kept.append(both)
+        hits, missing = both.filter("_hit").select(*columns), both.filter("_hit is null").select(*wanted.columns)
+    jobs = marked.select("record_id", "seed", "values").join(missing.select("record_id", "spec"), "record_id")
+    keys = missing.select("record_id", "estimator_name", "values_hash", "spec_hash")
+    fresh = estimate_jobs(jobs, m.estimators, eps, plugins, workers).join(keys, ["record_id", "estimator_name"]).persist()
+    kept.append(fresh)
     if m.execution.get("cache_write", True):
-        fresh.write.mode("append").parquet(folder)
-    return parts[0].unionByName(fresh).drop("values_hash", "spec_hash")
+        fresh.write.mode("append").partitionBy("spec_hash").parquet(folder)
+    fresh = fresh.select(*columns)
+    return fresh if hits is None else hits.unionByName(fresh)
+
+
+def read_cache(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The cache's rows, or None if there is none yet."""
+    try:
+        return spark.read.schema(f"values_hash string, {ESTIMATES}, spec_hash string").parquet(folder)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def compact_cache(spark: SparkSession, folder: str, target: str) -> None:
+    """Writes the cache's rows, each key once and a few files for each estimator, to another folder."""
+    rows = read_cache(spark, folder)
+    if rows is not None:
+        rows.dropDuplicates(["record_id", "estimator_name", "values_hash", "spec_hash"]).repartition("spec_hash", F.pmod(F.xxhash64("record_id"), F.lit(8))).write.partitionBy("spec_hash").parquet(target)
 
 
 def run(
@@ -109,12 +125,13 @@ def run(
     rows = records_of(spark, m, base_dir, generators, contaminations).persist()
     eps = float(m.preprocessing.get("sensitivity_eps", 1e-4)) if m.mode == O else None
     work = rows.withColumn("seed", F.col("estimator_seed"))
-    estimates = cached_estimates(work, m, eps, plugins).persist()
+    kept: list[DataFrame] = []
+    estimates = cached_estimates(work, m, eps, plugins, kept).persist()
     fact = evaluate.facts(rows, estimates, evaluate.spec_table(spark, m.estimators))
     evaluator, builder = evaluator or CatalogueEvaluator(), leaderboard_builder or WeightedRank()
     series = evaluator.per_series(m, fact).persist()
     aggregates = evaluator.aggregate(m, series).persist()
-    out = Run(uuid.uuid4().hex, m, rows, estimates, series, aggregates, benchmark_uncertainty(series, aggregates, m), kept=[rows, estimates, series, aggregates])
+    out = Run(uuid.uuid4().hex, m, rows, estimates, series, aggregates, benchmark_uncertainty(series, aggregates, m), kept=[rows, estimates, series, aggregates, *kept])
     for b in m.leaderboards:
         out.leaderboards[b.name] = builder.build(m, b, aggregates)
     return out

@@ -393,6 +393,29 @@ add("outliers_random", contaminated_arrow("outliers", {"rate": 0.02, "amplitude"
 add("heavy_tail_noise", contaminated_arrow("heavy_tail_noise", {"df": 5.0, "scale": 0.5}, deviation), f"SELECT series_id, count(*) AS n, count(*) AS changed, 0.5::DOUBLE AS strength FROM ({VIEW_SQL['E5']}) GROUP BY series_id")
 
 
+# Estimators by name in SQL.
+def sql_query(text: str, view: str = "E5") -> Query:
+    """A query over the view under the name series, with the estimators registered."""
+
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        from perdura.functions import sql
+
+        sql.register(spark, VARIANCE_RATIO)
+        return spark.sql(text, series=VIEWS[view](spark, sf))
+
+    return query
+
+
+def plain_points(*names: str) -> str:
+    return " UNION ALL ".join(f"SELECT series_id, estimator_name, point FROM ({SQL[n]})" for n in names)
+
+
+for _n, _name in (("rs_hurst", "RS"), ("gph", "GPH"), ("dfa_order1", "DFA")):
+    add(f"sql_{_name.lower()}", sql_query(f"SELECT series_id, '{_name}' AS estimator_name, round(lrd_{_name.lower()}(t, v), 6) + 0.0D AS point FROM {{series}} GROUP BY series_id"), plain_points(_n))
+add("sql_plugin_validity", sql_query("SELECT series_id, 'VarianceRatio' AS estimator_name, round(lrd_varianceratio(t, v), 6) + 0.0D AS point FROM {series} GROUP BY series_id", "EU"), plain_points("variance_ratio"))
+add("sql_estimates", sql_query("SELECT series_id, estimator_name, round(point, 6) + 0.0D AS point FROM lrd_estimates(TABLE(SELECT series_id, t, v FROM {series}) PARTITION BY series_id ORDER BY t) WHERE estimator_name IN ('RS', 'GPH', 'DMA', 'WaveletOLS', 'WhittleMLE')"), plain_points("rs_hurst", "gph", "dma_hurst", "wavelet_db4_ols", "whittle_mle"))
+
+
 def block_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
     """Points with circular block bootstrap intervals, for all estimators that the series are long enough for."""
     from perdura.operators.estimate import estimate

@@ -176,3 +176,25 @@ def test_bootstrap_of_groups_in_one_and_in_many_blocks(spark):
             assert r.n == 4000 and r.value == pytest.approx(x.mean()) and r.ci_low == pytest.approx(x.mean() - half, abs=half / 4) and r.ci_high == pytest.approx(x.mean() + half, abs=half / 4)
             assert got["A", "rmse", level].value == pytest.approx(np.sqrt((x**2).mean())) and got["A", "rmse", level].ci_low < got["A", "rmse", level].value < got["A", "rmse", level].ci_high
             assert (got["B", "mae", level].ci_low, got["B", "mae", level].ci_high, got["B", "mae", level].n) == (7.0, 7.0, 1)
+
+
+@pytest.mark.parametrize("n", [1, 7, 100, 3000])
+def test_ranges_of_replicates_are_those_of_the_whole_stream(n, monkeypatch):
+    x = RNG.standard_normal(n)
+    whole = np.concatenate(list(resample.replicates(x, 23, 8, 4)))
+    for values in (1, 5 * n, 4_000_000):
+        monkeypatch.setattr(resample, "BLOCK_VALUES", values)
+        parts = [np.concatenate(list(resample.replicates(x, 23, 8, 4, a, 10))) for a in (0, 10, 20)]
+        assert (np.concatenate(parts) == whole).all() and [len(p) for p in parts] == [10, 10, 3]
+
+
+def test_an_estimate_from_ranges_is_the_estimate():
+    from perdura.operators.estimate import combined, fit_one, fit_range
+
+    kernel, params, x = K.KERNELS["GPH"], {"n_bootstrap": 23, "ci_levels": [0.5, 0.95]}, RNG.standard_normal(400)
+    whole = fit_one(kernel, params, x, 5, 1e-3)
+    parts = combined([fit_range(kernel, params, x, 5, 1e-3, a, 10) for a in (0, 10, 20)], params)
+    drop = lambda d: {k: v for k, v in d.items() if k != "runtime_seconds"}
+    assert drop(whole) == drop(parts) and parts["bootstrap_used"] == 23 and parts["point_alt"] is not None
+    few = combined([fit_range(kernel, params, x[:10], 5, None, a, 10) for a in (0, 10, 20)], params)
+    assert few["failure_reason"] == "insufficient_signal_for_gph" and few["bootstrap_used"] == 0

@@ -129,6 +129,24 @@ def test_cache_gives_the_same_estimates(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "cache")).count() == 1
 
 
+def test_cache_serves_any_number_of_estimators_by_one_join(spark, tmp_path):
+    """A second run with one estimator more fits that one alone; the plan has as many joins as for one estimator."""
+    folder = str(tmp_path / "cache")
+    names = lambda *some: [{"name": n, "target_estimand": "hurst_scaling_proxy", "params": {"n_bootstrap": 6}} for n in some]
+    execution = {"estimate_cache_dir": folder}
+    with runner.run(spark, changed(estimators=names("RS", "GPH"), execution=execution)) as first:
+        before = {r.estimator_name: r.point for r in first.estimates.collect()}
+    files = spark.read.parquet(folder).count()
+    with runner.run(spark, changed(estimators=names("RS", "GPH", "DFA"), execution=execution)) as second:
+        after = {r.estimator_name: r.point for r in second.estimates.collect()}
+        assert len(second.kept) > 4
+    assert {k: after[k] for k in before} == before and set(after) == {"RS", "GPH", "DFA"}
+    assert spark.read.parquet(folder).count() == files * 3 // 2
+    runner.compact_cache(spark, folder, str(tmp_path / "small"))
+    assert spark.read.parquet(str(tmp_path / "small")).count() == files * 3 // 2
+    assert runner.read_cache(spark, str(tmp_path / "none")) is None
+
+
 def test_plugins(spark):
     data = changed(estimators=[{"name": "VarianceRatio", "target_estimand": "hurst_scaling_proxy", "params": {"n_bootstrap": 8}}])
     with pytest.raises(KeyError):

@@ -12,7 +12,7 @@ from perdura.plans import catalogue
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 QUERIES, SQL = catalogue.queries(), catalogue.oracle_sql()
 #: Queries that stand for many alike, for a run of the tests in short time; TEST_ALL=1 runs all.
-SOME = ["series_profile_l3", "packed_round_trip", "rs_hurst", "rs_validity", "rs_hurst_blocks", "dfa_order1", "dfa_order1_blocks", "dma_hurst", "dma_hurst_blocks", "gph_blocks", "higuchi_slope", "whittle_mle", "wavelet_db4_bardet", "wavelet_db4_whittle", "ghe", "ghe_native_lags", "gph", "whittle_grid", "local_whittle_grid", "wavelet_haar_bardet", "wavelet_haar_jensen", "variance_ratio_plugin", "polynomial_trend", "outliers_fixed", "metric_coverage", "metric_family_level_disagreement", "metric_coverage_collapse", "metric_max_variant_drift", "aggregate_strata_and_global", "leaderboard_weighted_rank", "failures", "bench_uncertainty_paired", "generator_grid", "contamination_grid", "rolling_hurst"]
+SOME = ["series_profile_l3", "packed_round_trip", "rs_hurst", "rs_validity", "rs_hurst_blocks", "dfa_order1", "dfa_order1_blocks", "dma_hurst", "dma_hurst_blocks", "gph_blocks", "higuchi_slope", "whittle_mle", "wavelet_db4_bardet", "wavelet_db4_whittle", "ghe", "ghe_native_lags", "gph", "whittle_grid", "local_whittle_grid", "wavelet_haar_bardet", "wavelet_haar_jensen", "variance_ratio_plugin", "sql_gph", "sql_estimates", "wavelet_db4_ols_blocks", "modified_local_whittle_blocks", "polynomial_trend", "outliers_fixed", "metric_coverage", "metric_family_level_disagreement", "metric_coverage_collapse", "metric_max_variant_drift", "aggregate_strata_and_global", "leaderboard_weighted_rank", "failures", "bench_uncertainty_paired", "generator_grid", "contamination_grid", "rolling_hurst"]
 
 
 @pytest.fixture(scope="module")
@@ -34,6 +34,23 @@ def test_same_rows_as_sql(spark, duck, name):
     assert sorted(got.columns) == sorted(want.columns) and plain(got) == plain(want)
 
 
+def test_estimators_in_sql_leave_out_nulls_and_keep_order(spark):
+    import numpy as np
+
+    from perdura.functions import sql
+    from perdura.kernels.estimators import KERNELS
+
+    assert "lrd_rs" in sql.register(spark)
+    x = np.random.default_rng(1).standard_normal(200)
+    rows = [("a", t, float(v)) for t, v in enumerate(x)] + [("a", 500, None), ("b", 0, 1.0), ("c", 0, None)]
+    df = spark.createDataFrame(rows[::-1], "series_id string, t long, v double").repartition(4)
+    got = {r[0]: r[1] for r in spark.sql("SELECT series_id, lrd_rs(t, v) FROM {df} GROUP BY series_id", df=df).collect()}
+    assert got["a"] == pytest.approx(KERNELS["RS"](x[None, :], {})[0]) and got["b"] is None and got["c"] is None
+    many = spark.sql("SELECT * FROM lrd_estimates(TABLE({df}) PARTITION BY series_id ORDER BY t)", df=df).collect()
+    assert len(many) == 3 * len(KERNELS) and {r.n for r in many if r.series_id == "a"} == {200} and {r.n for r in many if r.series_id == "c"} == {0}
+    assert next(r.point for r in many if r.series_id == "a" and r.estimator_name == "RS") == pytest.approx(got["a"])
+
+
 def test_blocks_give_the_same_series(spark):
     from perdura.sources.series import VIEWS, events_in_blocks
 
