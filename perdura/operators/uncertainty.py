@@ -21,6 +21,8 @@ KEYS = ["estimator_name", "metric_name", "stratum", "nominal"]
 OUT = "value double, ci_level double, ci_low double, ci_high double, n long"
 #: Values that one task draws from.
 BLOCK_ROWS = 1_000_000
+#: Tasks that the rows of one group are dealt to when they get their blocks.
+SALTS = 64
 #: Metrics that derive from others and have no values to resample.
 DERIVED = ("coverage_error",)
 
@@ -56,12 +58,15 @@ def bootstrap(rows: DataFrame, n_bootstrap: int = 200, levels: tuple[float, ...]
     group = F.xxhash64(F.lit(seed), *KEYS)
     marked = rows.select(*KEYS, "ord", "value", group.alias("seed"))
     sizes = marked.groupBy("seed").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
-    placed = marked.join(sizes, "seed").withColumn("block", F.pmod(F.xxhash64("ord"), F.col("blocks")).cast("int"))
+    # A group's rows are dealt to SALTS tasks, each with a copy of the group's one row of sizes.
+    salted = marked.withColumn("salt", F.pmod(F.xxhash64("ord", F.lit(1)), F.lit(SALTS)))
+    copies = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    placed = salted.join(copies, ["seed", "salt"]).drop("salt").withColumn("block", F.pmod(F.xxhash64("ord"), F.col("blocks")).cast("int"))
     packed = placed.groupBy(*KEYS, "seed", "blocks", "block").agg(F.sort_array(F.collect_list(F.struct("ord", "value"))).alias("x"))
     packed = packed.select(*KEYS, "seed", "blocks", "block", F.transform("x", lambda r: r["value"]).alias("values"))
     counts = packed.select("seed", "blocks", "block", F.size("values").alias("n")).groupBy("seed", "blocks").agg(F.map_from_entries(F.collect_list(F.struct("block", "n"))).alias("m"))
     of_blocks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.coalesce(F.element_at("m", i), F.lit(0)))
-    ready = packed.join(counts.select("seed", of_blocks.alias("sizes")), "seed")
+    ready = packed.join(counts.select("seed", of_blocks.alias("sizes"), F.explode(F.map_keys("m")).alias("block")), ["seed", "block"])
     schema = "estimator_name string, metric_name string, stratum string, nominal double, n long, total double, sums array<double>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

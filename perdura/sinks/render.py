@@ -9,6 +9,8 @@ import pandas as pd
 from perdura.operators.evaluate import GLOBAL
 
 ROWS = 25
+#: Metrics whose mean the degradation curve shows.
+DEGRADATION = ("estimate_drift", "relative_degradation_ratio")
 SECTIONS = {"leaderboard": "Leaderboard", "per_stratum_metrics": "Metrics by stratum", "failures": "Failures", "estimator_disagreement": "Disagreement", "scale_window_sensitivity": "Sensitivity to parameters", "uncertainty_calibration": "Calibration", "benchmark_uncertainty": "Uncertainty"}
 LATEX = ("leaderboard", "per_stratum_metrics", "failures", "uncertainty_calibration", "benchmark_uncertainty")
 ESCAPES = {"\\": r"\textbackslash{}", "&": r"\&", "%": r"\%", "$": r"\$", "#": r"\#", "_": r"\_", "{": r"\{", "}": r"\}", "~": r"\textasciitilde{}", "^": r"\textasciicircum{}"}
@@ -91,7 +93,7 @@ def figure(name: str, tables: dict[str, pd.DataFrame]) -> str | None:
     mean = lambda df, by: [(str(k), float(v)) for k, v in df.dropna(subset=["value"]).groupby(by)["value"].mean().items()]
     if name == "degradation_curve" and "stress_metrics" in tables:
         df = tables["stress_metrics"]
-        data = mean(df[df.metric_name.isin(["estimate_drift", "relative_degradation_ratio"])], "contamination_operator")
+        data = mean(df[df.metric_name.isin(DEGRADATION)], "contamination_operator")
         return curve(data, "Stress degradation: mean metric value by contamination") if data else None
     if name in ("disagreement_heatmap", "sensitivity_heatmap"):
         df = tables["estimator_disagreement" if name.startswith("d") else "scale_window_sensitivity"]

@@ -13,6 +13,7 @@ from pathlib import Path
 import pandas as pd
 import pyspark
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from perdura import __version__
 from perdura.interfaces import Reporter, ResultStore
@@ -32,6 +33,18 @@ def single_csv(df: DataFrame, path: Path) -> pd.DataFrame:
     return pdf
 
 
+#: Tables with rows for every series: they are streamed, and only what reports show of them is read.
+OF_SERIES = ("estimator_disagreement", "scale_window_sensitivity", "stress_metrics")
+
+
+def shown_part(name: str, df: DataFrame) -> pd.DataFrame:
+    """Of a table of OF_SERIES: the aggregates, or the mean drift and degradation by contamination."""
+    if name == "stress_metrics":
+        some = df.filter(F.col("metric_name").isin(*render.DEGRADATION))
+        return some.groupBy("contamination_operator").agg(F.lit(render.DEGRADATION[0]).alias("metric_name"), F.avg("value").alias("value")).toPandas()
+    return df.filter("scope = 'aggregate'").toPandas().sort_values(["estimator_name", "metric_name"], kind="stable", ignore_index=True)
+
+
 def streamed_csv(df: DataFrame, path: Path) -> None:
     """A table of any size as one CSV file, sorted: rows pass through the driver one partition at a time."""
     path.parent.mkdir(parents=True, exist_ok=True)
@@ -51,7 +64,14 @@ def write_run(run: Run, export_root: str | Path | None = None, reporters: Sequen
     m = run.manifest
     root = Path(export_root or m.report.get("export_root", "reports")) / run.run_id
     formats = [str(f) for f in m.report.get("formats", ("html", "csv"))]
-    got = {name: single_csv(df, root / "tables" / f"{name}.csv") for name, df in tables(run).items()}
+    got = {}
+    for name, df in tables(run).items():
+        path = root / "tables" / f"{name}.csv"
+        if name in OF_SERIES:
+            streamed_csv(df, path)
+            got[name] = shown_part(name, df)
+        else:
+            got[name] = single_csv(df, path)
     for name, df in raw_tables(run).items():
         streamed_csv(df, root / "raw" / f"{name}.csv")
     run.records.select("record_id", "values").write.mode("overwrite").parquet(str((root / "raw/values.parquet").absolute()))
