@@ -41,7 +41,7 @@ SYMBOLS, BITS, MISS = 60, 16, 1e-4
 #: Members of a bucket in one block.
 BLOCK = 500
 #: Times that centres of families are compared with each other.
-CENTRE_ROUNDS = 3
+CENTRE_ROUNDS = 2
 #: Bits (as a power of two) of the filter of keys: 8 MB.
 KEY_BITS = 26
 
@@ -289,14 +289,15 @@ def full_sets(docs: DataFrame, reps: DataFrame, words: int) -> DataFrame:
 def stars(docs: DataFrame, members: DataFrame, hot: DataFrame, reps: DataFrame, near: Near) -> tuple[DataFrame, DataFrame]:
     """rep and star (its centre's number) of members of hot buckets that are similar to a centre, and the links (rep, star) found.
 
-    Members of one family may have different largest buckets, so centres are compared with centres in turn.
+    Members of one family may have different largest buckets, so centres are then compared with centres. Texts are read once.
     """
-    links = star_of = stored(star_links(docs, members, hot, reps, near))
+    own = stored(join_by_key(members, hot, ["key"]))
+    known = stored(full_sets(docs, own.select("rep").distinct().join(reps.select("rep", "set1"), "rep"), near.words))
+    links = star_of = stored(star_links(own, known, near))
     for _ in range(CENTRE_ROUNDS):
-        owners = members.join(stored(star_of.select(F.col("star").alias("rep")).distinct()), "rep", "left_semi").join(hot.select("key"), "key", "left_semi")
-        owners = stored(owners)
+        owners = own.drop("k").join(star_of.filter("rep = star").select("rep"), "rep", "left_semi")
         common = stored(owners.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"))
-        more = stored(star_links(docs, owners, common, reps, near))
+        more = stored(star_links(join_by_key(owners, common, ["key"]), known, near))
         if more.filter("rep != star").isEmpty():
             break
         to = more.select(F.col("rep").alias("star"), F.col("star").alias("_to"))
@@ -305,21 +306,19 @@ def stars(docs: DataFrame, members: DataFrame, hot: DataFrame, reps: DataFrame,
     return star_of, links
 
 
-def star_links(docs: DataFrame, members: DataFrame, hot: DataFrame, reps: DataFrame, near: Near) -> DataFrame:
-    """rep and star of members that are similar to the smallest one of those with the same largest hot bucket, by their full sets.
+def star_links(own: DataFrame, known: DataFrame, near: Near) -> DataFrame:
+    """rep and star of members (key, rep, k) that are similar to the smallest one of those with the same largest bucket, by their full sets.
 
     That one is its own star. A member is compared once; each block of a bucket's members gets a copy of the centre.
     """
-    own = join_by_key(members, hot, ["key"])
     home = stored(own.groupBy("rep").agg(F.max(F.struct("k", "key")).alias("x")).select("rep", F.col("x.key").alias("key")))
     centres = stored(home.groupBy("key").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("k")).filter("k > 1"))
     blocks = F.ceil(F.col("k") / BLOCK).cast("int")
     placed = join_by_key(home, centres, ["key"]).filter("rep > centre").select("key", F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("lo"), "rep", "centre")
     copies = centres.select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("lo"), F.col("centre").alias("rep"), "centre")
-    rows = placed.unionByName(copies).withColumn("hi", F.lit(0)).join(reps.select("rep", "set1"), "rep")
-    rows = rows.join(full_sets(docs, rows, near.words), ["rep", "set1"])
+    rows = placed.unionByName(copies).withColumn("hi", F.lit(0)).join(known, "rep")
     schema = "rep long, star long"
-    target = to_arrow(docs.sparkSession, schema)
+    target = to_arrow(own.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, at in whole_groups(batches):
@@ -340,7 +339,7 @@ def star_links(docs: DataFrame, members: DataFrame, hot: DataFrame, reps: DataFr
     return rows.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(run, schema).distinct()
 
 
-def placements(members: DataFrame, buckets: DataFrame, starred: DataFrame | None) -> DataFrame:
+def placements(members: DataFrame, buckets: DataFrame, reps: DataFrame, starred: DataFrame | None) -> DataFrame:
     """GROUP, rep and star: in which groups each member of a bucket is compared.
 
     Members other than those of the bucket's most frequent star (its body) are cut into blocks; every two of these blocks
@@ -348,7 +347,8 @@ def placements(members: DataFrame, buckets: DataFrame, starred: DataFrame | None
     """
     rows = members.withColumn("star", F.col("rep"))
     if starred is not None:
-        rows = stored(members.join(starred, "rep", "left").withColumn("star", F.coalesce("star", "rep")))
+        own_star = reps.select("rep").distinct().join(starred, "rep", "left").select("rep", F.coalesce("star", "rep").alias("star"))
+        rows = stored(members.join(own_star, "rep"))
         by_star = join_by_key(rows, buckets.filter(F.col("k") > BLOCK), ["key"]).groupBy("key", "star").agg(F.count(F.lit(1)).alias("n"))
         bodies = by_star.groupBy("key").agg(F.max(F.struct("n", "star")).alias("x")).select("key", F.col("x.n").alias("body"), F.col("x.star").alias("main"))
         buckets = stored(buckets.join(bodies, "key", "left").filter("body is null or body < k"))
@@ -383,7 +383,7 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
     members = stored(keyed(reps, near, hash_bits(buckets, "key", KEY_BITS)))
     hot = buckets.filter(F.col("k") > BLOCK)
     starred, star_found = (None, None) if hot.isEmpty() else stars(docs, members, hot, reps, near)
-    placed = placements(members, buckets, starred)
+    placed = placements(members, buckets, reps, starred)
     near_rows = stored(with_partner(placed.join(reps.select("rep", "set1", "n", "sig"), "rep"), near))
     full = stored(full_sets(docs, near_rows, near.words))
     links = links_of(near_rows.join(full, ["rep", "set1"]).select(*GROUP, "rep", "s"), near)

@@ -28,7 +28,7 @@ def placed_rows(spark, docs, near):
     buckets = stored(members.groupBy("key").count().withColumnRenamed("count", "k").filter("k > 1"))
     starred, _ = neardup.stars(spark.createDataFrame(docs, "doc_id long, text string"), members, buckets.filter(f"k > {neardup.BLOCK}"), reps, near)
     assert starred.count() == starred.select("rep").distinct().count()
-    return neardup.placements(members, buckets, starred).count(), starred.filter("rep != star").count()
+    return neardup.placements(members, buckets, reps, starred).count(), starred.filter("rep != star").count()
 
 
 def test_rows_into_the_comparison_grow_with_the_family(spark, monkeypatch):
