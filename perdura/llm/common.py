@@ -13,8 +13,15 @@ from pyspark.sql import functions as F
 #: A word is a run of anything but ASCII white space; bytes.split() cuts UTF-8 in the same way.
 WORD = r"[^\x20\x09-\x0D]+"
 BATCH_ROWS = 1000
-#: A key of a join is hot from so many rows, and from such a part of all rows.
-HOT_ROWS, HOT_SHARE = 500, 256
+#: A key of a join is hot from so many rows, and from such a part of all rows, but at the latest from TASK_ROWS rows
+#: as long as no more than MOST_HOT keys can be hot.
+HOT_ROWS, HOT_SHARE, TASK_ROWS, MOST_HOT = 500, 256, 2_000_000, 100_000
+
+
+def hot_limit(total: int) -> int:
+    """Rows of one key that go to one task, of a join of so many rows: a task's rows do not grow with the table up to 2e11 rows,
+    and what is broadcast, a row for each hot key, is bounded for any table."""
+    return max(HOT_ROWS, min(total // HOT_SHARE, max(TASK_ROWS, total // MOST_HOT)))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,11 +72,10 @@ SALT = ["_salt", "_parts"]
 def join_by_key(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
     """rows joined with table, both stored; table has k, the number of rows of its key.
 
-    A hot key, with more than limit rows, is dealt to several tasks: its rows by hash, its
-    rows of the table copied to each. Limit is at least a HOT_SHARE-th of all rows, so only
-    about HOT_SHARE keys, without any payload, are broadcast.
+    A hot key, with more rows than hot_limit, is dealt to several tasks: its rows by hash, its
+    rows of the table copied to each. Hot keys, without any payload, are broadcast.
     """
-    limit = max(HOT_ROWS, (table.agg(F.sum("k")).first()[0] or 0) // HOT_SHARE)
+    limit = hot_limit(table.agg(F.sum("k")).first()[0] or 0)
     parts = F.ceil(F.col("k") / limit).cast("int")
     hot = table.filter(F.col("k") > limit).select(*keys, parts.alias("_parts")).distinct()
     if hot.isEmpty():

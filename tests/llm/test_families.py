@@ -52,3 +52,10 @@ def test_families_keep_every_link(spark, monkeypatch, changed):
     docs += [(300 + k, " ".join(f"lone{k}x{j}" for j in range(50))) for k in range(5)]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), neardup.Near(3, 85)).collect()}
     assert got == plain_components(docs, 3, 85)
+
+
+def test_hot_keys_by_rows_of_a_task():
+    from perdura.llm import common
+
+    assert [common.hot_limit(n) for n in (0, 10**5, 10**6, 10**9, 10**11, 10**13)] == [500, 500, 3906, 2_000_000, 2_000_000, 10**8]
+    assert all(n // common.hot_limit(n) <= common.MOST_HOT for n in (10**8, 10**11, 10**14))
