@@ -72,13 +72,33 @@ def test_scans_read_what_they_need(spark):
     assert plan.split("== Physical Plan ==")[1].count("Exchange hashpartitioning") == 1
 
 
-def test_stream_closes_windows(spark, tmp_path):
+def test_summaries_of_runs_merge_to_that_of_the_whole():
+    import numpy as np
+
+    from perdura.streaming import rolling
+
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 17, 5000):
+        x = rng.standard_normal(n) + 3
+        cuts = sorted({0, n, *rng.integers(0, n + 1, 6).tolist()})
+        whole, parts = rolling.summarised(x), rolling.merged([rolling.summarised(x[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)])
+        assert parts[0] == n and parts[1:3] == pytest.approx(whole[1:3])
+        y = np.cumsum(x - x.mean())
+        want = np.log((y.max() - y.min()) / x.std()) / np.log(n) if n >= 16 else None
+        assert rolling.range_point(whole) == (want if want is None else pytest.approx(want)) and rolling.range_point(parts) == (want if want is None else pytest.approx(want))
+        assert len(whole[3]) + len(whole[5]) <= 12 * np.log2(n + 2)  # a few points, not the values
+    assert rolling.range_point(rolling.summarised(np.full(50, 2.0))) is None
+
+
+@pytest.mark.parametrize("slot", [None, "12 hours"])
+def test_stream_closes_windows(spark, tmp_path, slot):
     from perdura.streaming import rolling
 
     src = tmp_path / "events"
     spark.read.parquet(f"{SF}/events.parquet").write.parquet(str(src))
-    q = rolling.start_stream(spark, str(src), "rolled")
+    q = rolling.start_stream(spark, str(src), "rolled" if slot is None else "rolled_slots", slot=slot)
     q.awaitTermination(120)
-    rows = spark.sql("select * from rolled").collect()
+    rows = spark.sql("select * from " + ("rolled" if slot is None else "rolled_slots")).collect()
+    assert rows
     batch = {(r.event_type, r.window_start): r.h for r in rolling.rescaled_range(rolling.windowed(spark.read.parquet(str(src)), "7 days")).collect()}
     assert all(batch[r.event_type, r.window_start] == pytest.approx(r.h) for r in rows if r.h is not None)
