@@ -259,7 +259,7 @@ least AS (SELECT series_id, x AS d FROM steps WHERE done)"""
 def whittle_sql(m: str, least: int, objective: str, tag: str, name: str) -> str:
     source = "SELECT series_id, list(lam ORDER BY j) AS lams, list(i ORDER BY j) AS powers FROM i WHERE m >= 8 GROUP BY series_id"
     body = spectrum(m, least) + brent_sql(source, objective, -0.49, 0.49) + f""",
-r AS (SELECT ns.series_id, ns.n, CASE WHEN ns.n >= {least} THEN {clip('d', -0.499, 0.499)} END AS point FROM ns LEFT JOIN least ON ns.series_id = least.series_id)
+r AS (SELECT ns.series_id, ns.n, CASE WHEN d IS NOT NULL THEN {clip('d', -0.499, 0.499)} END AS point FROM ns LEFT JOIN least ON ns.series_id = least.series_id)
 """
     return with_profile(VIEW_SQL["E5"], body + finish(tag, name))
 
@@ -309,7 +309,7 @@ r AS (SELECT ns.series_id, ns.n, CASE WHEN ns.n >= 256 THEN {clip(f"2 * {clip('(
 LEVELS_AT = "list_transform(js, lambda x: pow(2.0, (2 * u - 2) * x))"
 WAVELET_AT = f"(SELECT list_sum(list_transform(list_zip(cs, vs, sh), lambda z: z[1] * (ln(g * z[3]) + z[2] / (g * z[3])))) FROM (SELECT {LEVELS_AT} AS sh, list_sum(list_transform(list_zip(cs, vs), lambda z: z[1] * z[2])) / list_sum(list_transform(list_zip(cs, {LEVELS_AT}), lambda z: z[1] * z[2])) AS g))"
 WAVELET_WHITTLE = brent_sql("SELECT series_id, list(j::DOUBLE ORDER BY j) AS js, list(c::DOUBLE ORDER BY j) AS cs, list(v ORDER BY j) AS vs FROM j WHERE j > 1 AND j <= top - 1 GROUP BY series_id HAVING count(*) >= 3", WAVELET_AT, 0.06, 0.994) + f""",
-r AS (SELECT ns.series_id, ns.n, {clip('d')} AS point FROM ns LEFT JOIN least ON ns.series_id = least.series_id)"""
+r AS (SELECT ns.series_id, ns.n, CASE WHEN d IS NOT NULL THEN {clip('d')} END AS point FROM ns LEFT JOIN least ON ns.series_id = least.series_id)"""
 WAVELET_BODIES = {"WaveletOLS": ("ols", "wavelet_ols", haar_slope(1, 1, False)), "WaveletAbryVeitch": ("abry_veitch", "wavelet_av", haar_slope(2, 2, False)), "WaveletBardet": ("bardet", "wavelet_bardet", haar_slope(1, 2, True)), "WaveletJensen": ("jensen", "wavelet_jensen", JENSEN), "WaveletWhittle": ("whittle", "wavelet_whittle", WAVELET_WHITTLE)}
 for _n, (_short, _tag, _body) in WAVELET_BODIES.items():
     add(f"wavelet_haar_{_short}", kernel_query("E5", _n, {"wavelet": "haar"}), levels_sql("haar", _n, _tag, _body))
