@@ -28,3 +28,20 @@ def test_points_are_those_of_the_packed_perturbation(spark):
         assert r.t == len(got.setdefault(r.series_id, []))
         got[r.series_id].append(r.contaminated)
     assert got == want
+
+
+def test_sql_has_the_scales_and_levels_of_long_series():
+    import duckdb
+    import pandas as pd
+
+    from perdura.kernels.estimators import KERNELS
+
+    n = 700_000
+    x = np.round(np.random.default_rng(11).standard_normal(n).cumsum() * 0.01 + np.random.default_rng(12).standard_normal(n), 3)
+    con = duckdb.connect()
+    con.register("numbers", pd.DataFrame({"ts": np.arange(n), "value": x}))
+    con.sql("CREATE TABLE events AS SELECT 'a' AS event_type, ts, ts AS event_id, value FROM numbers")
+    haar = {"wavelet": "haar"}
+    for name, kernel, params in (("dfa_order0", "DFA", {"detrend_order": 0}), ("dma_hurst", "DMA", {}), ("wavelet_haar_abry_veitch", "WaveletAbryVeitch", haar), ("wavelet_haar_jensen", "WaveletJensen", haar), ("wavelet_haar_ols", "WaveletOLS", haar)):
+        point = con.sql(f"SELECT point FROM ({SQL[name]})").fetchall()[0][0]
+        assert point == pytest.approx(float(KERNELS[kernel](x[None, :], params)[0]), abs=2e-6), name
