@@ -45,3 +45,43 @@ def test_sql_has_the_scales_and_levels_of_long_series():
     for name, kernel, params in (("dfa_order0", "DFA", {"detrend_order": 0}), ("dma_hurst", "DMA", {}), ("wavelet_haar_abry_veitch", "WaveletAbryVeitch", haar), ("wavelet_haar_jensen", "WaveletJensen", haar), ("wavelet_haar_ols", "WaveletOLS", haar)):
         point = con.sql(f"SELECT point FROM ({SQL[name]})").fetchall()[0][0]
         assert point == pytest.approx(float(KERNELS[kernel](x[None, :], params)[0]), abs=2e-6), name
+
+
+def test_copies_of_rows_come_without_lags(spark):
+    from pyspark.sql import functions as F
+
+    from perdura.operators import blocks
+
+    rows = blocks.even_blocks(spark.createDataFrame([("a", t, 1.0) for t in range(40)], "series_id string, t long, v double"), 8)
+    got = blocks.with_halo(rows, F.array(F.lit(1).cast("long"), F.lit(9).cast("long")), 8).collect()
+    assert all((r.lags is None) == (not r.own) for r in got) and sum(r.own for r in got) == 40
+    assert len({(r.t, r.block) for r in got}) == len(got) > 60
+
+
+def test_blocks_of_the_registered_queries_go_with_the_table(spark, tmp_path):
+    from perdura.plans import series_queries
+
+    spark.range(300 * 1000).write.parquet(str(tmp_path / "events.parquet"))
+    assert series_queries.block_of(spark, str(tmp_path)) == 300_000 // 256 and series_queries.block_of(spark, SF) == 256
+
+
+@pytest.mark.parametrize("wavelet", ["haar", "db4"])
+def test_wavelet_levels_take_a_shuffle_for_several(spark, wavelet):
+    from perdura.kernels.numeric import details
+    from perdura.operators import blocks
+
+    rng = np.random.default_rng(9)
+    series = {f"s{n}": rng.standard_normal(n).cumsum() for n in (100, 128, 1025, 5000, 5119)}
+    rows = spark.createDataFrame([(k, t, float(v)) for k, x in series.items() for t, v in enumerate(x)], "series_id string, t long, v double").repartition(3)
+    for size in (10, 1024):
+        found = blocks.wavelet_levels(rows, wavelet, size)
+        got = {(r.series_id, r.j): (r.c, r.v) for r in found.collect()}
+        want = {}
+        for k, x in series.items():
+            d = details((x - x.mean())[None, :], wavelet)[::-1] if len(x) >= 128 else []
+            want |= {(k, j): (c.shape[1], c.var(ddof=1)) for j, c in enumerate(d, 1) if c.shape[1] >= 2}
+        assert set(got) == set(want)
+        for k, (c, v) in want.items():
+            assert got[k][0] == c and got[k][1] == pytest.approx(v, rel=1e-9)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapGroupsInArrow") == 2
