@@ -85,3 +85,18 @@ def test_wavelet_levels_take_a_shuffle_for_several(spark, wavelet):
             assert got[k][0] == c and got[k][1] == pytest.approx(v, rel=1e-9)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("FlatMapGroupsInArrow") == 2
+
+
+def test_table_function_takes_series_by_batches(spark):
+    from pyspark.util import PythonEvalType
+
+    from perdura.functions import sql
+    from perdura.kernels.estimators import KERNELS
+
+    assert sql.table_function(KERNELS).evalType == PythonEvalType.SQL_ARROW_UDTF
+    series = {k: np.random.default_rng(i).standard_normal(n) for i, (k, n) in enumerate({"a": 25_000, "b": 300, "c": 11_000}.items())}
+    spark.udtf.register("two_estimates", sql.table_function({k: KERNELS[k] for k in ("RS", "GPH")}))
+    rows = spark.createDataFrame([(k, t, float(v)) for k, x in series.items() for t, v in enumerate(x)][::-1], "series_id string, t long, v double")
+    got = {(r.series_id, r.estimator_name): (r.n, r.point) for r in spark.sql("SELECT * FROM two_estimates(TABLE({df}) PARTITION BY series_id ORDER BY t)", df=rows.repartition(1)).collect()}
+    want = {(k, e): (len(x), pytest.approx(float(KERNELS[e](x[None, :], {})[0]))) for k, x in series.items() for e in ("RS", "GPH")}
+    assert got == want
