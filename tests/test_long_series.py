@@ -56,3 +56,8 @@ def test_memory_is_a_few_times_a_series(call):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 7 * x.nbytes
+
+
+def test_a_block_of_replicates_is_one_where_a_series_is_long():
+    x = np.random.default_rng(3).standard_normal(1_200_000)
+    assert [len(r) for r in resample.replicates(x, 3, 120_000, 7)] == [1, 1, 1]
