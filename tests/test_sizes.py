@@ -100,3 +100,20 @@ def test_table_function_takes_series_by_batches(spark):
     got = {(r.series_id, r.estimator_name): (r.n, r.point) for r in spark.sql("SELECT * FROM two_estimates(TABLE({df}) PARTITION BY series_id ORDER BY t)", df=rows.repartition(1)).collect()}
     want = {(k, e): (len(x), pytest.approx(float(KERNELS[e](x[None, :], {})[0]))) for k, x in series.items() for e in ("RS", "GPH")}
     assert got == want
+
+
+@pytest.mark.parametrize("size", [2500, 1 << 16])
+def test_lags_take_chunks_of_places_and_few_passes(spark, monkeypatch, size):
+    from perdura.kernels.estimators import KERNELS
+    from perdura.operators import blocks
+
+    rng = np.random.default_rng(21)
+    series = {f"s{n}": 1e4 + rng.standard_normal(n).cumsum() * 0.2 + rng.standard_normal(n) for n in (1024, 1025, 7501, 12_289)}
+    rows = spark.createDataFrame([(k, t, float(v)) for k, x in series.items() for t, v in enumerate(x)][::-1], "series_id string, t long, v double").repartition(3)
+    given, with_halo = [], blocks.with_halo
+    monkeypatch.setattr(blocks, "with_halo", lambda rows, *rest: given.append(rows) or with_halo(rows, *rest))
+    for name, f in (("DMA", blocks.dma), ("GHE", blocks.ghe), ("Higuchi", blocks.higuchi)):
+        found = f(rows, size)
+        assert {r.series_id: r.point for r in found.collect()} == {k: pytest.approx(float(KERNELS[name](x[None, :], {})[0]), abs=1e-9) for k, x in series.items()}
+        assert given.pop().count() <= 4 * 4 + sum(map(len, series.values())) // 1000
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 3
