@@ -117,3 +117,21 @@ def test_lags_take_chunks_of_places_and_few_passes(spark, monkeypatch, size):
         assert {r.series_id: r.point for r in found.collect()} == {k: pytest.approx(float(KERNELS[name](x[None, :], {})[0]), abs=1e-9) for k, x in series.items()}
         assert given.pop().count() <= 4 * 4 + sum(map(len, series.values())) // 1000
         assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 3
+
+
+def test_block_bootstrap_takes_every_estimator(spark):
+    from perdura.kernels.estimators import KERNELS
+    from perdura.operators.estimate import fit_one
+    from perdura.sources.series import VIEWS, pack
+
+    series = {r.series_id: np.array(r["values"]) for r in pack(VIEWS["E5"](spark, SF)).collect()}
+    found = QUERIES["block_bootstrap"](spark, SF).collect()
+    assert len(found) == len(series) * len(KERNELS)
+    got = {(r.record_id, r.estimator_name): r for r in found}
+    assert set(got) == {(i, name) for i in series for name in KERNELS}
+    for (i, name), r in got.items():
+        want = fit_one(KERNELS[name], {"n_bootstrap": 200}, series[i], 7, None)
+        assert (r.valid, r.bootstrap_used) == (want["valid"], want["bootstrap_used"])
+        for c in ("point", "ci_low", "ci_high"):
+            assert r[c] == (None if want[c] is None else pytest.approx(want[c], abs=1e-6)), (i, name, c)
+    assert {r.valid for r in found} == {True, False}
