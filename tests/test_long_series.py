@@ -61,3 +61,32 @@ def test_memory_is_a_few_times_a_series(call):
 def test_a_block_of_replicates_is_one_where_a_series_is_long():
     x = np.random.default_rng(3).standard_normal(1_200_000)
     assert [len(r) for r in resample.replicates(x, 3, 120_000, 7)] == [1, 1, 1]
+
+
+@pytest.mark.parametrize("n", [70_001, 2 * 33_791, 3 * 23_333])
+def test_lengths_of_large_prime_factors_need_no_whole_transform(monkeypatch, n):
+    x = walk(n)
+    assert numeric.largest_factor(n) > K.ROUGH and numeric.largest_factor(numeric.smooth_size(n)) <= 5 and n <= numeric.smooth_size(n) < 1.1 * n
+    for m in (n // 8, n // 2):
+        want = np.fft.rfft(x - x.mean(axis=1, keepdims=True), axis=1)[:, 1 : m + 1]
+        assert np.allclose(numeric.half_chirp(x - x.mean(axis=1, keepdims=True), m), want, rtol=1e-8, atol=1e-12 * np.abs(want).max())
+    plain = K.periodogram(x, n // 8)[1], K.whittle(x)
+    monkeypatch.setattr(K, "half_chirp", lambda z, m: np.fft.rfft(z, axis=1)[:, 1 : m + 1])
+    assert np.allclose(plain[0], K.periodogram(x, n // 8)[1], rtol=1e-8) and plain[1] == pytest.approx(K.whittle(x), abs=1e-8)
+
+
+@pytest.mark.parametrize("span", [130, 1000, 1 << 20])
+def test_lags_and_windows_are_taken_in_pieces(monkeypatch, span):
+    x, n = np.random.default_rng(5).standard_normal((3, 5003)) * [[1], [5], [0.2]] + walk(5003, 3), 5003
+    monkeypatch.setattr(K, "SPAN", span)
+    y = (x - x.mean(axis=1, keepdims=True)).cumsum(axis=1)
+    grid = K.scale_grid(8, n, None)
+    sums = np.pad(y.cumsum(axis=1), ((0, 0), (1, 0)))
+    f = np.stack([((y[:, w - 1 :] - (sums[:, w:] - sums[:, :-w]) / w) ** 2).mean(axis=1) for w in grid], axis=1)
+    assert K.dma(x) == pytest.approx(np.clip(numeric.slopes(np.log(grid), np.log(f) / 2, 3), K.LOW, K.HIGH), abs=1e-9)
+    lags = K.lag_grid(n)
+    v = np.stack([(x[:, h:] - x[:, :-h]).var(axis=1) for h in lags], axis=1)
+    assert K.ghe(x, flat_slope_tol=0) == pytest.approx(numeric.slopes(np.log(lags), np.log(v), 4) / 2, abs=1e-9)
+    length = [[np.mean([np.abs(np.diff(row[r::k])).sum() / ((n - 1 - r) // k) for r in range(k)]) * (n - 1) / k for k in range(1, 65)] for row in x]
+    assert K.higuchi_slope(x) == pytest.approx(numeric.slopes(-np.log(np.arange(1, 65)), np.log(length), 4), abs=1e-9)
+    assert (K.ghe(np.tile(np.arange(300.0), (2, 1))) == 0.5).all()
