@@ -76,7 +76,7 @@ def cached_estimates(rows: DataFrame, m: Manifest, eps: float | None, plugins: d
         both = wanted.join(there, on, "left").persist()
         kept.append(both)
         hits, missing = both.filter("_hit").select(*columns), both.filter("_hit is null").select(*wanted.columns)
-    jobs = marked.select("record_id", "seed", "values").join(missing.select("record_id", "spec"), "record_id")
+    jobs = marked.select("record_id", "seed", "values").join(missing.groupBy("record_id").agg(F.sort_array(F.collect_list("spec")).alias("specs")), "record_id")
     keys = missing.select("record_id", "estimator_name", "values_hash", "spec_hash")
     fresh = estimate_jobs(jobs, m.estimators, eps, plugins, workers).join(keys, ["record_id", "estimator_name"]).persist()
     kept.append(fresh)

@@ -135,3 +135,25 @@ def test_block_bootstrap_takes_every_estimator(spark):
         for c in ("point", "ci_low", "ci_high"):
             assert r[c] == (None if want[c] is None else pytest.approx(want[c], abs=1e-6)), (i, name, c)
     assert {r.valid for r in found} == {True, False}
+
+
+def test_jobs_of_a_record_are_dealt_to_few_rows(spark):
+    from perdura.kernels.estimators import KERNELS
+    from perdura.operators import estimate
+    from perdura.plans.registry import EstimatorSpec
+
+    rng = np.random.default_rng(17)
+    series = {"long": rng.standard_normal(25_000), "short": rng.standard_normal(300), "flat": np.ones(300), "empty": np.empty(0), "none": None}
+    rows = spark.createDataFrame([(k, i, None if x is None else x.tolist()) for i, (k, x) in enumerate(series.items())], "record_id string, seed long, values array<double>")
+    specs = [EstimatorSpec(n, params={"n_bootstrap": b}) for n, b in (("RS", 120), ("GPH", 8), ("WaveletOLS", 61))]
+    for workers in (1, 3, 50):
+        found = estimate.estimate(rows, specs, max_workers=workers)
+        got = {(r.record_id, r.estimator_name): r for r in found.collect()}
+        assert len(got) == len(series) * len(specs)
+        for i, (k, x) in enumerate(series.items()):
+            for s in specs:
+                want, r = estimate.fit_one(KERNELS[s.name], s.params, np.empty(0) if x is None else x, i, None), got[k, s.name]
+                assert (r.valid, r.failure_reason, r.bootstrap_used) == (want["valid"], want["failure_reason"], want["bootstrap_used"])
+                assert (r.point, r.ci_low, r.bootstrap_std) == tuple(None if want[c] is None else pytest.approx(want[c], abs=1e-12) for c in ("point", "ci_low", "bootstrap_std"))
+        # A series is copied once, for the rows of its jobs, and not by estimator before.
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 1
